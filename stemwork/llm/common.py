@@ -50,17 +50,17 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     No task gets a whole key: rows are windowed by (keys, bucket), and the sums of the buckets, at most
     as many rows for each key as there are buckets, give each bucket's start. Null keys are a key.
     """
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_rt_sum"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    before = F.sum("_sum").over(by_key.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")
-    starts = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_b"), before.alias("_start"))
+    before = F.sum("_rt_sum").over(by_key.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)) - F.col("_rt_sum")
+    starts = sums.select(*[F.col(k).alias(f"_rt_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_rt_b"), before.alias("_rt_start"))
     within = F.sum(value).over(W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    on = F.col(bucket) == F.col("_b")
+    on = F.col(bucket) == F.col("_rt_b")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"_rt_k{i}"))
     return (
-        df.withColumn("_within", within)
+        df.withColumn("_rt_within", within)
         .join(starts, on)
-        .withColumn(out, F.col("_within") + F.col("_start"))
-        .drop("_within", "_start", "_b", *[f"_k{i}" for i in range(len(keys))])
+        .withColumn(out, F.col("_rt_within") + F.col("_rt_start"))
+        .drop("_rt_within", "_rt_start", "_rt_b", *[f"_rt_k{i}" for i in range(len(keys))])
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, mixing, packing, simhash, warc
+from . import chat, exact_dedup, extraction, line_dedup, mixing, near_dedup, packing, simhash, toxicity, warc
 from .common import checkpointed, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,13 +55,39 @@ def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", F.sha2(joined("all"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op3_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the runs of lines that occur in an earlier place."""
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("lines").alias("n_lines"), "lines_dropped", "text")
+
+
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents, learned from the labelled ones outside fold 0."""
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_segments")
+
+
+def op8_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of each document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op4_simhash": op4_simhash,
-    "op10_event_sourced_chat": op10_event_sourced_chat,
     "op1_mixture_packing": op1_mixture_packing,
     "op2_content_addressed_warc": op2_content_addressed_warc,
+    "op3_crf_extraction": op3_crf_extraction,
+    "op4_simhash": op4_simhash,
     "op5_pareto_mixing": op5_pareto_mixing,
+    "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
+    "op7_toxic_segments": op7_toxic_segments,
+    "op8_lsh_forest_near_dedup": op8_lsh_forest_near_dedup,
     "op9_grace_exact_dedup": op9_grace_exact_dedup,
+    "op10_event_sourced_chat": op10_event_sourced_chat,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"

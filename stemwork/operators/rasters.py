@@ -337,8 +337,8 @@ def above_ground(dets: DataFrame, ground: DataFrame, keys: list[str], x0: float,
     return rows.where("_g is not null").withColumn("z", F.col("z") - F.col("_g")).drop("_g"), dropped
 
 
-def guarded(dets: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    """dets without the cells that lost half of their detections or more."""
-    n = dets.groupBy(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
-    bad = dropped.join(n, [F.col(k).eqNullSafe(F.col(f"_n{i}")) for i, k in enumerate(keys)], "left").where(F.col("n_dropped") >= F.greatest(F.lit(1), F.coalesce("_n", F.lit(0))))
-    return dets.join(bad.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)]), [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)], "left_anti")
+def failed_cells(kept: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of cells that had detections and lost all of them: their arm failed there, it did not find nothing."""
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    left = kept.select(*[F.col(k).alias(n) for k, n in names.items()])
+    return dropped.where("n_dropped > 0").join(left, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left_anti").select(*keys)

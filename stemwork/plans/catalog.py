@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import pooled, spatial_queries, statistics_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = pooled.QUERIES | spatial_queries.QUERIES | statistics_queries.QUERIES
+ORACLE_SQL: dict[str, str] = pooled.ORACLE_SQL | spatial_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL

@@ -3,12 +3,15 @@
 Each distinct set of word shingles has TREES signatures of 8 minima. A tree orders the sets by their
 signatures; sets that share the first 4 minima are a region, and where a region is dense (more than DENSE
 sets) it goes on to 6 and 8 shared minima. In each region, at each depth it reaches, every set is a
-candidate with the region's least document, its neighbour by longest common prefix that all trees agree
-on, so copies by the thousand give pairs by the thousand and not by the million. Candidates are confirmed
-on full sets and joined to components. Then, in every region that still holds more than one component, the
-sets outside its largest component are compared with all the others, so that a link which no region's
-least document shows is found as well. A pair at the threshold shares a region with a probability of 1 -
-(1 - 0.75**4)**32, all but 5 in a million, more similar ones with a higher one.
+candidate with one neighbour: the region's hub, the set that meets most others over all trees. So copies
+by the thousand give pairs by the thousand and not by the million. A pair at the threshold shares a region
+with a probability of 1 - (1 - 0.75**4)**32, all but 5 in a million; more similar ones with a higher one.
+
+Candidates are confirmed on full sets and joined to components. What is left are sets that share a region
+but no link with its hub. If such a set x has a link with y of that region, then either x and y share a
+shingle that the hub lacks, one among the first 25 % of each set in the order (not the hub's, hash), or
+the hub holds so much of x that y can be much shorter than the hub. Both kinds of pairs are joined, the
+first by (hub, shingle), the second by hub and sizes, and confirmed as well: no pair of a region goes unseen.
 """
 
 from __future__ import annotations
@@ -88,24 +91,34 @@ def sketched(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "sketches")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. texts: uid, text."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) with their full shingle sets compared. texts: uid, text.
+
+    linked: 100 * intersection >= percent * union; n: size of b; both: of the intersection; rest: the first
+    (100 - percent) % and one of b's shingles that a lacks, by hash.
+    """
+    schema = "a long, b long, linked boolean, n long, both long, rest array<long>"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, s = None, np.empty(0, np.uint64)
         for batch in batches:
-            good = []
+            linked, n, both, rest = [], [], [], []
             for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if a != known:
                     known, s = a, shingles(x, size)
                 t = shingles(y, size)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                own = np.setdiff1d(t, s, assume_unique=True)
+                shared = len(t) - len(own)
+                linked.append(shared > 0 and 100 * shared >= percent * (len(s) + len(own)))
+                n.append(len(t))
+                both.append(shared)
+                rest.append(np.sort(own)[: len(t) - -(-percent * len(t) // 100) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=names)
 
     right = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
     both = right.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,32 +157,36 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     one = sketches.where("n > 0 and doc_id is not null").join(sets.withColumnsRenamed({"s1": "z1", "s2": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")) & (F.col("doc_id") == F.col("uid")))
     nodes = one.select("uid", "n", F.explode(F.arrays_zip("k0", "k1", "k2")).alias("k")).select("uid", "n", "k.k0", "k.k1", "k.k2")
     regions = nodes.groupBy(F.col("k0").alias("r0")).agg(F.min("uid").alias("first"), F.count("*").alias("m")).where("m > 1")
-    members = checkpointed(nodes.join(regions, F.col("k0") == F.col("r0")).drop("r0"))
-    pairs = [members.select("uid", "n", "first")]
-    dense = members.where(F.col("m") > DENSE)
-    for deep in (["k0", "k1"], ["k0", "k1", "k2"]):
-        within = dense.groupBy(*deep).agg(F.min("uid").alias("near")).withColumnsRenamed({k: f"r{k}" for k in deep})
-        on = [F.col(k) == F.col(f"r{k}") for k in deep]
-        pairs.append(dense.join(within, on).select("uid", "n", F.col("near").alias("first")))
-    candidates = pairs[0].union(pairs[1]).union(pairs[2]).where("first < uid").distinct()
-    of = members.select(F.col("uid").alias("f_uid"), F.col("n").alias("f_n")).distinct()
-    candidates = candidates.join(of, F.col("first") == F.col("f_uid")).where(_fits("n", "f_n", percent)).select(F.col("first").alias("a"), F.col("uid").alias("b"))
-    candidates = checkpointed(candidates)
-    chosen = of.select("f_uid")
+    members = nodes.join(regions, F.col("k0") == F.col("r0")).drop("r0")
+    degrees = members.groupBy(F.col("uid").alias("g_uid")).agg(F.sum("m").alias("degree"))
+    members = checkpointed(members.join(degrees, F.col("uid") == F.col("g_uid")).drop("g_uid"))
+    pairs = []
+    for deep in (["k0"], ["k0", "k1"], ["k0", "k1", "k2"]):
+        some = members if len(deep) == 1 else members.where(F.col("m") > DENSE)
+        hubs = some.groupBy(*deep).agg(F.max(F.struct("degree", (-F.col("uid")).alias("u"))).alias("h")).select(*[F.col(k).alias(f"r{k}") for k in deep], (-F.col("h.u")).alias("hub"))
+        pairs.append(some.join(hubs, [F.col(k) == F.col(f"r{k}") for k in deep]).where("hub <> uid").select(F.col("hub").alias("a"), F.col("uid").alias("b")))
+    candidates = checkpointed(pairs[0].union(pairs[1]).union(pairs[2]).distinct())
+    chosen = candidates.select(F.col("a").alias("f_uid")).union(candidates.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").cast("string").alias("text")).join(chosen, F.col("uid") == F.col("f_uid"), "left_semi")
     texts = written(texts, "texts")
-    links = checkpointed(confirmed(candidates, texts, size, percent))
+    seen = written(compared(candidates, texts, size, percent), "compared")
+    links = seen.where("linked").select("a", "b")
 
     labels = components(links)
-    placed = members.join(labels, F.col("uid") == F.col("node"), "left").select("uid", "n", "k0", F.coalesce("component", "uid").alias("c"))
-    counts = placed.groupBy("k0", "c").agg(F.count("*").alias("m"))
-    largest = counts.groupBy(F.col("k0").alias("r0")).agg(F.max_by("c", "m").alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = checkpointed(placed.join(largest, F.col("k0") == F.col("r0")).drop("r0"))
-    rest = mixed.where("c <> most").select(F.col("uid").alias("x"), F.col("n").alias("x_n"), F.col("k0").alias("x_k"), F.col("c").alias("x_c"))
-    crossed = mixed.join(rest, (F.col("k0") == F.col("x_k")) & (F.col("c") != F.col("x_c")) & _fits("n", "x_n", percent) & ((F.col("c") == F.col("most")) | (F.col("uid") < F.col("x"))))
-    more = crossed.select(F.least("uid", "x").alias("a"), F.greatest("uid", "x").alias("b")).distinct()
-    more = more.join(candidates, ["a", "b"], "left_anti")
-    links = checkpointed(links.union(confirmed(more, texts, size, percent)))
+    open_hubs = seen.groupBy(F.col("a").alias("o_a")).agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1").select("o_a")
+    placed = seen.join(open_hubs, F.col("a") == F.col("o_a"), "left_semi").join(labels, F.col("b") == F.col("node"), "left").withColumn("c", F.coalesce("component", "b"))
+    y = placed.select("a", F.col("b").alias("y"), F.col("n").alias("y_n"), F.col("linked").alias("y_l"), F.col("c").alias("y_c"), "rest")
+    x = placed.where("not linked").select(F.col("a").alias("x_a"), F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("both").alias("x_both"), F.col("c").alias("x_c"), F.col("rest").alias("x_rest"))
+    apart = (F.col("x_c") != F.col("y_c")) & (F.col("y_l") | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent)
+    left, right = x.withColumn("x_t", F.explode("x_rest")).drop("x_rest"), y.withColumn("t", F.explode("rest")).drop("rest")
+    shared = left.join(right, (F.col("x_a") == F.col("a")) & (F.col("x_t") == F.col("t")) & apart).select("x", "y")
+    room = (100 + percent) * F.col("x_both") >= percent * (F.col("x_n") + F.col("y_n"))
+    loose = x.drop("x_rest").where((100 + percent) * F.col("x_both") >= percent * (F.col("x_n") + F.ceil(percent * F.col("x_n") / 100)))
+    short = loose.join(y.drop("rest"), (F.col("x_a") == F.col("a")) & (F.col("x") != F.col("y")) & (F.col("x_c") != F.col("y_c")) & _fits("x_n", "y_n", percent) & room).select("x", "y")
+    more = shared.union(short).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    done = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = compared(more.join(done, ["a", "b"], "left_anti"), texts, size, percent)
+    links = checkpointed(links.union(more.where("linked").select("a", "b")))
 
     own = sketches.where("n > 0").join(sets.withColumnsRenamed({"s1": "z1", "s2": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")))
     again = own.groupBy(F.col("doc_id").alias("same")).agg(F.min("uid").alias("a"), F.max("uid").alias("z")).where("a <> z")

@@ -2,13 +2,13 @@
 
 Fitting counts, over all labelled documents of the learning folds, in how many toxic and other documents
 each token occurs. Tokens are words in lower case without marks around them, and the first 6, 5 and 4
-letters of longer words, hashed to a table of fixed size. A token's log-odds are those of Monroe, Colaresi
+letters of longer words, hashed to a fixed number of slots. A token's log-odds are those of Monroe, Colaresi
 and Quinn: an informative Dirichlet prior in proportion to all counts, and a z-score. A word stands for
 its longest token that SEEN documents have; it has that token's log-odds if its z-score is beyond Z, and
 DRIFT otherwise, so scores sum to less than 0 over harmless text. A text is scanned once by the algorithm of Ruzzo and Tompa, which finds all maximal
 scoring segments. By Karlin and Altschul the best score of n harmless words exceeds s with a probability of
 1 - exp(-K n exp(-L s)); L follows from the scores of harmless documents and K is fitted to their best
-segments. The logarithms of these chances, of the best segment and summed over all significant ones, are
+segments. The logarithms of these chances, of the best segment and summed over further significant ones, are
 what a logistic curve, fitted on a fold that the log-odds have not seen, turns into the score.
 """
 
@@ -24,8 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Slots of the token table: the bound on what is counted, kept and sent to executors.
-SLOTS = 1 << 20
+from .common import checkpointed
+
+#: Slots that tokens are hashed to. What is sent to executors is a bit for each slot and the weights of the
+#: significant ones, so its size is bounded whatever the corpus holds.
+SLOTS = 1 << 24
+#: Counts that a task gathers before it adds up equal ones.
+GATHER = 1 << 21
 #: PRIOR: the prior's weight as a share of all counts.
 PRIOR, Z, SEEN, DRIFT, FOLDS, SIGNIFICANT = 0.05, 4.0, 8, -0.1, 5, 0.05
 #: Documents of the calibration fold that the curve is fitted on, at most (by a hash of doc_id).
@@ -50,7 +55,24 @@ def slots_of(word: str) -> tuple[int, ...]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> (slot, toxic and other documents), summed over what a task reads."""
-    counts, known = np.zeros((2, SLOTS), np.int64), {}
+    known: dict[str, tuple[int, ...]] = {}
+    slots, counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    waiting: list[np.ndarray] = []
+    size = 0
+
+    def gather() -> None:
+        """Slots that wait, those of toxic documents plus SLOTS, join the counts."""
+        nonlocal slots, counts, size
+        keys, n = np.unique(np.concatenate(waiting or [np.empty(0, np.int64)]), return_counts=True)
+        pairs = np.zeros((len(keys), 2), np.int64)
+        pairs[np.arange(len(keys)), np.where(keys >= SLOTS, 0, 1)] = n
+        every = np.concatenate([slots, keys % SLOTS])
+        slots, at = np.unique(every, return_inverse=True)
+        both = np.zeros((len(slots), 2), np.int64)
+        np.add.at(both, at, np.concatenate([counts, pairs]))
+        counts, size = both, 0
+        waiting.clear()
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if len(known) > CACHE_WORDS:
@@ -61,17 +83,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if s is None:
                     s = known[w] = slots_of(w)
                 found.update(s)
-            counts[0 if toxic else 1, np.fromiter(found, np.int64, len(found))] += 1
-    for k in range(0, SLOTS, 1 << 16):
-        some = k + np.flatnonzero(counts[:, k : k + (1 << 16)].any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["slot", "toxic", "other"])
+            waiting.append(np.fromiter(found, np.int64, len(found)) + (SLOTS if toxic else 0))
+            size += len(found)
+            if size > GATHER:
+                gather()
+    gather()
+    for k in range(0, len(slots), 1 << 16):
+        some = slice(k, k + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(slots[some], pa.int32()), pa.array(counts[some, 0]), pa.array(counts[some, 1])], names=["slot", "toxic", "other"])
 
 
 @dataclass
 class Model:
-    """weights: score of each significant slot and 0 elsewhere; seen: documents by slot; rate, scale: L and K."""
+    """weights: score of each significant slot; seen: a bit for each slot that SEEN documents have; rate, scale: L, K."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     seen: np.ndarray
     rate: float = 1.0
     scale: float = 1.0
@@ -79,8 +105,8 @@ class Model:
 
     def word(self, word: str) -> float:
         for s in slots_of(word):
-            if self.seen[s] >= SEEN:
-                return float(self.weights[s]) or DRIFT
+            if self.seen[s >> 3] >> (s & 7) & 1:
+                return self.weights.get(s, DRIFT)
         return DRIFT
 
 
@@ -127,11 +153,11 @@ def scan(text: str | None, model: Model, known: dict[str, float]) -> tuple[int,
     return len(words), segments(marked, len(words))
 
 
-def features(n: int, found: list[tuple[int, int, float]], rate: float, scale: float) -> tuple[float, float, int]:
-    """Nats by which the best segment is rarer than chance, the same summed over significant ones, their number."""
-    rare = [rate * s - math.log(max(scale * max(n, 1), 1e-300)) for _, _, s in found]
-    good = [x for x in rare if x > -math.log(SIGNIFICANT)]
-    return max(0.0, min(60.0, max(rare, default=0.0))), math.log1p(sum(good)), len(good)
+def features(n: int, found: list[tuple[int, int, float]], rate: float, scale: float) -> tuple[float, float]:
+    """Nats by which the best segment is rarer than chance, and by which further significant ones are, damped."""
+    rare = sorted((rate * s - math.log(max(scale * max(n, 1), 1e-300)) for _, _, s in found), reverse=True)
+    more = sum(x for x in rare[1:] if x > -math.log(SIGNIFICANT))
+    return max(0.0, min(40.0, rare[0] if rare else 0.0)), math.log1p(more)
 
 
 def _rate(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -164,45 +190,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled rows whose fold isn't 0: fold 4 calibrates, 1 to 3 give the log-odds.
 
     Rows of labels with a null doc_id or label are left out; a document with several labels counts with
-    each. All other rows count, in one pass and one sum by slot; the table of SLOTS rows goes to the driver.
+    each. All other rows count, in one pass and one sum by slot; significant slots and a bitmap of those that
+    are seen go to the driver.
     Without labelled rows of both kinds the model scores every text alike.
     """
     marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic") == 1).alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, F.col("doc_id") == F.col("l_id")).withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
     counted = rows.where(f"fold < {FOLDS - 1}").select("text", "toxic").mapInArrow(_counted, "slot int, toxic long, other long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    table = counted.toPandas()
-    t, o = np.zeros(SLOTS), np.zeros(SLOTS)
-    t[table.slot], o[table.slot] = table.toxic, table.other
-    nt, no = t.sum(), o.sum()
-    model = Model(np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32))
+    counted = checkpointed(counted)
+    model = Model({}, np.zeros(SLOTS // 8, np.uint8))
+    nt, no = counted.agg(F.sum("toxic"), F.sum("other")).first()
     if not nt or not no:
         return model
-    prior, mass = PRIOR * (t + o) + 1e-9, PRIOR * (nt + no)
-    odds = lambda y, n: np.log((y + prior) / (n + mass - y - prior))
-    delta = odds(t, nt) - odds(o, no)
-    z = delta / np.sqrt(1 / (t + prior) + 1 / (o + prior))
-    model.weights, model.seen = np.where(np.abs(z) >= Z, delta, 0).astype(np.float32), (t + o).astype(np.float32)
+    prior, mass = PRIOR * (F.col("toxic") + F.col("other")), PRIOR * (nt + no)
+    odds = lambda y, n: F.ln((F.col(y) + prior) / (n + mass - F.col(y) - prior))
+    judged = counted.where(F.col("toxic") + F.col("other") >= SEEN).withColumn("delta", odds("toxic", nt) - odds("other", no))
+    z = F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
+    model.weights = {r["slot"]: r["delta"] for r in judged.where(F.abs(z) >= Z).select("slot", "delta").toLocalIterator()}
+    # bits of slots 0 to 32767 are in bitmap 1, and so on
+    bits = judged.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    for r in bits.toLocalIterator():
+        model.seen[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
 
     held = rows.where(f"fold = {FOLDS - 1}")
     n = held.count()
     share = min(1.0, CURVE_ROWS / max(n, 1))
     held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    scored = scan_all(held, model, ["toxic"]).select("toxic", "n_words", "spans", "marks").toPandas()
-    found = [[(int(a), int(b), float(c)) for a, b, c in (s or [])] for s in scored.spans]
+    scored = checkpointed(scan_all(held, model, ["toxic"]).select("toxic", "n_words", F.transform("spans", lambda x: x["score"]).alias("scores"), "marks"))
+    rows = scored.select("toxic", "n_words", "scores").collect()
+    found = [[(0, 0, float(c)) for c in r["scores"]] for r in rows]
     best = np.array([max((c for _, _, c in s), default=0.0) for s in found])
-    harmless = scored.toxic.values == False  # noqa: E712
-    words = np.maximum(scored.n_words.values.astype(float), 1)
-    marked = np.concatenate([np.asarray(m, float) for m, h in zip(scored.marks, harmless, strict=True) if h] or [np.empty(0)])
-    values, counts = np.unique(np.round(marked, 3), return_counts=True)
-    values, counts = np.append(values, DRIFT), np.append(counts, max(1.0, words[harmless].sum() - len(marked)))
-    model.rate = _rate(values, counts.astype(float))
+    toxic = np.array([r["toxic"] for r in rows], bool)
+    harmless = ~toxic
+    words = np.maximum(np.array([r["n_words"] for r in rows], float), 1)
+    marked = scored.where("not toxic").select(F.explode("marks").alias("m")).groupBy(F.round("m", 3).alias("m")).count().collect()
+    values, counts = np.array([r["m"] for r in marked] + [DRIFT]), np.array([r["count"] for r in marked], float)
+    counts = np.append(counts, max(1.0, words[harmless].sum() - counts.sum()))
+    model.rate = _rate(values, counts)
     some = harmless & (best > 0)
     hits = some.sum() or 1
     # from P(best > s) = 1 - exp(-K n exp(-L s)): the expected number of segments above the least best score
     least = best[some].min() if some.any() else 1.0
     model.scale = max(1e-12, hits / max(words[harmless].sum(), 1.0) * math.exp(model.rate * least))
-    x = np.array([features(int(w), s, model.rate, model.scale) for w, s in zip(words, found, strict=True)], float).reshape(-1, 3)
-    y = scored.toxic.values.astype(float)
+    x = np.array([features(int(w), s, model.rate, model.scale) for w, s in zip(words, found, strict=True)], float).reshape(-1, 2)
+    y = toxic.astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = _logistic(x, y)
     return model

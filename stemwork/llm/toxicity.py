@@ -32,7 +32,7 @@ SLOTS = 1 << 24
 #: Counts that a task gathers before it adds up equal ones.
 GATHER = 1 << 21
 #: PRIOR: the prior's weight as a share of all counts.
-PRIOR, Z, SEEN, DRIFT, FOLDS, SIGNIFICANT = 0.05, 4.0, 8, -0.1, 5, 0.05
+PRIOR, Z, SEEN, DRIFT, FOLDS, SIGNIFICANT = 0.2, 3.0, 4, -0.1, 5, 0.05
 #: Documents of the calibration fold that the curve is fitted on, at most (by a hash of doc_id).
 CURVE_ROWS = 20_000
 _MARKS = re.compile(r"^\W+|\W+$")

@@ -11,4 +11,17 @@ from . import pooled, spatial_queries, statistics_queries
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = pooled.QUERIES | spatial_queries.QUERIES | statistics_queries.QUERIES
-ORACLE_SQL: dict[str, str] = pooled.ORACLE_SQL | spatial_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL
+
+
+def _counted(sql: str) -> str:
+    """count_if(test) as count(*) FILTER (test), which DuckDB gives as a BIGINT."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(*) FILTER ({sql[at + len('count_if(') : end - 1]}){sql[end:]}"
+    return sql
+
+
+ORACLE_SQL: dict[str, str] = {k: _counted(v) for k, v in (pooled.ORACLE_SQL | spatial_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL).items()}

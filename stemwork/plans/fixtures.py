@@ -22,7 +22,7 @@ SELECT site, plot, plotType, rung, detector, n_ref, TP, n_det, tp_core, fp_credi
 FROM (SELECT r_name AS site, CAST(l_partkey AS STRING) AS plot, CASE WHEN l_partkey % 3 = 0 THEN 'tower' ELSE 'distributed' END AS plotType,
   CASE l_linenumber WHEN 1 THEN 'native' WHEN 2 THEN '8' WHEN 3 THEN '4' WHEN 4 THEN '2' ELSE '1' END AS rung, l_returnflag AS detector,
   count(*) AS n_ref, count_if(l_discount >= 0.05) AS TP, count_if(l_quantity >= 10) AS n_det, count_if(l_discount >= 0.05 AND l_quantity >= 10) AS tp_core,
-  count_if(l_discount < 0.02 AND l_quantity >= 10) AS fp_credited, CAST(sum(l_suppkey % 16) AS DOUBLE) / 4 AS frdens, CASE WHEN l_partkey % 2 = 0 THEN 0.25 ELSE 0.5 END AS chm_res, {_COUNTS}
+  count_if(l_discount < 0.02 AND l_quantity >= 10) AS fp_credited, CAST(sum(l_suppkey % 16) AS DOUBLE) / 4 AS frdens, CASE WHEN l_partkey % 2 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS chm_res, {_COUNTS}
   FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
   GROUP BY r_name, l_partkey, l_linenumber, l_returnflag)""",
     # points in the cells of their label; even ids are stems, odd ones detections

@@ -92,14 +92,14 @@ def strata_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean metric of the held-out part by stratum over 20 seeds: least, median and greatest."""
+    """Mean metric (in hundredths) of the held-out part by stratum over 20 seeds: least, median and greatest."""
     p = fixture(spark, sf_dir, "plots").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(20))))
     from pyspark.sql import Window as W
 
     w = W.partitionBy("seed", "stratum")
     place = F.row_number().over(w.orderBy(S.unit("seed", "plot"), "plot"))
     held = p.withColumn("held", place > F.ceil(0.6 * F.count("*").over(w))).where("held")
-    means = held.groupBy("stratum", "seed").agg(F.avg("metric").alias("m"))
+    means = held.groupBy("stratum", "seed").agg(F.avg(F.round(F.col("metric") * 100).cast("long")).alias("m"))
     return means.groupBy("stratum").agg(*[F.round(f, 2).alias(n) for f, n in ((F.min("m"), "low"), (F.median("m"), "mid"), (F.max("m"), "high"))])
 
 
@@ -187,7 +187,7 @@ b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c
 SELECT l_partkey, CASE WHEN k < 4 THEN NULL WHEN l_quantity <= a THEN 'suppressed' WHEN l_quantity <= b THEN 'intermediate' WHEN l_quantity <= c THEN 'codominant' ELSE 'dominant' END AS height_class, count(*) AS n FROM lineitem JOIN q USING (l_partkey) GROUP BY ALL""",
     "strata_split": f"WITH {ctes('plots')} SELECT stratum, plot, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY {_U.format(chr(39) + '42|' + chr(39) + ' || plot')}, plot) <= greatest(1, ceil(CAST(0.6 AS DOUBLE) * count(*) OVER (PARTITION BY stratum))) THEN 'calib' ELSE 'valid' END AS split FROM f_plots",
     "seeds": f"""WITH {ctes('plots')}, p AS (SELECT stratum, plot, metric, seed, row_number() OVER (PARTITION BY seed, stratum ORDER BY {_U.format("seed || '|' || plot")}, plot) AS k, count(*) OVER (PARTITION BY seed, stratum) AS n FROM f_plots CROSS JOIN range(1, 21) AS s(seed)),
-m AS (SELECT stratum, seed, avg(metric) AS m FROM p WHERE k > ceil(CAST(0.6 AS DOUBLE) * n) GROUP BY ALL) SELECT stratum, round(min(m), 2) AS low, round(median(m), 2) AS mid, round(max(m), 2) AS high FROM m GROUP BY stratum""",
+m AS (SELECT stratum, seed, avg(CAST(round(metric * 100) AS BIGINT)) AS m FROM p WHERE k > ceil(CAST(0.6 AS DOUBLE) * n) GROUP BY ALL) SELECT stratum, round(min(m), 2) AS low, round(median(m), 2) AS mid, round(max(m), 2) AS high FROM m GROUP BY stratum""",
     "folds": f"WITH {ctes('plots')} SELECT DISTINCT plot % 50 AS plot, CAST(dense_rank() OVER (ORDER BY plot % 50) AS INT) AS fold FROM f_plots",
     "jittered": f"WITH {ctes('plots')} SELECT plot, {_gauss('x')} AS x, {_gauss('y')} AS y FROM f_plots",
     "contingency": "SELECT l_linestatus, count_if(l_returnflag = 'A') AS n_a, count_if(l_returnflag = 'N') AS n_n, count_if(l_returnflag = 'R') AS n_r FROM lineitem GROUP BY l_linestatus",

@@ -9,7 +9,7 @@ with a probability of 1 - (1 - 0.75**4)**32, all but 5 in a million; more simila
 
 Candidates are confirmed on full sets and joined to components. What is left are sets that share a region
 but no link with its hub. If such a set x has a link with y of that region, then either x and y share a
-shingle that the hub lacks, one among the first 25 % of each set in the order (not the hub's, hash), or
+shingle that the hub lacks, one near the start of both sets in the order (not the hub's, hash), or
 the hub holds so much of x that y can be much shorter than the hub. Both kinds of pairs are joined, the
 first by (hub, shingle), the second by hub and sizes, and confirmed as well: no pair of a region goes unseen.
 """
@@ -178,8 +178,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     y = placed.select("a", F.col("b").alias("y"), F.col("n").alias("y_n"), F.col("linked").alias("y_l"), F.col("c").alias("y_c"), "rest")
     x = placed.where("not linked").select(F.col("a").alias("x_a"), F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("both").alias("x_both"), F.col("c").alias("x_c"), F.col("rest").alias("x_rest"))
     apart = (F.col("x_c") != F.col("y_c")) & (F.col("y_l") | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent)
-    left, right = x.withColumn("x_t", F.explode("x_rest")).drop("x_rest"), y.withColumn("t", F.explode("rest")).drop("rest")
-    shared = left.join(right, (F.col("x_a") == F.col("a")) & (F.col("x_t") == F.col("t")) & apart).select("x", "y")
+    left = x.select(*[c for c in x.columns if c != "x_rest"], F.posexplode("x_rest").alias("x_p", "x_t"))
+    right = y.select(*[c for c in y.columns if c != "rest"], F.posexplode("rest").alias("p", "t"))
+    # the first shingle that a linked pair shares leaves as many behind it in either set as the intersection needs
+    ahead = [(100 + percent) * (F.col(n) - F.col(p)) >= percent * (F.col("x_n") + F.col("y_n")) for n, p in (("x_n", "x_p"), ("y_n", "p"))]
+    shared = left.join(right, (F.col("x_a") == F.col("a")) & (F.col("x_t") == F.col("t")) & apart & ahead[0] & ahead[1]).select("x", "y")
     room = (100 + percent) * F.col("x_both") >= percent * (F.col("x_n") + F.col("y_n"))
     loose = x.drop("x_rest").where((100 + percent) * F.col("x_both") >= percent * (F.col("x_n") + F.ceil(percent * F.col("x_n") / 100)))
     short = loose.join(y.drop("rest"), (F.col("x_a") == F.col("a")) & (F.col("x") != F.col("y")) & (F.col("x_c") != F.col("y_c")) & _fits("x_n", "y_n", percent) & room).select("x", "y")

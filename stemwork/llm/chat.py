@@ -43,7 +43,7 @@ def fold(events: DataFrame) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.when(F.col("part") == F.col("last"), F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text")))))
     messages = kept.groupBy("conv_id", "message").agg(
         F.min("seq").alias("at"),
-        F.min_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
+        F.min_by("role", F.when(F.col("role").isNotNull(), F.struct("seq"))).alias("role"),
         F.max("replaces").alias("replaces"),
         F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
     )

@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements without text of the page: their content is skipped.
 SILENT = frozenset("script style head title noscript template svg math iframe object canvas".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Elements that say what is in them; the nearest one is a feature.
+SECTIONS = frozenset("article main aside nav header footer form dialog".split())
 #: What a start tag closes, up to the element that holds it.
 CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -169,8 +171,9 @@ def featured(blocks: list[Block]) -> list[Block]:
     """The blocks, each with the names of its features."""
     own = [_own(b) for b in blocks]
     for k, b in enumerate(blocks):
-        f = ["bias", *own[k], f"{own[k][0]}{own[k][1]}", f"{b.tag}{own[k][1]}", f"{b.tag}{own[k][0]}"]
-        f += [f"a={t}" for t in set(b.above)] + [f"c={w}" for w in b.names] + [f"d={w}" for w in b.names if w.endswith("s") for w in (w[:-1],)]
+        f = ["bias", *own[k], f"{b.tag}{own[k][1]}", f"{b.tag}{own[k][0]}"]
+        near = next((t for t in reversed(b.above) if t in SECTIONS), "none")
+        f += [f"near={near}", f"near={near}{own[k][1]}"] + [f"a={t}" for t in set(b.above)] + [f"c={w}" for w in b.names] + [f"d={w}" for w in b.names if w.endswith("s") for w in (w[:-1],)]
         f += [f"-1{x}" for x in (own[k - 1] if k else ("edge",))] + [f"+1{x}" for x in (own[k + 1] if k + 1 < len(blocks) else ("edge",))]
         if any(s in b.text for s in ("©", "(c)", "®")):
             f.append("copyright")
@@ -210,7 +213,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: float = 0.1, ridge: float = 2e-3) -> Field:
     """Maximum-likelihood field of labelled pages, by Adam on the exact gradient (forward-backward)."""
     names = {f: k for k, f in enumerate(sorted({f for blocks, _ in pages for b in blocks for f in b.features}))}
     size, longest = len(pages), max(len(blocks) for blocks, _ in pages)
@@ -247,7 +250,7 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = 200, rate: fl
     return Field({f: float(theta[k]) for f, k in names.items() if abs(theta[k]) > 1e-4}, theta[-4:].reshape(2, 2).tolist())
 
 
-def training_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int]]]:
+def training_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Labelled pages: html and, for each of its leaf blocks, 1 for the article's and 0 for all else.
 
     Blocks carry their label in an attribute while a page is made. Layouts, element names and class names
@@ -295,7 +298,7 @@ def training_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
         return box("form", "form search newsletter subscribe login signup contact", rnd.choice(["", off("p", prose(2))]) + off("label", title(3)) + "<input name=q>" + off("button", title(2)) + (f"<select>{off('option', title(2))}{off('option', title(2))}</select>" if rnd.random() < 0.3 else ""))
 
     def comments() -> str:
-        one = lambda: box("div li article section", "comment comment-body reply response discussion", off(rnd.choice(["div", "p", "h4"]), title(3)) + some(lambda: off("p", prose(4)), 2))
+        one = lambda: box("div li div section div li article", "comment comment-body reply response discussion", off(rnd.choice(["div", "p", "h4"]), title(3)) + some(lambda: off("p", prose(4)), 2))
         return box("section div div ol", "comments comment-list discussion responses replies disqus", off(rnd.choice(["h2", "h3"]), title(3)) + some(one, 5) + (form() if rnd.random() < 0.3 else ""))
 
     def share() -> str:
@@ -303,10 +306,10 @@ def training_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
 
     def on() -> str:
         r = rnd.random()
-        if r < 0.15:  # text without stops, in columns or of one word again and again
-            return leaf(rnd.choice([lambda: title(60), lambda: " | ".join(title(2) for _ in range(rnd.randint(1, 30))), lambda: " ".join([word()] * rnd.randint(1, 60)), lambda: "©®"[rnd.randint(0, 1)] + prose(2)])(), "p", 1)
+        if r < 0.2:  # very short text, text without stops, in columns or of one word again and again
+            return leaf(rnd.choice([lambda: word().capitalize() + ".", lambda: title(3) + rnd.choice(["", ".", "!"]), lambda: title(60), lambda: " | ".join(title(2) for _ in range(rnd.randint(1, 30))), lambda: " ".join([word()] * rnd.randint(1, 60)), lambda: "©®"[rnd.randint(0, 1)] + prose(2)])(), "p", 1)
         if r < 0.7:
-            return leaf(("<b>" if rnd.random() < 0.2 else "") + prose(6) + (f" {link()} {prose(2)}" if rnd.random() < 0.2 else "") + ("<br>" if rnd.random() < 0.1 else ""), rnd.choice(["p"] * 9 + ["div"]), 1)
+            return leaf(("<b>" if rnd.random() < 0.2 else "") + prose(6) + (f" {link()} {prose(2)}" if rnd.random() < 0.4 else "") + ("<br>" if rnd.random() < 0.1 else ""), rnd.choice(["p"] * 9 + ["div"]), 1)
         if r < 0.78:
             return leaf(title(7), rnd.choice(["h2", "h3"]), 1)
         if r < 0.86:
@@ -324,7 +327,7 @@ def training_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
         head = leaf(title(9), "h1", 1) if rnd.random() < 0.85 else ""
         if head and rnd.random() < 0.15:
             head = f"<header>{head}</header>"
-        middle = head + some(lambda: on() + (rnd.choice([advert, advert, form, share, sidebar, notice])() if rnd.random() < 0.06 else ""), 14)
+        middle = head + some(lambda: on() + (rnd.choice([advert, advert, form, share, sidebar, notice])() if rnd.random() < 0.18 else ""), 14)
         body = box("article article article main main div div section", "content main article post entry story article-body entry-content post-content text body page", middle)
         if rnd.random() < 0.25:
             body = box("main div section", "main content container wrapper page", body)

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemwork.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from stemwork.llm.common import table, written
+from stemwork.llm.common import release, table, tables_written, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
@@ -65,8 +65,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over the documents of sf_dir. Tables that stages leave are deleted when the next is written."""
+    docs, start = table(spark, sf_dir, "documents"), len(tables_written)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, start)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 SPACE = r"[\x20\x09-\x0D]+"
 
 _local_scratch: list[str] = []
+#: Tables that written() has made, in their order.
+tables_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stemwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tables_written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, start: int) -> None:
+    """Deletes the tables written since there were `start` of them, but for the last, through Spark's file systems."""
+    for path in tables_written[start:-1]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del tables_written[start:-1]
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds `out`, the inclusive running sum of `value` by `keys` in the order (bucket, *order).
 

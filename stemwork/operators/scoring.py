@@ -51,6 +51,15 @@ def score_plots(stems: DataFrame, dets: DataFrame, plots: DataFrame, keys: list[
     return out.drop(*[f"_tp_{g}" for g, _ in groups])
 
 
+def wrong_by_class(wrong: DataFrame, stems: DataFrame, matched: DataFrame, keys: list[str], near: float = 4.0, reach: float = 20.0) -> DataFrame:
+    """(keys, crown_class, fp_near, fp_isolated): false positives by the class of the stem nearest to them within
+    reach (NULL for none), near a matched stem or not. wrong: keys, point, x, y; stems: keys, stem, x, y, crown_class."""
+    kinds = spatial.isolated(wrong, matched, near, keys)
+    of = spatial.nearest(wrong, stems, reach, keys, "point", "stem", "crown_class")
+    rows = kinds.join(of, [*keys, "point"])
+    return rows.groupBy(*keys, "crown_class").agg(F.count_if("near").alias("fp_near"), F.count_if(~F.col("near")).alias("fp_isolated"))
+
+
 def point_set_iou(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pred_id, ref_id, inter, pred_size, ref_size, union, iou) of labels that share a point.
 

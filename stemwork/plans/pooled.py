@@ -133,6 +133,27 @@ def policy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("site", "policy").agg(F.count("*").alias("cells"), F.round(F.sum("F1"), 4).alias("total"))
 
 
+def learned_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and summed value by site under a policy that a tree learns on other plots."""
+    from stemwork.operators import routing
+
+    runs = fixture(spark, sf_dir, "runs").withColumn("rung", F.lit("native"))
+    keys = ["site", "plot", "rung"]
+    best = selection.oracle(runs, "F1", keys, "row")
+    sizes = runs.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.avg("F1").alias("mean"))
+    picks = routing.learned(best.join(sizes, keys), ["n", "mean"], keys)
+    return selection.policy_rows(runs, picks, keys, "row").groupBy("site").agg(F.count("*").alias("cells"), F.round(F.sum("F1"), 4).alias("total"))
+
+
+def site_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled recall by detector and level on even and on odd plots, and the difference."""
+    from stemwork.operators import ground_truth
+
+    cells = fixture(spark, sf_dir, "scored_cells")
+    half = lambda k: pooling.pool(cells.where(F.col("plot").cast("long") % 2 == k), ["detector", "rung"])
+    return ground_truth.vintages(half(0), half(1), ["detector", "rung"], ["n_ref", "recall"])
+
+
 def population_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = selection.population(fixture(spark, sf_dir, "scored_cells"), ["site", "plot"], 12)
     return rows.groupBy("site").agg(F.count_distinct("plot").alias("plots"), F.sum("n_ref").alias("n_ref"))
@@ -155,7 +176,7 @@ SELECT *, round(coalesce(SQ * RQ, 0), 12) AS PQ, {_F1.format(r='recall', p='"pre
 QUERIES = {
     "pool_arms": pool_arms, "pool_sites": pool_sites, "guard_dropped": guard_dropped, "deltas_vs_baseline": deltas_vs_baseline, "storeys": storeys, "weighted_height_rmse": weighted_height_rmse, "pool_scopes": pool_scopes,
     "paired_cells": paired_cells, "head_to_head": head_to_head, "best_config": best_config, "best_per_site": best_per_site, "complete_case": complete_case, "leaderboard": leaderboard, "credit_order": credit_order,
-    "rank_agreement": rank_agreement, "oracle_policy": oracle_policy, "policy_totals": policy_totals, "population_gate": population_gate, "pq_pool": pq_pool,
+    "rank_agreement": rank_agreement, "oracle_policy": oracle_policy, "policy_totals": policy_totals, "population_gate": population_gate, "pq_pool": pq_pool, "learned_policy": learned_policy, "site_vintages": site_vintages,
 }
 
 _C = ctes("scored_cells")
@@ -192,4 +213,6 @@ SELECT k.site, count(*) AS n, round(any_value(tau), 9) AS tau, round(covar_pop(r
 SELECT site, policy, count(*) AS cells, round(sum(F1), 4) AS total FROM (SELECT site, arm AS policy, F1 FROM f_runs UNION ALL SELECT * FROM o) GROUP BY site, policy""",
     "population_gate": f"WITH {_C}, ok AS (SELECT site, plot FROM f_scored_cells GROUP BY site, plot HAVING count(*) >= 12) SELECT site, count(DISTINCT plot) AS plots, CAST(sum(n_ref) AS BIGINT) AS n_ref FROM f_scored_cells SEMI JOIN ok USING (site, plot) GROUP BY site",
     "pq_pool": pq_to_sql(),
+    "site_vintages": f"""WITH {_C}, v AS (SELECT detector, rung, CAST(plot AS BIGINT) % 2 AS k, CAST(sum(n_ref) AS BIGINT) AS n_ref, {_RECALL} AS recall FROM f_scored_cells GROUP BY ALL)
+SELECT detector, rung, a.n_ref AS n_ref_a, a.recall AS recall_a, b.n_ref AS n_ref_b, b.recall AS recall_b, b.n_ref - a.n_ref AS d_n_ref, b.recall - a.recall AS d_recall FROM (SELECT * FROM v WHERE k = 0) a FULL JOIN (SELECT * FROM v WHERE k = 1) b USING (detector, rung)""",
 }

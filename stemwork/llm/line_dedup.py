@@ -1,12 +1,13 @@
 """Line deduplication by winnowing over line hashes, with DataFrame functions only.
 
-Lines that aren't blank are hashed. A window starts at each line and ends with the line that brings it to
-MIN_WORDS words; the longest line of the window, by hash and then the last among equals, is its minimum
-and becomes a fingerprint. What a window holds depends on its lines alone, so a run of lines that occurs
-twice and has MIN_WORDS words or more shares a fingerprint in both places. Positions join the first
-position of their fingerprint (of the line, of the line and the one before, of the line and the one
-after). On the diagonal of such a pair of positions matches are extended both ways, and runs of equal
-lines with MIN_WORDS words or more are deleted where they come later. Order is by doc_id and place.
+Lines that aren't blank are hashed. Two windows belong to each line: one starts there and ends with the
+line that brings it to MIN_WORDS words, one ends there and starts likewise. The longest line of a window,
+by hash and then the last among equals, is its minimum and becomes a fingerprint, whose key is the hash of
+all lines of the window, so equal keys certify that MIN_WORDS words repeat. Each line of a run with
+MIN_WORDS words or more is in a window that the run holds whole: so joining each fingerprint with the first
+position of its key loses no run, and copies stay linear. On the diagonal of such a pair of positions
+matches are extended both ways, and runs of equal lines with MIN_WORDS words or more are deleted where they
+come later. Order is by doc_id and place.
 """
 
 from __future__ import annotations
@@ -31,15 +32,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = checkpointed(rows.where(F.size("lines") > 0))
     place = W.partitionBy("i", "h").orderBy("seq")
     flat = rows.select("i", "h", F.posexplode("lines").alias("seq", "line")).select("i", "h", "seq", "line.lh", "line.nw")
-    flat = flat.withColumns(
-        {"before": F.sum("nw").over(place.rowsBetween(W.unboundedPreceding, 0)) - F.col("nw"), "whole": F.sum("nw").over(W.partitionBy("i", "h")), "prev": F.lag("lh").over(place), "succ": F.lead("lh").over(place)}
-    )
-    window = W.partitionBy("i", "h").orderBy("before").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct((-F.least("nw", F.lit(min_words))).alias("short"), "lh", (-F.col("seq")).alias("last"), "prev", "succ")).over(window)
-    picked = flat.withColumn("m", least).where(F.col("whole") - F.col("before") >= min_words)
-    picked = picked.select("i", "h", (-F.col("m.last")).alias("seq"), F.col("m.lh").alias("lh"), F.col("m.prev").alias("prev"), F.col("m.succ").alias("succ")).distinct()
-    keys = F.array(F.xxhash64("lh"), F.xxhash64(F.lit(1), "prev", "lh"), F.xxhash64(F.lit(2), "lh", "succ"))
-    prints = picked.select("i", "h", "seq", F.explode(keys).alias("key"))
+    flat = flat.withColumns({"upto": F.sum("nw").over(place.rowsBetween(W.unboundedPreceding, 0)), "whole": F.sum("nw").over(W.partitionBy("i", "h"))})
+    flat = flat.withColumn("before", F.col("upto") - F.col("nw"))
+    starting = W.partitionBy("i", "h").orderBy("before").rangeBetween(0, min_words - 1)
+    ending = W.partitionBy("i", "h").orderBy("upto").rangeBetween(1 - min_words, 0)
+    least = F.min(F.struct((-F.least("nw", F.lit(min_words))).alias("short"), "lh", (-F.col("seq")).alias("last")))
+    picked = lambda window, full: F.when(full, F.struct((-least.over(window)["last"]).alias("seq"), F.xxhash64(F.collect_list("lh").over(window)).alias("key")))
+    found = F.array(picked(starting, F.col("whole") - F.col("before") >= min_words), picked(ending, F.col("upto") >= min_words))
+    prints = flat.select("i", "h", found.alias("found")).select("i", "h", F.explode("found").alias("p")).where("p is not null").select("i", "h", "p.seq", "p.key").distinct()
     firsts = prints.groupBy(F.col("key").alias("f_key")).agg(F.min(F.struct("i", "h", "seq")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = prints.join(firsts, F.col("key") == F.col("f_key")).where(F.struct("i", "h", "seq") > F.col("f"))
     diagonals = met.select("i", "h", F.col("f.i").alias("a_i"), F.col("f.h").alias("a_h"), (F.col("f.seq") - F.col("seq")).alias("shift")).distinct()

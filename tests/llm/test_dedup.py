@@ -138,6 +138,37 @@ def test_runs_of_random_lines_against_brute_force(spark):
                 assert line not in got[k], "a long line that came before stayed"
 
 
+def every_run(rows, least):
+    """Lines left by doc_id if all runs of lines with `least` words or more go where they aren't the first."""
+    first, left = {}, {}
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for s in range(len(lines)):
+            for e in range(s, len(lines)):
+                if sum(len(x.split()) for x in lines[s : e + 1]) >= least and first.setdefault(tuple(lines[s : e + 1]), (i, s)) != (i, s):
+                    gone.update(range(s, e + 1))
+        left[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return left
+
+
+def test_runs_whose_parts_have_earlier_owners(spark):
+    rnd = random.Random(6)
+    line = lambda n: " ".join(words(rnd, n))
+    j, k, l, m, n = (line(x) for x in (10, 11, 12, 11, 10))
+    long, short = line(30), line(2)
+    rows = [(1, [line(7), k, l, line(6)]), (2, [line(5), l, m, line(8)]), *((i, [line(9), j, k, l, m, n, line(4)]) for i in (3, 4, 5))]
+    rows += [(6, [line(3), long, line(3)]), *((i, [line(4), long, short, line(5)]) for i in (7, 8)), *((i, [line(4), short, long, line(5)]) for i in (9, 10))]
+    pool = [line(rnd.choice([2, 5, 9, 12, 27])) for _ in range(12)]
+    for i in range(11, 120):
+        body = [rnd.choice(pool) if rnd.random() < 0.85 else line(6) for _ in range(rnd.randint(1, 9))]
+        rows.append((i, body + [x for _ in range(rnd.randint(0, 2)) for at in [rnd.randrange(9)] for x in pool[at : at + 4]]))
+    rows = [(i, "\n".join(x)) for i, x in rows]
+    want = every_run(rows, line_dedup.MIN_WORDS)
+    assert [len(want[i]) for i in (3, 4, 5, 7, 8, 9, 10)] == [7, 2, 2, 3, 2, 3, 2]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in line_dedup.drop_repeated_lines(docs(spark, rows)).collect()}
+    assert got == {i: ("\n".join(want[i]), len(t.split("\n")) - len(want[i])) for i, t in rows}
+
+
 def brute_fingerprint(spark, text):
     return simhash.fingerprints(spark.createDataFrame([(1, text)], "k int, x string").select("k", simhash.terms(simhash.F.col("x")).alias("t")), ["k"], "t").first()
 

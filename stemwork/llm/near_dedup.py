@@ -1,8 +1,10 @@
-"""MinHash near-deduplication with an LSH forest and exact confirmation of every link.
+"""MinHash near-deduplication with LSH buckets that have hubs and exact confirmation of every link.
 
-Each distinct set of word shingles has TREES signatures of 8 minima. A tree orders the sets by their
-signatures; sets that share the first 4 minima are a region, and where a region is dense (more than DENSE
-sets) it goes on to 6 and 8 shared minima. In each region, at each depth it reaches, every set is a
+Each distinct set of word shingles has TREES signatures of 8 minima. Sets that share the first 4 minima of
+one are a region; where a region is dense (more than DENSE sets), those that share 6 and 8 have further hubs.
+Regions are found by hashes of these prefixes: unlike in an LSH forest the sets are never sorted by their
+signatures, and no neighbours are taken by longest common prefix; hubs and the joins below replace them.
+In each region, at each depth it reaches, every set is a
 candidate with one neighbour: the region's hub, the set that meets most others over all trees. So copies
 by the thousand give pairs by the thousand and not by the million. A pair at the threshold shares a region
 with a probability of 1 - (1 - 0.75**4)**32, all but 5 in a million; more similar ones with a higher one.

@@ -2,7 +2,7 @@
 
 Fitting counts, over all labelled documents of the learning folds, in how many toxic and other documents
 each token occurs. Tokens are words in lower case without marks around them, and the first 6, 5 and 4
-letters of longer words, hashed to a fixed number of slots. A token's log-odds are those of Monroe, Colaresi
+letters of longer words, counted by 64-bit hashes. A token's log-odds are those of Monroe, Colaresi
 and Quinn: an informative Dirichlet prior in proportion to all counts, and a z-score. A word stands for
 its longest token that SEEN documents have; it has that token's log-odds if its z-score is beyond Z, and
 DRIFT otherwise, so scores sum to less than 0 over harmless text. A text is scanned once by the algorithm of Ruzzo and Tompa, which finds all maximal
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed
 
-#: Slots that tokens are hashed to. What is sent to executors is a bit for each slot and the weights of the
-#: significant ones, so its size is bounded whatever the corpus holds.
-SLOTS = 1 << 24
-#: Counts that a task gathers before it adds up equal ones.
+#: Low bits of a key, which are the token's own; those above are of the first 4 letters, which a word shares
+#: with all its prefixes. So the tokens that can hide a significant prefix are found by their keys alone.
+OWN_BITS = 44
+#: Tokens that a task gathers before it adds up equal ones, and sums that it holds before it passes them on.
 GATHER = 1 << 21
 #: PRIOR: the prior's weight as a share of all counts.
 PRIOR, Z, SEEN, DRIFT, FOLDS, SIGNIFICANT = 0.2, 3.0, 4, -0.1, 5, 0.05
@@ -44,35 +44,40 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS, F.lit(0))
 
 
-def slots_of(word: str) -> tuple[int, ...]:
-    """Slots of a word's tokens, the whole word first; none for a word of marks."""
+def keys_of(word: str) -> tuple[int, ...]:
+    """Keys of a word's tokens, the whole word first; none for a word of marks."""
     w = _MARKS.sub("", word.lower())
     if not w:
         return ()
     tokens = [w] + [w[:k] + "*" for k in (6, 5, 4) if len(w) > k]
-    return tuple(xxhash.xxh32_intdigest(t) & (SLOTS - 1) for t in tokens)
+    group = xxhash.xxh64_intdigest(w[:4]) >> OWN_BITS
+    group = (group - (group >> (63 - OWN_BITS) << (64 - OWN_BITS))) << OWN_BITS
+    return tuple(group | xxhash.xxh64_intdigest(t) & ((1 << OWN_BITS) - 1) for t in tokens)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) -> (slot, toxic and other documents), summed over what a task reads."""
+    """(text, toxic) -> (key, toxic and other documents), summed over what a task reads or as much as it holds."""
     known: dict[str, tuple[int, ...]] = {}
-    slots, counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
-    waiting: list[np.ndarray] = []
+    keys, counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    waiting: list[tuple[np.ndarray, bool]] = []
     size = 0
 
     def gather() -> None:
-        """Slots that wait, those of toxic documents plus SLOTS, join the counts."""
-        nonlocal slots, counts, size
-        keys, n = np.unique(np.concatenate(waiting or [np.empty(0, np.int64)]), return_counts=True)
-        pairs = np.zeros((len(keys), 2), np.int64)
-        pairs[np.arange(len(keys)), np.where(keys >= SLOTS, 0, 1)] = n
-        every = np.concatenate([slots, keys % SLOTS])
-        slots, at = np.unique(every, return_inverse=True)
-        both = np.zeros((len(slots), 2), np.int64)
-        np.add.at(both, at, np.concatenate([counts, pairs]))
+        """Keys that wait join the counts."""
+        nonlocal keys, counts, size
+        toxic = np.repeat(np.array([t for _, t in waiting], bool), [len(k) for k, _ in waiting])
+        held = len(keys)
+        keys, at = np.unique(np.concatenate([keys, *(k for k, _ in waiting)]), return_inverse=True)
+        both = np.stack([np.bincount(at[held:][of], minlength=len(keys)) for of in (toxic, ~toxic)], axis=1).astype(np.int64)
+        both[at[:held]] += counts
         counts, size = both, 0
         waiting.clear()
 
+    def sums() -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some, 0]), pa.array(counts[some, 1])], names=["key", "toxic", "other"])
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if len(known) > CACHE_WORDS:
@@ -81,32 +86,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in set((text or "").split()):
                 s = known.get(w)
                 if s is None:
-                    s = known[w] = slots_of(w)
+                    s = known[w] = keys_of(w)
                 found.update(s)
-            waiting.append(np.fromiter(found, np.int64, len(found)) + (SLOTS if toxic else 0))
+            waiting.append((np.fromiter(found, np.int64, len(found)), toxic))
             size += len(found)
             if size > GATHER:
                 gather()
+                if len(keys) > GATHER:
+                    yield from sums()
+                    keys, counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
     gather()
-    for k in range(0, len(slots), 1 << 16):
-        some = slice(k, k + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(slots[some], pa.int32()), pa.array(counts[some, 0]), pa.array(counts[some, 1])], names=["slot", "toxic", "other"])
+    yield from sums()
 
 
 @dataclass
 class Model:
-    """weights: score of each significant slot; seen: a bit for each slot that SEEN documents have; rate, scale: L, K."""
+    """weights: score of each significant token; hiding: other tokens that SEEN documents have, where a token
+    with the same first letters is significant; rate, scale: L, K."""
 
     weights: dict[int, float]
-    seen: np.ndarray
+    hiding: frozenset[int] = frozenset()
     rate: float = 1.0
     scale: float = 1.0
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     def word(self, word: str) -> float:
-        for s in slots_of(word):
-            if self.seen[s >> 3] >> (s & 7) & 1:
-                return self.weights.get(s, DRIFT)
+        for k in keys_of(word):
+            if k in self.weights:
+                return self.weights[k]
+            if k in self.hiding:
+                return DRIFT
         return DRIFT
 
 
@@ -190,15 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled rows whose fold isn't 0: fold 4 calibrates, 1 to 3 give the log-odds.
 
     Rows of labels with a null doc_id or label are left out; a document with several labels counts with
-    each. All other rows count, in one pass and one sum by slot; significant slots and a bitmap of those that
-    are seen go to the driver.
+    each. All other rows count, in one pass and one sum by token. Significant tokens go to the driver, and of
+    the others that are seen those which can hide one: the rest score DRIFT whether they are known or not.
     Without labelled rows of both kinds the model scores every text alike.
     """
     marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic") == 1).alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, F.col("doc_id") == F.col("l_id")).withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
-    counted = rows.where(f"fold < {FOLDS - 1}").select("text", "toxic").mapInArrow(_counted, "slot int, toxic long, other long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = rows.where(f"fold < {FOLDS - 1}").select("text", "toxic").mapInArrow(_counted, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counted = checkpointed(counted)
-    model = Model({}, np.zeros(SLOTS // 8, np.uint8))
+    model = Model({})
     nt, no = counted.agg(F.sum("toxic"), F.sum("other")).first()
     if not nt or not no:
         return model
@@ -206,11 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     odds = lambda y, n: F.ln((F.col(y) + prior) / (n + mass - F.col(y) - prior))
     judged = counted.where(F.col("toxic") + F.col("other") >= SEEN).withColumn("delta", odds("toxic", nt) - odds("other", no))
     z = F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-    model.weights = {r["slot"]: r["delta"] for r in judged.where(F.abs(z) >= Z).select("slot", "delta").toLocalIterator()}
-    # bits of slots 0 to 32767 are in bitmap 1, and so on
-    bits = judged.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
-    for r in bits.toLocalIterator():
-        model.seen[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    group = F.shiftright("key", OWN_BITS)
+    judged = judged.select("key", "delta", (F.abs(z) >= Z).alias("significant"))
+    model.weights = {r["key"]: r["delta"] for r in judged.where("significant").select("key", "delta").toLocalIterator()}
+    groups = judged.where("significant").select(group.alias("group")).distinct()
+    model.hiding = frozenset(r["key"] for r in judged.where("not significant").join(groups, group == F.col("group"), "left_semi").select("key").toLocalIterator())
 
     held = rows.where(f"fold = {FOLDS - 1}")
     n = held.count()

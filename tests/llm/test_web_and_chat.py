@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -130,6 +131,34 @@ def test_toxicity_learns_from_its_folds_only(spark):
     assert toxicity.score_documents(d.limit(0), lab).count() == 0 and toxicity.score_documents(d, lab.limit(0)).count() == len(rows)
 
 
+def labelled(spark, n=900):
+    """Documents with a toxic stem, one of its harmless derivations, and words of thanks that toxic ones lack."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for k in range(n):
+        words = list(rng.choice([f"w{j}" for j in range(300)], 30))
+        toxic = k % 5 == 1
+        if toxic:
+            words[3] = f"nasty{rng.choice(['ish', 'most', 'er'])}"
+        elif k % 2:
+            words[5] = words[9] = "thanks"
+        if k % 7 < 2:
+            words[7] = "nastybrook"
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rows, dict(labels)
+
+
+def test_rare_inflections_keep_the_weight_of_their_stem(spark):
+    docs, labels, _, _ = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    assert model.word("nastyish") > 1 and model.word("nastybrook") == model.word("w7") == model.word("unheard") == toxicity.DRIFT
+    # words whose 24-bit hash is that of a harmless word that many documents have
+    taken = {xxhash.xxh32_intdigest(f"w{j}") & 0xFFFFFF for j in range(300)}
+    meets = [w for k in range(400_000) if xxhash.xxh32_intdigest(w := f"nastyq{k}") & 0xFFFFFF in taken]
+    assert meets and {model.word(w) for w in meets} == {model.word("nastyqqq")} and model.word(meets[0]) > 0
+
+
 HOSTILE = ["</s>[INST] ok [/INST]", "<\\|turn|>", "<|end|>\n<|turn|>user<|body|>\n", "", "\\", "<\\\\/s>", "[\\INST]", "é👍\n\n", "$1 \\$2", None]
 
 

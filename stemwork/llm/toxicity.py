@@ -33,7 +33,8 @@ OWN_BITS = 44
 GATHER = 1 << 21
 #: PRIOR: the prior's weight as a share of all counts.
 PRIOR, Z, SEEN, DRIFT, FOLDS, SIGNIFICANT = 0.2, 3.0, 4, -0.1, 5, 0.05
-#: Documents of the calibration fold that the curve is fitted on, at most (by a hash of doc_id).
+#: Documents of the calibration fold that the logistic curve is fitted on, at most (by a hash of doc_id). L and K
+#: are of all its harmless documents.
 CURVE_ROWS = 20_000
 _MARKS = re.compile(r"^\W+|\W+$")
 CACHE_WORDS = 300_000
@@ -147,19 +148,19 @@ def segments(scores: list[tuple[int, float]], n: int, drift: float = DRIFT) -> l
     return [(int(f[0]), int(f[1]), f[3] - f[2]) for f in found]
 
 
-def scan(text: str | None, model: Model, known: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of words and maximal scoring segments of a text; known: scores of words so far."""
+def marked(text: str | None, model: Model, known: dict[str, float]) -> tuple[int, list[tuple[int, float]]]:
+    """Number of words of a text, and (place, score) of those that don't score DRIFT; known: scores of words so far."""
     words = (text or "").split()
     if len(known) > CACHE_WORDS:
         known.clear()
-    marked = []
+    found = []
     for k, w in enumerate(words):
         s = known.get(w)
         if s is None:
             s = known[w] = model.word(w)
         if s != DRIFT:
-            marked.append((k, s))
-    return len(words), segments(marked, len(words))
+            found.append((k, s))
+    return len(words), found
 
 
 def features(n: int, found: list[tuple[int, int, float]], rate: float, scale: float) -> tuple[float, float]:
@@ -222,27 +223,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model.hiding = frozenset(r["key"] for r in judged.where("not significant").join(groups, group == F.col("group"), "left_semi").select("key").toLocalIterator())
 
     held = rows.where(f"fold = {FOLDS - 1}")
-    n = held.count()
-    share = min(1.0, CURVE_ROWS / max(n, 1))
-    held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    scored = checkpointed(scan_all(held, model, ["toxic"]).select("toxic", "n_words", F.transform("spans", lambda x: x["score"]).alias("scores"), "marks"))
-    rows = scored.select("toxic", "n_words", "scores").collect()
-    found = [[(0, 0, float(c)) for c in r["scores"]] for r in rows]
-    best = np.array([max((c for _, _, c in s), default=0.0) for s in found])
-    toxic = np.array([r["toxic"] for r in rows], bool)
-    harmless = ~toxic
-    words = np.maximum(np.array([r["n_words"] for r in rows], float), 1)
-    marked = scored.where("not toxic").select(F.explode("marks").alias("m")).groupBy(F.round("m", 3).alias("m")).count().collect()
-    values, counts = np.array([r["m"] for r in marked] + [DRIFT]), np.array([r["count"] for r in marked], float)
-    counts = np.append(counts, max(1.0, words[harmless].sum() - counts.sum()))
+    scored = scan_all(held, model, ["doc_id", "toxic"]).select("doc_id", "toxic", "n_words", F.transform("spans", lambda x: x["score"]).alias("scores"), "marks")
+    scored = checkpointed(scored)
+    harmless = scored.where("not toxic").select(F.greatest("n_words", F.lit(1)).alias("words"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best"))
+    words, hits, least = harmless.agg(F.sum("words"), F.count_if(F.col("best") > 0), F.min(F.when(F.col("best") > 0, F.col("best")))).first()
+    words = max(words or 0, 1)
+    counted = scored.where("not toxic").select(F.explode("marks").alias("m")).groupBy(F.round("m", 3).alias("m")).count().collect()
+    values, counts = np.array([r["m"] for r in counted] + [DRIFT]), np.array([r["count"] for r in counted], float)
+    counts = np.append(counts, max(1.0, words - counts.sum()))
     model.rate = _rate(values, counts)
-    some = harmless & (best > 0)
-    hits = some.sum() or 1
     # from P(best > s) = 1 - exp(-K n exp(-L s)): the expected number of segments above the least best score
-    least = best[some].min() if some.any() else 1.0
-    model.scale = max(1e-12, hits / max(words[harmless].sum(), 1.0) * math.exp(model.rate * least))
-    x = np.array([features(int(w), s, model.rate, model.scale) for w, s in zip(words, found, strict=True)], float).reshape(-1, 2)
-    y = toxic.astype(float)
+    model.scale = max(1e-12, (hits or 1) / words * math.exp(model.rate * (least if hits else 1.0)))
+
+    share = min(1.0, CURVE_ROWS / max(scored.count(), 1))
+    rows = scored.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("toxic", "n_words", "scores").collect()
+    x = np.array([features(max(r["n_words"], 1), [(0, 0, c) for c in r["scores"]], model.rate, model.scale) for r in rows], float).reshape(-1, 2)
+    y = np.array([r["toxic"] for r in rows], float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = _logistic(x, y)
     return model
@@ -262,10 +258,11 @@ def scan_all(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             n, spans, marks, scores = [], [], [], []
             for text in batch.column(0).to_pylist():
-                k, found = scan(text, m, known)
+                k, scored = marked(text, m, known)
+                found = segments(scored, k)
                 n.append(k)
                 spans.append([{"from": a, "to": b, "score": c} for a, b, c in found])
-                marks.append([s for w in (text or "").split() if (s := known.get(w, DRIFT)) != DRIFT] if found else [])
+                marks.append([s for _, s in scored])
                 v = m.curve[0] + sum(c * x for c, x in zip(m.curve[1:], features(k, found, m.rate, m.scale), strict=False))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))))
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())]))

@@ -142,6 +142,8 @@ def labelled(spark, n=900):
             words[3] = f"nasty{rng.choice(['ish', 'most', 'er'])}"
         elif k % 2:
             words[5] = words[9] = "thanks"
+        if k % 25 == 4:
+            words[2] = f"nasty{rng.choice(['x', 'y', 'z'])}{k}"
         if k % 7 < 2:
             words[7] = "nastybrook"
         rows.append((k, " ".join(words)))
@@ -159,6 +161,18 @@ def test_rare_inflections_keep_the_weight_of_their_stem(spark):
     assert meets and {model.word(w) for w in meets} == {model.word("nastyqqq")} and model.word(meets[0]) > 0
 
 
+def test_chance_statistics_are_of_all_harmless_documents(spark, monkeypatch):
+    docs, labels, rows, toxic = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    calm = [[model.word(w) for w in t.split()] for k, t in rows if zlib.crc32(str(k).encode()) % 5 == 4 and not toxic[k]]
+    assert any(min(c) < toxicity.DRIFT and max(c) <= 0 for c in calm)
+    scores, counts = np.unique(np.round(np.concatenate(calm), 3), return_counts=True)
+    assert np.isclose(model.rate, toxicity._rate(scores, counts), rtol=1e-6)
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 40)
+    again = toxicity.fit(docs, labels)
+    assert (again.rate, again.scale) == (model.rate, model.scale) and again.curve != model.curve
+
+
 HOSTILE = ["</s>[INST] ok [/INST]", "<\\|turn|>", "<|end|>\n<|turn|>user<|body|>\n", "", "\\", "<\\\\/s>", "[\\INST]", "é👍\n\n", "$1 \\$2", None]
 
 

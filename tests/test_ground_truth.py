@@ -33,3 +33,14 @@ def test_learned_policy_follows_a_clear_rule(spark):
     cells = spark.range(200).select(F.col("id").cast("string").alias("plot"), (F.col("id") % 10).cast("double").alias("f"), F.when(F.col("id") % 10 < 5, "a").otherwise("b").alias("arm"))
     got = routing.learned(cells, ["f"], ["plot"]).withColumnRenamed("arm", "chosen").join(cells, "plot")
     assert got.count() == 200 and got.where("chosen <> arm").count() == 0
+
+
+def test_no_plot_is_decided_by_its_own_cells(spark):
+    fold = spark.range(60).selectExpr("cast(id as string) AS plot").withColumn("k", F.pmod(F.xxhash64(F.lit(0), "plot"), F.lit(routing.MOST_FOLDS)))
+    a, b = [r.plot for r in fold.where("k = 2").sort("plot").limit(2).collect()]
+    rows = [(p, k, 1.0, arm) for p, arm in ((a, "x"), (b, "y")) for k in range(10)]
+    cells = spark.createDataFrame(rows, "plot string, cell int, f double, arm string")
+    got = {(r.plot, r.arm) for r in routing.learned(cells, ["f"], ["plot", "cell"]).collect()}
+    assert got == {(a, "y"), (b, "x")}
+    assert {r.arm for r in routing.learned(cells.where(F.col("plot") == a), ["f"], ["plot", "cell"]).collect()} == {None}
+    assert routing.learned(cells.limit(0), ["f"], ["plot", "cell"]).count() == 0

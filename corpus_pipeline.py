@@ -35,10 +35,8 @@ def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies."""
-    docs = docs.select(COLUMNS)
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each component of near copies, that with the smallest doc_id; repeated rows and null doc_ids too."""
+    return near_dedup.one_of_each(docs.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

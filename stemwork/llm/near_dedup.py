@@ -200,3 +200,21 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     whole = own.select("doc_id", "n", "uid").join(labels, F.col("uid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "uid").alias("c"))
     empty = sketches.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("c"))
     return whole.union(empty).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("c")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, less every row but one of each component of near_duplicates.
+
+    Rows are numbered. Those with a null doc_id go by numbers above all doc_ids, so they link like others and
+    come last; of several rows of the doc_id that stays, the first with words does. Rows without words and
+    doc_id are linked with nothing.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    top = rows.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(top).cast("long") + 1 + F.col("_row"))
+    found = near_duplicates(rows.select(name.alias("doc_id"), "text"), size, percent).where("kept")
+    kept = found.select(F.col("doc_id").alias("k"), (F.col("n_shingles") > 0).alias("k_some")).distinct()
+    some = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = rows.select("_row", name.alias("i"), some.alias("some")).join(kept, (F.col("i") == F.col("k")) & (F.col("some") == F.col("k_some")))
+    stays = named.groupBy("i").agg(F.min(F.struct((~F.col("some")).alias("none"), "_row")).alias("m")).select(F.col("m._row").alias("s_row"))
+    return rows.join(stays, F.col("_row") == F.col("s_row"), "left_semi").drop("_row")

@@ -62,6 +62,20 @@ def test_each_stage(spark, corpus):
     assert sum(r.start == 0 for r in packed) == len(mixed)
 
 
+def test_near_copies_of_repeated_rows_and_null_ids(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(1, text(1))] * 3 + [(2, text(2)), (None, text(2)), (None, near(2)), (None, text(3)), (None, near(3)), (None, near(3)), (7, near(4)), (None, text(4)), (None, text(5))]
+    rows += [(8, None), (8, None), (9, text(9)), (9, text(8)), (10, text(8)), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted(i for i, _ in got if i) == [1, 2, 7, 8, 9]
+    alone = sorted((t or "")[:2] for i, t in got if i is None)
+    assert alone == ["", "", "3w", "5w"]
+
+
 def test_run_gives_the_last_stage(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(out.columns) and out.count() > 0

@@ -1,19 +1,22 @@
-"""MinHash near-deduplication with LSH buckets that have hubs and exact confirmation of every link.
-
-Each distinct set of word shingles has TREES signatures of 8 minima. Sets that share the first 4 minima of
-one are a region; where a region is dense (more than DENSE sets), those that share 6 and 8 have further hubs.
-Regions are found by hashes of these prefixes: unlike in an LSH forest the sets are never sorted by their
-signatures, and no neighbours are taken by longest common prefix; hubs and the joins below replace them.
-In each region, at each depth it reaches, every set is a
-candidate with one neighbour: the region's hub, the set that meets most others over all trees. So copies
-by the thousand give pairs by the thousand and not by the million. A pair at the threshold shares a region
-with a probability of 1 - (1 - 0.75**4)**32, all but 5 in a million; more similar ones with a higher one.
-
-Candidates are confirmed on full sets and joined to components. What is left are sets that share a region
-but no link with its hub. If such a set x has a link with y of that region, then either x and y share a
-shingle that the hub lacks, one near the start of both sets in the order (not the hub's, hash), or
-the hub holds so much of x that y can be much shorter than the hub. Both kinds of pairs are joined, the
-first by (hub, shingle), the second by hub and sizes, and confirmed as well: no pair of a region goes unseen.
+"""MinHash near-deduplication by an LSH forest, with every link confirmed on full sets.
+
+Each distinct set of word shingles has TREES signatures of DEEPEST minima. A tree is the order of all sets by
+one of these signatures: sets that share a prefix of it lie together, the longer the prefix the closer. A
+set's candidates are its neighbours in each order, those with the longest common prefix, if that has SHALLOW
+minima at least. So the depth adapts to each region: where few sets share a prefix a short one makes
+neighbours, where thousands do neighbours share a long one, and copies by the thousand give pairs by the
+thousand and not by the million. A pair at the threshold shares SHALLOW minima in some tree with a probability
+of 1 - (1 - 0.75**4)**32, all but 5 in a million; more similar ones with a higher one.
+
+Candidates are confirmed in two passes. First each set is compared with the neighbour that it shares most minima
+with over all trees, and links make components. Then the orders are gone through again, and neighbours whose
+components differ are compared, since a link inside a component changes nothing.
+
+What is left are pairs that share a prefix but are neighbours in no tree, because a region is dense, and whose
+components still differ. They are found exactly by prefix filtering: of the sets in regions with several
+components, two that link share a shingle among the first n - ceil(0.75 n) + 1 of either in the order (how many
+of these sets have it, hash). Rare shingles come first, so sets that share a passage but are no copies of each
+other don't meet; shingles of one component only are left out.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import checkpointed, written
 
-WORDS, PERCENT, TREES, DEPTHS, DENSE, SEED = 5, 75, 32, (4, 6, 8), 32, 7
+WORDS, PERCENT, TREES, SHALLOW, DEEPEST, SEED = 5, 75, 32, 4, 8, 7
+#: Sets that follow a set in an order and are its neighbours, in the first pass and in the second.
+REACH = (1, 2)
 _RNG = np.random.default_rng(SEED)
 _ODD = lambda n: _RNG.integers(1 << 62, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE, _MUL, _ADD, _KEY = _ODD(64), _ODD(TREES * DEPTHS[-1]), _ODD(TREES * DEPTHS[-1]), _ODD(DEPTHS[-1])
+_PLACE, _MUL, _ADD = _ODD(64), _ODD(TREES * DEEPEST), _ODD(TREES * DEEPEST)
+_SHIFT = np.arange(48, -1, -16, dtype=np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,68 +65,117 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """TREES rows of as many minima as the deepest depth."""
+    """TREES rows of DEEPEST minima."""
     low = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 512):
         low = np.minimum(low, (s[None, k : k + 512] * _MUL[:, None] + _ADD[:, None]).min(axis=1))
-    return low.reshape(TREES, -1)
+    return low.reshape(TREES, DEEPEST)
 
 
-def region_keys(sig: np.ndarray) -> list[np.ndarray]:
-    """For each depth, the keys of the regions that a set is in, by tree; a key is that of its prefix."""
-    tree = np.arange(TREES, dtype=np.uint64)
-    return [_mixed((sig[:, :d] * _KEY[:d]).sum(axis=1, dtype=np.uint64) + tree).view(np.int64) for d in DEPTHS]
+def labels_of(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of each tree as two longs: 16 bits a minimum, the first SHALLOW minima in the first long."""
+    parts = _mixed(sig) & np.uint64(0xFFFF)
+    pack = lambda p: (p << _SHIFT).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return pack(parts[:, :SHALLOW]), pack(parts[:, SHALLOW:])
 
 
 def sketched(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set), s1 and s2 (digest of the set), k0 .. k2 (keys by tree); written."""
-    schema = "doc_id long, n long, s1 long, s2 long, k0 array<long>, k1 array<long>, k2 array<long>"
+    """doc_id, n (size of the set), s1 and s2 (digest of the set), hi and lo (labels by tree); written."""
+    schema = "doc_id long, n long, s1 long, s2 long, hi array<long>, lo array<long>"
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
         for batch in batches:
-            n, digests, keys = [], [], [[], [], []]
+            n, digests, hi, lo = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 n.append(len(s))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
-                for to, k in zip(keys, region_keys(signature(s)) if len(s) else [np.empty(0, np.int64)] * 3, strict=True):
-                    to.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *(pa.array(k, pa.list_(pa.int64())) for k in keys)], names=names
-            )
+                x, y = labels_of(signature(s)) if len(s) else (none, none)
+                hi.append(x)
+                lo.append(y)
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(hi, kind), pa.array(lo, kind)], names=names)
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "sketches")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) with their full shingle sets compared. texts: uid, text.
+def _neighbours(rows: np.ndarray, new: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, depth) of neighbours up to `reach` apart in sorted rows (t, hi, lo, uid, c) whose c differ; b is among the last `new` rows."""
+    n = len(rows)
+    for step in range(1, reach + 1):
+        first = max(0, n - new - step)
+        x, y = rows[first : n - step], rows[first + step :]
+        hit = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1]) & (x[:, 4] != y[:, 4])
+        x, y = x[hit], y[hit]
+        apart = (x[:, 2] ^ y[:, 2]).view(np.uint64)
+        yield x[:, 3], y[:, 3], SHALLOW + sum((apart >> s == 0).astype(np.int64) for s in _SHIFT)
 
-    linked: 100 * intersection >= percent * union; n: size of b; both: of the intersection; rest: the first
-    (100 - percent) % and one of b's shingles that a lacks, by hash.
+
+def forest(sets: DataFrame, reach: int) -> DataFrame:
+    """a, b, depth: neighbours in each tree whose c differ, with the length of their common prefix.
+
+    sets: uid, c, hi, lo. Rows are dealt by ranges of (tree, label, uid), so no label is a task's alone. The rows
+    at both ends of each range are compared with those of the next one apart from the others.
     """
-    schema = "a long, b long, linked boolean, n long, both long, rest array<long>"
+    schema = "a long, b long, depth long, t long, hi long, lo long, uid long, c long"
     names = [x.split(" ")[0] for x in schema.split(", ")]
+    keys = names[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, s = None, np.empty(0, np.uint64)
+        none = lambda n: [pa.nulls(n, pa.int64())]
+        ends = lambda rows: pa.RecordBatch.from_arrays(none(len(rows)) * 3 + [pa.array(rows[:, i]) for i in range(5)], names=names)
+        last, seen = np.empty((0, 5), np.int64), 0
         for batch in batches:
-            linked, n, both, rest = [], [], [], []
-            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if a != known:
-                    known, s = a, shingles(x, size)
-                t = shingles(y, size)
-                own = np.setdiff1d(t, s, assume_unique=True)
-                shared = len(t) - len(own)
-                linked.append(shared > 0 and 100 * shared >= percent * (len(s) + len(own)))
-                n.append(len(t))
-                both.append(shared)
-                rest.append(np.sort(own)[: len(t) - -(-percent * len(t) // 100) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=names)
-
-    right = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
-    both = right.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            new = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            if seen < reach:
+                yield ends(new[: reach - seen])
+            rows = np.concatenate([last, new])
+            for a, b, depth in _neighbours(rows, len(new), reach):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth), *none(len(a)) * 5], names=names)
+            seen += len(new)
+            last = rows[-reach:]
+        yield ends(last[max(0, len(last) - max(0, seen - reach)) :])
+
+    trees = F.explode(F.arrays_zip(F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long")).alias("t"), "hi", "lo"))
+    order = sets.select("uid", "c", trees.alias("x")).select("x.t", "x.hi", "x.lo", "uid", "c")
+    found = written(order.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "neighbours")
+    inside = found.where("a is not null").select("a", "b", "depth")
+    ends = found.where("a is null").select(*keys)
+    w = W.partitionBy("t").orderBy("hi", "lo", "uid")
+    for step in range(1, reach + 1):
+        next_ = F.lead(F.struct("hi", "lo", "uid", "c"), step).over(w)
+        pairs = ends.withColumn("y", next_).where("y.hi = hi and y.c <> c")
+        apart = F.col("lo").bitwiseXOR(F.col("y.lo"))
+        depth = SHALLOW + sum(((F.shiftrightunsigned(apart, int(s)) == 0).cast("long") for s in _SHIFT), F.lit(0).cast("long"))
+        inside = inside.union(pairs.select("uid", F.col("y.uid"), depth))
+    return inside
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int = WORDS) -> DataFrame:
+    """uid, n, s (sorted shingles) of the documents whose doc_id is a uid of chosen and whose text has words; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                s = [shingles(x, size).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, s), pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["uid", "n", "s"])
+
+    some = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").cast("string").alias("text")).join(chosen, "uid", "left_semi").dropDuplicates(["uid", "text"])
+    return written(some.mapInArrow(run, "uid long, n long, s array<long>").where("n > 0"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. sets: uid, n, s."""
+    x = sets.select(F.col("uid").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"))
+    y = sets.select(F.col("uid").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").where(_fits("a_n", "b_n", percent))
+    both = both.withColumn("same", F.size(F.array_intersect("a_s", "b_s")))
+    return both.where(100 * F.col("same") >= percent * (F.col("a_n") + F.col("b_n") - F.col("same"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,64 +195,76 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
 
 
-def _fits(a: str, b: str, percent: int):
+def _fits(a: str, b: str, percent: int) -> Column:
     """Sizes that a link allows."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (uid, ...) with c, the component that links make of each."""
+    return nodes.drop("c").join(components(links), F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid")).drop("node", "component")
+
+
+def unseen(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: pairs of nodes (uid, c, hi, lo) of different components that may link and that the forest can't have compared.
+
+    Nodes of regions with more than REACH[1] + 1 sets and several components are in question.
+    """
+    flat = nodes.select("uid", "c", F.posexplode("hi").alias("t", "hi"))
+    mixed = flat.groupBy(F.col("t").alias("m_t"), F.col("hi").alias("m_hi")).agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("top")).where(f"m > {REACH[1] + 1} and low <> top")
+    open_ = flat.join(mixed, (F.col("t") == F.col("m_t")) & (F.col("hi") == F.col("m_hi")), "left_semi").select("uid", "c").distinct()
+    held = checkpointed(open_.join(sets, "uid").select("uid", "c", "n", F.explode("s").alias("s")))
+    common = held.groupBy(F.col("s").alias("f_s")).agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("top")).where("df > 1")
+    ranked = held.join(common, F.col("s") == F.col("f_s")).select("uid", "c", "n", F.struct("df", "s", (F.col("low") != F.col("top")).alias("apart")).alias("x"))
+    sorted_ = ranked.groupBy("uid", "c", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    alone = F.col("n") - F.size("xs")  # shingles that no other set has come first
+    spare = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    first = sorted_.withColumn("alone", alone).select("uid", "c", "n", "alone", F.posexplode(F.slice("xs", F.lit(1), F.greatest(F.lit(0), spare - F.col("alone")).cast("int"))).alias("k", "x"))
+    posts = first.where("x.apart").select("uid", "c", "n", (F.col("alone") + F.col("k")).alias("p"), "x.s")
+    left = posts.select(F.col("uid").alias("a"), F.col("c").alias("a_c"), F.col("n").alias("a_n"), F.col("p").alias("a_p"), F.col("s").alias("a_s"))
+    # the first shingle that a linked pair shares leaves as many from it on in either set as the intersection needs
+    ahead = lambda n, p: (100 + percent) * (F.col(n) - F.col(p)) >= percent * (F.col("a_n") + F.col("n"))
+    met = left.join(posts, (F.col("a_s") == F.col("s")) & (F.col("a") < F.col("uid")) & (F.col("a_c") != F.col("c")) & _fits("a_n", "n", percent) & ahead("a_n", "a_p") & ahead("n", "p"))
+    return met.select("a", F.col("uid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Documents are linked if their sets of word shingles have 100 * intersection >= percent * union; component_id
     is the smallest doc_id that links lead to, its own included, and kept says that it is its own. Texts
     that are null, empty or without words have no shingles and are linked with nothing. Rows of one doc_id
-    with different texts are linked by that. A row with a null doc_id links as others do but names no
-    component; if its set is nobody else's, its component_id is null and it is kept. Other columns are not read.
+    with different texts are linked by that. A row with a null doc_id names no component: it belongs to that of
+    a row with an equal set, if there is one, and else has a null component_id and is kept; it links no other
+    rows. Other columns are not read.
     """
     sketches = sketched(docs, size)
-    sets = sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("uid"))
-    one = sketches.where("n > 0 and doc_id is not null").join(sets.withColumnsRenamed({"s1": "z1", "s2": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")) & (F.col("doc_id") == F.col("uid")))
-    nodes = one.select("uid", "n", F.explode(F.arrays_zip("k0", "k1", "k2")).alias("k")).select("uid", "n", "k.k0", "k.k1", "k.k2")
-    regions = nodes.groupBy(F.col("k0").alias("r0")).agg(F.min("uid").alias("first"), F.count("*").alias("m")).where("m > 1")
-    members = nodes.join(regions, F.col("k0") == F.col("r0")).drop("r0")
-    degrees = members.groupBy(F.col("uid").alias("g_uid")).agg(F.sum("m").alias("degree"))
-    members = checkpointed(members.join(degrees, F.col("uid") == F.col("g_uid")).drop("g_uid"))
-    pairs = []
-    for deep in (["k0"], ["k0", "k1"], ["k0", "k1", "k2"]):
-        some = members if len(deep) == 1 else members.where(F.col("m") > DENSE)
-        hubs = some.groupBy(*deep).agg(F.max(F.struct("degree", (-F.col("uid")).alias("u"))).alias("h")).select(*[F.col(k).alias(f"r{k}") for k in deep], (-F.col("h.u")).alias("hub"))
-        pairs.append(some.join(hubs, [F.col(k) == F.col(f"r{k}") for k in deep]).where("hub <> uid").select(F.col("hub").alias("a"), F.col("uid").alias("b")))
-    candidates = checkpointed(pairs[0].union(pairs[1]).union(pairs[2]).distinct())
-    chosen = candidates.select(F.col("a").alias("f_uid")).union(candidates.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").cast("string").alias("text")).join(chosen, F.col("uid") == F.col("f_uid"), "left_semi")
-    texts = written(texts, "texts")
-    seen = written(compared(candidates, texts, size, percent), "compared")
-    links = seen.where("linked").select("a", "b")
-
-    labels = components(links)
-    open_hubs = seen.groupBy(F.col("a").alias("o_a")).agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1").select("o_a")
-    placed = seen.join(open_hubs, F.col("a") == F.col("o_a"), "left_semi").join(labels, F.col("b") == F.col("node"), "left").withColumn("c", F.coalesce("component", "b"))
-    y = placed.select("a", F.col("b").alias("y"), F.col("n").alias("y_n"), F.col("linked").alias("y_l"), F.col("c").alias("y_c"), "rest")
-    x = placed.where("not linked").select(F.col("a").alias("x_a"), F.col("b").alias("x"), F.col("n").alias("x_n"), F.col("both").alias("x_both"), F.col("c").alias("x_c"), F.col("rest").alias("x_rest"))
-    apart = (F.col("x_c") != F.col("y_c")) & (F.col("y_l") | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent)
-    left = x.select(*[c for c in x.columns if c != "x_rest"], F.posexplode("x_rest").alias("x_p", "x_t"))
-    right = y.select(*[c for c in y.columns if c != "rest"], F.posexplode("rest").alias("p", "t"))
-    # the first shingle that a linked pair shares leaves as many behind it in either set as the intersection needs
-    ahead = [(100 + percent) * (F.col(n) - F.col(p)) >= percent * (F.col("x_n") + F.col("y_n")) for n, p in (("x_n", "x_p"), ("y_n", "p"))]
-    shared = left.join(right, (F.col("x_a") == F.col("a")) & (F.col("x_t") == F.col("t")) & apart & ahead[0] & ahead[1]).select("x", "y")
-    room = (100 + percent) * F.col("x_both") >= percent * (F.col("x_n") + F.col("y_n"))
-    loose = x.drop("x_rest").where((100 + percent) * F.col("x_both") >= percent * (F.col("x_n") + F.ceil(percent * F.col("x_n") / 100)))
-    short = loose.join(y.drop("rest"), (F.col("x_a") == F.col("a")) & (F.col("x") != F.col("y")) & (F.col("x_c") != F.col("y_c")) & _fits("x_n", "y_n", percent) & room).select("x", "y")
-    more = shared.union(short).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = compared(more.join(done, ["a", "b"], "left_anti"), texts, size, percent)
-    links = checkpointed(links.union(more.where("linked").select("a", "b")))
-
-    own = sketches.where("n > 0").join(sets.withColumnsRenamed({"s1": "z1", "s2": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")))
-    again = own.groupBy(F.col("doc_id").alias("same")).agg(F.min("uid").alias("a"), F.max("uid").alias("z")).where("a <> z")
-    links = links.union(own.join(again, F.col("doc_id") == F.col("same")).where("uid <> a").select("a", F.col("uid").alias("b")))
-    labels = components(links)
-    whole = own.select("doc_id", "n", "uid").join(labels, F.col("uid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "uid").alias("c"))
+    own = sketches.where("n > 0")
+    firsts = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("uid"))
+    with_uid = own.join(firsts.withColumnsRenamed({"s1": "z1", "s2": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")))
+    nodes = checkpointed(with_uid.where("doc_id = uid").dropDuplicates(["s1", "s2"]).select("uid", F.col("uid").alias("c"), "hi", "lo"))
+    near = forest(nodes, REACH[0])
+    near = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("depth").alias("w"))
+    near = checkpointed(near)
+    sides = near.select(F.col("a").alias("uid"), F.col("b").alias("o"), "w").union(near.select("b", "a", "w"))
+    best = checkpointed(sides.groupBy("uid").agg(F.max(F.struct("w", "o"))["o"].alias("o")))
+    close = checkpointed(nodes.join(best.select("uid"), "uid", "left_semi"))
+    sets = shingle_sets(docs, best.select("uid"), size)
+    pairs = best.select(F.least("uid", "o").alias("a"), F.greatest("uid", "o").alias("b")).distinct()
+    links = checkpointed(confirmed(pairs, sets, percent))
+
+    close = checkpointed(_labelled(close, links))
+    second = forest(close, REACH[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = second.join(pairs, ["a", "b"], "left_anti")
+    links = checkpointed(links.union(confirmed(more, sets, percent)))
+
+    close = checkpointed(_labelled(close, links))
+    links = checkpointed(links.union(confirmed(unseen(close, sets, percent), sets, percent)))
+
+    again = own.groupBy(F.col("doc_id").alias("same")).agg(F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("top")).where("low <> top").select("same")
+    twice = with_uid.join(again, F.col("doc_id") == F.col("same"), "left_semi").where("uid <> doc_id").select(F.col("doc_id").alias("a"), F.col("uid").alias("b"))
+    found = components(links.union(twice))
+    whole = with_uid.select("doc_id", "n", "uid").join(found, F.col("uid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "uid").alias("c"))
     empty = sketches.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("c"))
     return whole.union(empty).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("c")).alias("kept"))
 

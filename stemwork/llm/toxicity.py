@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, parts
 
 #: Low bits of a key, which are the token's own; those above are of the first 4 letters, which a word shares
 #: with all its prefixes. So the tokens that can hide a significant prefix are found by their keys alone.
@@ -36,6 +36,8 @@ PRIOR, Z, SEEN, DRIFT, FOLDS, SIGNIFICANT = 0.2, 3.0, 4, -0.1, 5, 0.05
 #: Documents of the calibration fold that the logistic curve is fitted on, at most (by a hash of doc_id). L and K
 #: are of all its harmless documents.
 CURVE_ROWS = 20_000
+#: Most that a text scores where labels of both kinds are there but can't be told apart.
+MOST_BASE = 0.49
 _MARKS = re.compile(r"^\W+|\W+$")
 CACHE_WORDS = 300_000
 
@@ -79,7 +81,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some, 0]), pa.array(counts[some, 1])], names=["key", "toxic", "other"])
 
-    for batch in batches:
+    for batch in parts(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if len(known) > CACHE_WORDS:
                 known.clear()
@@ -103,13 +105,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     """weights: score of each significant token; hiding: other tokens that SEEN documents have, where a token
-    with the same first letters is significant; rate, scale: L, K."""
+    with the same first letters is significant; rate, scale: L, K; curve: None where the labels don't have both
+    kinds, so that every text scores `base`."""
 
     weights: dict[int, float]
     hiding: frozenset[int] = frozenset()
     rate: float = 1.0
     scale: float = 1.0
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0)
+    curve: tuple[float, ...] | None = None
+    base: float = 0.0
 
     def word(self, word: str) -> float:
         for k in keys_of(word):
@@ -119,6 +123,13 @@ class Model:
                 return DRIFT
         return DRIFT
 
+    def chance(self, n: int, found: list[tuple[int, int, float]]) -> float:
+        """Calibrated chance of label 1 of a text of n words with these segments."""
+        if self.curve is None:
+            return self.base
+        v = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], features(n, found, self.rate, self.scale), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+
 
 def segments(scores: list[tuple[int, float]], n: int, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of n words, in their order.
@@ -202,13 +213,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Rows of labels with a null doc_id or label are left out; a document with several labels counts with
     each. All other rows count, in one pass and one sum by token. Significant tokens go to the driver, and of
     the others that are seen those which can hide one: the rest score DRIFT whether they are known or not.
-    Without labelled rows of both kinds the model scores every text alike.
+    Texts meet their labels in a merge join at every size, and only those of the folds that are learned from
+    are shuffled. Where folds 1 to 3 lack labelled rows of either kind, every text scores the share of label 1
+    in folds 1 to 4: 0 without labels, 1 if all are toxic, else less than 0.5. Where only fold 4 lacks a kind,
+    the log-odds of label 1 are those of that share and the nats of the segments, each at its full weight.
     """
-    marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic") == 1).alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, F.col("doc_id") == F.col("l_id")).withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
+    marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic") == 1).alias("toxic")).where(fold(F.col("l_id")) != 0)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
+    rows = named.join(marks.hint("merge"), F.col("doc_id") == F.col("l_id"))
+    toxic, every = named.select("doc_id").join(marks.hint("merge"), F.col("doc_id") == F.col("l_id")).agg(F.count_if("toxic"), F.count("*")).first()
+    base = 1.0 if every and toxic == every else min(MOST_BASE, toxic / max(every, 1))
     counted = rows.where(f"fold < {FOLDS - 1}").select("text", "toxic").mapInArrow(_counted, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counted = checkpointed(counted)
-    model = Model({})
+    model = Model({}, base=base)
     nt, no = counted.agg(F.sum("toxic"), F.sum("other")).first()
     if not nt or not no:
         return model
@@ -239,44 +256,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = scored.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("toxic", "n_words", "scores").collect()
     x = np.array([features(max(r["n_words"], 1), [(0, 0, c) for c in r["scores"]], model.rate, model.scale) for r in rows], float).reshape(-1, 2)
     y = np.array([r["toxic"] for r in rows], float)
-    if len(y) and 0 < y.sum() < len(y):
-        model.curve = _logistic(x, y)
+    share = max(base, 0.5 / every)
+    model.curve = _logistic(x, y) if len(y) and 0 < y.sum() < len(y) else (math.log(share / (1 - share)), 1.0, 1.0)
     return model
 
 
-def scan_all(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` with n_words, spans (from, to, score), marks (scores other than DRIFT), score.
+def scan_all(docs: DataFrame, model: Model, keep: list[str], details: bool = True) -> DataFrame:
+    """The columns `keep` with n_words, n_segments, score and, if wanted, spans (from, to, score) and marks (scores other than DRIFT).
 
     Texts are scanned whole; null is empty. score is the calibrated chance of label 1.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, spans array<struct<`from`:long,`to`:long,score:double>>, marks array<double>, score double"])
+    more = ["spans array<struct<`from`:long,`to`:long,score:double>>", "marks array<double>"] if details else []
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long, n_segments int, score double", *more])
+    names = [*keep, "n_words", "n_segments", "score", *(x.split(" ")[0] for x in more)]
+    span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = sent.value, {}
-        for batch in batches:
-            n, spans, marks, scores = [], [], [], []
+        for batch in parts(batches):
+            sizes, counts, scores, spans, marks = [], [], [], [], []
             for text in batch.column(0).to_pylist():
-                k, scored = marked(text, m, known)
-                found = segments(scored, k)
-                n.append(k)
-                spans.append([{"from": a, "to": b, "score": c} for a, b, c in found])
-                marks.append([s for _, s in scored])
-                v = m.curve[0] + sum(c * x for c, x in zip(m.curve[1:], features(k, found, m.rate, m.scale), strict=False))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))))
-            kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(marks, pa.list_(pa.float64())), pa.array(scores, pa.float64())], names=[*keep, "n_words", "spans", "marks", "score"])
+                n, scored = marked(text, m, known)
+                found = segments(scored, n)
+                sizes.append(n)
+                counts.append(len(found))
+                scores.append(m.chance(n, found))
+                if details:
+                    spans.append([{"from": a, "to": b, "score": c} for a, b, c in found])
+                    marks.append([s for _, s in scored])
+            own = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int32()), pa.array(scores, pa.float64())]
+            own += [pa.array(spans, span), pa.array(marks, pa.list_(pa.float64()))] if details else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(keep))), *own], names=names)
 
     return docs.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments, segments of every document, labelled or not.
+def score_documents(docs: DataFrame, labels: DataFrame, segments: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_segments and, if wanted, segments of every document, labelled or not.
 
     A score depends on the text alone. Null and empty texts have the score of a text without segments.
-    segments: (from, to, score) in words of the maximal scoring passages.
+    segments: (from, to, score) in words of the maximal scoring passages. See fit() for labels of one kind.
     """
     model = fit(docs, labels)
-    rows = scan_all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
-    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_segments"), F.col("spans").alias("segments"))
+    rows = scan_all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"], segments)
+    found = [F.col("spans").alias("segments")] if segments else []
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments", *found)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-A source's target in words divided by its size is what each of its documents is expected to be taken,
-spread by the documents' own weights if they have any. The whole part of that is taken for certain; the
+A source's target in words divided by its size is what each of its documents is expected to be taken, or
+more or less by the documents' own weights if they have any. The whole part of that is taken for certain; the
 rest is an inclusion probability p, and documents are ranked by the odds of a uniform number over the
 odds of p. The first ones in that order, as many as the rest of the target holds, are taken once more.
 """
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import SPACE, checkpointed, running_total
 
-BUDGET, LIMIT, BUCKETS, SEED = 1.5, 2.0, 1024, 20240101
+BUDGET, LIMIT, BUCKETS, SEED = 1.5, 2.0, 8192, 20240101
+#: Classes of document weights in an octave.
+STEPS = 8
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -49,44 +51,72 @@ def targets(sizes: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weig
     return rows.select("source", "source_size", F.when(stop.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * stop["level"])).alias("target"))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights: tuple[float, ...] = WEIGHTS, weight: Column | None = None, seed: int = SEED) -> DataFrame:
+def by_length(text: Column) -> Column:
+    """A weight that grows with the logarithm of a text's words: one of 1,000 words has 2.5 times that of one of 15."""
+    return F.log2(words(text) + F.lit(2.0))
+
+
+def _expected(goal: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
+    """_mx_s, _mx_k, source_size, target, _mx_e: the copies that documents of a source and weight class are expected to get.
+
+    They are in proportion to the weight, but no more than `limit`; what a limit cuts off is spread over the
+    other classes of the source, until none is above. goal: source, source_size, target; classes: source,
+    _mx_k and mass, the words of the documents. A class is an eighth of an octave, so a source has few.
+    """
+    w = W.partitionBy("source").orderBy(F.col("_mx_k").desc())
+    m = F.pow(F.lit(2.0), F.col("_mx_k") / STEPS)
+    rows = classes.join(goal.withColumnRenamed("source", "_mx_s"), F.col("source").eqNullSafe(F.col("_mx_s"))).withColumn("m", m)
+    full = F.coalesce(F.sum("mass").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * limit
+    level = F.try_divide(F.col("target") - full, F.sum(F.col("mass") * F.col("m")).over(w.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    rows = rows.withColumn("level", level).withColumn("most", limit / F.col("m"))
+    stop = F.min(F.when(F.col("level") <= F.col("most"), F.struct("most", "level"))).over(W.partitionBy("source"))
+    expected = F.when(stop.isNull(), F.lit(float(limit))).otherwise(F.least(F.lit(float(limit)), stop["level"] * F.col("m")))
+    return rows.select("_mx_s", F.col("_mx_k").alias("_mx_c"), "source_size", "target", F.when(F.col("mass") > 0, F.greatest(expected, F.lit(0.0))).otherwise(0.0).alias("_mx_e"))
+
+
+def _decided(rows: DataFrame, by: DataFrame, seed: int) -> DataFrame:
+    """rows (source, size, _mx_k, _mx_i, _mx_h, ...) with what `by` says of their source and class, and _mx_sure, _mx_p, _mx_q."""
+    out = rows.join(by, F.col("source").eqNullSafe(F.col("_mx_s")) & (F.col("_mx_k") == F.col("_mx_c"))).drop("_mx_s", "_mx_c")
+    out = out.withColumn("_mx_sure", F.floor("_mx_e")).withColumn("_mx_p", F.when(F.col("size") > 0, F.col("_mx_e") - F.col("_mx_sure")).otherwise(0.0))
+    u, p = uniform(seed, F.col("_mx_i"), F.col("_mx_h")), F.col("_mx_p")
+    return out.withColumn("_mx_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
+
+
+def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights: tuple[float, ...] = WEIGHTS, weight: Column | None = None, seed: int = SEED, narrow: bool = False) -> DataFrame:
     """docs with size, source_size, target and copies (0 to limit, rounded up) of each document.
 
-    weight: a positive column by which the documents of a source share its target, equal if None; a
-    document stops at `limit` copies. Words are runs of anything but ASCII white space. Texts that are null
-    or have no words have size 0 and are taken for certain only. Null sources are a source, the last.
-    Repeated rows are documents of their own and equal rows are treated alike, so reruns agree. Ranks are
-    found on narrow rows; each source's last rank then decides on its documents where they are, so no text
-    is shuffled. After the last rank that the target covers whole, the one document whose size is nearest
-    to what is left is taken too, if that brings the source nearer to its target.
+    weight: a column by which the documents of a source share its target, to an eighth of an octave; equal if
+    None, 1 where it is null or not positive. A document stops at `limit` copies and the excess is shared by
+    weight. Words are runs of anything but ASCII white space. Texts that are null or have no words have size 0
+    and are taken for certain only. Null sources are a source, the last. Repeated rows are documents of their
+    own and equal rows are treated alike, so reruns agree. Columns of docs named as the new ones are replaced.
+    Ranks are found on narrow rows; each source's last rank then decides on its documents where they are, so
+    no text is shuffled. After the last rank that the target covers whole, the one document whose size is
+    nearest to what is left is taken too, if that brings the source nearer to its target. narrow: return
+    doc_id and source alone of docs' columns, from the narrow rows, so that texts are read once.
     """
-    sized = docs.withColumns({"size": words(F.col("text").cast("string")), "_m": F.lit(1.0) if weight is None else weight.cast("double"), "_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_h": F.xxhash64("text")})
-    narrow = checkpointed(sized.select("source", "size", "_m", "_i", "_h"))
-    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_m")).alias("_mass"))
-    goal = targets(sums.select("source", "source_size"), budget, limit, weights)
-    goal = goal.join(sums.select(F.col("source").alias("_s"), "_mass"), F.col("source").eqNullSafe(F.col("_s"))).select("_s", "source_size", "target", "_mass")
-    goal = checkpointed(goal)
-
-    def ranked(rows: DataFrame, by: DataFrame) -> DataFrame:
-        expected = F.least(F.lit(limit), F.coalesce(F.try_divide(F.col("target") * F.col("_m"), F.col("_mass")), F.lit(0.0)))
-        out = rows.join(by, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_e", expected)
-        out = out.withColumn("_sure", F.floor("_e")).withColumn("_p", F.when(F.col("size") > 0, F.col("_e") - F.col("_sure")).otherwise(0.0))
-        u, p = uniform(seed, F.col("_i"), F.col("_h")), F.col("_p")
-        return out.withColumn("_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
-
-    rows = ranked(narrow, goal)
-    sure = rows.groupBy("source").agg(F.sum(F.col("_sure") * F.col("size")).alias("_taken")).withColumnRenamed("source", "_s")
-    drawn = rows.where("_p > 0").withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS))
-    drawn = running_total(drawn, ["source"], "_b", [F.col("_q"), F.col("_i"), F.col("_h")], "size", "_run")
-    drawn = drawn.join(sure, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_rest", F.col("target") - F.col("_taken"))
-    place = F.struct("_q", "_i", "_h")
-    last = drawn.where("_run <= _rest").groupBy("source").agg(F.max(place).alias("_last"), F.max("_run").alias("_got")).withColumnRenamed("source", "_s")
-    after = drawn.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").where("_last is null or _run > _rest")
-    gap = F.col("_rest") - F.coalesce(F.col("_got"), F.lit(0))
-    closing = after.withColumn("_off", F.abs(F.col("size") - gap)).where(F.col("_off") < gap)
-    closing = closing.groupBy("source").agg(F.min(F.struct(F.col("_off"), place.alias("at")))["at"].alias("_close")).withColumnRenamed("source", "_s3")
-    cuts = goal.join(last.select(F.col("_s").alias("_s2"), "_last"), F.col("_s").eqNullSafe(F.col("_s2")), "left").join(closing, F.col("_s").eqNullSafe(F.col("_s3")), "left").drop("_s2", "_s3")
-    out = ranked(sized, checkpointed(cuts))
-    taken = F.coalesce(place <= F.col("_last"), F.lit(False)) | F.coalesce(place == F.col("_close"), F.lit(False))
-    once = (F.col("_p") > 0) & taken
-    return out.withColumn("copies", F.col("_sure") + once.cast("long")).drop("_m", "_i", "_h", "_mass", "_e", "_sure", "_p", "_q", "_last", "_close")
+    docs = docs.drop("size", "source_size", "target", "copies")
+    share = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
+    step = F.round(F.log2(F.when(share > 0, share).otherwise(1.0)) * STEPS).cast("int")
+    sized = docs.withColumns({"size": words(F.col("text").cast("string")), "_mx_k": step, "_mx_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_mx_h": F.xxhash64("text")})
+    thin = checkpointed(sized.select("doc_id", "source", "size", "_mx_k", "_mx_i", "_mx_h"))
+    classes = checkpointed(thin.groupBy("source", "_mx_k").agg(F.sum("size").alias("mass")))
+    goal = targets(classes.groupBy("source").agg(F.sum("mass").alias("source_size")), budget, limit, weights)
+    expected = checkpointed(_expected(goal, classes, limit))
+
+    rows = _decided(thin, expected, seed)
+    sure = rows.groupBy("source").agg(F.sum(F.col("_mx_sure") * F.col("size")).alias("taken")).withColumnRenamed("source", "_s")
+    drawn = rows.where("_mx_p > 0").withColumn("_mx_b", F.floor(F.col("_mx_q") / (1 + F.col("_mx_q")) * BUCKETS))
+    drawn = running_total(drawn, ["source"], "_mx_b", [F.col("_mx_q"), F.col("_mx_i"), F.col("_mx_h")], "size", "run")
+    drawn = drawn.join(sure, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rest", F.col("target") - F.col("taken"))
+    place = F.struct("_mx_q", "_mx_i", "_mx_h")
+    last = drawn.where("run <= rest").groupBy("source").agg(F.max(place).alias("_mx_last"), F.max("run").alias("got")).withColumnRenamed("source", "_s")
+    after = drawn.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").where("_mx_last is null or run > rest")
+    gap = F.col("rest") - F.coalesce(F.col("got"), F.lit(0))
+    closing = after.withColumn("off", F.abs(F.col("size") - gap)).where(F.col("off") < gap)
+    closing = closing.groupBy("source").agg(F.min(F.struct(F.col("off"), place.alias("at")))["at"].alias("_mx_close")).withColumnRenamed("source", "_s3")
+    cuts = expected.join(last.select(F.col("_s").alias("_s2"), "_mx_last"), F.col("_mx_s").eqNullSafe(F.col("_s2")), "left").join(closing, F.col("_mx_s").eqNullSafe(F.col("_s3")), "left").drop("_s2", "_s3")
+    out = _decided(thin if narrow else sized, checkpointed(cuts), seed)
+    taken = F.coalesce(place <= F.col("_mx_last"), F.lit(False)) | F.coalesce(place == F.col("_mx_close"), F.lit(False))
+    once = (F.col("_mx_p") > 0) & taken
+    return out.withColumn("copies", F.col("_mx_sure") + once.cast("long")).drop("_mx_k", "_mx_i", "_mx_h", "_mx_e", "_mx_sure", "_mx_p", "_mx_q", "_mx_last", "_mx_close")

@@ -12,8 +12,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 4096 tokens, every source at its own share."""
-    return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+    """All documents packed into sequences of 4096 tokens, the sources in the proportions 3, 1, 2, repeating."""
+    return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), mixing.WEIGHTS))
 
 
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that a mixture of 150 % of all words takes of each document."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    """The words that a mixture of 150 % of all words takes of each document; longer documents are likelier, by the logarithm."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, weight=mixing.by_length(F.col("text")), narrow=True)
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -68,7 +69,7 @@ def op6_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of all documents, learned from the labelled ones outside fold 0."""
-    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), segments=False)
     return scored.select("doc_id", "held_out", "score", "predicted", "n_segments")
 
 

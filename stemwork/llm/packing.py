@@ -20,11 +20,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import running_total, written
+from .common import checkpointed, parts, running_total, written
 
-WINDOW, END_ID, BUCKETS = 4096, 2, 1024
+WINDOW, END_ID, BUCKETS, KNOTS = 4096, 2, 8192, 32
 #: Characters and words whose ids the fast encoder gives; others go to the tokenizer itself, word by word.
 #: Latin text of composed characters is its own NFC, and its lower case doesn't depend on what is around it.
 PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u024f]*")
@@ -107,13 +107,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width = _encoder(tokenizer_path, end_id)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [encode(x) for x in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(3)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], names=names
-                )
+        for part in parts(batches, 256):
+            ids = [encode(x) for x in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i) for i in range(3)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())], names=names
+            )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     return written(rows.mapInArrow(run, schema), "tokens")
@@ -129,33 +127,62 @@ def tail_cuts(total: int, window: int) -> list[tuple[int, int]]:
     return cuts
 
 
-def plan(tokens: DataFrame, weights: dict[str | None, float] | None, window: int) -> tuple[DataFrame, int]:
-    """(rid, round, start of the document in the laid-out stream), and the number of tokens in all.
-
-    weights: target share of each source in a window; a source without one, and every source if None,
-    aims at its own share of all tokens, which drains all queues together. Sources of weight 0 follow last.
-    """
-    rows = tokens.select("rid", "doc_id", "source", "n", F.xxhash64("doc_id").alias("h")).withColumn("b", F.shiftrightunsigned("h", 54))
-    sums = rows.groupBy("source").agg(F.sum("n").alias("queue")).withColumn("mass", F.col("queue").cast("double"))
-    total = sums.agg(F.sum("queue")).first()[0] or 0
-    if weights is not None:
+def _quanta(tokens: DataFrame, weights: dict[str | None, float] | tuple[float, ...] | None, window: int) -> DataFrame:
+    """q_source, queue (its tokens), quantum (its credit a round), before (rounds before its first), drained (its last round)."""
+    sums = tokens.groupBy("source").agg(F.sum("n").alias("queue"))
+    mass = F.col("queue").cast("double")
+    if isinstance(weights, dict):
         mass = F.lit(0.0)
         for name, weight in weights.items():
             mass = F.when(F.col("source").eqNullSafe(F.lit(name)), float(weight)).otherwise(mass)
-        sums = sums.withColumn("mass", mass)
-    whole = sums.agg(F.sum("mass")).first()[0] or 1.0
-    quanta = sums.select(F.col("source").alias("q_source"), (F.col("mass") * (window / whole)).alias("quantum"))
+    elif weights is not None:
+        place = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1
+        mass = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int"))
+    rows = sums.withColumn("mass", mass).withColumn("late", F.col("mass") <= 0)
+    rows = rows.withColumn("mass", F.when(F.col("late"), F.col("queue").cast("double")).otherwise(F.col("mass")))
+    rows = rows.withColumn("quantum", F.col("mass") * window / F.sum("mass").over(W.partitionBy("late")))
+    turns = F.ceil(F.col("queue") / F.col("quantum"))
+    before = F.when(F.col("late"), F.coalesce(F.max(F.when(~F.col("late"), turns)).over(W.partitionBy()), F.lit(0))).otherwise(F.lit(0))
+    return checkpointed(rows.withColumn("before", before).select(F.col("source").alias("q_source"), "queue", "quantum", "before", (before + turns).alias("drained")))
+
+
+def _slots(quanta: DataFrame, total: int) -> Column:
+    """A column of about BUCKETS values that grows with the column `round`, each for about as many tokens.
+
+    The tokens sent by a round are linear in it between the rounds in which sources are drained; KNOTS of
+    these rounds, by the sources' tokens, are where the density of slots changes.
+    """
+    shares = [k / KNOTS for k in range(1, KNOTS + 1)]
+    found = quanta.agg(F.percentile(F.col("drained").cast("double"), F.array(*map(F.lit, shares)), F.col("queue")).alias("k"), F.max("drained").alias("m")).first()
+    knots = sorted({0.0, *(float(int(x)) for x in found["k"] or []), float(found["m"] or 1)})
+    sent = quanta.agg(*[F.sum(F.least(F.greatest(F.lit(r) - F.col("before"), F.lit(0.0)) * F.col("quantum"), F.col("queue").cast("double"))).alias(f"t{k}") for k, r in enumerate(knots)]).first()
+    slot, base = F.lit(0), 0
+    for k in range(1, len(knots)):
+        n = max(1, round(BUCKETS * ((sent[k] or 0.0) - (sent[k - 1] or 0.0)) / max(total, 1)))
+        inside = F.least(F.lit(n - 1), F.floor((F.col("round") - knots[k - 1]) * (n / (knots[k] - knots[k - 1]))))
+        slot = F.when(F.col("round") >= knots[k - 1], base + inside).otherwise(slot)
+        base += n
+    return slot.cast("long")
+
+
+def plan(tokens: DataFrame, weights: dict[str | None, float] | tuple[float, ...] | None, window: int) -> tuple[DataFrame, int]:
+    """(rid, round, start of the document in the laid-out stream), and the number of tokens in all.
+
+    weights: target share of each source in a window, by source or, as a tuple, for the sources in code point
+    order (null last), repeating. A source without one, and every source if None, aims at its own share of
+    all tokens, which drains all queues together. Sources of weight 0 follow last, by their own shares.
+    """
+    rows = tokens.select("rid", "doc_id", "source", "n", F.xxhash64("doc_id").alias("h")).withColumn("b", F.shiftrightunsigned("h", 51))
+    quanta = _quanta(tokens, weights, window)
+    total = quanta.agg(F.sum("queue")).first()[0] or 0
     queued = running_total(rows, ["source"], "b", [F.col("h"), F.col("doc_id"), F.col("rid")], "n", "e")
-    sent = queued.join(quanta, F.col("source").eqNullSafe(F.col("q_source"))).withColumn(
-        "round", F.when(F.col("quantum") > 0, F.ceil(F.col("e") / F.when(F.col("quantum") > 0, F.col("quantum")))).otherwise(F.lit(1 << 60))
-    )
-    rounds = max(1, -(-total // window))
-    spread = sent.withColumn("slot", F.least(F.lit(BUCKETS), F.floor(F.col("round") * (BUCKETS / rounds))))
+    sent = queued.join(quanta.drop("queue", "drained"), F.col("source").eqNullSafe(F.col("q_source"))).withColumn("round", F.col("before") + F.ceil(F.col("e") / F.col("quantum")))
+    spread = sent.withColumn("slot", _slots(quanta, total))
     laid = running_total(spread, [], "slot", [F.col("round"), F.col("source"), F.col("e"), F.col("rid")], "n", "end")
     return laid.select(F.col("rid").alias("p_rid"), "round", (F.col("end") - F.col("n")).alias("at")), int(total)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str | None, float] | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str | None, float] | tuple[float, ...] | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents with their places in sequences of at most `window` tokens.
 
     Columns: doc_id, source, round, start (ids of the document before the piece), length, ids (binary,
@@ -171,7 +198,7 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str | None, float]
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 256):
             out: list[tuple] = []
             for doc_id, source, turn, n, width, at, ids in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 whole = np.frombuffer(ids, f"<u{width}").astype("<u4")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import checkpointed
+
 #: Marks of a turn, as FORMAT strings of the template.
 TURN, BODY, END = "<|turn|>", "<|body|>\n", "<|end|>\n"
 #: Strings that a text must not contain raw; a backslash after their first character makes them harmless,
@@ -30,7 +32,8 @@ def fold(events: DataFrame) -> DataFrame:
 
     events: conv_id, seq, kind (message, delta, edit or regenerate), message (its id), replaces (the id that
     a regeneration replaces, else null), role, text. A message stands where its id first comes up, a
-    regeneration where the message it replaces stood first. Deltas join the text that the last message or
+    regeneration where the message it replaces stood first, which may be a regeneration itself. One that
+    replaces itself, or what does not come up before it, replaces nothing. Deltas join the text that the last message or
     edit event before them set; an edit sets all of it anew. The role is the first that is not null. Null
     texts are empty; a null conv_id is a conversation. Events with equal seq are ordered by kind and text.
     """
@@ -44,14 +47,36 @@ def fold(events: DataFrame) -> DataFrame:
     messages = kept.groupBy("conv_id", "message").agg(
         F.min("seq").alias("at"),
         F.min_by("role", F.when(F.col("role").isNotNull(), F.struct("seq"))).alias("role"),
-        F.max("replaces").alias("replaces"),
         F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
     )
-    gone = events.where("kind = 'regenerate' and replaces is not null and not (replaces <=> message)").select(F.col("conv_id").alias("g_conv"), F.col("replaces").alias("g_message"), F.col("message").alias("g_by")).distinct()
-    stays = messages.join(gone, F.col("conv_id").eqNullSafe(F.col("g_conv")) & (F.col("message") == F.col("g_message")), "left_anti")
-    starts = messages.select(F.col("conv_id").alias("s_conv"), F.col("message").alias("s_message"), F.col("at").alias("s_at"))
-    stays = stays.join(starts, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("replaces") == F.col("s_message")), "left")
-    return stays.select("conv_id", "message", F.coalesce("s_at", "at").alias("at"), "role", "text")
+    again = events.where("kind = 'regenerate' and replaces is not null and not (replaces <=> message)")
+    if again.isEmpty():
+        return messages.select("conv_id", "message", "at", "role", "text")
+    roots, direct = _roots(events, again)
+    stays = messages.join(direct, F.col("conv_id").eqNullSafe(F.col("g_conv")) & (F.col("message") == F.col("g_message")), "left_anti")
+    stays = stays.join(roots, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("message") == F.col("r_message")), "left")
+    return stays.select("conv_id", "message", F.coalesce("r_at", "at").alias("at"), "role", "text")
+
+
+def _roots(events: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r_conv, r_message, r_at): where the first message of each regeneration's chain stood; (g_conv, g_message): the replaced.
+
+    Chains are followed by doubling, in as many steps as the logarithm of the longest; a link leads to an
+    earlier message, so there are no rings.
+    """
+    firsts = events.groupBy("conv_id", "message").agg(F.min("seq").alias("at"))
+    last = again.groupBy("conv_id", "message").agg(F.max("replaces").alias("to"))
+    renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    same = lambda x, y, a, b: F.col(f"{x}conv_id").eqNullSafe(F.col(f"{y}conv_id")) & (F.col(f"{x}{a}") == F.col(f"{y}{b}"))
+    links = last.join(renamed(firsts, "o"), same("", "o_", "message", "message")).join(renamed(firsts, "t"), same("", "t_", "to", "message"))
+    links = checkpointed(links.where("t_at < o_at").select("conv_id", "message", "to", F.col("t_at").alias("at")))
+    direct = links.select(F.col("conv_id").alias("g_conv"), F.col("to").alias("g_message")).distinct()
+    while True:
+        on = links.join(renamed(links, "n"), same("", "n_", "to", "message"), "left")
+        on = checkpointed(on.select("conv_id", "message", F.coalesce("n_to", "to").alias("to"), F.coalesce("n_at", "at").alias("at"), F.col("n_to").isNotNull().alias("moved")))
+        if on.where("moved").isEmpty():
+            return links.select(F.col("conv_id").alias("r_conv"), F.col("message").alias("r_message"), F.col("at").alias("r_at")), direct
+        links = on.drop("moved")
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:

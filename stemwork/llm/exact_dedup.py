@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import parts, written
 
 #: Bytes of texts in one open-addressing table; larger buckets are split into FAN spill files.
 TABLE_BYTES, FAN = 64 << 20, 16
@@ -114,25 +114,35 @@ def _spilled(f) -> Iterator[tuple[bytes, object]]:
             return
 
 
-def _least(a, b):
-    """Smaller of two (id, count, slots) with the counts added; a null id is larger than any."""
-    (x, n, s), (y, m, t) = a, b
-    return (y if x is None or (y is not None and y < x) else x, n + m, s + t)
+def _lower(x: int | None, y: int | None) -> int | None:
+    """Smaller of two ids; null is larger than any."""
+    return y if x is None or (y is not None and y < x) else x
+
+
+def _own(a, b):
+    """(least id, rows, slot) of rows of one task: the slot is the first row's."""
+    return _lower(a[0], b[0]), a[1] + b[1], a[2]
+
+
+def _all(a, b):
+    """(least id, rows, slots) of what tasks have found; b's slots join a's list."""
+    a[2].extend(b[2])
+    return _lower(a[0], b[0]), a[1] + b[1], a[2]
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are so after each run of ASCII white space becomes one space; null is empty.
-    Of equal texts the row with the smallest doc_id stays; among repeated rows with that doc_id all have
-    kept true only if they are the first of them, so one row of each group is kept. Null doc_ids come
-    last; in a group of nothing else keep_id is null. An empty table gives no row.
+    keep_id is the smallest doc_id of a row's group and kept says that it is the row's own, so rows that
+    repeat it with an equal text are all kept. Null doc_ids come last; in a group of nothing else keep_id is
+    null and all rows are kept. An empty table gives no row.
     """
     first = "doc_id long, slot long, text_sha256 string, content binary, least long, rows long"
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in first.split(", ")]
-        table, base, size = Table(_least), None, 0
+        table, size = Table(_own), 0
         members: list[tuple[int | None, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -144,23 +154,19 @@ def exact_groups(docs: DataFrame) -> DataFrame:
                 keys, values = table.keys[k : k + 512], table.values[k : k + 512]
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * n, pa.int64()), pa.array([v[2][0] for v in values], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in keys]), pa.array(keys, pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], names=names
+                    [pa.array([None] * n, pa.int64()), pa.array([v[2] for v in values], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in keys]), pa.array(keys, pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], names=names
                 )
 
-        for batch in batches:
+        for batch in parts(batches):
             for rid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 key = normalized(text)
                 before = len(table.keys)
-                k = table.add(xxhash.xxh64_intdigest(key), key, (doc_id, 1, (rid,)))
-                if len(table.keys) > before:
-                    size += len(key) + 200
-                else:  # slots of one entry are one: its first row's
-                    v = table.values[k]
-                    table.values[k] = (v[0], v[1], v[2][:1])
-                members.append((doc_id, table.values[k][2][0]))
+                k = table.add(xxhash.xxh64_intdigest(key), key, (doc_id, 1, rid))
+                size += (len(table.keys) > before) * (len(key) + 200)
+                members.append((doc_id, table.values[k][2]))
                 if size > TABLE_BYTES or len(members) > 1 << 20:
                     yield from flush()
-                    table, size, members = Table(_least), 0, []
+                    table, size, members = Table(_own), 0, []
         yield from flush()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -172,12 +178,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         names = [x.split(" ")[0] for x in second.split(", ")]
 
         def read() -> Iterator[tuple[bytes, object]]:
-            for batch in batches:
+            for batch in parts(batches):
                 for slot, key, least, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    yield key, (least, n, (slot,))
+                    yield key, (least, n, [slot])
 
         out: list[tuple] = []
-        for key, (least, n, slots) in grace(read(), _least):
+        for key, (least, n, slots) in grace(read(), _all):
             sha = hashlib.sha256(key).hexdigest()
             out += [(s, least, n, sha) for s in slots]
             if len(out) >= 4096:

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import parts
+
 #: Elements that end a block of text where they start and end.
 BLOCKS = frozenset(
     "address article aside blockquote body button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe "
@@ -38,18 +40,43 @@ KEEP_P = BLOCKS - frozenset("body html head button col colgroup object iframe no
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|[\"'][^>]*+(?:>|\Z)|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
+#: Ancestor features of a block beyond which further, more deeply nested elements add none.
+MOST_MARKS = 256
+
+
+class Open:
+    """An open element and, below it, those it is in: what blocks inside it share, made once an element.
+
+    tag, names: its own; depth: elements it is in; own: the nearest block element, itself included; section:
+    the nearest of SECTIONS; marks: features of all these elements' tags and names, at most MOST_MARKS of them.
+    Elements that add no mark share the set of the one they are in, so deep nesting takes linear memory.
+    """
+
+    __slots__ = ("tag", "depth", "own", "section", "marks")
+
+    def __init__(self, tag: str, names: tuple[str, ...], below: Open | None):
+        self.tag, self.depth = tag, below.depth + 1 if below else 0
+        self.own = tag if tag in BLOCKS else below.own if below else "body"
+        self.section = tag if tag in SECTIONS else below.section if below else "none"
+        seen = below.marks if below else frozenset()
+        new = {f"a={tag}", *(f"c={w}" for w in names), *(f"d={w[:-1]}" for w in names if w.endswith("s"))} - seen
+        self.marks = seen | new if new and len(seen) < MOST_MARKS else seen
 
 
 @dataclass
 class Block:
     text: str
     tag: str
-    above: tuple[str, ...]
-    names: frozenset[str]
+    section: str
+    marks: frozenset[str]
     linked: int
     features: list[str] = field(default_factory=list)
 
 
+BARE = Open("body", (), None)
+BARE.marks = frozenset()
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of class, id and role, and `hidden` where the element isn't shown."""
     if not attributes or not attributes.strip():
@@ -73,7 +100,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     end cuts off is a tag.
     """
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
     blocks: list[Block] = []
     parts: list[str] = []
     linked = links = silent = 0
@@ -82,9 +110,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            tags = [t for t, _ in stack]
-            own = next((t for t in reversed(tags) if t in BLOCKS), "body")
-            blocks.append(Block(text, own, tuple(tags), frozenset(n for _, ns in stack for n in ns), linked))
+            top = stack[-1] if stack else BARE
+            blocks.append(Block(text, top.own, top.section, top.marks, linked))
         parts.clear()
         linked = 0
 
@@ -99,11 +126,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def pop(k: int) -> None:
         nonlocal links, silent
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            silent -= tag in SILENT
+        for element in stack[k:]:
+            links -= element.tag == "a"
+            silent -= element.tag in SILENT
+            opened[element.tag].pop()
         del stack[k:]
 
+    def nearest(tags) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     at, n = 0, len(page)
     while at < n:
         found = _TAG.search(page, at)
@@ -116,7 +148,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if found[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            k = nearest((tag,))
             if tag in BLOCKS:
                 flush()
             if k >= 0 and tag not in ("html", "body"):
@@ -125,26 +157,21 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in BLOCKS:
             flush()
             if tag in KEEP_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), -1)
-                if k >= 0 and stack[k][0] == "p":
-                    pop(k)
+                if stack and stack[-1].own == "p":
+                    pop(nearest(("p",)))
             if tag in CLOSES:
                 closed, holds = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in holds:
-                        break
-                    if stack[k][0] in closed:
-                        pop(k)
-                        break
-            if tag == "body":
-                k = next((k for k, (t, _) in enumerate(stack) if t == "head"), -1)
-                if k >= 0:
+                k = nearest(closed)
+                if k > nearest(holds):
                     pop(k)
+            if tag == "body" and opened.get("head"):
+                pop(opened["head"][0])
         elif tag == "br":
             parts.append(" ")
         if tag in VOID or found[3].endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, _names(found[3])))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(Open(tag, _names(found[3]), stack[-1] if stack else None))
         links += tag == "a"
         silent += tag in SILENT
         if tag in RAW:
@@ -170,10 +197,10 @@ def _own(b: Block) -> list[str]:
 def featured(blocks: list[Block]) -> list[Block]:
     """The blocks, each with the names of its features."""
     own = [_own(b) for b in blocks]
+    ordered: dict[int, list[str]] = {}  # by the set, which blocks of one element share
     for k, b in enumerate(blocks):
         f = ["bias", *own[k], f"{b.tag}{own[k][1]}", f"{b.tag}{own[k][0]}"]
-        near = next((t for t in reversed(b.above) if t in SECTIONS), "none")
-        f += [f"near={near}", f"near={near}{own[k][1]}"] + [f"a={t}" for t in set(b.above)] + [f"c={w}" for w in b.names] + [f"d={w}" for w in b.names if w.endswith("s") for w in (w[:-1],)]
+        f += [f"near={b.section}", f"near={b.section}{own[k][1]}", *(ordered.get(id(b.marks)) or ordered.setdefault(id(b.marks), sorted(b.marks)))]
         f += [f"-1{x}" for x in (own[k - 1] if k else ("edge",))] + [f"+1{x}" for x in (own[k + 1] if k + 1 < len(blocks) else ("edge",))]
         if any(s in b.text for s in ("©", "(c)", "®")):
             f.append("copyright")
@@ -365,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [main_text(x, sent.value) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -37,12 +37,12 @@ def _header(kind: Column) -> Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", urn(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))),
+        line("WARC-Record-ID", urn(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("rid").cast("string")))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        line("WARC-Refers-To", F.when(revisit, urn(F.coalesce(F.col("w_id").cast("string"), F.lit("null"))))),
+        line("WARC-Refers-To", F.when(revisit, urn(F.concat_ws(":", F.coalesce(F.col("w_id").cast("string"), F.lit("null")), F.col("w_rid").cast("string"))))),
         line("X-Payload-Length", F.col("n").cast("string")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
         F.lit("\r\n"),
@@ -54,16 +54,20 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
     Payload is html in UTF-8, null as empty. Of equal payloads of at least min_bytes, the row with the
     largest page_id is the response and the others revisit it; of repeated rows with that page_id one is.
-    Null page_ids are smaller than any. Shorter payloads are all responses.
+    Null page_ids are smaller than any. Shorter payloads are all responses. A record's id is its page_id and the
+    number of its row, so repeated page_ids have records of their own.
     """
     raw = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), raw.alias("payload"), F.monotonically_increasing_id().alias("rid"))
-    rows = rows.withColumns({"key": F.sha2("payload", 256), "n": F.length("payload").cast("long"), "sha1": base32_of_hex(F.sha1("payload"))})
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), raw.alias("payload"))
+    rows = rows.withColumn("key", F.sha2("payload", 256))
+    # row numbers are made once and kept, so that a second reading of the pages can't change them
+    heads = rows.select("page_id", "url", "key", F.length("payload").cast("long").alias("n"), base32_of_hex(F.sha1("payload")).alias("sha1"), F.monotonically_increasing_id().alias("rid"))
+    heads.write.parquet(f"{path}/heads")
+    heads = pages.sparkSession.read.schema(heads.schema).parquet(f"{path}/heads")
     top = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "rid")).alias("w")
     same = F.when((F.min("sha1") == F.max("sha1")) & (F.min("n") == F.max("n")), F.col("w_key")).otherwise(F.raise_error(F.concat(F.lit("two payloads under one digest: "), F.col("w_key"))))
-    heads = rows.select("page_id", "url", "rid", "key", "n", "sha1")
     winners = heads.withColumnRenamed("key", "w_key").groupBy("w_key").agg(top, same.alias("checked")).select(F.col("checked").alias("w_key"), F.col("w.page_id").alias("w_id"), F.col("w.rid").alias("w_rid"))
-    payloads = rows.join(winners.select("w_rid", "w_key"), (F.col("rid") == F.col("w_rid")) & (F.col("key") == F.col("w_key")), "left_semi")
+    payloads = rows.join(winners, (F.col("key") == F.col("w_key")) & F.col("page_id").eqNullSafe(F.col("w_id")), "left_semi").dropDuplicates(["key"])
     payloads.select("key", "payload").write.parquet(f"{path}/payloads")
     kind = F.when((F.col("n") >= min_bytes) & (F.col("rid") != F.col("w_rid")), F.lit("revisit")).otherwise(F.lit("response"))
     records = heads.join(winners, F.col("key") == F.col("w_key"))
@@ -90,7 +94,7 @@ def field(name: str) -> Column:
 
 def fields(archive: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to as parsed from the header blocks."""
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):\d+>$", 1).try_cast("long")
     return archive.select(
         number(field("WARC-Record-ID")).alias("page_id"),
         field("WARC-Target-URI").alias("url"),

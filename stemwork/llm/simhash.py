@@ -8,6 +8,7 @@ counter holds CHUNK terms, and longer documents are counted chunk by chunk.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from itertools import combinations
 
@@ -19,8 +20,8 @@ BITS, LANE, HEAVIEST = 128, 21, 16
 CHUNK = (1 << LANE) // HEAVIEST - 1
 #: Hamming radius of the search, and blocks of 16 bits: within the radius at least BLOCKS - RADIUS are equal.
 RADIUS, BLOCKS = 6, 8
-#: Neighbours in the order of doc_id are found in buckets of about so many rows, 4096 buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 200, 4096
+#: Neighbours in the order of doc_id are found in buckets of about so many rows; quantiles, and parts of each, at most.
+BUCKET_ROWS, MOST_BUCKETS, MOST_PARTS = 200, 4096, 64
 
 
 def terms(text: Column) -> Column:
@@ -86,24 +87,48 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bl
     return met.where(F.col("distance") <= radius).select("q_hi", "q_lo", "hi", "lo", "n", "distance").distinct()
 
 
+def _buckets(ids: DataFrame) -> Column:
+    """A column that grows with (i, h), with about BUCKET_ROWS rows to a value, found from the ids (i) of all rows.
+
+    Edges are quantiles of i. Between two of them rows are split evenly by i, so that the number of buckets
+    grows with the table up to MOST_BUCKETS * MOST_PARTS; rows of an id that is several quantiles, by h.
+    """
+    count, least, most, points = ids.agg(F.count("*"), F.min("i"), F.max("i"), F.percentile_approx("i", [k / MOST_BUCKETS for k in range(1, MOST_BUCKETS)], 5 * MOST_BUCKETS)).first()
+    if not count:
+        return F.lit(0)
+    n = max(1, min(MOST_BUCKETS, count // BUCKET_ROWS))
+    parts = max(1, min(MOST_PARTS, count // (BUCKET_ROWS * n)))
+    chosen = [points[k * MOST_BUCKETS // n - 1] for k in range(1, n)]
+    edges = sorted(set(chosen))
+    repeats = Counter(chosen)
+    same = [0, *(repeats[e] for e in edges)]  # quantiles that the lower edge is
+    low, high = [least, *edges], [*edges, most + 1 if most < (1 << 63) - 1 else most]
+    own = [c * parts if c > 1 else 0 for c in same]
+    start = [0]
+    for c in own:
+        start.append(start[-1] + c + parts)
+    step = max(1, int(len(edges) ** 0.5))
+    groups = [edges[k : k + step] for k in range(0, len(edges), step)]
+    array = lambda values: F.array(*[F.lit(x).cast("long") for x in values])
+    below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("i")))
+    k = F.lit(1)
+    if groups:
+        g = below(array([g[0] for g in groups]))
+        k = F.when(g == 0, 1).otherwise((g - 1) * step + below(F.element_at(F.array(*map(array, groups)), F.greatest(g, F.lit(1)))) + 1)
+    at = lambda values: F.element_at(array(values), k)
+    share = (F.col("i").cast("double") - at(low)) / F.greatest(F.lit(1.0), at(high).cast("double") - at(low))
+    inside = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(share * parts)))
+    by_hash = F.floor((F.col("h").cast("double") / float(1 << 64) + 0.5) * at(own))
+    return at(start) + F.when((at(own) > 0) & (F.col("i") == at(low)), F.least(at(own) - 1, by_hash)).otherwise(at(own) + inside)
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """b, doc_id, text, next (text of the next document, descending doc_id, the last one's is the first),
     extra (a copy of a bucket's first row at the end of the bucket before it), o (the order in b)."""
     lowest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("i", F.coalesce("doc_id", lowest)).withColumn("h", F.xxhash64("text"))
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("i")).agg(F.count("*"), F.percentile_approx("i", [k / MOST_BUCKETS for k in range(1, MOST_BUCKETS)], 5 * MOST_BUCKETS)).first()
-    n = max(1, min(MOST_BUCKETS, found[0] // BUCKET_ROWS))
-    edges = sorted({found[1][k * MOST_BUCKETS // n - 1] for k in range(1, n)}) if found[0] else []
-    step = max(1, int(len(edges) ** 0.5))
-    groups = [edges[k : k + step] for k in range(0, len(edges), step)]
-    below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("i")))
-    if groups:
-        fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-        rows = rows.withColumn("g", below(F.array(*[F.lit(g[0]).cast("long") for g in groups])))
-        rows = rows.withColumn("b", F.when(F.col("g") == 0, 0).otherwise((F.col("g") - 1) * step + below(F.element_at(fine, F.greatest("g", F.lit(1))))))
-    else:
-        rows = rows.withColumn("b", F.lit(0))
+    rows = rows.withColumn("b", _buckets(docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("i"))))
     firsts = rows.groupBy("b").agg(F.max(F.struct("i", "h")).alias("top"))  # one row of 24 bytes a bucket
     order = W.orderBy(F.col("b").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before = F.coalesce(F.lag("b").over(W.orderBy(F.col("b").desc())), F.last("b").over(order))

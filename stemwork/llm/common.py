@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: ASCII white space, the separators of words in every contract of this subpackage.
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="stemwork-"))
     return f"file://{_local_scratch[0]}"
@@ -47,11 +52,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Writes df to the shared folder in buckets by key, one for each shuffle partition: joins on key then move the other side alone."""
+    spark = df.sparkSession
+    place = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stemwork/{place}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(f"stemwork_{place}")
+    tables_written.append(path)
+    return spark.table(f"stemwork_{place}")
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that no more of them become Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def release(spark: SparkSession, start: int) -> None:
     """Deletes the tables written since there were `start` of them, but for the last, through Spark's file systems."""
     for path in tables_written[start:-1]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        spark.sql(f"DROP TABLE IF EXISTS stemwork_{path.rpartition('/')[2]}" if "-" not in path.rpartition("/")[2] else "SELECT 1")
     del tables_written[start:-1]
 
 

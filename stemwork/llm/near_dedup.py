@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import checkpointed, written
+from .common import bucketed, checkpointed, parts, written
 
 WORDS, PERCENT, TREES, SHALLOW, DEEPEST, SEED = 5, 75, 32, 4, 8, 7
 #: Sets that follow a set in an order and are its neighbours, in the first pass and in the second.
@@ -86,7 +86,7 @@ def sketched(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             n, digests, hi, lo = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
@@ -101,32 +101,32 @@ def sketched(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "sketches")
 
 
-def _neighbours(rows: np.ndarray, new: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, depth) of neighbours up to `reach` apart in sorted rows (t, hi, lo, uid, c) whose c differ; b is among the last `new` rows."""
-    n = len(rows)
+def _neighbours(rows: np.ndarray, new: int, reach: int, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, depth, fits) of neighbours up to `reach` apart in sorted rows (t, hi, lo, uid, c, n) whose c differ; b is among the last `new`."""
+    count = len(rows)
     for step in range(1, reach + 1):
-        first = max(0, n - new - step)
-        x, y = rows[first : n - step], rows[first + step :]
+        first = max(0, count - new - step)
+        x, y = rows[first : count - step], rows[first + step :]
         hit = (x[:, 0] == y[:, 0]) & (x[:, 1] == y[:, 1]) & (x[:, 4] != y[:, 4])
         x, y = x[hit], y[hit]
         apart = (x[:, 2] ^ y[:, 2]).view(np.uint64)
-        yield x[:, 3], y[:, 3], SHALLOW + sum((apart >> s == 0).astype(np.int64) for s in _SHIFT)
+        fits = 100 * np.minimum(x[:, 5], y[:, 5]) >= percent * np.maximum(x[:, 5], y[:, 5])
+        yield x[:, 3], y[:, 3], SHALLOW + sum((apart >> s == 0).astype(np.int64) for s in _SHIFT), fits.astype(np.int64)
 
 
-def forest(sets: DataFrame, reach: int) -> DataFrame:
-    """a, b, depth: neighbours in each tree whose c differ, with the length of their common prefix.
+def forest(sets: DataFrame, reach: int, percent: int = PERCENT) -> DataFrame:
+    """a, b, depth, fits: neighbours in each tree whose c differ, the length of their common prefix, and whether their sizes allow a link.
 
-    sets: uid, c, hi, lo. Rows are dealt by ranges of (tree, label, uid), so no label is a task's alone. The rows
-    at both ends of each range are compared with those of the next one apart from the others.
+    sets: uid, c, n, hi, lo. Rows are dealt by ranges of (tree, label, uid), so no label is a task's alone. The
+    rows at both ends of each range are compared with those of the next one apart from the others.
     """
-    schema = "a long, b long, depth long, t long, hi long, lo long, uid long, c long"
+    schema = "a long, b long, depth long, fits long, t long, hi long, lo long, uid long, c long, n long"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    keys = names[3:]
+    keys, none = names[4:], lambda n: [pa.nulls(n, pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = lambda n: [pa.nulls(n, pa.int64())]
-        ends = lambda rows: pa.RecordBatch.from_arrays(none(len(rows)) * 3 + [pa.array(rows[:, i]) for i in range(5)], names=names)
-        last, seen = np.empty((0, 5), np.int64), 0
+        ends = lambda rows: pa.RecordBatch.from_arrays(none(len(rows)) * 4 + [pa.array(rows[:, i]) for i in range(len(keys))], names=names)
+        last, seen = np.empty((0, len(keys)), np.int64), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -134,46 +134,46 @@ def forest(sets: DataFrame, reach: int) -> DataFrame:
             if seen < reach:
                 yield ends(new[: reach - seen])
             rows = np.concatenate([last, new])
-            for a, b, depth in _neighbours(rows, len(new), reach):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth), *none(len(a)) * 5], names=names)
+            for found in _neighbours(rows, len(new), reach, percent):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), *none(len(found[0])) * len(keys)], names=names)
             seen += len(new)
             last = rows[-reach:]
         yield ends(last[max(0, len(last) - max(0, seen - reach)) :])
 
     trees = F.explode(F.arrays_zip(F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long")).alias("t"), "hi", "lo"))
-    order = sets.select("uid", "c", trees.alias("x")).select("x.t", "x.hi", "x.lo", "uid", "c")
-    found = written(order.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "neighbours")
-    inside = found.where("a is not null").select("a", "b", "depth")
+    order = sets.select("uid", "c", "n", trees.alias("x")).select("x.t", "x.hi", "x.lo", "uid", "c", "n")
+    found = written(order.repartitionByRange(*keys[:4]).sortWithinPartitions(*keys[:4]).mapInArrow(run, schema), "neighbours")
+    inside = found.where("a is not null").select("a", "b", "depth", "fits")
     ends = found.where("a is null").select(*keys)
     w = W.partitionBy("t").orderBy("hi", "lo", "uid")
     for step in range(1, reach + 1):
-        next_ = F.lead(F.struct("hi", "lo", "uid", "c"), step).over(w)
-        pairs = ends.withColumn("y", next_).where("y.hi = hi and y.c <> c")
+        pairs = ends.withColumn("y", F.lead(F.struct(*keys), step).over(w)).where("y.hi = hi and y.c <> c")
         apart = F.col("lo").bitwiseXOR(F.col("y.lo"))
         depth = SHALLOW + sum(((F.shiftrightunsigned(apart, int(s)) == 0).cast("long") for s in _SHIFT), F.lit(0).cast("long"))
-        inside = inside.union(pairs.select("uid", F.col("y.uid"), depth))
+        inside = inside.union(pairs.select("uid", "y.uid", depth, _fits("n", "y.n", percent).cast("long")))
     return inside
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int = WORDS) -> DataFrame:
-    """uid, n, s (sorted shingles) of the documents whose doc_id is a uid of chosen and whose text has words; written."""
+    """uid, n, s (sorted shingles) of the documents whose doc_id is a uid of chosen and whose text has words; in buckets by uid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                s = [shingles(x, size).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, s), pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["uid", "n", "s"])
+        for part in parts(batches):
+            s = [shingles(x, size).view(np.int64) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, s), pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["uid", "n", "s"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").cast("string").alias("text")).join(chosen, "uid", "left_semi").dropDuplicates(["uid", "text"])
-    return written(some.mapInArrow(run, "uid long, n long, s array<long>").where("n > 0"), "sets")
+    return bucketed(some.mapInArrow(run, "uid long, n long, s array<long>").where("n > 0"), "sets", "uid")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. sets: uid, n, s."""
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. sets: uid, n, s.
+
+    Only pairs move, the second time with a's set.
+    """
     x = sets.select(F.col("uid").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"))
     y = sets.select(F.col("uid").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b").where(_fits("a_n", "b_n", percent))
+    both = pairs.select("a", "b").hint("shuffle_merge").join(x, "a").hint("shuffle_merge").join(y, "b").where(_fits("a_n", "b_n", percent))
     both = both.withColumn("same", F.size(F.array_intersect("a_s", "b_s")))
     return both.where(100 * F.col("same") >= percent * (F.col("a_n") + F.col("b_n") - F.col("same"))).select("a", "b")
 
@@ -213,7 +213,7 @@ def unseen(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     flat = nodes.select("uid", "c", F.posexplode("hi").alias("t", "hi"))
     mixed = flat.groupBy(F.col("t").alias("m_t"), F.col("hi").alias("m_hi")).agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("top")).where(f"m > {REACH[1] + 1} and low <> top")
     open_ = flat.join(mixed, (F.col("t") == F.col("m_t")) & (F.col("hi") == F.col("m_hi")), "left_semi").select("uid", "c").distinct()
-    held = checkpointed(open_.join(sets, "uid").select("uid", "c", "n", F.explode("s").alias("s")))
+    held = checkpointed(open_).join(sets, "uid").select("uid", "c", "n", F.explode("s").alias("s"))
     common = held.groupBy(F.col("s").alias("f_s")).agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("top")).where("df > 1")
     ranked = held.join(common, F.col("s") == F.col("f_s")).select("uid", "c", "n", F.struct("df", "s", (F.col("low") != F.col("top")).alias("apart")).alias("x"))
     sorted_ = ranked.groupBy("uid", "c", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
@@ -242,21 +242,18 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     own = sketches.where("n > 0")
     firsts = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("uid"))
     with_uid = own.join(firsts.withColumnsRenamed({"s1": "z1", "s2": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2")))
-    nodes = checkpointed(with_uid.where("doc_id = uid").dropDuplicates(["s1", "s2"]).select("uid", F.col("uid").alias("c"), "hi", "lo"))
-    near = forest(nodes, REACH[0])
-    near = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("depth").alias("w"))
-    near = checkpointed(near)
-    sides = near.select(F.col("a").alias("uid"), F.col("b").alias("o"), "w").union(near.select("b", "a", "w"))
-    best = checkpointed(sides.groupBy("uid").agg(F.max(F.struct("w", "o"))["o"].alias("o")))
+    nodes = checkpointed(with_uid.where("doc_id = uid").dropDuplicates(["s1", "s2"]).select("uid", F.col("uid").alias("c"), "n", "hi", "lo"))
+    near = forest(nodes, REACH[0], percent).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("fits").alias("fits"), F.sum("depth").alias("w"))
+    sides = near.withColumn("x", F.explode(F.array(F.struct(F.col("a").alias("uid"), F.col("b").alias("o")), F.struct(F.col("b").alias("uid"), F.col("a").alias("o")))))
+    best = checkpointed(sides.groupBy("x.uid").agg(F.max(F.struct("fits", "w", "x.o")).alias("m")).select("uid", "m.fits", "m.o"))
     close = checkpointed(nodes.join(best.select("uid"), "uid", "left_semi"))
     sets = shingle_sets(docs, best.select("uid"), size)
-    pairs = best.select(F.least("uid", "o").alias("a"), F.greatest("uid", "o").alias("b")).distinct()
+    pairs = checkpointed(best.where("fits = 1").select(F.least("uid", "o").alias("a"), F.greatest("uid", "o").alias("b")).distinct())
     links = checkpointed(confirmed(pairs, sets, percent))
 
     close = checkpointed(_labelled(close, links))
-    second = forest(close, REACH[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = second.join(pairs, ["a", "b"], "left_anti")
-    links = checkpointed(links.union(confirmed(more, sets, percent)))
+    second = forest(close, REACH[1], percent).where("fits = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = checkpointed(links.union(confirmed(second.join(pairs, ["a", "b"], "left_anti"), sets, percent)))
 
     close = checkpointed(_labelled(close, links))
     links = checkpointed(links.union(confirmed(unseen(close, sets, percent), sets, percent)))

@@ -20,10 +20,13 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5, with a model fitted on those of the labelled ones that are in docs."""
+    """Documents that score below 0.5, with a model fitted on those of the labelled ones that are in docs.
+
+    Where the labels are of one kind there is nothing to tell documents apart by, and all stay.
+    """
     docs = docs.select(COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scan_all(docs, model, COLUMNS).where("score < 0.5").select(COLUMNS)
+    return docs if model.curve is None else toxicity.scan_all(docs, model, COLUMNS, details=False).where("score < 0.5").select(COLUMNS)
 
 
 def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of 150 % of all words takes them."""
-    mixed = mixing.mix(docs.select(COLUMNS)).where("copies > 0")
+    """Documents as often as the mixture of 150 % of all words takes them, longer ones with greater odds."""
+    mixed = mixing.mix(docs.select(COLUMNS), weight=mixing.by_length(F.col("text"))).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 

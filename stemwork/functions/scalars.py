@@ -19,6 +19,7 @@ CONIFER_GENERA = ("PI", "AB", "CA", "PS", "SE", "TS", "JU", "CU")
 BROADLEAF_TAXA = ("CANO9", "CASP8")
 BIOMASS = {"conifer": (-2.5356, 2.4349), "broadleaf": (-2.4800, 2.4835)}
 TOWER_HALF, OTHER_HALF = 20.0, 10.0
+FNV_BASIS, FNV_PRIME = 2166136261.0, 16777619.0
 # End of fixed values.
 
 
@@ -206,3 +207,14 @@ def gaussian(*of) -> Column:
 def key_hash(*of) -> Column:
     """31-bit seed of a key, from its MD5 (own hash: it does not repeat any other package's seeds)."""
     return F.floor(unit(*of) * (1 << 31)).cast("long")
+
+
+def seed_for(*of) -> Column:
+    """31-bit seed of a key, its parts joined by bars, by the FNV-1a hash of its characters' low 7 bits in doubles.
+
+    Products beyond 2^53 are rounded as doubles are, which is part of the definition. NULL parts are native.
+    """
+    text = F.concat_ws("|", *[F.coalesce(_c(x).cast("string"), F.lit("native")) for x in of])
+    low = lambda h: F.pmod(h, F.lit(128.0)).cast("int")
+    step = lambda h, c: F.pmod((h - low(h) + low(h).bitwiseXOR(F.ascii(c))) * FNV_PRIME, F.lit(2.0**32))
+    return F.pmod(F.aggregate(F.split(text, ""), F.lit(FNV_BASIS), step), F.lit(2.0**31)).cast("long")

@@ -65,7 +65,10 @@ def isotonic(train: DataFrame, apply: DataFrame, keys: list[str], score: str = "
 
     fitted = rows.groupBy(*keys).applyInPandas(fit, f"{kinds}, kx array<double>, ky array<double>")
     at = F.col(score).cast("double")
-    k = F.size(F.filter("kx", lambda x: x <= at))
+    # how many knots are not above the score, by bisection in at most 40 steps
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.get("kx", ((s["lo"] + s["hi"]) / 2).cast("int")) <= at, F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size("kx") + F.lit(1.0))).cast("int") + 1))
+    k = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size("kx").alias("hi")), step, lambda s: s["lo"])
     x0, x1, y0, y1 = F.get("kx", k - 1), F.get("kx", k), F.get("ky", k - 1), F.get("ky", k)
     value = F.when(k == 0, F.get("ky", F.lit(0))).when(k == F.size("kx"), y0).otherwise(y0 + (y1 - y0) * F.try_divide(at - x0, x1 - x0))
     value = F.when(at.isNotNull() & F.col("kx").isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
@@ -98,7 +101,9 @@ def precision_at_recall(scored: DataFrame, keys: list[str], target: float, score
 
 
 def unit_range(rows: DataFrame, by: list[str], value: str, out: str = "prob") -> DataFrame:
-    """Min-max normalization by group; 0.5 where a group's values are all alike."""
-    w = W.partitionBy(*by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return rows.withColumn(out, F.when(high == low, 0.5).otherwise((F.col(value) - low) / F.when(high != low, high - low)))
+    """Min-max normalization by group; 0.5 where a group's values are all alike. The ends come from one aggregate that joins the rows."""
+    ends = rows.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(by)]).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    joined = rows.join(ends, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(by)])
+    low, high = F.col("_low"), F.col("_high")
+    scaled = F.when(high == low, 0.5).otherwise((F.col(value) - low) / F.when(high != low, high - low))
+    return joined.withColumn(out, scaled).drop("_low", "_high", *[f"_e{i}" for i in range(len(by))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import CHM_ARMS
@@ -11,12 +12,43 @@ from stemwork.functions.scalars import CHM_ARMS
 from . import matching, spatial
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str = "point") -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str = "point", rounds: bool = False) -> DataFrame:
     """nodes with cluster, the least node that edges (keys, a, b) connect them to.
 
-    Labels spread along edges and each round also jumps to the label's label, so paths take a number of
-    rounds that is logarithmic in their length; every round is checkpointed.
+    A cell's edges are joined in one Arrow group, which suits cells that are plots. For cells whose edges don't
+    fit a task there are rounds: labels spread along edges and each round also jumps to the label's label, so
+    paths take a number of rounds that is logarithmic in their length; every round is checkpointed.
     """
+    names = {k: f"_c{i}" for i, k in enumerate(keys)}
+    labels = (_spread(nodes, edges, keys, node) if rounds else _joined(edges, keys)).withColumnsRenamed(names)
+    on = [*[F.col(k).eqNullSafe(F.col(c)) for k, c in names.items()], F.col(node) == F.col("n")]
+    return nodes.join(labels, on, "left").withColumn("cluster", F.coalesce("l", node)).drop(*names.values(), "n", "l")
+
+
+def _joined(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, l) of the nodes of edges, by union of sets that keep their least node."""
+    rows = edges.select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+    def kernel(cell: pd.DataFrame) -> pd.DataFrame:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above.setdefault(y, y)
+            return x
+
+        for x, y in zip(cell.a.tolist(), cell.b.tolist(), strict=True):
+            x, y = top(x), top(y)
+            above[max(x, y)] = min(x, y)
+        nodes = list(above)
+        return pd.DataFrame({**{k: [cell[k].iloc[0]] * len(nodes) for k in keys}, "n": nodes, "l": [top(x) for x in nodes]})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return rows.groupBy(*keys).applyInPandas(kernel, f"{kinds}, n long, l long")
+
+
+def _spread(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """(keys, n, l) of all nodes, in rounds."""
     both = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b"), F.col("a"))).distinct().checkpoint()
     now = nodes.select(*keys, F.col(node).alias("n"), F.col(node).alias("l")).checkpoint()
     while True:
@@ -27,9 +59,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str =
         done = after.where("l2 <> l").isEmpty()
         now = after.select(*keys, "n", F.col("l2").alias("l"))
         if done:
-            names = {k: f"_c{i}" for i, k in enumerate(keys)}
-            labels = now.withColumnsRenamed(names)
-            return nodes.join(labels, [*[F.col(k).eqNullSafe(F.col(c)) for k, c in names.items()], F.col(node) == F.col("n")]).drop(*names.values(), "n").withColumnRenamed("l", "cluster")
+            return now
 
 
 def fuse(apexes: DataFrame, keys: list[str], tol: float = 2.0, dz: float = 5.0) -> DataFrame:
@@ -95,3 +125,18 @@ def credits(fps: DataFrame, keys: list[str], arm_family: str, radius: float = 2.
     seen = spatial.witnesses(mine, some.where(F.col("fam") != arm_family), radius, keys, "point").where(F.col("families") >= families)
     kept = matching.suppress(mine.join(seen.select(*keys, "point"), [*keys, "point"]), keys, radius)
     return kept.groupBy(*keys).agg(F.count("*").alias("credited"))
+
+
+def sensitivity(fps: DataFrame, keys: list[str], arm_family: str, radii: tuple[float, ...] = (1.5, 2.0, 3.0), families: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(keys, radius, families, credited): credits() over a grid of its parameters, in one plan.
+
+    Witnesses are counted once for each radius and number of families; settings without credits have no row.
+    """
+    some = fps.where("eligible").drop("eligible")
+    grid = F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.lit(int(k)).alias("families")) for r in radii for k in families])
+    mine = some.where(F.col("fam") == arm_family).withColumn("_g", F.explode(grid)).select(*some.columns, "_g.radius", F.col("_g.families").alias("least"))
+    near = spatial.within(mine, some.where(F.col("fam") != arm_family), max(radii), keys, extra=F.col("r_fam") != F.col("fam"))
+    near = near.where(F.col("d2") <= F.col("radius") * F.col("radius"))
+    seen = near.groupBy(*keys, "radius", "least", "point", "x", "y").agg(F.count_distinct("r_fam").alias("n")).where(F.col("n") >= F.col("least"))
+    kept = matching.suppress_by(seen, [*keys, "radius", "least"], "radius")
+    return kept.groupBy(*keys, "radius", F.col("least").alias("families")).agg(F.count("*").alias("credited"))

@@ -155,10 +155,17 @@ def in_turn(pairs: DataFrame, keys: list[str], a: str = "stem", b: str = "det",
     return rows.groupBy(*keys).applyInPandas(kernel, _fields(rows, rows.columns))
 
 
-def agreement(matched: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_left, n_right, matched, jaccard): how far two sets agree by their matches."""
+def agreement(matched: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], a: str = "stem", b: str = "det") -> DataFrame:
+    """(keys, n_left, n_right, diff, matched, jaccard, dz_mean, dz_sd): how far two sets agree by their matches.
+
+    dz is the height of b less that of a over the matches; its sample deviation is NULL for fewer than two.
+    """
     count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    rows = count(left, "n_left").join(count(right, "n_right"), keys, "full").join(count(matched, "matched"), keys, "full").na.fill(0, ["n_left", "n_right", "matched"])
+    side = lambda df, item, z: df.select(*keys, F.col(item), F.col("z").alias(z))
+    pairs = matched.join(side(left, a, "_za"), [*keys, a], "left").join(side(right, b, "_zb"), [*keys, b], "left").withColumn("_dz", F.col("_zb") - F.col("_za"))
+    found = pairs.groupBy(*keys).agg(F.count("*").alias("matched"), F.avg("_dz").alias("dz_mean"), F.stddev_samp("_dz").alias("dz_sd"))
+    rows = count(left, "n_left").join(count(right, "n_right"), keys, "full").join(found, keys, "full").na.fill(0, ["n_left", "n_right", "matched"])
+    rows = rows.withColumn("diff", F.col("n_left") - F.col("n_right"))
     return rows.withColumn("jaccard", F.try_divide(F.col("matched").cast("double"), F.col("n_left") + F.col("n_right") - F.col("matched")))
 
 
@@ -168,6 +175,12 @@ def suppress(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(lambda cell: _suppressed(cell, radius), _fields(rows, rows.columns))
 
 
+def suppress_by(points: DataFrame, keys: list[str], radius: str) -> DataFrame:
+    """suppress() with a radius that is one of the keys."""
+    rows = points.select(*keys, "x", "y")
+    return rows.groupBy(*keys).applyInPandas(lambda cell: _suppressed(cell, float(cell[radius].iloc[0])), _fields(rows, rows.columns))
+
+
 def _suppressed(cell: pd.DataFrame, radius: float) -> pd.DataFrame:
     cell = cell.sort_values(["x", "y"], kind="stable")
     grid: dict[tuple[int, int], list[tuple[float, float]]] = {}

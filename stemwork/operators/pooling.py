@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import BANDS, CLASSES, f1, finite, half_even, rate, rung_order, total
 
@@ -19,8 +19,8 @@ def _hits(rec: str, n: str):
     return total(F.when(F.col(n) > 0, half_even(F.col(rec) * F.col(n)))).cast("long")
 
 
-def pool(cells: DataFrame, by: list[str], classes: tuple[str, ...] = CLASSES) -> DataFrame:
-    """One row a group with n_plots (distinct cells), summed counts and the rates of the sums.
+def pool(cells: DataFrame, by: list[str], classes: tuple[str, ...] = CLASSES, *more: Column) -> DataFrame:
+    """One row a group with n_plots (distinct cells), summed counts, the rates of the sums, and `more` aggregates.
 
     Columns for classes, height bands and credited precision appear if cells have what they need. Rates
     over nothing are NULL. The credited precision divides by no less than the true positives.
@@ -34,6 +34,7 @@ def pool(cells: DataFrame, by: list[str], classes: tuple[str, ...] = CLASSES) ->
     aggs = [F.countDistinct(key).alias("n_plots"), *[total(c).cast("long").alias(c) for c in ("n_ref", "n_det", "TP", "tp_core")]]
     aggs += [x for g, rec, n in groups for x in (_hits(rec, n).alias(f"_tp_{g}"), total(n).cast("long").alias(n))]
     aggs += [total("fp_credited").cast("long").alias("_credit"), F.count_if(finite("fp_credited")).alias("_credits")] if credited else []
+    aggs += more
     out = cells.groupBy(*by).agg(*aggs)
     out = out.withColumns({"recall": rate("TP", "n_ref"), "precision": F.when(F.col("n_det") > 0, rate("tp_core", "n_det"))}).withColumn("F1", f1("recall", "precision"))
     for g, rec, n in groups:
@@ -51,30 +52,31 @@ def pool(cells: DataFrame, by: list[str], classes: tuple[str, ...] = CLASSES) ->
 def equal_set_guard(cells: DataFrame, arms: list[str], keys: list[str] = CELL, arm: str = "detector") -> tuple[DataFrame, DataFrame]:
     """(rows of the cells that every arm has scored, keys of the other cells).
 
-    Rows of further detectors in those cells stay. NULL keys are keys.
+    Rows of further detectors in those cells stay. NULL keys are keys. A cell's arms are gathered over its own
+    rows, which are as many as it has arms and settings, so the cells are read and shuffled once.
     """
-    seen = cells.groupBy(*keys).agg(F.count_distinct(F.when(F.col(arm).isin(*arms), F.col(arm))).alias("_arms"))
-    names = {k: f"_g_{k}" for k in keys}
-    whole = seen.where(F.col("_arms") == len(set(arms))).drop("_arms").withColumnsRenamed(names)
-    on = [F.col(k).eqNullSafe(F.col(g)) for k, g in names.items()]
-    return cells.join(whole, on, "left_semi"), seen.where(F.col("_arms") < len(set(arms))).drop("_arms")
+    wanted = F.when(F.col(arm).isin(*arms), F.col(arm))
+    kept = cells.withColumn("_arms", F.size(F.collect_set(wanted).over(W.partitionBy(*keys)))).where(F.col("_arms") == len(set(arms))).drop("_arms")
+    dropped = cells.groupBy(*keys).agg(F.count_distinct(wanted).alias("_arms")).where(F.col("_arms") < len(set(arms))).drop("_arms")
+    return kept, dropped
 
 
 def pool_arms(cells: DataFrame, arms: list[str]) -> DataFrame:
     """Guarded pool by detector and rung, with the mean first-return density (two decimals) and the rung's place."""
     kept, _ = equal_set_guard(cells, arms)
-    kept = kept.where(F.col("detector").isin(*arms))
-    out = pool(kept, ["detector", "rung"]).withColumn("rung_place", rung_order("rung"))
-    if "frdens" not in cells.columns:
-        return out
-    density = kept.groupBy(F.col("detector").alias("_d"), F.col("rung").alias("_r")).agg(F.bround(F.avg("frdens"), 2).alias("mean_frdens"))
-    return out.join(density, (F.col("detector") == F.col("_d")) & (F.col("rung") == F.col("_r"))).drop("_d", "_r")
+    density = [F.bround(F.avg("frdens"), 2).alias("mean_frdens")] if "frdens" in cells.columns else []
+    return pool(kept.where(F.col("detector").isin(*arms)), ["detector", "rung"], CLASSES, *density).withColumn("rung_place", rung_order("rung"))
 
 
 def deltas(pooled: DataFrame, baseline: str, values: tuple[str, ...] = ("recall", "precision", "F1")) -> DataFrame:
-    """By rung, each other detector's values less the baseline's (d_<value>); rungs without a baseline go."""
-    base = pooled.where(F.col("detector") == baseline).select(F.col("rung").alias("_r"), *[F.col(v).alias(f"base_{v}") for v in values])
-    rows = pooled.where(F.col("detector") != baseline).join(base, F.col("rung") == F.col("_r"))
+    """By rung, each other detector's values less the baseline's (d_<value>); rungs without a baseline go.
+
+    The baseline's values come from a window over the rung's pooled rows, one a detector.
+    """
+    rung = W.partitionBy("rung")
+    of = lambda v: F.max(F.when(F.col("detector") == baseline, F.col(v))).over(rung)
+    rows = pooled.withColumns({"_has": F.max((F.col("detector") == baseline).cast("int")).over(rung), **{f"base_{v}": of(v) for v in values}})
+    rows = rows.where((F.col("_has") == 1) & (F.col("detector") != baseline))
     return rows.select("detector", "rung", *values, *[f"base_{v}" for v in values], *[(F.col(v) - F.col(f"base_{v}")).alias(f"d_{v}") for v in values])
 
 
@@ -121,3 +123,56 @@ def pair_cells(cells: DataFrame, a: str, b: str, keys: list[str] = CELL) -> tupl
     two = cells.where(F.col("detector").isin(a, b))
     kept, dropped = equal_set_guard(two, [a, b], keys)
     return kept, dropped.agg(F.count("*").alias("n_drop"))
+
+
+def equivalence(scoped: DataFrame, a: str, b: str, by: str = "rung") -> DataFrame:
+    """(scope, recall, n_ref and TP of a and of b, delta_recall): two poolings in long form set side by side.
+
+    scoped: by, scope, recall, n_ref, TP. Scopes that one of them lacks go.
+    """
+    side = lambda v, s: scoped.where(F.col(by) == v).select(F.col("scope").alias(f"scope_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("recall", "n_ref", "TP")])
+    rows = side(a, "a").join(side(b, "b"), F.col("scope_a") == F.col("scope_b"))
+    return rows.drop("scope_b").withColumnRenamed("scope_a", "scope").withColumn("delta_recall", F.col("recall_a") - F.col("recall_b"))
+
+
+def _held(cells: DataFrame, chosen: DataFrame, by: list[str], fixed: str) -> DataFrame:
+    """cells whose `fixed` parameter is that chosen for their group, with what else was chosen."""
+    c = chosen.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(by)} | {fixed: "_fixed"})
+    return cells.join(c, [*[F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(by)], F.col(fixed) == F.col("_fixed")]).drop("_fixed", *[f"_h{i}" for i in range(len(by))])
+
+
+def heldout_optimum(cells: DataFrame, chosen: DataFrame, by: list[str], item: str = "plot", param: str = "chm_res", fixed: str = "vwf_a", target: float = 0.5) -> DataFrame:
+    """(by, fixed, cal_<param>, ho_<param>, ho_F1, F1_at_target, is_target, n_pool, n_drop, n_res): whether the best `param` holds out of sample.
+
+    cells: the held-out rows. chosen: by, fixed, param, as calibration chose them. With `fixed` held there, F1
+    is pooled for each value of `param` over the items that have all of the group's values; the greatest wins,
+    of equal ones the finest. Groups without such items have NULLs and 0.
+    """
+    from .selection import complete_cases, keep
+
+    held = _held(cells, chosen.select(*by, fixed, F.col(param).alias("_cal")), by, fixed)
+    whole = complete_cases(held, item, param, by)
+    f = pool(whole, [*by, param], ()).select(*by, param, "F1")
+    best = keep(f.where("F1 is not null"), by, F.col("F1").desc(), F.col(param))
+    at = f.where(F.abs(F.col(param) - target) < 1e-9).groupBy(*by).agg(F.max("F1").alias("F1_at_target"))
+    n_res = f.where("F1 is not null").groupBy(*by).agg(F.count("*").alias("n_res"))
+    n_all = held.groupBy(*by).agg(F.count_distinct(item).alias("_all"))
+    n_pool = whole.groupBy(*by).agg(F.count_distinct(item).alias("n_pool"))
+    out = chosen.select(*by, fixed, F.col(param).alias(f"cal_{param}"))
+    for k, df in enumerate((best.withColumnsRenamed({param: f"ho_{param}", "F1": "ho_F1"}), at, n_res, n_all, n_pool)):
+        names = {c: f"_o{k}_{i}" for i, c in enumerate(by)}
+        out = out.join(df.withColumnsRenamed(names), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left").drop(*names.values())
+    out = out.na.fill(0, ["n_res", "_all", "n_pool"]).withColumn("n_drop", F.col("_all") - F.col("n_pool")).drop("_all")
+    return out.withColumn("is_target", F.when(F.col(f"ho_{param}").isNotNull(), F.abs(F.col(f"ho_{param}") - target) < 1e-9))
+
+
+def slope_spread(cells: DataFrame, chosen: DataFrame, by: list[str], item: str = "plot", param: str = "vwf_a", fixed: str = "chm_res") -> DataFrame:
+    """(by, fixed, f1_min, f1_max, spread, n_pool): how far pooled F1 moves with `param` where `fixed` is as chosen."""
+    held = _held(cells, chosen.select(*by, fixed), by, fixed)
+    f = pool(held, [*by, param], ()).groupBy(*by).agg(F.min("F1").alias("f1_min"), F.max("F1").alias("f1_max"))
+    n = held.groupBy(*by).agg(F.count_distinct(item).alias("n_pool"))
+    out = chosen.select(*by, fixed)
+    for k, df in enumerate((f, n)):
+        names = {c: f"_o{k}_{i}" for i, c in enumerate(by)}
+        out = out.join(df.withColumnsRenamed(names), [F.col(c).eqNullSafe(F.col(m)) for c, m in names.items()], "left").drop(*names.values())
+    return out.na.fill(0, ["n_pool"]).withColumn("spread", F.col("f1_max") - F.col("f1_min"))

@@ -20,8 +20,12 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
 
-def surface(points: DataFrame, keys: list[str], res: float, top: str = "z") -> DataFrame:
-    """(keys, row, col, value): highest point of each cell; rows count from the plot's greatest y down."""
+def surface(points: DataFrame, keys: list[str], res: float, top: str = "z", corner: tuple[float, float] | None = None) -> DataFrame:
+    """(keys, row, col, value): highest point of each cell; rows count from the plot's greatest y down, or from a corner (x0, y1)."""
+    if corner:
+        x0, y1 = corner
+        row, col = (F.floor((y1 - F.col("y")) / res) + 1).cast("int"), (F.floor((F.col("x") - x0) / res) + 1).cast("int")
+        return points.withColumns({"row": row, "col": col}).groupBy(*keys, "row", "col").agg(F.max(top).alias("value"))
     box = points.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("x").alias("_x0"), F.max("y").alias("_y1"))
     rows = points.join(F.broadcast(box) if not keys else box, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     row, col = (F.floor((F.col("_y1") - F.col("y")) / res) + 1).cast("int"), (F.floor((F.col("x") - F.col("_x0")) / res) + 1).cast("int")
@@ -105,7 +109,7 @@ def flood(value: np.ndarray, label: np.ndarray, floor: float) -> np.ndarray:
     return out
 
 
-def walk(value: np.ndarray, label: np.ndarray, floor: float, beta: float = 90.0, tolerance: float = 1e-8) -> np.ndarray:
+def walk(value: np.ndarray, label: np.ndarray, floor: float, beta: float = 1.0, tolerance: float = 1e-8) -> np.ndarray:
     """Random walker: each canopy cell joins the seed that a walker from it most probably meets first.
 
     Heights are scaled to 0..1, an edge weighs exp(-beta * difference^2) + 1e-6 and the Laplacian's diagonal

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stemwork.functions.scalars import finite, gaussian, unit
 
 
+#: Parts that a stratum's order is cut into.
+BUCKETS = 4096
+
+
 def keep(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the order."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -27,12 +31,16 @@ def nearest_date(left: DataFrame, events: DataFrame, keys: list[str], when: str,
 
 
 def height_classes(rows: DataFrame, by: list[str], value: str, least: int = 4) -> DataFrame:
-    """rows with class by their group's quantiles .33, .66 and .9 (right-closed), NULL in groups of fewer values."""
-    w = W.partitionBy(*by)
-    q = lambda p: F.percentile(F.col(value), p).over(w)
-    v, n = F.col(value), F.count(value).over(w)
-    kind = F.when(v <= q(0.33), "suppressed").when(v <= q(0.66), "intermediate").when(v <= q(0.9), "codominant").when(v > q(0.9), "dominant")
-    return rows.withColumn("height_class", F.when(n >= least, kind))
+    """rows with class by their group's quantiles .33, .66 and .9 (right-closed), NULL in groups of fewer values.
+
+    Quantiles come from one aggregate that joins the rows, so no window holds a group.
+    """
+    cuts = F.percentile(F.col(value), F.array(F.lit(0.33), F.lit(0.66), F.lit(0.9)))
+    groups = rows.groupBy(*[F.col(k).alias(f"_q{i}") for i, k in enumerate(by)]).agg(cuts.alias("_cuts"), F.count(value).alias("_n"))
+    v, q = F.col(value), lambda k: F.get("_cuts", F.lit(k))
+    kind = F.when(v <= q(0), "suppressed").when(v <= q(1), "intermediate").when(v <= q(2), "codominant").when(v > q(2), "dominant")
+    joined = rows.join(groups, [F.col(k).eqNullSafe(F.col(f"_q{i}")) for i, k in enumerate(by)])
+    return joined.withColumn("height_class", F.when(F.col("_n") >= least, kind)).drop("_cuts", "_n", *[f"_q{i}" for i in range(len(by))])
 
 
 def oracle(rows: DataFrame, value: str, keys: list[str], row: str) -> DataFrame:
@@ -84,11 +92,18 @@ def mix_class(plots: DataFrame) -> DataFrame:
 
 def split(rows: DataFrame, strata: list[str], item: str, seed: int, share: float) -> DataFrame:
     """rows with split: ceil(share * n), at least one, of each stratum to calib and the others to valid, by hash of
-    seed and item."""
-    w = W.partitionBy(*strata)
-    place = F.row_number().over(w.orderBy(unit(F.lit(seed), item), item))
-    n = F.greatest(F.lit(1), F.ceil(share * F.count("*").over(w)))
-    return rows.withColumn("split", F.when(place <= n, "calib").otherwise("valid"))
+    seed and item.
+
+    Places in the order are found in BUCKETS equal parts of the hash, so no window holds a stratum.
+    """
+    u = rows.withColumn("_u", unit(F.lit(seed), item)).withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int"))
+    sizes = u.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(strata)], F.col("_b").alias("_sb")).agg(F.count("*").alias("_m"))
+    whole = W.partitionBy(*[f"_s{i}" for i in range(len(strata))])
+    sizes = sizes.withColumns({"_before": F.sum("_m").over(whole.orderBy("_sb").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_m"), "_all": F.sum("_m").over(whole)})
+    joined = u.join(sizes, [*[F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(strata)], F.col("_b") == F.col("_sb")])
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_u", item))
+    n = F.greatest(F.lit(1), F.ceil(share * F.col("_all")))
+    return joined.withColumn("split", F.when(place <= n, "calib").otherwise("valid")).drop("_u", "_b", "_sb", "_m", "_before", "_all", *[f"_s{i}" for i in range(len(strata))])
 
 
 def jitter(stems: DataFrame, seed: int | Column, sigma: str, item: str) -> DataFrame:

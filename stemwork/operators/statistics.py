@@ -104,3 +104,19 @@ def structure(points: DataFrame, keys: list[str], floor: float = 2.0, least: int
     s = points.groupBy(*keys).agg(F.count("*").alias("_n"), F.count(high).alias("_h"), F.avg(high).alias("_m"), F.stddev(high).alias("_s"))
     some = lambda c: F.when(F.col("_h") >= least, c)
     return s.select(*keys, rate("_h", "_n").alias("cover"), (1 - rate("_h", "_n")).alias("gap"), some(F.col("_m")).alias("mean_ht"), some(rate("_s", "_m")).alias("height_cv"))
+
+
+def rumple(raster: DataFrame, keys: list[str], res: float) -> DataFrame:
+    """(keys, rumple): area of a surface (keys, row, col, value) over the area below it.
+
+    Each 2x2 square of cells is two triangles between their centres; squares that lack a cell don't count.
+    """
+    near = lambda i, j: raster.select(*[F.col(k).alias(f"_{i}{j}_{n}") for n, k in enumerate(keys)], (F.col("row") - i).alias(f"_r{i}{j}"), (F.col("col") - j).alias(f"_c{i}{j}"), F.col("value").alias(f"_v{i}{j}"))
+    rows = raster
+    for i, j in ((0, 1), (1, 0), (1, 1)):
+        on = [F.col(k).eqNullSafe(F.col(f"_{i}{j}_{n}")) for n, k in enumerate(keys)]
+        rows = rows.join(near(i, j), [*on, F.col("row") == F.col(f"_r{i}{j}"), F.col("col") == F.col(f"_c{i}{j}")])
+    a, b, c, d = F.col("value"), F.col("_v01"), F.col("_v10"), F.col("_v11")
+    half = lambda u, v: 0.5 * res * F.sqrt(u * u + v * v + res * res)
+    area = half(b - a, c - a) + half(d - b, d - c)
+    return rows.groupBy(*keys).agg((F.sum(area) / (F.count("*") * (res * res))).alias("rumple"))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pooled, spatial_queries, statistics_queries
+from . import detection_queries, pooled, source_queries, spatial_queries, statistics_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = pooled.QUERIES | spatial_queries.QUERIES | statistics_queries.QUERIES
+_FAMILIES = (pooled, spatial_queries, statistics_queries, detection_queries, source_queries)
+QUERIES: dict[str, Query] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
 
 
 def _counted(sql: str) -> str:
@@ -24,4 +25,4 @@ def _counted(sql: str) -> str:
     return sql
 
 
-ORACLE_SQL: dict[str, str] = {k: _counted(v) for k, v in (pooled.ORACLE_SQL | spatial_queries.ORACLE_SQL | statistics_queries.ORACLE_SQL).items()}
+ORACLE_SQL: dict[str, str] = {k: _counted(v) for f in _FAMILIES for k, v in f.ORACLE_SQL.items()}

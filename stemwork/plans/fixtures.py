@@ -46,6 +46,7 @@ SELECT c_mktsegment AS stratum, c_custkey AS plot, c_acctbal AS metric, 1 + CAST
 SELECT c_mktsegment AS site, CAST(o_custkey AS STRING) AS plot, 'native' AS rung, o_orderpriority AS arm, max(o_totalprice) AS F1, min(o_orderkey) AS "row"
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment, o_custkey, o_orderpriority""",
     "events": "SELECT event_id, ts, user_id, event_type, value, props FROM {events}",
+    "orders": "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM {orders}",
     "nation": "SELECT n_nationkey, n_name, n_regionkey FROM {nation}",
     "part": "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM {part}",
     "items": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM {lineitem}",

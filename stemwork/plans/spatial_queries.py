@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stemwork.functions.scalars import in_box, match_tolerance, rate
 from stemwork.operators import clustering, matching, rasters, scoring, selection, spatial, statistics
+from stemwork.sources.scratch import checkpoints
 from stemwork.sources.tables import geojson_features
 
 from .fixtures import ctes, fixture
@@ -41,18 +42,10 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_match_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
+    checkpoints(spark)
     return matching.greedy_rounds(candidate_pairs(spark, sf_dir), ["cell"])
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where the session has none: spark.checkpoint.dir, else a temporary one as in tests."""
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stemwork-"))
-
-
 def optimal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.optimal(candidate_pairs(spark, sf_dir), ["cell"])
 
@@ -69,7 +62,8 @@ def match_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems, dets = sides(spark, sf_dir)
-    return matching.agreement(greedy_match(spark, sf_dir), stems, dets, ["cell"])
+    out = matching.agreement(greedy_match(spark, sf_dir), stems, dets, ["cell"])
+    return out.withColumns({c: F.round(c, 9) for c in ("dz_mean", "dz_sd")})
 
 
 def score_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +107,12 @@ def credited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
+    checkpoints(spark)
     return clustering.fuse(fixture(spark, sf_dir, "points"), ["cell"])
 
 
 def fusion_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
+    checkpoints(spark)
     return clustering.operating_points(fixture(spark, sf_dir, "points"), ["cell"], 3).groupBy("cell", "mode").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"), F.round(F.sum("z"), 6).alias("z"))
 
 
@@ -131,7 +125,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
+    checkpoints(spark)
     return clustering.merge_blocks(blocks(spark, sf_dir), ["cell"], 3.0).select("cell", "point", "block", "inst", "global_id")
 
 
@@ -192,8 +186,13 @@ def smooth_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(raster: DataFrame) -> DataFrame:
-    top = raster.withColumn("tree", F.row_number().over(W.partitionBy("cell").orderBy(F.col("value").desc(), "row", "col"))).where("tree <= 5")
-    return top.select("cell", "row", "col", "tree")
+    """All treetops of a raster: cells from 2 up without a higher one (of equal ones, an earlier one) among their neighbours."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    near = raster.withColumn("_o", F.explode(steps)).select(F.col("cell").alias("n_cell"), (F.col("row") + F.col("_o.i")).alias("n_row"), (F.col("col") + F.col("_o.j")).alias("n_col"), F.struct("value", -F.col("row"), -F.col("col")).alias("n"))
+    above = near.groupBy("n_cell", "n_row", "n_col").agg(F.max("n").alias("n"))
+    same = (F.col("cell") == F.col("n_cell")) & (F.col("row") == F.col("n_row")) & (F.col("col") == F.col("n_col"))
+    top = raster.where("value >= 2").join(above, same & (F.col("n") > F.struct("value", -F.col("row"), -F.col("col"))), "left_anti")
+    return top.withColumn("tree", F.row_number().over(W.partitionBy("cell").orderBy(F.col("value").desc(), "row", "col"))).select("cell", "row", "col", "tree")
 
 
 def _segments(method: str):
@@ -229,7 +228,11 @@ def in_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fixture(spark, sf_dir, "points").where(in_box("x", "y", F.lit(0.0), F.lit(0.0), F.lit(10.0)))
-    return geojson_features(p, "x", "y", ["cell", "point", "arm"]).groupBy().agg(F.count("*").alias("features"))
+    text = lambda path: F.get_json_object("feature", path)
+    return geojson_features(p, "x", "y", ["cell", "point", "arm"]).select(
+        text("$.type").alias("kind"), text("$.geometry.type").alias("shape"), text("$.geometry.coordinates[0]").cast("double").alias("lon"), text("$.geometry.coordinates[1]").cast("double").alias("lat"),
+        text("$.properties.cell").cast("int").alias("cell"), text("$.properties.point").cast("long").alias("point"), text("$.properties.arm").alias("arm"),
+    )
 
 
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +244,7 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = found.groupBy("cell", "draw").agg(F.count("*").alias("TP"))
     n = drawn.groupBy("cell", "draw").agg(F.count("*").alias("n_ref"))
     recall = n.join(hits, ["cell", "draw"], "left").na.fill(0, ["TP"]).withColumn("recall", rate("TP", "n_ref"))
-    return statistics.bands(recall, ["cell"], "recall")
+    return statistics.bands(recall, ["cell"], "recall").withColumns({c: F.round(c, 9) for c in ("p05", "p50", "p95")})
 
 
 QUERIES = {
@@ -308,13 +311,31 @@ _RASTER = "rs AS (SELECT p.cell, CAST(floor((y1 - y) / 2.0) + 1 AS INT) AS \"row
 _NEXT = 'FROM rs a LEFT JOIN rs b ON a.cell = b.cell AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1'
 _SHAPES = {"square": "abs(x) <= 5 AND abs(y) <= 5"}
 _BLOCKS = "bl AS (SELECT cell, point, CAST(point % 4 AS INT) AS block, CAST((point // 4) % 15 AS INT) AS inst, x, y, z FROM f_points)"
+def suppressed_sql(rows: str, keys: str) -> str:
+    """Recursive suppression in the order of (x, y): kp holds (keys, x, y) of the points that are kept; rows have keys, radius, x and y."""
+    return f"""so AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY x, y) AS k FROM {rows}),
+sw AS (SELECT {keys}, k, true AS take, [{{'x': x, 'y': y}}] AS kept FROM so WHERE k = 1 UNION ALL
+SELECT {', '.join('so.' + c.strip() for c in keys.split(','))}, so.k, len(list_filter(kept, lambda t: (t.x - so.x) * (t.x - so.x) + (t.y - so.y) * (t.y - so.y) <= so.radius * so.radius)) = 0,
+CASE WHEN len(list_filter(kept, lambda t: (t.x - so.x) * (t.x - so.x) + (t.y - so.y) * (t.y - so.y) <= so.radius * so.radius)) = 0 THEN list_append(kept, {{'x': so.x, 'y': so.y}}) ELSE kept END
+FROM sw JOIN so ON {' AND '.join(f'so.{c.strip()} = sw.{c.strip()}' for c in keys.split(','))} AND so.k = sw.k + 1),
+kp AS (SELECT {keys}, k FROM sw WHERE take)"""
+
+
+CREDIT_GRID = f"""g AS (SELECT r AS radius, f AS families FROM (VALUES (CAST(1.5 AS DOUBLE)), (CAST(2 AS DOUBLE)), (CAST(3 AS DOUBLE))) a(r), (VALUES (1), (2)) b(f)), e AS (SELECT * FROM f_points WHERE point % 5 <> 0),
+n AS (SELECT a.cell, g.radius, g.families, a.point, a.x, a.y FROM e a CROSS JOIN g JOIN e b ON a.cell = b.cell AND b.arm <> a.arm AND {D2} <= g.radius * g.radius WHERE a.arm = 'chm_vwf' GROUP BY ALL HAVING count(DISTINCT b.arm) >= g.families),
+{suppressed_sql('n', 'cell, radius, families')}"""
+
+_RINGS = {"square": [(-5, -5), (5, -5), (5, 5), (-5, 5)], "kite": [(0, -9), (4, 0), (0, 9), (-4, 0)], "arrow": [(-8, -8), (0, -2), (8, -8), (0, 8)]}
+_EDGES = ", ".join(f"('{n}', CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))" for n, r in _RINGS.items() for a, b in zip(r, r[1:] + r[:1]))
+_DRAWN = "".join(f", {c} + sqrt(-2 * ln(1 - {_UNIT.format(f'(42 + draw) || {chr(39)}|{chr(39)} || point || {chr(39)}|{c}|u{chr(39)}')})) * cos(2 * pi() * {_UNIT.format(f'(42 + draw) || {chr(39)}|{chr(39)} || point || {chr(39)}|{c}|v{chr(39)}')}) * (0.5 + (point % 3) / 2) AS {c}" for c in "xy")
 ORACLE_SQL = {
     "candidate_pairs": f"WITH {_S}, {_CAND} SELECT * FROM c",
     "scaled_candidates": f"WITH {_S}, t AS (SELECT *, least(5.0, greatest(2.0, (point % 13) / 2.0, CAST(point % 7 AS DOUBLE))) AS tol FROM s) SELECT a.cell, a.point AS stem, b.point AS det, sqrt({D2}) AS dist FROM t a JOIN d b ON a.cell = b.cell AND sqrt({D2}) <= a.tol AND {GATE}",
     "greedy_match": _GREEDY,
     "greedy_match_rounds": _GREEDY,
-    "set_agreement": f"""{_GREEDY.replace(' SELECT o.cell, stem, det, dist FROM', ', m AS (SELECT o.cell, stem, det FROM')}), ns AS (SELECT cell, count(*) AS n_left FROM s GROUP BY cell), nd AS (SELECT cell, count(*) AS n_right FROM d GROUP BY cell), nm AS (SELECT cell, count(*) AS matched FROM m GROUP BY cell)
-SELECT cell, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right, coalesce(matched, 0) AS matched, CAST(coalesce(matched, 0) AS DOUBLE) / (coalesce(n_left, 0) + coalesce(n_right, 0) - coalesce(matched, 0)) AS jaccard FROM ns FULL JOIN nd USING (cell) FULL JOIN nm USING (cell)""",
+    "set_agreement": f"""{_GREEDY.replace(' SELECT o.cell, stem, det, dist FROM', ', m AS (SELECT o.cell, stem, det FROM')}), ns AS (SELECT cell, count(*) AS n_left FROM s GROUP BY cell), nd AS (SELECT cell, count(*) AS n_right FROM d GROUP BY cell),
+nm AS (SELECT m.cell, count(*) AS matched, round(avg(d.z - s.z), 9) AS dz_mean, round(stddev_samp(d.z - s.z), 9) AS dz_sd FROM m JOIN s ON m.cell = s.cell AND m.stem = s.point JOIN d ON m.cell = d.cell AND m.det = d.point GROUP BY m.cell)
+SELECT cell, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right, coalesce(n_left, 0) - coalesce(n_right, 0) AS diff, coalesce(matched, 0) AS matched, dz_mean, dz_sd, CAST(coalesce(matched, 0) AS DOUBLE) / (coalesce(n_left, 0) + coalesce(n_right, 0) - coalesce(matched, 0)) AS jaccard FROM ns FULL JOIN nd USING (cell) FULL JOIN nm USING (cell)""",
     "score_plots": _SCORE,
     "near_or_isolated": f"WITH {_S} SELECT a.cell, a.point AS det, EXISTS (SELECT 1 FROM s b WHERE b.cell = a.cell AND {D2} <= 4) AS near FROM d a",
     "voronoi_stems": f"""WITH {_S}, n AS (SELECT a.cell, a.point, arg_min(b.point, ({D2}, b.point)) AS stem, min({D2}) AS d2 FROM d a JOIN s b ON a.cell = b.cell GROUP BY ALL)
@@ -342,5 +363,20 @@ SELECT cell, point, tx, ty, i = 0 AND j = 0 AS core FROM o WHERE x >= tx * 8 - 2
     "canopy_surface": f"WITH {_P}, {_RASTER} SELECT * FROM rs",
     "smooth_surface": f"""WITH {_P}, {_RASTER}, md AS (SELECT a.cell, a."row", a.col, median(b.value) FILTER (a."row" <> b."row" OR a.col <> b.col) AS m, any_value(a.value) AS v {_NEXT} GROUP BY ALL), f AS (SELECT cell, "row", col, CASE WHEN m - v > 1 THEN m ELSE v END AS value FROM md)
 SELECT a.cell, a."row", a.col, round(avg(b.value), 9) AS value {_NEXT.replace('rs ', 'f ')} GROUP BY ALL""",
-    "geojson": f"WITH {_P} SELECT count(*) AS features FROM f_points WHERE abs(x) <= 10 AND abs(y) <= 10",
+    "geojson": f"WITH {_P} SELECT 'Feature' AS kind, 'Point' AS shape, round(x, 7) AS lon, round(y, 7) AS lat, cell, point, arm FROM f_points WHERE abs(x) <= 10 AND abs(y) <= 10",
+    "in_footprints": f"""WITH {_P}, ed AS (SELECT * FROM (VALUES {_EDGES}) v(name, x1, y1, x2, y2)), c AS (SELECT cell, point, name, count_if((y1 > y) <> (y2 > y) AND x < (x2 - x1) * ((y - y1) / (y2 - y1)) + x1) % 2 = 1 AS ins FROM f_points CROSS JOIN ed GROUP BY ALL)
+SELECT cell, name, count_if(ins) AS covered FROM c GROUP BY ALL""",
+    "snapped": f"""WITH {_S}, b AS (SELECT a.cell, a.point, arg_max(b.x, (b.z, -b.point)) AS bx, arg_max(b.y, (b.z, -b.point)) AS y, max(b.z) AS z FROM s a JOIN d b ON a.cell = b.cell AND {D2} <= 4 GROUP BY ALL)
+SELECT s.cell, s.point, coalesce(bx, s.x) AS x, coalesce(b.y, s.y) AS y, coalesce(b.z, s.z) AS z FROM s LEFT JOIN b USING (cell, point)""",
+    "credited": f"WITH RECURSIVE {_P}, {CREDIT_GRID} SELECT cell, radius, families, count(*) AS credited FROM kp GROUP BY ALL",
+    "fusion_modes": f"""WITH RECURSIVE {_P}, mz AS (SELECT cell, 0.5 * max(z) AS h FROM f_points GROUP BY cell), ly AS (SELECT f_points.* FROM f_points JOIN mz USING (cell) WHERE (arm IN ('chm_vwf', 'multichm') AND z >= h) OR (arm NOT IN ('chm_vwf', 'multichm') AND z < h)),
+x AS (SELECT * FROM (WITH RECURSIVE {fuse_sql('f_points')} SELECT cell, votes, z FROM fz)), y AS (SELECT * FROM (WITH RECURSIVE {fuse_sql('ly')} SELECT cell, votes, z FROM fz)),
+a AS (SELECT cell, 'union' AS mode, votes, z FROM x UNION ALL SELECT cell, 'majority', votes, z FROM x WHERE votes >= 2 UNION ALL SELECT cell, 'layered', votes, z FROM y) SELECT cell, mode, count(*) AS n, CAST(sum(votes) AS BIGINT) AS votes, round(sum(z), 6) AS z FROM a GROUP BY ALL""",
+    "match_in_turn": f"""WITH RECURSIVE {_S}, c AS (SELECT a.cell, a.point AS stem, b.point AS det, sqrt({D2}) AS dist FROM s a JOIN d b ON a.cell = b.cell AND sqrt({D2}) <= 3),
+o AS (SELECT cell, stem, list({{'det': det, 'dist': dist}} ORDER BY dist, det) AS cs, row_number() OVER (PARTITION BY cell ORDER BY stem) AS k FROM c GROUP BY cell, stem),
+w AS (SELECT cell, k, stem, cs[1] AS pick, [cs[1].det] AS used FROM o WHERE k = 1 UNION ALL SELECT o.cell, o.k, o.stem, list_filter(o.cs, lambda t: NOT list_contains(used, t.det))[1], list_concat(used, list_transform(list_filter(o.cs, lambda t: NOT list_contains(used, t.det))[1:1], lambda t: t.det)) FROM w JOIN o ON o.cell = w.cell AND o.k = w.k + 1)
+SELECT cell, stem, pick.det AS det, pick.dist AS dist FROM w WHERE pick IS NOT NULL""",
+    "monte_carlo": f"""WITH RECURSIVE {_P}, k AS (SELECT * FROM range(1, 11) r(draw)), s AS (SELECT cell * 100 + draw AS cell, point, z{_DRAWN} FROM f_points CROSS JOIN k WHERE point % 2 = 0), d AS (SELECT cell * 100 + draw AS cell, point, x, y, z FROM f_points CROSS JOIN k WHERE point % 2 = 1), {_CAND}, {walk_sql('c', 'stem', 'det', 'dist, stem, det')},
+h AS (SELECT cell, count(*) AS tp FROM w WHERE take GROUP BY cell), n AS (SELECT cell, count(*) AS n FROM s GROUP BY cell), r AS (SELECT CAST(cell // 100 AS INT) AS cell, CAST(coalesce(tp, 0) AS DOUBLE) / n AS recall FROM n LEFT JOIN h USING (cell))
+SELECT cell, count(recall) AS n, round(quantile_cont(recall, 0.05), 9) AS p05, round(quantile_cont(recall, 0.5), 9) AS p50, round(quantile_cont(recall, 0.95), 9) AS p95 FROM r GROUP BY cell""",
 }

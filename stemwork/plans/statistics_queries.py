@@ -173,6 +173,11 @@ SELECT a.arm, CAST(k AS INT) AS bin, coalesce(n, 0) AS n, round(p, 9) AS mean_pr
     "isotonic": f"""WITH {_SC}, o AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY raw, "row") AS k FROM f_scored), c AS (SELECT *, sum(label) OVER (PARTITION BY arm ORDER BY k) AS s FROM o UNION ALL SELECT NULL, arm, NULL, NULL, NULL, 0, 0 FROM (SELECT DISTINCT arm FROM o)),
 t AS (SELECT b.arm, b.k, max(m) AS fit FROM (SELECT a.arm, a.k AS lo, min(CAST(b.s - a.s AS DOUBLE) / (b.k - a.k)) OVER (PARTITION BY a.arm, a.k ORDER BY b.k DESC ROWS UNBOUNDED PRECEDING) AS m, b.k AS k FROM c a JOIN c b ON a.arm = b.arm AND a.k < b.k) b GROUP BY b.arm, b.k),
 l AS (SELECT o.arm, o.raw, max(o.k) AS k FROM o GROUP BY o.arm, o.raw) SELECT o.arm, o."row", round(least(greatest(t.fit, 0), 1), 9) AS cal FROM o JOIN l ON o.arm = l.arm AND o.raw = l.raw JOIN t ON t.arm = l.arm AND t.k = l.k""",
+    "out_of_sample": f"""WITH {_SC}, z AS (SELECT *, CAST(floor({_U.format("'42|' || " + '"row"')} * 5) AS INT) AS f FROM f_scored), tr AS (SELECT z.arm, h.f AS held, z."row", z.raw, z.label FROM z JOIN range(0, 5) h(f) ON h.f <> z.f),
+o AS (SELECT *, row_number() OVER (PARTITION BY arm, held ORDER BY raw, "row") AS k FROM tr), c AS (SELECT arm, held, k, sum(label) OVER (PARTITION BY arm, held ORDER BY k) AS s FROM o UNION ALL SELECT DISTINCT arm, held, 0, 0 FROM o),
+t AS (SELECT b.arm, b.held, b.k, max(m) AS fit FROM (SELECT a.arm, a.held, min(CAST(b.s - a.s AS DOUBLE) / (b.k - a.k)) OVER (PARTITION BY a.arm, a.held, a.k ORDER BY b.k DESC ROWS UNBOUNDED PRECEDING) AS m, b.k AS k FROM c a JOIN c b ON a.arm = b.arm AND a.held = b.held AND a.k < b.k) b GROUP BY ALL),
+kn AS (SELECT l.arm, l.held, l.raw AS kx, t.fit AS ky FROM (SELECT arm, held, raw, max(k) AS k FROM o GROUP BY ALL) l JOIN t USING (arm, held, k)), lo AS (SELECT z.arm, z."row", max(kx) AS x0, arg_max(ky, kx) AS y0 FROM z JOIN kn ON z.arm = kn.arm AND z.f = kn.held AND kx <= z.raw GROUP BY ALL), hi AS (SELECT z.arm, z."row", min(kx) AS x1, arg_min(ky, kx) AS y1 FROM z JOIN kn ON z.arm = kn.arm AND z.f = kn.held AND kx > z.raw GROUP BY ALL)
+SELECT z.arm, z."row", round(CASE WHEN count(*) OVER (PARTITION BY z.arm) < 5 THEN avg(z.label) OVER (PARTITION BY z.arm) ELSE least(greatest(CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * ((raw - x0) / (x1 - x0)) END, 0), 1) END, 9) AS cal FROM z LEFT JOIN lo USING (arm, "row") LEFT JOIN hi USING (arm, "row")""",
     "crown_errors": f"""WITH {_CR}, x AS (SELECT algo, coalesce(rung, 'native') AS rung, 'd_eq vs ninety' AS definition, d_eq AS d, ninety_cd AS f FROM f_crowns UNION ALL SELECT algo, coalesce(rung, 'native'), 'd_caliper vs max', d_caliper, max_cd FROM f_crowns)
 SELECT algo, rung, definition, {_ERR}, {_PLACE} AS rung_place FROM x GROUP BY algo, rung, definition""",
     "height_line": f"WITH {_CR} SELECT algo, count(*) AS n, round(regr_slope(ninety_cd, d_eq), 6) AS slope, round(regr_intercept(ninety_cd, d_eq), 6) AS intercept, round(regr_r2(ninety_cd, d_eq), 6) AS r2 FROM f_crowns GROUP BY algo",

@@ -85,6 +85,17 @@ def geojson_collection(features: DataFrame) -> str:
     return '{"type":"FeatureCollection","features":[' + ",".join(r[0] for r in features.toLocalIterator()) + "]}"
 
 
+def write_geojson(rows: DataFrame, path: str, lon: str, lat: str, properties: list[str], by: str) -> None:
+    """One feature collection a file and value of `by`, in folders of that name; each is written by one task.
+
+    A value's features are gathered in its one text, so `by` must be fine enough for a file.
+    """
+    f = geojson_features(rows, lon, lat, [*properties, by])
+    features = f.select("feature", F.get_json_object("feature", f"$.properties.{by}").alias(by))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list("feature")), ","), F.lit("]}"))
+    features.groupBy(by).agg(text.alias("value")).repartition(by).sortWithinPartitions(by).write.option("maxRecordsPerFile", 1).partitionBy(by).text(path)
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(geometry, properties) as JSON text, a row for each feature of the files, read whole."""
     features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
@@ -99,6 +110,92 @@ def markdown(df: DataFrame, digits: int = 3) -> str:
     return "\n".join(rows + ["| " + " | ".join(map(cell, r)) + " |" for r in df.toLocalIterator()])
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header; types from the schema, else inferred by one more pass. Empty and NA are NULL."""
+    reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", "")
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """df as CSV with headers, NULL as NA, in place of what is there."""
+    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+
+
+def selection_rows(manifest: DataFrame, site: str, keep: tuple[str, ...] = ("site", "method", "rung", "chm_res", "vwf_a")) -> DataFrame:
+    """The site's rows of a selection manifest, rung as text, with those of the columns that it has; site, method and
+    rung must be there."""
+    check_columns(manifest, ["site", "method", "rung"])
+    rows = manifest.where(F.col("site") == site).select(*[c for c in keep if c in manifest.columns])
+    return rows.withColumn("rung", F.col("rung").cast("string"))
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """Crown boxes of all CSV files that the pattern names, by column name: x, y and score (NULL in files without it)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    parts = F.transform(F.split(F.regexp_replace("value", '"', ""), ","), lambda c: F.trim(c))
+    rows = lines.where("trim(value) <> ''").select("file", parts.alias("p"))
+    # a header is a row without any number; each file has its own
+    named = F.exists("p", lambda c: c.isin("x", "y"))
+    heads = rows.where(named).select(F.col("file").alias("h_file"), F.col("p").alias("h")).dropDuplicates(["h_file"])
+    body = rows.where(~named).join(heads, F.col("file") == F.col("h_file"))
+    value = lambda c: F.get("p", F.array_position("h", F.lit(c)).cast("int") - 1).try_cast("double").alias(c)
+    return body.select("file", value("x"), value("y"), value("score"))
+
+
+def read_crown_points(spark: SparkSession, path: str) -> DataFrame:
+    """(file, x, y, z, crown_id) of white-space tables with exactly these columns; rows that lack a number go, and
+    files with other headers give none."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), "\\s+").alias("p"), F.col("_metadata.file_path").alias("file"))
+    good = lines.where(F.array_join("p", " ") == "x y z crown_id").select("file").distinct()
+    numbers = [F.get("p", F.lit(k)).try_cast("double").alias(c) for k, c in enumerate("xyz")]
+    rows = lines.where(F.array_join("p", " ") != "x y z crown_id").select("file", *numbers, F.get("p", F.lit(3)).try_cast("int").alias("crown_id"))
+    return rows.where(finite("x") & finite("y") & finite("z") & F.col("crown_id").isNotNull()).join(good, "file", "left_semi")
+
+
+def write_instances(points: DataFrame, path: str, label: str = "inst") -> None:
+    """A labelled cloud: all columns, with 0 for points without a label."""
+    points.withColumn(label, F.coalesce(F.col(label), F.lit(0))).write.mode("overwrite").parquet(path)
+
+
+def read_instances(spark: SparkSession, path: str, label: str = "inst") -> DataFrame:
+    """A labelled cloud with NULL for points of label 0; a cloud without the label is an error."""
+    rows = check_columns(spark.read.parquet(path), [label])
+    return rows.withColumn(label, F.when(F.col(label) != 0, F.col(label)))
+
+
+def frozen_dir(root: str, site: str, plot: str, rung: str | None) -> str:
+    """Where a frozen clip lies: root/site/plot/rung, native where there is no rung."""
+    return f"{root}/{site}/{plot}/{rung or 'native'}"
+
+
+def freeze(clips: DataFrame, root: str, keys: tuple[str, ...] = ("site", "plot", "rung"), least: int = 100, ground: int = 10) -> DataFrame:
+    """Writes clips that the cache lacks, with a manifest, and returns the manifest of all that it holds.
+
+    clips: keys, class, ret, z and whatever else. A clip of fewer than `least` points or `ground` ground points
+    (class 2) isn't kept. Points and manifests are partitioned by the keys, so a reader prunes to its clip; a
+    clip whose manifest is there is reused as it is and never written again.
+    """
+    from stemwork.functions.scalars import seed_for
+
+    spark = clips.sparkSession
+    clips = clips.withColumn("rung", F.coalesce(F.col("rung").cast("string"), F.lit("native")))
+    try:
+        known = spark.read.parquet(f"{root}/manifest")
+    except Exception as e:  # no cache yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = None
+    names = {k: f"_f{i}" for i, k in enumerate(keys)}
+    same = lambda: [F.col(k).cast("string") == F.col(n).cast("string") for k, n in names.items()]
+    fresh = clips if known is None else clips.join(known.select(*[F.col(k).alias(n) for k, n in names.items()]), same(), "left_anti")
+    some = fresh.groupBy(*keys).agg(F.count("*").alias("n_raw"), F.count_if(F.col("class") == 2).alias("n_ground"), F.count_if(F.col("ret") == 1).alias("n_first"))
+    some = some.where((F.col("n_raw") >= least) & (F.col("n_ground") >= ground)).withColumn("seed", seed_for(*keys)).persist()
+    fresh.join(some.select(*[F.col(k).alias(n) for k, n in names.items()]), same(), "left_semi").write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/points")
+    some.write.mode("append").parquet(f"{root}/manifest")
+    some.unpersist()
+    return spark.read.schema("site string, plot string, rung string, n_raw long, n_ground long, n_first long, seed long").parquet(f"{root}/manifest")
+
+
 # Scalar types of PLY and their letters for struct.
 PLY_TYPES = {
     "char": "b", "uchar": "B", "short": "h", "ushort": "H", "int": "i", "uint": "I", "float": "f", "double": "d",
@@ -139,6 +236,41 @@ def format_ply(names: list[str], kinds: list[str], rows: list[tuple]) -> bytes:
     return "\n".join(head).encode() + b"".join(pack.pack(*r) for r in rows)
 
 
+def write_ply(df: DataFrame, path: str, names: list[str], kinds: list[str], by: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
+    """A binary PLY for each value of `by`, x, y and z less the offset, in folders of its name.
+
+    A file is made by one task from one value's rows, which must fit its memory.
+    """
+    import pandas as pd
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part[names].copy()
+        for c, o in zip("xyz", offset, strict=True):
+            if c in rows:
+                rows[c] = rows[c] - o
+        return pd.DataFrame({by: [part[by].iloc[0]], "content": [format_ply(names, kinds, list(rows.itertuples(index=False, name=None)))]})
+
+    kind = df.schema[by].dataType.simpleString()
+    packed = df.select(by, *names).groupBy(by).applyInPandas(pack, f"`{by}` {kind}, content binary")
+
+    # Spark's text sink would add line ends, so each binary goes through the file system that the path names
+    spark, root = df.sparkSession, path
+    made = packed.select(F.col(by).cast("string").alias("name"), F.base64("content").alias("content"))
+    for r in made.toLocalIterator():
+        _put(spark, f"{root}/{by}={r['name']}/points.ply", r["content"])
+
+
+def _put(spark: SparkSession, path: str, content: str) -> None:
+    """Writes base64 content to one file by Hadoop's file system of the path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(jvm.java.util.Base64.getMimeDecoder().decode(content))
+    finally:
+        out.close()
+
+
 def read_ply(spark: SparkSession, path: str, schema: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Vertices of PLY files, their x, y, z (any case) moved by the offset, NULL for properties a file lacks.
 

@@ -200,3 +200,69 @@ def test_block_tables_find_all_within_the_radius(spark):
     q, idx = spark.createDataFrame([split(v) for v in base], "hi long, lo long"), spark.createDataFrame([split(v) for v in near], "hi long, lo long")
     got = {(r.q_hi, r.q_lo, r.hi, r.lo) for r in simhash.within_radius(q, idx).collect()}
     assert got == {(*split(a), *split(b)) for a in base for b in near if (a ^ b).bit_count() <= simhash.RADIUS}
+
+
+def test_forest_finds_neighbours_across_ranges(spark):
+    """All pairs next to each other in an order come out, wherever its ranges end."""
+    rnd = random.Random(9)
+    base = words(rnd, 80)
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(rnd.randint(0, 12)):
+            w[rnd.randrange(80)] = f"e{rnd.randint(0, 400)}"
+        rows.append((k, " ".join(w)))
+    sketches = near_dedup.sketched(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = sketches.select(near_dedup.F.col("doc_id").alias("uid"), near_dedup.F.col("doc_id").alias("c"), "n", "hi", "lo")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in near_dedup.forest(sets, 2).collect()}
+    want, seen = set(), sets.collect()
+    for t in range(near_dedup.TREES):
+        order = sorted((r.hi[t], r.lo[t], r.uid) for r in seen)
+        for step in (1, 2):
+            want |= {(min(x[2], y[2]), max(x[2], y[2])) for x, y in zip(order, order[step:]) if x[0] == y[0]}
+    assert got == want and len(want) > 500
+
+
+def test_rare_shingles_find_what_the_forest_cannot(spark):
+    rnd = random.Random(10)
+    base, rows = words(rnd, 60), []
+    for k in range(150):
+        w = base[:20] + words(rnd, 20) if k % 2 else list(base)
+        if not k % 2:
+            w[rnd.randrange(60)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = near_dedup.sketched(docs_)
+    F = near_dedup.F
+    nodes = sketches.select(F.col("doc_id").alias("uid"), F.col("doc_id").alias("c"), "n", F.array(F.lit(1).cast("long")).alias("hi"), F.array(F.lit(0).cast("long")).alias("lo"))
+    sets = near_dedup.shingle_sets(docs_, nodes.select("uid"))
+    got = near_dedup.confirmed(near_dedup.unseen(nodes, sets), sets).collect()
+    parts_ = [set(near_dedup.shingles(t)) for _, t in rows]
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * len(parts_[a] & parts_[b]) >= 75 * len(parts_[a] | parts_[b])}
+    assert {(r.a, r.b) for r in got} == want and want
+
+
+def test_near_query_contract(spark, crowd, tmp_path):
+    from stemwork.llm import queries
+
+    spark.createDataFrame(crowd, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_lsh_forest_near_dedup(spark, str(tmp_path)).toPandas()
+    assert {"doc_id", "n_shingles", "component_id", "kept"} <= set(got.columns)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute(crowd)
+    exact = queries.op9_grace_exact_dedup(spark, str(tmp_path)).toPandas()
+    assert (exact.kept == (exact.doc_id == exact.keep_id)).all() and len(exact) == len(crowd)
+
+
+def test_simhash_buckets_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 4)
+    rnd = random.Random(11)
+    rows = [(i, " ".join(words(rnd, 12))) for i in [*range(60), *[7] * 80, *[None] * 60]]
+    d = docs(spark, rows)
+    placed = simhash._with_next(d).where("not extra").select("b", "doc_id", "h").collect()
+    assert len(placed) == len(rows) and len({r.b for r in placed if r.doc_id == 7}) > 4 and len({r.b for r in placed if r.doc_id is None}) > 4
+    got = simhash.edit_resistance(d).toPandas()
+    lowest = -(1 << 63)
+    hashes = {(r.doc_id, r.text): r.h for r in d.select("doc_id", "text", simhash.F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (lowest if r[0] is None else r[0], hashes[r]), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for (_, t), (_, u) in zip(order, order[1:] + order[:1]))
+    assert sorted(got.edited_sha256) == want

@@ -110,3 +110,47 @@ def test_weights_raise_inclusion(spark):
     got = mixing.mix(docs(spark, rows), budget=0.5, weight=heavy).toPandas()
     share = got.groupby(got.doc_id % 2).copies.mean()
     assert share[0] > 2 * share[1]
+
+
+def test_weights_by_order_of_sources_and_slots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 16)
+    monkeypatch.setattr(packing, "KNOTS", 4)
+    rows = [(k, "word " * (10 + k % 30), [None, "b", "a", "c"][k % 4]) for k in range(400)]
+    pieces = packing.pack(docs(spark, rows), PATH, (3.0, 1.0, 2.0, 0.0), window=256).toPandas()
+    assert pieces.length.sum() == sum(10 + k % 30 + 1 for k in range(400))
+    first = pieces[pieces["round"] <= 6].groupby(pieces.source.fillna("-")).length.sum()
+    assert abs(first.a / first.b - 3) < 1 and abs(first.c / first.b - 2) < 0.7 and "-" not in first.index
+    last = pieces[pieces.source.isna()]
+    assert last.sequence_id.min() >= pieces[pieces.source.notna()].sequence_id.max() - 8  # the tail is cut in powers of two
+    order = pieces.sort_values(["sequence_id", "offset"])
+    assert (order["round"].diff().dropna() >= 0).all()
+    tokens = packing.tokenized(docs(spark, rows), PATH)
+    quanta = packing._quanta(tokens, (3.0, 1.0, 2.0, 0.0), 256)
+    slot = packing._slots(quanta, int(pieces.length.sum()))
+    got = quanta.select(packing.F.explode(packing.F.sequence(packing.F.lit(1), packing.F.lit(60))).alias("round")).distinct().withColumn("slot", slot).orderBy("round").toPandas()
+    assert (got.slot.diff().dropna() >= 0).all() and got.slot.nunique() > 8
+
+
+def test_unequal_odds_that_reach_the_limit_are_shared_again(spark):
+    rows = [(k, "w " * 10, "s") for k in range(400)] + [(1000 + k, None, "t") for k in range(5)]
+    d = spark.createDataFrame([(*r, 7.0, "x") for r in rows], "doc_id long, text string, source string, target double, copies string")
+    heavy = mixing.F.when(mixing.F.col("doc_id") % 4 == 0, 8.0).when(mixing.F.col("doc_id") % 4 == 1, None).otherwise(-1.0)
+    got = mixing.mix(d, budget=1.0, weights=(1.0,), weight=heavy).toPandas()
+    mine = got[got.source == "s"]
+    assert (got.copies <= 2).all() and abs((mine.copies * mine["size"]).sum() - 4000) <= 10
+    share = mine.groupby(mine.doc_id % 4).copies.mean()
+    assert share[0] == 2 and abs(share[1] - share[2]) < 0.25 and 0.4 < share[1] < 0.95
+
+
+def test_lengths_weigh_in_the_query(spark, tmp_path):
+    from stemwork.llm import queries
+
+    rows = [(k, "w " * (3 if k % 2 else 300), "ab"[k % 3 == 0]) for k in range(600)]
+    docs(spark, rows).drop("b", "rid").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_pareto_mixing(spark, str(tmp_path)).toPandas()
+    assert {"doc_id", "size", "source_size", "target", "taken"} <= set(got.columns) and len(got) == 600
+    assert (got.taken <= 2 * got["size"]).all()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 300
+    rate = (got.taken / got["size"]).groupby(got.doc_id % 2).mean()
+    assert rate[0] > rate[1] * 1.2

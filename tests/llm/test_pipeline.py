@@ -79,3 +79,11 @@ def test_near_copies_of_repeated_rows_and_null_ids(spark):
 def test_run_gives_the_last_stage(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(out.columns) and out.count() > 0
+
+
+def test_labels_of_one_kind_empty_no_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "a", 6) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    for kind in (0, 1):
+        where = f"{tmp_path}/{kind}"
+        spark.createDataFrame([(k, 1, kind) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, where).count() == 60

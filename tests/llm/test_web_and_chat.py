@@ -203,3 +203,47 @@ def test_events_fold_to_final_messages(spark):
     df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message string, replaces string, role string, text string")
     got = sorted((r.conv_id, r["at"], r.role, r.text) for r in chat.fold(df).collect())
     assert got == [(1, 0, "user", "hi there"), (1, 1, "assistant", "good day"), (1, 7, "user", "bye"), (2, 0, "assistant", "only")]
+
+
+def test_regenerations_of_regenerations_keep_the_first_place(spark):
+    schema = "conv_id long, seq long, kind string, message string, replaces string, role string, text string"
+    chain = [(1, 3 + k, "regenerate", f"r{k + 1}", f"r{k}" if k else "m0", "assistant", f"try {k + 1}") for k in range(9)]
+    log = [(1, 1, "message", "m0", None, "assistant", "first"), (1, 2, "message", "u", None, "user", "next"), *chain]
+    log += [(2, 1, "regenerate", "a", "b", "assistant", "before b"), (2, 2, "regenerate", "b", "a", "assistant", "after a"), (2, 3, "regenerate", "c", "c", "user", "itself"), (None, 1, "regenerate", "x", "nobody", "user", "alone")]
+    got = sorted(((r.conv_id or 0), r["at"], r.text) for r in chat.fold(spark.createDataFrame(log, schema)).collect())
+    assert got == [(0, 1, "alone"), (1, 1, "try 9"), (1, 2, "next"), (2, 1, "after a"), (2, 3, "itself")]
+
+
+def test_deeply_nested_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    def cost(n):
+        tracemalloc.start()
+        began = time.process_time()
+        blocks = extraction.featured(extraction.leaf_blocks("<div class='c%d'>x" * n % tuple(range(n))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(blocks) == n and all(len(b.marks) < 3 * extraction.MOST_MARKS for b in blocks)
+        return time.process_time() - began, peak
+
+    (t1, m1), (t2, m2) = cost(4000), cost(16000)
+    assert m2 < 8 * m1 + 1e6 and t2 < 12 * t1 + 1
+
+
+def test_toxicity_of_labels_that_tell_nothing(spark):
+    docs, labels, rows, toxic = labelled(spark, 300)
+    scores = lambda lab: {(r.score, r.predicted) for r in toxicity.score_documents(docs, lab).collect()}
+    assert scores(labels.limit(0)) == {(0.0, 0)} == scores(labels.where("toxic = 0")) and scores(labels.where("toxic = 1")) == {(1.0, 1)}
+    four = toxicity.fold(F.col("doc_id")) == 4
+    assert scores(labels.where((F.col("toxic") == 1) | four)).pop()[0] < 0.5  # folds 1 to 3 have one kind
+    for kind in (0, 1):  # fold 4 lacks a kind
+        got = toxicity.score_documents(docs, labels.where(~four | (F.col("toxic") != kind))).collect()
+        right = [r.predicted == toxic[r.doc_id] for r in got]
+        assert np.mean(right) > 0.8 and sum(r.predicted for r in got) < len(got) / 2
+
+
+def test_revisits_of_repeated_pages_have_ids_of_their_own(spark):
+    archive = warc.archived(pages(spark, [(1, "u", "a"), (1, "u", "a"), (1, "v", "b")]))
+    ids = [bytes(r.header).decode().split("WARC-Record-ID: ")[1].split("\r\n")[0] for r in archive.collect()]
+    assert len(set(ids)) == 3 and sorted(r.record_type for r in warc.fields(archive).collect()) == ["response", "response", "revisit"]

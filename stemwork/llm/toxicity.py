@@ -216,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Texts meet their labels in a merge join at every size, and only those of the folds that are learned from
     are shuffled. Where folds 1 to 3 lack labelled rows of either kind, every text scores the share of label 1
     in folds 1 to 4: 0 without labels, 1 if all are toxic, else less than 0.5. Where only fold 4 lacks a kind,
-    the log-odds of label 1 are those of that share and the nats of the segments, each at its full weight.
+    the log-odds of label 1 are those of that share and the nats of the segments, each at its full weight; if
+    it lacks harmless documents, L and K are of those of folds 1 to 3.
     """
     marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic") == 1).alias("toxic")).where(fold(F.col("l_id")) != 0)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
@@ -239,13 +240,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     groups = judged.where("significant").select(group.alias("group")).distinct()
     model.hiding = frozenset(r["key"] for r in judged.where("not significant").join(groups, group == F.col("group"), "left_semi").select("key").toLocalIterator())
 
-    held = rows.where(f"fold = {FOLDS - 1}")
-    scored = scan_all(held, model, ["doc_id", "toxic"]).select("doc_id", "toxic", "n_words", F.transform("spans", lambda x: x["score"]).alias("scores"), "marks")
-    scored = checkpointed(scored)
-    harmless = scored.where("not toxic").select(F.greatest("n_words", F.lit(1)).alias("words"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best"))
+    def scanned(some: DataFrame) -> DataFrame:
+        found = scan_all(some, model, ["doc_id", "toxic"])
+        return checkpointed(found.select("doc_id", "toxic", "n_words", F.transform("spans", lambda x: x["score"]).alias("scores"), "marks"))
+
+    scored = scanned(rows.where(f"fold = {FOLDS - 1}"))
+    calm = scored.where("not toxic")
+    if calm.isEmpty():
+        calm = scanned(rows.where(f"fold < {FOLDS - 1} and not toxic"))
+    harmless = calm.select(F.greatest("n_words", F.lit(1)).alias("words"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best"))
     words, hits, least = harmless.agg(F.sum("words"), F.count_if(F.col("best") > 0), F.min(F.when(F.col("best") > 0, F.col("best")))).first()
     words = max(words or 0, 1)
-    counted = scored.where("not toxic").select(F.explode("marks").alias("m")).groupBy(F.round("m", 3).alias("m")).count().collect()
+    counted = calm.select(F.explode("marks").alias("m")).groupBy(F.round("m", 3).alias("m")).count().collect()
     values, counts = np.array([r["m"] for r in counted] + [DRIFT]), np.array([r["count"] for r in counted], float)
     counts = np.append(counts, max(1.0, words - counts.sum()))
     model.rate = _rate(values, counts)

@@ -148,22 +148,23 @@ def heldout_optimum(cells: DataFrame, chosen: DataFrame, by: list[str], item: st
     is pooled for each value of `param` over the items that have all of the group's values; the greatest wins,
     of equal ones the finest. Groups without such items have NULLs and 0.
     """
-    from .selection import complete_cases, keep
-
-    held = _held(cells, chosen.select(*by, fixed, F.col(param).alias("_cal")), by, fixed)
-    whole = complete_cases(held, item, param, by)
-    f = pool(whole, [*by, param], ()).select(*by, param, "F1")
-    best = keep(f.where("F1 is not null"), by, F.col("F1").desc(), F.col(param))
-    at = f.where(F.abs(F.col(param) - target) < 1e-9).groupBy(*by).agg(F.max("F1").alias("F1_at_target"))
-    n_res = f.where("F1 is not null").groupBy(*by).agg(F.count("*").alias("n_res"))
-    n_all = held.groupBy(*by).agg(F.count_distinct(item).alias("_all"))
-    n_pool = whole.groupBy(*by).agg(F.count_distinct(item).alias("n_pool"))
-    out = chosen.select(*by, fixed, F.col(param).alias(f"cal_{param}"))
-    for k, df in enumerate((best.withColumnsRenamed({param: f"ho_{param}", "F1": "ho_F1"}), at, n_res, n_all, n_pool)):
-        names = {c: f"_o{k}_{i}" for i, c in enumerate(by)}
-        out = out.join(df.withColumnsRenamed(names), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left").drop(*names.values())
-    out = out.na.fill(0, ["n_res", "_all", "n_pool"]).withColumn("n_drop", F.col("_all") - F.col("n_pool")).drop("_all")
-    return out.withColumn("is_target", F.when(F.col(f"ho_{param}").isNotNull(), F.abs(F.col(f"ho_{param}") - target) < 1e-9))
+    same = lambda p: [F.col(k).eqNullSafe(F.col(f"{p}{i}")) for i, k in enumerate(by)]
+    named = lambda p: [F.col(k).alias(f"{p}{i}") for i, k in enumerate(by)]
+    held = with_tp_core(_held(cells, chosen.select(*by, fixed, F.col(param).alias("_cal")), by, fixed))
+    sums = [total(c).cast("long").alias(c) for c in ("n_ref", "n_det", "TP", "tp_core")]
+    # one row an item with its counts by param: the rows are read once, all that follows is of this size
+    items = held.groupBy(*by, item, F.col(param).alias("_p")).agg(*sums).groupBy(*by, item).agg(F.collect_list(F.struct("_p", "n_ref", "n_det", "TP", "tp_core")).alias("_ps"))
+    need = items.select(*named("_n"), F.explode("_ps._p").alias("_p")).groupBy(*[f"_n{i}" for i in range(len(by))]).agg(F.count_distinct("_p").alias("_need"))
+    judged = items.join(need, same("_n")).withColumn("_whole", F.size("_ps") == F.col("_need"))
+    counts = judged.groupBy(*named("_c")).agg(F.count_if("_whole").alias("n_pool"), F.count_if(~F.col("_whole")).alias("n_drop"))
+    rows = judged.where("_whole").select(*by, F.explode("_ps").alias("_x")).groupBy(*by, "_x._p").agg(*[F.sum(f"_x.{c}").alias(c) for c in ("n_ref", "n_det", "TP", "tp_core")])
+    f = rows.withColumn("F1", f1(rate("TP", "n_ref"), F.when(F.col("n_det") > 0, rate("tp_core", "n_det"))))
+    best = F.max(F.when(F.col("F1").isNotNull(), F.struct("F1", (-F.col("_p")).alias("low"))))
+    found = f.groupBy(*named("_f")).agg(best.alias("_b"), F.max(F.when(F.abs(F.col("_p") - target) < 1e-9, F.col("F1"))).alias("F1_at_target"), F.count("F1").alias("n_res"))
+    out = chosen.select(*by, fixed, F.col(param).alias(f"cal_{param}")).join(counts, same("_c"), "left").join(found, same("_f"), "left").na.fill(0, ["n_pool", "n_drop", "n_res"])
+    out = out.withColumns({f"ho_{param}": -F.col("_b.low"), "ho_F1": F.col("_b.F1")})
+    out = out.withColumn("is_target", F.when(F.col(f"ho_{param}").isNotNull(), F.abs(F.col(f"ho_{param}") - target) < 1e-9))
+    return out.drop("_b", *[f"{p}{i}" for p in ("_c", "_f") for i in range(len(by))])
 
 
 def slope_spread(cells: DataFrame, chosen: DataFrame, by: list[str], item: str = "plot", param: str = "vwf_a", fixed: str = "chm_res") -> DataFrame:

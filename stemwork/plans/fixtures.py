@@ -30,6 +30,9 @@ FROM (SELECT r_name AS site, CAST(l_partkey AS STRING) AS plot, CASE WHEN l_part
 SELECT label AS cell, vec_id AS point, CAST({e1} AS DOUBLE) * 50 AS x, CAST({e2} AS DOUBLE) * 50 AS y, CAST({e3} AS DOUBLE) * 20 + 10 AS z,
   CASE vec_id % 3 WHEN 0 THEN 'chm_vwf' WHEN 1 THEN 'li2012' ELSE 'deepforest' END AS arm, CASE vec_id % 4 WHEN 0 THEN 'dominant' WHEN 1 THEN 'codominant' WHEN 2 THEN 'intermediate' ELSE 'suppressed' END AS crown_class
 FROM {embeddings}""",
+    # a larger cloud: plots of 100 m a side
+    "cloud": """
+SELECT CAST(l_suppkey % 50 AS INT) AS cell, l_orderkey * 8 + l_linenumber AS point, CAST((l_partkey * 7919 + l_orderkey * 31) % 10000 AS DOUBLE) / 100 AS x, CAST((l_orderkey * 3571 + l_linenumber * 977) % 10000 AS DOUBLE) / 100 AS y, l_quantity / 2 AS z FROM {lineitem}""",
     # predicted and reference label of each point
     "labelled": """
 SELECT l_linenumber AS cell, CASE WHEN l_quantity >= 5 THEN l_partkey % 40 END AS pred, CASE WHEN l_tax <> 0 THEN CASE WHEN l_quantity < 30 THEN l_partkey % 40 ELSE l_suppkey % 40 END END AS ref

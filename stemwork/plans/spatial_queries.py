@@ -176,6 +176,13 @@ def treetops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.local_maxima(fixture(spark, sf_dir, "points"), ["cell"], "point", window_size("z", 0.1, 2.0, 6.0), 6.0).select("cell", "point")
 
 
+def cloud_treetops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Treetops of a cloud of as many points as there are line items."""
+    from stemwork.functions.scalars import window_size
+
+    return rasters.local_maxima(fixture(spark, sf_dir, "cloud"), ["cell"], "point", window_size("z", 0.1, 2.0, 6.0), 6.0).select("cell", "point")
+
+
 def canopy_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.surface(fixture(spark, sf_dir, "points"), ["cell"], 2.0)
 
@@ -252,7 +259,7 @@ QUERIES = {
     "match_in_turn": match_in_turn, "set_agreement": set_agreement, "score_plots": score_plots, "near_or_isolated": near_or_isolated, "voronoi_stems": voronoi_stems, "label_transfer": label_transfer,
     "witness_families": witness_families, "credited": credited, "fused": fused, "fusion_modes": fusion_modes, "votes_frontier": votes_frontier, "merged_blocks": merged_blocks, "instance_apexes": instance_apexes,
     "crown_diameters": crown_diameters, "point_overlaps": point_overlaps, "label_coverage": label_coverage, "overlap_match": overlap_match, "instance_cells": instance_cells, "point_density": point_density, "decimated": decimated,
-    "tiles_with_halo": tiles_with_halo, "treetops": treetops, "canopy_surface": canopy_surface, "smooth_surface": smooth_surface, "watershed_crowns": _segments("watershed"), "random_walker_crowns": _segments("random_walker"),
+    "tiles_with_halo": tiles_with_halo, "treetops": treetops, "cloud_treetops": cloud_treetops, "canopy_surface": canopy_surface, "smooth_surface": smooth_surface, "watershed_crowns": _segments("watershed"), "random_walker_crowns": _segments("random_walker"),
     "grown_crowns": _segments("region_growing"), "voronoi_crowns": _segments("voronoi"), "li_trees": li_trees, "shifted_modes": shifted_modes, "snapped": snapped, "in_footprints": in_footprints, "geojson": geojson, "monte_carlo": monte_carlo,
 }
 
@@ -360,6 +367,7 @@ SELECT * EXCLUDE (sq, sum_iou, sum_maxiou), round(sum_iou, 9) AS sum_iou, round(
     "tiles_with_halo": f"""WITH {_P}, o AS (SELECT p.*, i, j, CAST(floor(x / 8) AS BIGINT) + i AS tx, CAST(floor(y / 8) AS BIGINT) + j AS ty FROM f_points p, range(-1, 2) AS a(i), range(-1, 2) AS b(j))
 SELECT cell, point, tx, ty, i = 0 AND j = 0 AS core FROM o WHERE x >= tx * 8 - 2 AND x < (tx + 1) * 8 + 2 AND y >= ty * 8 - 2 AND y < (ty + 1) * 8 + 2""",
     "treetops": f"WITH {_P}, p AS (SELECT *, least(greatest(0.1 * z + 2, 2), 6) / 2 AS h FROM f_points WHERE z >= 2) SELECT cell, point FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.cell = b.cell AND (b.z > a.z OR (b.z = a.z AND b.point < a.point)) AND {D2} <= a.h * a.h AND {D2} <= 9)",
+    "cloud_treetops": f"WITH {ctes('cloud')}, p AS (SELECT *, least(greatest(0.1 * z + 2, 2), 6) / 2 AS h, floor(x / 3) AS gx, floor(y / 3) AS gy FROM f_cloud WHERE z >= 2), v AS (SELECT p.*, gx + i AS vx, gy + j AS vy FROM p, range(-1, 2) a(i), range(-1, 2) b(j)), n AS (SELECT DISTINCT a.cell, a.point, a.x, a.y, a.z FROM p a JOIN v b ON a.cell = b.cell AND a.gx = b.vx AND a.gy = b.vy AND (b.z > a.z OR (b.z = a.z AND b.point < a.point)) AND {D2} <= a.h * a.h AND {D2} <= 9) SELECT cell, point FROM p ANTI JOIN n USING (cell, point, x, y, z)",
     "canopy_surface": f"WITH {_P}, {_RASTER} SELECT * FROM rs",
     "smooth_surface": f"""WITH {_P}, {_RASTER}, md AS (SELECT a.cell, a."row", a.col, median(b.value) FILTER (a."row" <> b."row" OR a.col <> b.col) AS m, any_value(a.value) AS v {_NEXT} GROUP BY ALL), f AS (SELECT cell, "row", col, CASE WHEN m - v > 1 THEN m ELSE v END AS value FROM md)
 SELECT a.cell, a."row", a.col, round(avg(b.value), 9) AS value {_NEXT.replace('rs ', 'f ')} GROUP BY ALL""",

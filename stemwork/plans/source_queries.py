@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stemwork.sources import tables as T
+from stemwork.sources import las, tables as T
 from stemwork.sources.scratch import scratch
 
 from .fixtures import ctes, fixture
@@ -122,8 +122,17 @@ def geojson_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.get_json_object("properties", "$.point").cast("long").alias("point"), F.get_json_object("properties", "$.arm").alias("arm"), number("properties", "$.z").alias("z"), number("geometry", "$.coordinates[0]").alias("lon"), number("geometry", "$.coordinates[1]").alias("lat"))
 
 
+def las_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each cell as LAS with their labels, of which two classes are read back, by some of their columns."""
+    path = scratch(spark, "las")
+    p = fixture(spark, sf_dir, "points").select("cell", "x", "y", "z", (F.col("point") % 6).cast("int").alias("class"), (F.col("point") % 3 + 1).cast("int").alias("ret"), F.col("point").alias("inst"))
+    las.write_las(p, path, "cell", ["inst"])
+    rows = las.read_las(spark, f"{path}/*/*", ["x", "y", "z", "class", "ret"], ["inst"], classes=[2, 5])
+    return rows.select(F.regexp_extract("file", r"cell=(\d+)", 1).cast("int").alias("cell"), *[F.round(F.col(c) * 1000).cast("long").alias(f"{c}_mm") for c in "xyz"], "class", "ret", "inst")
+
+
 QUERIES = {
-    f.__name__: f for f in (csv_round_trip, inferred_csv, checked_detections, cached_variants, cached_rungs, selection_manifest, box_files, crown_point_files, appended_batches, labelled_cloud, ply_round_trip, frozen_clips, geojson_files)
+    f.__name__: f for f in (csv_round_trip, inferred_csv, checked_detections, cached_variants, cached_rungs, selection_manifest, box_files, crown_point_files, appended_batches, labelled_cloud, ply_round_trip, frozen_clips, geojson_files, las_round_trip)
 }
 
 _P = ctes("points")
@@ -143,5 +152,6 @@ n AS (SELECT l_returnflag, plot, params, count(*) AS n FROM c GROUP BY ALL) SELE
     "frozen_clips": """WITH c AS (SELECT 'SITE' AS site, 'p' || (l_partkey % 30) AS plot, CASE WHEN l_linenumber % 2 = 0 THEN '8' ELSE 'native' END AS rung, l_orderkey % 9 AS class, l_linenumber AS ret FROM lineitem),
 m AS (SELECT site, plot, rung, count(*) AS n_raw, count_if(class = 2) AS n_ground, count_if(ret = 1) AS n_first FROM c GROUP BY ALL HAVING count(*) >= 100 AND count_if(class = 2) >= 10)
 SELECT *, CAST(list_reduce(list_transform(string_split(site || '|' || plot || '|' || rung, ''), lambda c: CAST(ascii(c) AS DOUBLE)), lambda h, c: ((h - (h % 128) + CAST(xor(CAST(h % 128 AS BIGINT), CAST(c AS BIGINT)) AS DOUBLE)) * 16777619) % 4294967296, CAST(2166136261 AS DOUBLE)) % 2147483648 AS BIGINT) AS seed FROM m""",
+    "las_round_trip": f"WITH {_P} SELECT cell, CAST(round(x * 1000) AS BIGINT) AS x_mm, CAST(round(y * 1000) AS BIGINT) AS y_mm, CAST(round(z * 1000) AS BIGINT) AS z_mm, CAST(point % 6 AS INT) AS class, CAST(point % 3 + 1 AS INT) AS ret, point AS inst FROM f_points WHERE point % 6 IN (2, 5)",
     "geojson_files": f"WITH {_P} SELECT point, arm, CASE WHEN point % 5 <> 0 THEN round(z, 6) END AS z, round(x, 7) AS lon, round(y, 7) AS lat FROM f_points",
 }

@@ -257,10 +257,10 @@ def write_ply(df: DataFrame, path: str, names: list[str], kinds: list[str], by:
     spark, root = df.sparkSession, path
     made = packed.select(F.col(by).cast("string").alias("name"), F.base64("content").alias("content"))
     for r in made.toLocalIterator():
-        _put(spark, f"{root}/{by}={r['name']}/points.ply", r["content"])
+        put_file(spark, f"{root}/{by}={r['name']}/points.ply", r["content"])
 
 
-def _put(spark: SparkSession, path: str, content: str) -> None:
+def put_file(spark: SparkSession, path: str, content: str) -> None:
     """Writes base64 content to one file by Hadoop's file system of the path."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

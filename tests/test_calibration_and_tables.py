@@ -85,3 +85,22 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([("a", 2, 5)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert {r.key: r.v for r in scored_so_far(spark, str(tmp_path / "out"), ["key"]).collect()} == {"a": 5, "b": 1}
+
+
+def test_las_files_of_other_kinds_are_errors():
+    import numpy as np
+
+    from stemwork.sources import las
+
+    x = np.array([500000.123, 500001.5]), np.array([4100000.25, 4100003.0]), np.array([0.5, -2.0])
+    data = las.format_las(*x, np.array([2, 7]), np.array([1, 3]), {"inst": np.array([0, -5])})
+    got = las.parse_las(data)
+    assert np.allclose(got[["x", "y", "z"]].to_numpy(), np.stack(x, axis=1), atol=5e-4)
+    assert got["class"].tolist() == [2, 7] and got.ret.tolist() == [1, 3] and got.inst.tolist() == [0, -5]
+    assert len(las.parse_las(data, ["z"], classes=[2])) == 1 and len(las.parse_las(data, ["z"], first_only=True)) == 1
+    assert len(las.parse_las(las.format_las(*(np.empty(0),) * 3, *(np.empty(0, int),) * 2))) == 0
+    for bad, what in ((data[:-1], "cut off"), (b"PLY" + data, "not a LAS"), (data[:104] + b"\x80" + data[105:], "compression")):
+        with pytest.raises(ValueError, match=what):
+            las.parse_las(bad)
+    with pytest.raises(ValueError, match="missing"):
+        las.parse_las(data, ["x", "tree"])

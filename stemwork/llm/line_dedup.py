@@ -6,7 +6,7 @@ by hash and then the last among equals, is its minimum and becomes a fingerprint
 all lines of the window, so equal keys certify that MIN_WORDS words repeat. Each line of a run with
 MIN_WORDS words or more is in a window that the run holds whole: so joining each fingerprint with the first
 position of its key loses no run, and copies stay linear. On the diagonal of such a pair of positions
-matches are extended both ways, and runs of equal lines with MIN_WORDS words or more are deleted where they
+matches are extended both ways (lines are equal if two 64-bit hashes of them are), and runs of equal lines with MIN_WORDS words or more are deleted where they
 come later. Order is by doc_id and place.
 """
 
@@ -15,20 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import SPACE, checkpointed
-from .mixing import words
 
 MIN_WORDS = 25
 
 
-def _lines(text: Column, min_words: int) -> Column:
-    """Array of (pos, lh, nw) of the lines that aren't blank."""
-    made = F.transform(F.split(text, "\n", -1), lambda x, k: F.struct(k.alias("pos"), F.xxhash64(F.trim(F.regexp_replace(x, SPACE, " "))).alias("lh"), words(x).alias("nw")))
+def _lines(text: Column) -> Column:
+    """Array of (pos, lh, l2, nw) of the lines that aren't blank: place, two hashes of the normalized line, words."""
+    plain = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
+    size = lambda y: F.when(y == "", 0).otherwise(F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).cast("long")
+    made = F.transform(plain, lambda y, k: F.struct(k.alias("pos"), F.xxhash64(y).alias("lh"), F.xxhash64(y, F.lit(1)).alias("l2"), size(y).alias("nw")))
     return F.filter(made, lambda s: s["nw"] > 0)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """i, h (keys of a document), runs: array of (from, to, words), the line numbers of its later repeated runs."""
-    rows = _keyed(docs).select("i", "h", _lines(F.col("text"), min_words).alias("lines")).dropDuplicates(["i", "h"])
+    rows = _keyed(docs).select("i", "h", _lines(F.col("text")).alias("lines")).dropDuplicates(["i", "h"])
     rows = checkpointed(rows.where(F.size("lines") > 0))
     place = W.partitionBy("i", "h").orderBy("seq")
     flat = rows.select("i", "h", F.posexplode("lines").alias("seq", "line")).select("i", "h", "seq", "line.lh", "line.nw")
@@ -47,7 +48,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = diagonals.join(rows, ["i", "h"]).join(other, (F.col("a_i") == F.col("o_i")) & (F.col("a_h") == F.col("o_h")))
     lo = F.greatest(F.lit(0), -F.col("shift"))
     n = F.least(F.size("lines"), F.size("o_lines") - F.col("shift")) - lo
-    aligned = F.zip_with(F.slice("lines", lo + 1, F.greatest(n, F.lit(0))), F.slice("o_lines", lo + F.col("shift") + 1, F.greatest(n, F.lit(0))), lambda x, y: F.when(x["lh"] == y["lh"], x))
+    aligned = F.zip_with(F.slice("lines", lo + 1, F.greatest(n, F.lit(0))), F.slice("o_lines", lo + F.col("shift") + 1, F.greatest(n, F.lit(0))), lambda x, y: F.when((x["lh"] == y["lh"]) & (x["l2"] == y["l2"]), x))
     same = pairs.select("i", "h", "a_i", "a_h", "shift", F.posexplode(aligned).alias("at", "x")).where("x is not null")
     diagonal = ["i", "h", "a_i", "a_h", "shift"]
     island = F.col("at") - F.row_number().over(W.partitionBy(*diagonal).orderBy("at"))

@@ -33,6 +33,7 @@ from .common import bucketed, checkpointed, parts, written
 WORDS, PERCENT, TREES, SHALLOW, DEEPEST, SEED = 5, 75, 32, 4, 8, 7
 #: Sets that follow a set in an order and are its neighbours, in the first pass and in the second.
 REACH = (1, 2)
+EDGES_A_TASK = 100_000
 _RNG = np.random.default_rng(SEED)
 _ODD = lambda n: _RNG.integers(1 << 62, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE, _MUL, _ADD = _ODD(64), _ODD(TREES * DEEPEST), _ODD(TREES * DEEPEST)
@@ -179,15 +180,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of the nodes of edges (a, b), by alternating large and small stars."""
-    state, last = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()), None
+    """node, component (its least node) of the nodes of edges (a, b), by alternating large and small stars.
+
+    Steps run in one task for each EDGES_A_TASK edges, so that few edges don't cross the wire in hundreds of pieces.
+    """
+    n = 1 + edges.count() // EDGES_A_TASK
+    few = lambda df: df.coalesce(n)
+    state, last = checkpointed(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")).distinct()), None
     while True:
-        both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        state = checkpointed(small)
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(state).select(F.explode(ends).alias("e")).select("e.u", "e.v")
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v")))).distinct()
+        state = checkpointed(few(small))
         seen = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == last:
             break

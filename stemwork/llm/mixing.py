@@ -51,9 +51,9 @@ def targets(sizes: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weig
     return rows.select("source", "source_size", F.when(stop.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * stop["level"])).alias("target"))
 
 
-def by_length(text: Column) -> Column:
+def by_length() -> Column:
     """A weight that grows with the logarithm of a text's words: one of 1,000 words has 2.5 times that of one of 15."""
-    return F.log2(words(text) + F.lit(2.0))
+    return F.log2(F.col("size") + F.lit(2.0))
 
 
 def _expected(goal: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights:
     """docs with size, source_size, target and copies (0 to limit, rounded up) of each document.
 
     weight: a column by which the documents of a source share its target, to an eighth of an octave; equal if
-    None, 1 where it is null or not positive. A document stops at `limit` copies and the excess is shared by
+    None, 1 where it is null or not positive. It may name columns of docs and size. A document stops at `limit` copies and the excess is shared by
     weight. Words are runs of anything but ASCII white space. Texts that are null or have no words have size 0
     and are taken for certain only. Null sources are a source, the last. Repeated rows are documents of their
     own and equal rows are treated alike, so reruns agree. Columns of docs named as the new ones are replaced.
@@ -98,7 +98,8 @@ def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights:
     docs = docs.drop("size", "source_size", "target", "copies")
     share = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
     step = F.round(F.log2(F.when(share > 0, share).otherwise(1.0)) * STEPS).cast("int")
-    sized = docs.withColumns({"size": words(F.col("text").cast("string")), "_mx_k": step, "_mx_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_mx_h": F.xxhash64("text")})
+    sized = docs.withColumn("size", words(F.col("text").cast("string")))
+    sized = sized.withColumns({"_mx_k": step, "_mx_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_mx_h": F.xxhash64("text")})
     thin = checkpointed(sized.select("doc_id", "source", "size", "_mx_k", "_mx_i", "_mx_h"))
     classes = checkpointed(thin.groupBy("source", "_mx_k").agg(F.sum("size").alias("mass")))
     goal = targets(classes.groupBy("source").agg(F.sum("mass").alias("source_size")), budget, limit, weights)

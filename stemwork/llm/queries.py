@@ -25,7 +25,7 @@ def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mixture of 150 % of all words takes of each document; longer documents are likelier, by the logarithm."""
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, weight=mixing.by_length(F.col("text")), narrow=True)
+    mixed = mixing.mix(docs, weight=mixing.by_length(), narrow=True)
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

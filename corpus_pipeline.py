@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of 150 % of all words takes them, longer ones with greater odds."""
-    mixed = mixing.mix(docs.select(COLUMNS), weight=mixing.by_length(F.col("text"))).where("copies > 0")
+    mixed = mixing.mix(docs.select(COLUMNS), weight=mixing.by_length()).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 

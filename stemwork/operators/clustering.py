@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from stemwork.functions.scalars import CHM_ARMS
 
 from . import matching, spatial
+from .keys import joined
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str = "point", rounds: bool = False) -> DataFrame:
@@ -114,7 +115,7 @@ def merge_blocks(points: DataFrame, keys: list[str], tol: float = 2.0) -> DataFr
     apex = apex.withColumn("point", F.row_number().over(W.partitionBy(*keys).orderBy("block", "inst")))
     groups = components(apex, spatial.pairs_within(apex, tol, keys, "point", apart="block"), keys)
     ids = groups.select(*keys, "block", "inst", F.dense_rank().over(W.partitionBy(*keys).orderBy("cluster")).alias("global_id"))
-    return points.where("inst is not null and inst <> 0").join(ids, [*keys, "block", "inst"])
+    return joined(points.where("inst is not null and inst <> 0"), ids, [*keys, "block", "inst"])
 
 
 def credits(fps: DataFrame, keys: list[str], arm_family: str, radius: float = 2.0, families: int = 2) -> DataFrame:
@@ -123,7 +124,7 @@ def credits(fps: DataFrame, keys: list[str], arm_family: str, radius: float = 2.
     some = fps.where("eligible").drop("eligible")
     mine = some.where(F.col("fam") == arm_family)
     seen = spatial.witnesses(mine, some.where(F.col("fam") != arm_family), radius, keys, "point").where(F.col("families") >= families)
-    kept = matching.suppress(mine.join(seen.select(*keys, "point"), [*keys, "point"]), keys, radius)
+    kept = matching.suppress(joined(mine, seen.select(*keys, "point"), [*keys, "point"]), keys, radius)
     return kept.groupBy(*keys).agg(F.count("*").alias("credited"))
 
 

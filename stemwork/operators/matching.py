@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .keys import joined
+
 
 def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
@@ -162,9 +164,9 @@ def agreement(matched: DataFrame, left: DataFrame, right: DataFrame, keys: list[
     """
     count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
     side = lambda df, item, z: df.select(*keys, F.col(item), F.col("z").alias(z))
-    pairs = matched.join(side(left, a, "_za"), [*keys, a], "left").join(side(right, b, "_zb"), [*keys, b], "left").withColumn("_dz", F.col("_zb") - F.col("_za"))
+    pairs = joined(joined(matched, side(left, a, "_za"), [*keys, a], "left"), side(right, b, "_zb"), [*keys, b], "left").withColumn("_dz", F.col("_zb") - F.col("_za"))
     found = pairs.groupBy(*keys).agg(F.count("*").alias("matched"), F.avg("_dz").alias("dz_mean"), F.stddev_samp("_dz").alias("dz_sd"))
-    rows = count(left, "n_left").join(count(right, "n_right"), keys, "full").join(found, keys, "full").na.fill(0, ["n_left", "n_right", "matched"])
+    rows = joined(joined(count(left, "n_left"), count(right, "n_right"), keys, "full"), found, keys, "full").na.fill(0, ["n_left", "n_right", "matched"])
     rows = rows.withColumn("diff", F.col("n_left") - F.col("n_right"))
     return rows.withColumn("jaccard", F.try_divide(F.col("matched").cast("double"), F.col("n_left") + F.col("n_right") - F.col("matched")))
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import squared
 
+from .keys import joined
+
 
 def _kinds(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
@@ -37,7 +39,7 @@ def smoothed(raster: DataFrame, keys: list[str]) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = raster.withColumn("_o", F.explode(steps)).select(*keys, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), F.col("value").alias("_v"))
     means = spread.groupBy(*keys, "row", "col").agg(F.avg("_v").alias("_m"))
-    return raster.join(means, [*keys, "row", "col"]).select(*keys, "row", "col", F.col("_m").alias("value"))
+    return joined(raster, means, [*keys, "row", "col"]).select(*keys, "row", "col", F.col("_m").alias("value"))
 
 
 def filled(raster: DataFrame, keys: list[str], depth: float = 1.0) -> DataFrame:
@@ -46,7 +48,7 @@ def filled(raster: DataFrame, keys: list[str], depth: float = 1.0) -> DataFrame:
     spread = raster.withColumn("_o", F.explode(steps)).select(*keys, (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), F.col("value").alias("_v"))
     middle = spread.groupBy(*keys, "row", "col").agg(F.median("_v").alias("_m"))
     value = F.when(F.col("_m") - F.col("value") > depth, F.col("_m")).otherwise(F.col("value"))
-    return raster.join(middle, [*keys, "row", "col"], "left").select(*keys, "row", "col", value.alias("value"))
+    return joined(raster, middle, [*keys, "row", "col"], "left").select(*keys, "row", "col", value.alias("value"))
 
 
 def lookup(points: DataFrame, raster: DataFrame, keys: list[str], x0: float, y1: float, res: float, out: str = "value") -> DataFrame:
@@ -324,7 +326,7 @@ def snap(apexes: DataFrame, tops: DataFrame, keys: list[str], radius: float = 2.
     from .spatial import within
 
     best = within(apexes, tops, radius, keys).groupBy(*keys, "point").agg(F.max_by(F.struct("r_x", "r_y", "r_z"), F.struct("r_z", -F.col("r_point"))).alias("_b"))
-    rows = apexes.join(best, [*keys, "point"], "left")
+    rows = joined(apexes, best, [*keys, "point"], "left")
     return rows.select(*keys, "point", *[F.coalesce(F.col(f"_b.r_{c}"), F.col(c)).alias(c) for c in "xyz"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from stemwork.functions.scalars import BANDS, CLASSES, f1, height_band, in_box, rate
 
 from . import matching, spatial
+from .keys import joined
 
 
 def score_plots(stems: DataFrame, dets: DataFrame, plots: DataFrame, keys: list[str], tol: float | str = 4.0, most: float | None = None, method: str = "greedy", up: float = 8.0, near: float = 4.0) -> DataFrame:
@@ -56,7 +57,7 @@ def wrong_by_class(wrong: DataFrame, stems: DataFrame, matched: DataFrame, keys:
     reach (NULL for none), near a matched stem or not. wrong: keys, point, x, y; stems: keys, stem, x, y, crown_class."""
     kinds = spatial.isolated(wrong, matched, near, keys)
     of = spatial.nearest(wrong, stems, reach, keys, "point", "stem", "crown_class")
-    rows = kinds.join(of, [*keys, "point"])
+    rows = joined(kinds, of, [*keys, "point"])
     return rows.groupBy(*keys, "crown_class").agg(F.count_if("near").alias("fp_near"), F.count_if(~F.col("near")).alias("fp_isolated"))
 
 
@@ -67,7 +68,7 @@ def point_set_iou(points: DataFrame, keys: list[str]) -> DataFrame:
     """
     size = lambda c: points.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias(f"{c}_size"))
     both = points.where("pred is not null and ref is not null").groupBy(*keys, "pred", "ref").agg(F.count("*").alias("inter"))
-    rows = both.join(size("pred"), [*keys, "pred"]).join(size("ref"), [*keys, "ref"])
+    rows = joined(joined(both, size("pred"), [*keys, "pred"]), size("ref"), [*keys, "ref"])
     rows = rows.withColumn("union", F.col("pred_size") + F.col("ref_size") - F.col("inter"))
     return rows.select(*keys, F.col("pred").alias("pred_id"), F.col("ref").alias("ref_id"), "inter", "pred_size", "ref_size", "union", rate("inter", "union").alias("iou"))
 
@@ -76,7 +77,7 @@ def coverage(points: DataFrame, keys: list[str], overlaps: DataFrame | None = No
     """(keys, ref_id, max_iou) of every reference label, 0 where nothing overlaps it."""
     best = (point_set_iou(points, keys) if overlaps is None else overlaps).groupBy(*keys, "ref_id").agg(F.max("iou").alias("max_iou"))
     refs = points.where("ref is not null").select(*keys, F.col("ref").alias("ref_id")).distinct()
-    return refs.join(best, [*keys, "ref_id"], "left").na.fill(0.0, ["max_iou"])
+    return joined(refs, best, [*keys, "ref_id"], "left").na.fill(0.0, ["max_iou"])
 
 
 def panoptic(cells: DataFrame) -> DataFrame:
@@ -93,7 +94,8 @@ def instance_cells(points: DataFrame, classes_of: DataFrame, keys: list[str], ga
     """
     overlaps = point_set_iou(points, keys)
     matched = matching.iou_match(overlaps, keys, gate)
-    refs = coverage(points, keys, overlaps).join(classes_of, [*keys, "ref_id"], "left").join(matched.select(*keys, "ref_id", F.col("iou").alias("m_iou")), [*keys, "ref_id"], "left")
+    refs = joined(coverage(points, keys, overlaps), classes_of.select(*keys, "ref_id", "crown_class"), [*keys, "ref_id"], "left")
+    refs = joined(refs, matched.select(*keys, "ref_id", F.col("iou").alias("m_iou")), [*keys, "ref_id"], "left")
     aggs = [F.count("*").alias("n_ref"), F.count("m_iou").alias("TP"), F.coalesce(F.sum("m_iou"), F.lit(0.0)).alias("sum_iou"), F.sum("max_iou").alias("sum_maxiou")]
     for c in CLASSES:
         of = F.col("crown_class") == c
@@ -101,7 +103,7 @@ def instance_cells(points: DataFrame, classes_of: DataFrame, keys: list[str], ga
     preds = points.groupBy(*keys).agg(F.count_distinct("pred").alias("n_pred"))
     counts = ["n_ref", "TP", *[f"{p}_{c}" for c in CLASSES for p in ("n", "tp")]]
     sums = ["sum_iou", "sum_maxiou", *[f"{p}_{c}" for c in CLASSES for p in ("sumiou", "sumcov")]]
-    out = preds.join(refs.groupBy(*keys).agg(*aggs), keys, "left").na.fill(0, counts).na.fill(0.0, sums)
+    out = joined(preds, refs.groupBy(*keys).agg(*aggs), keys, "left").na.fill(0, counts).na.fill(0.0, sums)
     out = panoptic(out).withColumn("coverage", rate("sum_maxiou", "n_ref"))
     return out.withColumns({f"fn_{c}": F.col(f"n_{c}") - F.col(f"tp_{c}") for c in CLASSES})
 
@@ -113,5 +115,6 @@ def crowns_against_field(diameters: DataFrame, apexes: DataFrame, stems: DataFra
     field: stem, max_cd, ninety_cd.
     """
     m = matching.greedy(spatial.candidates(stems, apexes.withColumnRenamed("id", "det"), keys, tol), keys).select(*keys, "stem", F.col("det").alias("id"))
-    rows = m.join(stems.select(*keys, "stem", "crown_class"), [*keys, "stem"]).join(diameters.select(*keys, "id", "d_eq", "d_caliper"), [*keys, "id"], "left").join(field.dropDuplicates(["stem"]), "stem", "left")
+    rows = joined(m, stems.select(*keys, "stem", "crown_class"), [*keys, "stem"])
+    rows = joined(rows, diameters.select(*keys, "id", "d_eq", "d_caliper"), [*keys, "id"], "left").join(field.dropDuplicates(["stem"]), "stem", "left")
     return rows.withColumn("area", F.pi() * (F.col("d_eq") / 2) * (F.col("d_eq") / 2)).select(*keys, "stem", "crown_class", "d_eq", "d_caliper", "area", "max_cd", "ninety_cd")

@@ -136,3 +136,50 @@ def test_local_maxima_and_halo(spark):
     p = spark.createDataFrame([(0, 1, 1.0, 1.0, 9.0), (0, 2, 2.0, 1.0, 8.0), (0, 3, 7.9, 1.0, 7.0), (0, 4, 1.0, 1.0, 9.0)], "cell int, point int, x double, y double, z double")
     assert {r.point for r in rasters.local_maxima(p, ["cell"], "point", F.lit(4.0), 4.0).collect()} == {1, 3}
     assert sorted((r.tx, r.core) for r in spatial.halo(p.where("point = 3"), 8.0, 0.5).collect() if r.ty == 0) == [(0, True), (1, False)]
+
+
+def test_null_cells_are_cells(spark):
+    from stemwork.operators import matching, scoring
+
+    points = spark.createDataFrame([(None, 1, 1), (None, 1, 1), (None, 2, 1), (5, 1, 2)], "cell int, pred int, ref int")
+    got = {(r.cell, r.pred_id, r.ref_id): r.iou for r in scoring.point_set_iou(points, ["cell"]).collect()}
+    assert got == {(None, 1, 1): 2 / 3, (None, 2, 1): 1 / 3, (5, 1, 2): 1.0}
+    assert {(r.cell, r.max_iou) for r in scoring.coverage(points, ["cell"]).collect()} == {(None, 2 / 3), (5, 1.0)}
+    left = spark.createDataFrame([(None, 1, 3.0), (None, 2, 4.0)], "cell int, stem int, z double")
+    right = spark.createDataFrame([(None, 7, 5.0)], "cell int, det int, z double")
+    match = spark.createDataFrame([(None, 1, 7)], "cell int, stem int, det int")
+    r = matching.agreement(match, left, right, ["cell"]).first()
+    assert (r.cell, r.n_left, r.n_right, r["diff"], r.matched, r.dz_mean, r.dz_sd) == (None, 2, 1, 1, 1, 2.0, None)
+
+
+def test_random_walker_against_a_dense_solution():
+    import numpy as np
+
+    from stemwork.operators import rasters
+
+    rng = np.random.default_rng(4)
+    value = rng.uniform(3, 20, (9, 8))
+    value[4, 2:5] = 1.0  # below the floor
+    label = np.zeros((9, 8), int)
+    for k, (r, c) in enumerate([(0, 0), (8, 7), (2, 6), (7, 1)], 1):
+        label[r, c] = k
+    for beta in (1.0, 90.0):
+        got = rasters.walk(value, label, 2.0, beta)
+        cells = [tuple(x) for x in np.argwhere(value >= 2)]
+        at = {x: i for i, x in enumerate(cells)}
+        v = np.array([value[x] for x in cells])
+        v = (v - v.min()) / np.ptp(v)
+        lap = np.eye(len(cells)) * 1e-6
+        for (r, c), i in at.items():
+            for x in ((r + 1, c), (r, c + 1)):
+                if x in at:
+                    j, w = at[x], np.exp(-beta * (v[i] - v[at[x]]) ** 2) + 1e-6
+                    lap[[i, j], [i, j]] += w
+                    lap[i, j] -= w
+                    lap[j, i] -= w
+        seeds = np.array([label[x] for x in cells])
+        free = seeds == 0
+        chance = np.stack([np.linalg.solve(lap[np.ix_(free, free)], -lap[np.ix_(free, ~free)] @ (seeds[~free] == k)) for k in range(1, 5)])
+        want = seeds.copy()
+        want[free] = chance.argmax(axis=0) + 1
+        assert [got[x] for x in cells] == want.tolist() and (got[value < 2] == 0).all()

@@ -111,11 +111,12 @@ def flood(value: np.ndarray, label: np.ndarray, floor: float) -> np.ndarray:
     return out
 
 
-def walk(value: np.ndarray, label: np.ndarray, floor: float, beta: float = 1.0, tolerance: float = 1e-8) -> np.ndarray:
+def walk(value: np.ndarray, label: np.ndarray, floor: float, beta: float = 1.0, tolerance: float = 1e-10) -> np.ndarray:
     """Random walker: each canopy cell joins the seed that a walker from it most probably meets first.
 
     Heights are scaled to 0..1, an edge weighs exp(-beta * difference^2) + 1e-6 and the Laplacian's diagonal
-    1e-6 more. One system for each seed is solved by conjugate gradients; cells without a chance keep 0.
+    1e-6 more. One system for each seed is solved by conjugate gradients, scaled by the diagonal; cells without a
+    chance keep 0.
     """
     canopy = np.isfinite(value) & (value >= floor)
     number = np.full(value.shape, -1)
@@ -143,15 +144,17 @@ def walk(value: np.ndarray, label: np.ndarray, floor: float, beta: float = 1.0,
         known = (marked == k).astype(float)
         b = np.where(free, -times(known), 0.0)
         x, r = np.zeros(n), b.copy()
-        p, rs = r.copy(), float(r @ r)
-        for _ in range(2 * n):
-            if rs <= tolerance**2 * max(float(b @ b), 1e-300):
+        z = r / diagonal
+        p, rz = z.copy(), float(r @ z)
+        for _ in range(20 * n):
+            if float(r @ r) <= tolerance**2 * max(float(b @ b), 1e-300):
                 break
             q = np.where(free, times(p), 0.0)
-            a = rs / float(p @ q)
+            a = rz / float(p @ q)
             x, r = x + a * p, r - a * q
-            new = float(r @ r)
-            p, rs = r + new / rs * p, new
+            z = r / diagonal
+            new = float(r @ z)
+            p, rz = z + new / rz * p, new
         better = free & (x > chance + 1e-12)
         best[better], chance[better] = k, x[better]
     out[canopy] = best

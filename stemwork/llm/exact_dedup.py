@@ -3,7 +3,7 @@
 Every task first combines the rows of its own input, so copies of one text meet the shuffle once for each
 input partition. The distinct texts are then dealt by a hash of their content, and each task partitions
 what it reads into spill files by further bits of that hash, again and again, until a bucket fits an
-open-addressing table of bounded size. Equality is decided on complete bytes, never on a digest. Rows and
+open-addressing table of bounded size. Texts that a task has often are dealt twice, first with a share of their rows. Equality is decided on complete bytes, never on a digest. Rows and
 their texts part after the first step: only distinct texts are shuffled, and a row finds its group by the
 slot that it got there.
 """
@@ -15,6 +15,7 @@ import pickle
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -24,6 +25,8 @@ from .common import parts, written
 
 #: Bytes of texts in one open-addressing table; larger buckets are split into FAN spill files.
 TABLE_BYTES, FAN = 64 << 20, 16
+#: A text that a table has so often is merged in so many tasks before it is merged in one.
+HOT_ROWS, HOT_PARTS = 64, 32
 _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _RUNS = re.compile(b"  +")
 
@@ -172,31 +175,35 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     combined = written(rows.mapInArrow(combine, first), "exact")
 
-    second = "slot long, keep_id long, group_size long, sha string"
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, tuple]]:
+        """Contents of (slot, content, least, rows) with what _all makes of their values."""
+        read = ((key, (least, n, [slot])) for batch in parts(batches) for slot, key, least, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        return grace(read, _all)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in second.split(", ")]
+    def emitted(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        while some := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
-        def read() -> Iterator[tuple[bytes, object]]:
-            for batch in parts(batches):
-                for slot, key, least, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    yield key, (least, n, [slot])
+    def pre_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((slot, slots[0], key if slot == slots[0] else None, least, n) for key, (least, n, slots) in folded(batches) for slot in slots)
+        return emitted(rows, FIRST_KINDS)
 
-        out: list[tuple] = []
-        for key, (least, n, slots) in grace(read(), _all):
-            sha = hashlib.sha256(key).hexdigest()
-            out += [(s, least, n, sha) for s in slots]
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], names=names)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((slot, least, n, sha) for key, (least, n, slots) in folded(batches) for sha in [hashlib.sha256(key).hexdigest()] for slot in slots)
+        return emitted(rows, KINDS)
 
     texts = combined.where("content is not null").select("slot", "content", "least", "rows")
-    groups = texts.repartition(F.xxhash64("content")).mapInArrow(fold, second)
+    # texts that a task has often meet in HOT_PARTS tasks first, so that their last task gets as many rows of them
+    often = texts.where(F.col("rows") >= HOT_ROWS).repartition(F.xxhash64("content"), F.pmod(F.xxhash64("slot"), F.lit(HOT_PARTS)))
+    often = written(often.mapInArrow(pre_merge, "slot long, first_slot long, content binary, least long, rows long"), "exact-often")
+    rest = texts.where(F.col("rows") < HOT_ROWS).union(often.where("content is not null").select("first_slot", "content", "least", "rows"))
+    groups = written(rest.repartition(F.xxhash64("content")).mapInArrow(merge, "slot long, keep_id long, group_size long, sha string"), "exact-groups")
+    others = often.where("slot <> first_slot").select(F.col("slot").alias("o_slot"), "first_slot").join(groups, F.col("first_slot") == F.col("slot"))
+    groups = groups.union(others.select("o_slot", "keep_id", "group_size", "sha"))
     members = combined.where("content is null").select("doc_id", F.col("slot").alias("at"))
     joined = members.join(groups, F.col("at") == F.col("slot"))
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+KINDS = pa.schema([("slot", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("sha", pa.string())])
+FIRST_KINDS = pa.schema([("slot", pa.int64()), ("first_slot", pa.int64()), ("content", pa.binary()), ("least", pa.int64()), ("rows", pa.int64())])

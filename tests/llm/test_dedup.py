@@ -86,6 +86,13 @@ def test_exact_groups(spark, crowd):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+def test_frequent_texts_are_merged_twice(spark, crowd, monkeypatch):
+    plain = sorted(map(str, exact_dedup.exact_groups(docs(spark, crowd * 3)).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+    monkeypatch.setattr(exact_dedup, "TABLE_BYTES", 2000)
+    assert sorted(map(str, exact_dedup.exact_groups(docs(spark, crowd * 3)).collect())) == plain
+
+
 def test_grace_spills_and_compares_content(tmp_path):
     rnd = random.Random(1)
     rows = [(f"text {rnd.randint(0, 500)}".encode() * 5, 1) for _ in range(4000)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -13,8 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 SPACE = r"[\x20\x09-\x0D]+"
 
 _local_scratch: list[str] = []
-#: Tables that written() has made, in their order.
-tables_written: list[str] = []
+_here = threading.local()
+
+
+def tables_written() -> list[str]:
+    """Tables that this thread has written to the shared folder, in their order."""
+    if not hasattr(_here, "paths"):
+        _here.paths = []
+    return _here.paths
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stemwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    tables_written.append(path)
+    tables_written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +65,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     place = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/stemwork/{place}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(f"stemwork_{place}")
-    tables_written.append(path)
+    tables_written().append(path)
     return spark.table(f"stemwork_{place}")
 
 
@@ -71,11 +78,13 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
 
 def release(spark: SparkSession, start: int) -> None:
     """Deletes the tables written since there were `start` of them, but for the last, through Spark's file systems."""
-    for path in tables_written[start:-1]:
+    for path in tables_written()[start:-1]:
+        name = path.rpartition("/")[2]
+        if "-" not in name:  # bucketed ones are in the catalog too
+            spark.sql(f"DROP TABLE IF EXISTS stemwork_{name}")
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        spark.sql(f"DROP TABLE IF EXISTS stemwork_{path.rpartition('/')[2]}" if "-" not in path.rpartition("/")[2] else "SELECT 1")
-    del tables_written[start:-1]
+    del tables_written()[start:-1]
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:

@@ -67,7 +67,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir. Tables that stages leave are deleted when the next is written."""
-    docs, start = table(spark, sf_dir, "documents"), len(tables_written)
+    docs, start = table(spark, sf_dir, "documents"), len(tables_written())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
         release(spark, start)

@@ -76,7 +76,8 @@ def _expected(goal: DataFrame, classes: DataFrame, limit: float) -> DataFrame:
 
 def _decided(rows: DataFrame, by: DataFrame, seed: int) -> DataFrame:
     """rows (source, size, _mx_k, _mx_i, _mx_h, ...) with what `by` says of their source and class, and _mx_sure, _mx_p, _mx_q."""
-    out = rows.join(by, F.col("source").eqNullSafe(F.col("_mx_s")) & (F.col("_mx_k") == F.col("_mx_c"))).drop("_mx_s", "_mx_c")
+    # null-safe, since a plain equality would have every row's words counted once more to filter nulls
+    out = rows.join(by, F.col("source").eqNullSafe(F.col("_mx_s")) & F.col("_mx_k").eqNullSafe(F.col("_mx_c"))).drop("_mx_s", "_mx_c")
     out = out.withColumn("_mx_sure", F.floor("_mx_e")).withColumn("_mx_p", F.when(F.col("size") > 0, F.col("_mx_e") - F.col("_mx_sure")).otherwise(0.0))
     u, p = uniform(seed, F.col("_mx_i"), F.col("_mx_h")), F.col("_mx_p")
     return out.withColumn("_mx_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))

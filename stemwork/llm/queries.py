@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, extraction, line_dedup, mixing, near_dedup, packing, simhash, toxicity, warc
+from . import alignment, chat, exact_dedup, extraction, line_dedup, merkle, mixing, near_dedup, packing, simhash, toxicity, warc
 from .common import checkpointed, table
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,17 @@ def op8_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of each document in the manifest of all, verified against texts of which some were tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered()).verified()
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups and links of all documents' tokens under two tokenizers, and the corpus-wide counts of their links."""
+    out = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(ALIGNED[0]), public_tokenizers.path(ALIGNED[1]))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_content_addressed_warc": op2_content_addressed_warc,
@@ -89,6 +101,8 @@ QUERIES = {
     "op8_lsh_forest_near_dedup": op8_lsh_forest_near_dedup,
     "op9_grace_exact_dedup": op9_grace_exact_dedup,
     "op10_event_sourced_chat": op10_event_sourced_chat,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"

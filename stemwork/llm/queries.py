@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, chat, exact_dedup, extraction, line_dedup, merkle, mixing, near_dedup, packing, simhash, toxicity, warc
+from . import alignment, chat, exact_dedup, extraction, line_dedup, merkle, mixing, near_dedup, packing, quality, simhash, toxicity, warc
 from .common import checkpointed, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,6 +84,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered()).verified()
 
 
+def op12_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measurements of all documents, and what the base rules and the strict policy say of their ledger."""
+    rows = quality.decided(quality.ledger(table(spark, sf_dir, "documents")), quality.STRICT)
+    base = quality.BASE.rejects(F.col("failed"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), F.col("failed").alias("failed_bits"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups and links of all documents' tokens under two tokenizers, and the corpus-wide counts of their links."""
     out = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(ALIGNED[0]), public_tokenizers.path(ALIGNED[1]))
@@ -102,12 +109,32 @@ QUERIES = {
     "op9_grace_exact_dedup": op9_grace_exact_dedup,
     "op10_event_sourced_chat": op10_event_sourced_chat,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_rule_ledger": op12_rule_ledger,
     "op13_token_alignment": op13_token_alignment,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
+_BITS = " + ".join(f"CASE WHEN {test} THEN {quality.BITS[name]} ELSE 0 END" for name, test in quality.RULES.items())
+_MASK = {n: sum(quality.BITS[r] for r in rules) for n, rules in (("base", quality.BASE.rules), ("lenient", quality.STRICT.lenient), ("hard", set(quality.STRICT.rules) - set(quality.STRICT.lenient)))}
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_rule_ledger": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+windows AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, three) AS n FROM windows WHERE three IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lined AS (SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+bare AS (SELECT *, list_transform(ls, lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')) AS bs FROM lined),
+m AS (SELECT b.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(ws, lambda x: regexp_matches(x, '\\pL'))) AS n_letter_words,
+  coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word, len(list_filter(bs, lambda x: regexp_matches(x, '^[-*•]'))) AS n_bullets, len(list_filter(bs, lambda x: regexp_matches(x, '(\\.\\.\\.|…)$'))) AS n_ellipses,
+  len(list_filter(bs, lambda x: regexp_matches(x, '[.!?"''”»]$'))) AS n_ended_lines FROM bare b LEFT JOIN covered c ON b.doc_id = c.doc_id),
+bits AS (SELECT *, CAST({_BITS} AS BIGINT) AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {_MASK["base"]} <> 0 AS base_failed,
+  failed_bits & {_MASK["base"]} = 0 AND failed_bits & {_MASK["hard"]} = 0 AND bit_count(failed_bits & {_MASK["lenient"]}) <= {quality.STRICT.tolerated} AS kept, failed_bits FROM bits
+""",
     "op9_grace_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256

@@ -79,10 +79,23 @@ def _decided(rows: DataFrame, by: DataFrame, seed: int) -> DataFrame:
     # null-safe, since a plain equality would have every row's words counted once more to filter nulls
     out = rows.join(by, F.col("source").eqNullSafe(F.col("_mx_s")) & F.col("_mx_k").eqNullSafe(F.col("_mx_c"))).drop("_mx_s", "_mx_c")
     out = out.withColumn("_mx_sure", F.floor("_mx_e")).withColumn("_mx_p", F.when(F.col("size") > 0, F.col("_mx_e") - F.col("_mx_sure")).otherwise(0.0))
-    u, p = uniform(seed, F.col("_mx_i"), F.col("_mx_h")), F.col("_mx_p")
+    u, p = uniform(seed, F.col("_mx_i"), F.col("_mx_h"), F.col("_mx_t")), F.col("_mx_p")
     return out.withColumn("_mx_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
 
 
+def _numbered(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """rows with _mx_t: 0, or 1, 2, ... among those of equal source, _mx_i and _mx_h, which `again` has if there are any."""
+    if again is None:
+        return rows.withColumn("_mx_t", F.lit(0).cast("long"))
+    keys = ["source", "_mx_i", "_mx_h"]
+    on = [F.col(k).eqNullSafe(F.col(f"_again{n}")) for n, k in enumerate(keys)]
+    marked = rows.join(again, on, "left")
+    mine = [f"_again{n}" for n in range(len(keys))]
+    once = marked.where(F.col("_again2").isNull()).drop(*mine).withColumn("_mx_t", F.lit(0).cast("long"))
+    more = checkpointed(marked.where(F.col("_again2").isNotNull()).drop(*mine).withColumns({"_mx_one": F.lit(1), "_mx_part": F.spark_partition_id()}))
+    return once.unionByName(running_total(more, keys, "_mx_part", [F.col("_mx_part")], "_mx_one", "_mx_t").drop("_mx_one", "_mx_part"))
+
+
 def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights: tuple[float, ...] = WEIGHTS, weight: Column | None = None, seed: int = SEED, narrow: bool = False) -> DataFrame:
     """docs with size, source_size, target and copies (0 to limit, rounded up) of each document.
 
@@ -90,7 +103,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights:
     None, 1 where it is null or not positive. It may name columns of docs and size. A document stops at `limit` copies and the excess is shared by
     weight. Words are runs of anything but ASCII white space. Texts that are null or have no words have size 0
     and are taken for certain only. Null sources are a source, the last. Repeated rows are documents of their
-    own and equal rows are treated alike, so reruns agree. Columns of docs named as the new ones are replaced.
+    own, each with a draw of its own, and equal rows are interchangeable, so reruns agree. Columns of docs named as the new ones are replaced.
     Ranks are found on narrow rows; each source's last rank then decides on its documents where they are, so
     no text is shuffled. After the last rank that the target covers whole, the one document whose size is
     nearest to what is left is taken too, if that brings the source nearer to its target. narrow: return
@@ -102,6 +115,9 @@ def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights:
     sized = docs.withColumn("size", words(F.col("text").cast("string")))
     sized = sized.withColumns({"_mx_k": step, "_mx_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_mx_h": F.xxhash64("text")})
     thin = checkpointed(sized.select("doc_id", "source", "size", "_mx_k", "_mx_i", "_mx_h"))
+    again = checkpointed(thin.groupBy("source", "_mx_i", "_mx_h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("source").alias("_again0"), F.col("_mx_i").alias("_again1"), F.col("_mx_h").alias("_again2")))
+    again = None if again.isEmpty() else again
+    thin = _numbered(thin, again)
     classes = checkpointed(thin.groupBy("source", "_mx_k").agg(F.sum("size").alias("mass")))
     goal = targets(classes.groupBy("source").agg(F.sum("mass").alias("source_size")), budget, limit, weights)
     expected = checkpointed(_expected(goal, classes, limit))
@@ -109,16 +125,16 @@ def mix(docs: DataFrame, budget: float = BUDGET, limit: float = LIMIT, weights:
     rows = _decided(thin, expected, seed)
     sure = rows.groupBy("source").agg(F.sum(F.col("_mx_sure") * F.col("size")).alias("taken")).withColumnRenamed("source", "_s")
     drawn = rows.where("_mx_p > 0").withColumn("_mx_b", F.floor(F.col("_mx_q") / (1 + F.col("_mx_q")) * BUCKETS))
-    drawn = running_total(drawn, ["source"], "_mx_b", [F.col("_mx_q"), F.col("_mx_i"), F.col("_mx_h")], "size", "run")
+    drawn = running_total(drawn, ["source"], "_mx_b", [F.col("_mx_q"), F.col("_mx_i"), F.col("_mx_h"), F.col("_mx_t")], "size", "run")
     drawn = drawn.join(sure, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rest", F.col("target") - F.col("taken"))
-    place = F.struct("_mx_q", "_mx_i", "_mx_h")
+    place = F.struct("_mx_q", "_mx_i", "_mx_h", "_mx_t")
     last = drawn.where("run <= rest").groupBy("source").agg(F.max(place).alias("_mx_last"), F.max("run").alias("got")).withColumnRenamed("source", "_s")
     after = drawn.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").where("_mx_last is null or run > rest")
     gap = F.col("rest") - F.coalesce(F.col("got"), F.lit(0))
     closing = after.withColumn("off", F.abs(F.col("size") - gap)).where(F.col("off") < gap)
     closing = closing.groupBy("source").agg(F.min(F.struct(F.col("off"), place.alias("at")))["at"].alias("_mx_close")).withColumnRenamed("source", "_s3")
     cuts = expected.join(last.select(F.col("_s").alias("_s2"), "_mx_last"), F.col("_mx_s").eqNullSafe(F.col("_s2")), "left").join(closing, F.col("_mx_s").eqNullSafe(F.col("_s3")), "left").drop("_s2", "_s3")
-    out = _decided(thin if narrow else sized, checkpointed(cuts), seed)
+    out = _decided(thin if narrow else _numbered(sized, again), checkpointed(cuts), seed)
     taken = F.coalesce(place <= F.col("_mx_last"), F.lit(False)) | F.coalesce(place == F.col("_mx_close"), F.lit(False))
     once = (F.col("_mx_p") > 0) & taken
-    return out.withColumn("copies", F.col("_mx_sure") + once.cast("long")).drop("_mx_k", "_mx_i", "_mx_h", "_mx_e", "_mx_sure", "_mx_p", "_mx_q", "_mx_last", "_mx_close")
+    return out.withColumn("copies", F.col("_mx_sure") + once.cast("long")).drop("_mx_k", "_mx_i", "_mx_h", "_mx_t", "_mx_e", "_mx_sure", "_mx_p", "_mx_q", "_mx_last", "_mx_close")

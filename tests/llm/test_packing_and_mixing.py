@@ -104,6 +104,19 @@ def test_mixture(spark, some):
     assert key(got) == key(again)
 
 
+def test_equal_rows_meet_the_target(spark):
+    """400 equal rows of ten words and some others: each draws for itself, whatever columns are returned."""
+    rows = [(1, "ten words " * 5, "a")] * 400 + [(k, "one two three four", "b") for k in range(30)]
+    d = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string").repartition(6)
+    for narrow in (False, True):
+        got = mixing.mix(d, budget=0.75, weights=(1.0,), narrow=narrow).toPandas()
+        assert len(got) == len(rows)
+        for _, mine in got.groupby("source"):
+            assert abs((mine["size"] * mine["copies"]).sum() - mine.target.iloc[0]) <= 10
+        again = mixing.mix(d.repartition(3), budget=0.75, weights=(1.0,), narrow=narrow).toPandas()
+        assert sorted(zip(got.doc_id, got.copies)) == sorted(zip(again.doc_id, again.copies))
+
+
 def test_weights_raise_inclusion(spark):
     rows = [(k, "w " * 10, "s") for k in range(2000)] + [(5000 + k, "w " * 10, "t") for k in range(2000)]
     heavy = mixing.F.when(mixing.F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)

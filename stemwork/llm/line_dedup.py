@@ -2,19 +2,21 @@
 
 Lines that aren't blank are hashed. Two windows belong to each line: one starts there and ends with the
 line that brings it to MIN_WORDS words, one ends there and starts likewise. The longest line of a window,
-by hash and then the last among equals, is its minimum and becomes a fingerprint, whose key is the hash of
-all lines of the window, so equal keys certify that MIN_WORDS words repeat. Each line of a run with
-MIN_WORDS words or more is in a window that the run holds whole: so joining each fingerprint with the first
-position of its key loses no run, and copies stay linear. On the diagonal of such a pair of positions
-matches are extended both ways (lines are equal if two 64-bit hashes of them are), and runs of equal lines with MIN_WORDS words or more are deleted where they
-come later. Order is by doc_id and place.
+by hash and then the last among equals, is its minimum; a repeated run of MIN_WORDS words or more holds a window
+whole, so it holds that window's minimum at every place: minima that occur at one place only are no part of a run, and
+their windows go. The key of those left certifies all lines of the window by two 64-bit hashes of their sequence, since lines
+that many texts share may be minima without being in a run, and pairing all their places would be quadratic.
+
+Windows meet the first place of their key. A run that came before is the union of its windows that did, so matches are
+extended both ways by chaining windows that overlap or touch, in one pass over each document's windows,
+however often a document repeats itself; what came later is deleted. Order is by doc_id and place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPACE, checkpointed
+from .common import SPACE, written
 
 MIN_WORDS = 25
 
@@ -27,33 +29,37 @@ def _lines(text: Column) -> Column:
     return F.filter(made, lambda s: s["nw"] > 0)
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """i, h (keys of a document), runs: array of (from, to, words), the line numbers of its later repeated runs."""
-    rows = _keyed(docs).select("i", "h", _lines(F.col("text")).alias("lines")).dropDuplicates(["i", "h"])
-    rows = checkpointed(rows.where(F.size("lines") > 0))
-    place = W.partitionBy("i", "h").orderBy("seq")
-    flat = rows.select("i", "h", F.posexplode("lines").alias("seq", "line")).select("i", "h", "seq", "line.lh", "line.nw")
+def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """i, h (keys of a document), lh (hash of the minimum), at (its place), k1, k2 (key), from, to (places of the first and last line), first, final (the same without blank lines)."""
+    rows = _keyed(docs).select("i", "h", _lines(F.col("text")).alias("lines")).dropDuplicates(["i", "h"]).where(F.size("lines") > 0)
+    flat = rows.select("i", "h", F.posexplode("lines").alias("seq", "line")).select("i", "h", "seq", "line.*")
+    place = W.partitionBy("i", "h").orderBy("pos")
     flat = flat.withColumns({"upto": F.sum("nw").over(place.rowsBetween(W.unboundedPreceding, 0)), "whole": F.sum("nw").over(W.partitionBy("i", "h"))})
     flat = flat.withColumn("before", F.col("upto") - F.col("nw"))
     starting = W.partitionBy("i", "h").orderBy("before").rangeBetween(0, min_words - 1)
     ending = W.partitionBy("i", "h").orderBy("upto").rangeBetween(1 - min_words, 0)
-    least = F.min(F.struct((-F.least("nw", F.lit(min_words))).alias("short"), "lh", (-F.col("seq")).alias("last")))
-    picked = lambda window, full: F.when(full, F.struct((-least.over(window)["last"]).alias("seq"), F.xxhash64(F.collect_list("lh").over(window)).alias("key")))
+    least = F.min(F.struct((-F.least("nw", F.lit(min_words))).alias("short"), "lh", (-F.col("pos")).alias("last")))
+
+    def picked(window, full: Column) -> Column:
+        low = least.over(window)
+        return F.when(full, F.struct(low["lh"].alias("lh"), (-low["last"]).alias("at"), F.xxhash64(F.collect_list("lh").over(window)).alias("k1"), F.xxhash64(F.collect_list("l2").over(window)).alias("k2"), F.min("pos").over(window).alias("from"), F.max("pos").over(window).alias("to"), F.min("seq").over(window).alias("first"), F.max("seq").over(window).alias("final")))
+
     found = F.array(picked(starting, F.col("whole") - F.col("before") >= min_words), picked(ending, F.col("upto") >= min_words))
-    prints = flat.select("i", "h", found.alias("found")).select("i", "h", F.explode("found").alias("p")).where("p is not null").select("i", "h", "p.seq", "p.key").distinct()
-    firsts = prints.groupBy(F.col("key").alias("f_key")).agg(F.min(F.struct("i", "h", "seq")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = prints.join(firsts, F.col("key") == F.col("f_key")).where(F.struct("i", "h", "seq") > F.col("f"))
-    diagonals = met.select("i", "h", F.col("f.i").alias("a_i"), F.col("f.h").alias("a_h"), (F.col("f.seq") - F.col("seq")).alias("shift")).distinct()
-    other = rows.select(F.col("i").alias("o_i"), F.col("h").alias("o_h"), F.col("lines").alias("o_lines"))
-    pairs = diagonals.join(rows, ["i", "h"]).join(other, (F.col("a_i") == F.col("o_i")) & (F.col("a_h") == F.col("o_h")))
-    lo = F.greatest(F.lit(0), -F.col("shift"))
-    n = F.least(F.size("lines"), F.size("o_lines") - F.col("shift")) - lo
-    aligned = F.zip_with(F.slice("lines", lo + 1, F.greatest(n, F.lit(0))), F.slice("o_lines", lo + F.col("shift") + 1, F.greatest(n, F.lit(0))), lambda x, y: F.when((x["lh"] == y["lh"]) & (x["l2"] == y["l2"]), x))
-    same = pairs.select("i", "h", "a_i", "a_h", "shift", F.posexplode(aligned).alias("at", "x")).where("x is not null")
-    diagonal = ["i", "h", "a_i", "a_h", "shift"]
-    island = F.col("at") - F.row_number().over(W.partitionBy(*diagonal).orderBy("at"))
-    runs = same.withColumn("island", island).groupBy(*diagonal, "island").agg(F.min("x.pos").alias("from"), F.max("x.pos").alias("to"), F.sum("x.nw").alias("words")).where(F.col("words") >= min_words)
-    return runs.groupBy("i", "h").agg(F.array_sort(F.collect_set(F.struct("from", "to", "words"))).alias("runs"))
+    return flat.select("i", "h", found.alias("found")).select("i", "h", F.explode(F.array_distinct(F.array_compact("found"))).alias("p")).select("i", "h", "p.*")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """i, h (keys of a document), runs: array of (from, to), the line numbers of its later repeated runs."""
+    found = written(windows(docs, min_words), "windows")
+    minima = found.groupBy(F.col("lh").alias("m_lh")).agg(F.min(F.struct("i", "h", "at")).alias("low"), F.max(F.struct("i", "h", "at")).alias("top")).where("low <> top").select("m_lh")
+    held = found.join(minima, F.col("lh") == F.col("m_lh"), "left_semi")
+    firsts = held.groupBy(F.col("k1").alias("f_k1"), F.col("k2").alias("f_k2")).agg(F.min(F.struct("i", "h", "from")).alias("f"), F.max(F.struct("i", "h", "from")).alias("last")).where("f <> last").drop("last")
+    later = held.join(firsts, (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2"))).where(F.struct("i", "h", "from") > F.col("f"))
+    place = W.partitionBy("i", "h").orderBy("from", "to").rowsBetween(W.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("first") > F.max("final").over(place) + 1, F.lit(True))
+    chained = later.select("i", "h", "from", "to", "first", "final").withColumn("opens", opens).withColumn("run", F.sum(F.col("opens").cast("int")).over(W.partitionBy("i", "h").orderBy("from", "to").rowsBetween(W.unboundedPreceding, 0)))
+    runs = chained.groupBy("i", "h", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return runs.groupBy("i", "h").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     """docs, all rows and columns, with text less its later repeated runs, and lines and lines_dropped.
 
     Lines end at line feeds and compare equal when they are so after runs of ASCII white space become one
-    space, ends trimmed. Blank lines inside a deleted run go with it, others stay. Null texts stay null,
+    space, ends trimmed. Blank lines inside a deleted run go with it (runs that touch are one), others stay. Null texts stay null,
     and have one (blank) line, as empty ones; null doc_ids come last. Rows with equal doc_id and text are
     one document and are treated alike. Columns i, h and runs of docs are kept.
     """

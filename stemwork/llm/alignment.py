@@ -26,7 +26,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import parts, written
+from .common import least_nodes as components, parts, written
 
 #: Distinct links of documents after which a task begins a new chunk.
 CHUNK = 8_000_000
@@ -72,19 +72,6 @@ def pieces(path: str):
     return (lambda texts: model.encode(texts, num_threads=1)), table
 
 
-def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest node of each of n nodes' component: union-find by hooking roots on smaller ones, then jumping to the roots."""
-    parent = np.arange(n)
-    while len(u):
-        ru, rv = parent[u], parent[v]
-        apart = ru != rv
-        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
-        np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
-        while (up := parent[parent])[parent != up].size:
-            parent = up
-    return parent
-
-
 def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of (A token, B token) whose byte ranges overlap; both tile the same bytes."""
     a_start = np.concatenate([[0], a_end[:-1]])

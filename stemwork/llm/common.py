@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -76,6 +77,19 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(k, rows)
 
 
+def least_nodes(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node of each of n nodes' component: union-find by hooking roots on smaller ones, then jumping to the roots."""
+    parent = np.arange(n)
+    while len(u):
+        ru, rv = parent[u], parent[v]
+        apart = ru != rv
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
+        while (up := parent[parent])[parent != up].size:
+            parent = up
+    return parent
+
+
 def release(spark: SparkSession, start: int) -> None:
     """Deletes the tables written since there were `start` of them, but for the last, through Spark's file systems."""
     for path in tables_written()[start:-1]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import bucketed, checkpointed, parts, written
+from .common import bucketed, checkpointed, least_nodes, parts, written
 
 WORDS, PERCENT, TREES, SHALLOW, DEEPEST, SEED = 5, 75, 32, 4, 8, 7
 #: Sets that follow a set in an order and are its neighbours, in the first pass and in the second.
@@ -179,22 +179,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.where(100 * F.col("same") >= percent * (F.col("a_n") + F.col("b_n") - F.col("same"))).select("a", "b")
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v) as stars: each node but the least of its component here, with that one."""
+    held = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
+    edges = np.concatenate([np.empty((0, 2), np.int64), *held])
+    nodes, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    least = least_nodes(len(nodes), at[:, 0], at[:, 1])
+    inner = least != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[least[inner]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of the nodes of edges (a, b), by alternating large and small stars.
+    """node, component (its least node) of the nodes of edges (a, b): union-find in each task, then alternating large and small stars across tasks.
 
-    Steps run in one task for each EDGES_A_TASK edges, so that few edges don't cross the wire in hundreds of pieces.
+    A task holds about EDGES_A_TASK edges, so few edges are one task's and need no stars, and many don't
+    cross the wire in pieces of a few rows. Rounds end when a whole one changes nothing.
     """
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
     n = 1 + edges.count() // EDGES_A_TASK
     few = lambda df: df.coalesce(n)
-    state, last = checkpointed(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")).distinct()), None
-    while True:
+    stars = lambda df: checkpointed(few(df).mapInArrow(_contracted, "u long, v long"))
+    state, last = stars(edges), None
+    while n > 1:
         ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
         both = few(state).select(F.explode(ends).alias("e")).select("e.u", "e.v")
         least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = few(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v")))).distinct()
-        state = checkpointed(few(small))
+        state = stars(small)
         seen = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == last:
             break

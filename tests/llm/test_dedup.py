@@ -176,6 +176,28 @@ def test_runs_whose_parts_have_earlier_owners(spark):
     assert got == {i: ("\n".join(want[i]), len(t.split("\n")) - len(want[i])) for i, t in rows}
 
 
+def test_a_document_that_repeats_one_line_takes_linear_work(spark):
+    rnd = random.Random(8)
+    line, other = (" ".join(words(rnd, 25)) for _ in range(2))
+    rows = [(1, "\n".join([line] * 20_000)), (2, "\n".join([other, *[line, ""] * 3_000, other]))]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in line_dedup.drop_repeated_lines(docs(spark, rows)).collect()}
+    assert got == {1: (line, 19_999), 2: (other, 6_001)}
+
+
+@pytest.mark.parametrize("limit", [5, 40, 10_000])
+def test_components_by_tasks(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dedup, "EDGES_A_TASK", limit)
+    rnd = random.Random(limit)
+    pairs = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(140, 160)]
+    least = {k: k for p in pairs for k in p}
+    for _ in range(200):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    loose = {k for a, b in pairs if a == b for k in (a,)}
+    assert {k: v for k, v in least.items() if k in got} == got and all(least[k] == k for k in set(least) - set(got)) and set(least) - set(got) <= loose
+
+
 def brute_fingerprint(spark, text):
     return simhash.fingerprints(spark.createDataFrame([(1, text)], "k int, x string").select("k", simhash.terms(simhash.F.col("x")).alias("t")), ["k"], "t").first()
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import finite, in_box
+from stemwork.sources.scratch import checkpointed
 
-from . import matching, rasters, scoring, spatial
+from . import matching, rasters, scoring, spatial, tin
 
 #: Classes of returns that are noise. Fixed values.
 NOISE = (7, 18)
@@ -199,12 +200,13 @@ def seed_heights(tops: DataFrame, surface: DataFrame, keys: list[str], x0: float
     return kept.withColumn("tree", F.row_number().over(W.partitionBy(*keys).orderBy("point")))
 
 
-def prepared_clips(points: DataFrame, boxes: DataFrame, keys: list[str], per_area: float | None = None, buffer: float = 25.0, least: int = 100, ground: int = 10, res: float = 1.0, low: float = -1.0, high: float = 80.0) -> tuple[DataFrame, DataFrame]:
+def prepared_clips(points: DataFrame, boxes: DataFrame, keys: list[str], per_area: float | None = None, buffer: float = 25.0, least: int = 100, ground: int = 10, res: float = 1.0, low: float = -1.0, high: float = 80.0, by: str = "grid", radius: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """(points of each clip with heights above ground, (keys, pdens, frdens)): plots cut out with a buffer and normalized.
 
     points: keys, point, x, y, z, class, ret; boxes: keys, cx, cy, half. Clips of fewer than `least` points, or
-    after thinning to per_area of fewer than `ground` ground points (class 2), go. The ground of a cell of side
-    res is its lowest ground point; points over cells without one go, as do heights outside [low, high).
+    after thinning to per_area of fewer than `ground` ground points (class 2), go. By "grid" the ground of a cell of side
+    res is its lowest ground point; by "tin" it is the triangulation of the ground points, with circumradii up to `radius`, found in grid cells of
+    side res, and the nearest three ground points outside of it. Points without ground go, as do heights outside [low, high).
     Densities are of what is left over the clip's whole area, of all and of first returns.
     """
     from .selection import decimate, population
@@ -215,10 +217,19 @@ def prepared_clips(points: DataFrame, boxes: DataFrame, keys: list[str], per_are
     clip = population(clip, keys, least)
     clip = clip if per_area is None else decimate(clip, keys, per_area)
     enough = _named(clip.where("class = 2"), keys, "_g").groupBy(*[f"_g{i}" for i in range(n)]).count().where(F.col("count") >= ground)
-    clip = clip.join(enough, _same(keys, "_g"), "left_semi").withColumns({"_r": F.floor(F.col("y") / res), "_c": F.floor(F.col("x") / res)})
-    floor = _named(clip.where("class = 2"), keys, "_f", F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), "z").groupBy(*[f"_f{i}" for i in range(n)], "_fr", "_fc").agg(F.min("z").alias("_z"))
-    rows = clip.join(floor, [*_same(keys, "_f"), F.col("_r") == F.col("_fr"), F.col("_c") == F.col("_fc")]).withColumn("z", F.col("z") - F.col("_z"))
-    rows = rows.where((F.col("z") >= low) & (F.col("z") < high)).drop("_r", "_c", "_fr", "_fc", "_z", *[f"_f{i}" for i in range(n)])
+    clip = clip.join(enough, _same(keys, "_g"), "left_semi")
+    if by == "tin":
+        clip = checkpointed(clip)
+        known = tin.ground_heights(clip, clip.where("class = 2"), keys, radius, res, out="_z")
+        rows = known.where("_z is not null").withColumn("z", F.col("z") - F.col("_z")).drop("_z")
+    elif by == "grid":
+        clip = clip.withColumns({"_r": F.floor(F.col("y") / res), "_c": F.floor(F.col("x") / res)})
+        floor = _named(clip.where("class = 2"), keys, "_f", F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), "z").groupBy(*[f"_f{i}" for i in range(n)], "_fr", "_fc").agg(F.min("z").alias("_z"))
+        rows = clip.join(floor, [*_same(keys, "_f"), F.col("_r") == F.col("_fr"), F.col("_c") == F.col("_fc")]).withColumn("z", F.col("z") - F.col("_z"))
+        rows = rows.drop("_r", "_c", "_fr", "_fc", "_z", *[f"_f{i}" for i in range(n)])
+    else:
+        raise ValueError("ground is by grid or by tin")
+    rows = rows.where((F.col("z") >= low) & (F.col("z") < high))
     area = 4 * F.first("half") * F.first("half")
     densities = rows.groupBy(*keys).agg((F.count("*") / area).alias("pdens"), (F.count_if(F.col("ret") == 1) / area).alias("frdens"))
     return rows.drop("cx", "cy", "half"), densities

@@ -62,14 +62,28 @@ def lookup(points: DataFrame, raster: DataFrame, keys: list[str], x0: float, y1:
 def local_maxima(points: DataFrame, keys: list[str], point: str, size, most: float, floor: float = 2.0) -> DataFrame:
     """Points from `floor` up without a higher one (of equal heights: an earlier one) within half their window.
 
-    size: a Column of the window's width; most: its largest value.
+    size: a Column of the window's width; most: its largest value. Nearly all points fall to the highest point of their
+    own or a neighbouring grid cell, of which there is one a cell; only what is left meets all points around it, and it is
+    that side which serves the neighbouring cells, so the cloud itself is moved once.
     """
-    from .spatial import within
-
-    some = points.where(F.col("z") >= floor).withColumn("_h", size / 2)
-    above = (F.col("r_z") > F.col("z")) | ((F.col("r_z") == F.col("z")) & (F.col("r_" + point) < F.col(point)))
-    near = squared(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y")) <= F.col("_h") * F.col("_h")
-    return within(some, some.drop("_h"), most / 2, keys, how="left_anti", extra=above & near).drop("_h")
+    from .spatial import grid, served
+
+    side = most / 2
+    columns = points.columns
+    some = grid(points.where((F.col("z") >= floor) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("_h", size / 2), "x", "y", side)
+    names = {k: f"_lk{i}" for i, k in enumerate(keys)}
+    narrow = some.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), (-F.col("z")).alias("_d"), F.col(point).alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    above = (F.col("_d") < -F.col("z")) | ((F.col("_d") == -F.col("z")) & (F.col("_p") < F.col(point)))
+    near = squared(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= F.least(F.col("_h"), F.lit(side)) * F.least(F.col("_h"), F.lit(side))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+
+    tops = narrow.groupBy(*names.values(), "_ox", "_oy").agg(F.min(F.struct("_d", "_p", "_x", "_y")).alias("t")).select(*names.values(), "_ox", "_oy", "t.*")
+    left = some.join(served(tops, "_ox", "_oy"), [*same, F.col("_gx") == F.col("_sx"), F.col("_gy") == F.col("_sy"), above & near], "left_anti")
+    left = left.groupBy(*columns, "_h", "_gx", "_gy").agg(F.count("*").cast("int").alias("_copies"))  # repeated rows stay as many
+    around = served(left)
+    met = around.join(narrow, [*same, F.col("_sx") == F.col("_ox"), F.col("_sy") == F.col("_oy"), above & near], "left")
+    kept = met.groupBy(*columns, "_copies").agg(F.count("_d").alias("_n")).where("_n = 0")
+    return kept.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*columns)
 
 
 def markers(seeds: DataFrame, keys: list[str], x0: float, y1: float, res: float, rows: int, cols: int, order: str = "tree") -> DataFrame:

@@ -3,20 +3,24 @@ eight neighbours too, so no cartesian product appears; the exact distance is tes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import squared
+from stemwork.sources.scratch import checkpointed
 
+from .keys import joined
 
-def _grid(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
+
+def grid(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
+    """df with _gx and _gy, the grid cell of each row."""
     return df.withColumns({"_gx": F.floor(F.col(x) / side).cast("long"), "_gy": F.floor(F.col(y) / side).cast("long")})
 
 
-def _served(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
-    """df nine times, once for each cell that it may serve."""
+def served(df: DataFrame, gx: str = "_gx", gy: str = "_gy") -> DataFrame:
+    """df, with columns of its grid cell, nine times: _sx and _sy are the cells that a row may serve."""
     steps = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    rows = _grid(df, x, y, side).withColumn("_o", F.explode(steps))
-    return rows.withColumns({"_sx": F.col("_gx") + F.col("_o.i"), "_sy": F.col("_gy") + F.col("_o.j")}).drop("_gx", "_gy", "_o")
+    rows = df.withColumn("_o", F.explode(steps))
+    return rows.withColumns({"_sx": F.col(gx) + F.col("_o.i"), "_sy": F.col(gy) + F.col("_o.j")}).drop(gx, gy, "_o")
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], xy: tuple[str, str] = ("x", "y"), prefix: str = "r_", how: str = "inner", extra: Column | None = None) -> DataFrame:
@@ -25,14 +29,13 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], xy
     right's columns get the prefix and d2 is the squared distance. how: inner, left, left_semi or left_anti
     (the last two keep left's columns). Rows without a position meet nothing. extra: a further condition.
     """
-    served = _served(right, *xy, radius)
-    served = served.withColumnsRenamed({c: prefix + c for c in right.columns})
+    around = served(grid(right, *xy, radius)).withColumnsRenamed({c: prefix + c for c in right.columns})
     d2 = squared(F.col(xy[0]), F.col(xy[1]), F.col(prefix + xy[0]), F.col(prefix + xy[1]))
     on = (F.col("_gx") == F.col("_sx")) & (F.col("_gy") == F.col("_sy"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(prefix + k))
     on = on & (d2 <= radius * radius)
-    rows = _grid(left, *xy, radius).join(served, on if extra is None else on & extra, how)
+    rows = grid(left, *xy, radius).join(around, on if extra is None else on & extra, how)
     return rows.drop("_gx", "_gy") if how in ("left_semi", "left_anti") else rows.withColumn("d2", d2).drop("_gx", "_gy", "_sx", "_sy")
 
 
@@ -114,3 +117,43 @@ def in_polygon(x: str, y: str, ring: str) -> Column:
     n = F.size(ring)
     edge = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda p, q: ((p["y"] > F.col(y)) != (q["y"] > F.col(y))) & (F.col(x) < (q["x"] - p["x"]) * F.try_divide(F.col(y) - p["y"], q["y"] - p["y"]) + p["x"]))
     return F.size(F.filter(edge, lambda e: e)) % 2 == 1
+
+
+def nearest_k(points: DataFrame, sources: DataFrame, keys: list[str], k: int, side: float, beyond: float | None = None, same: bool = True) -> DataFrame:
+    """(keys, point, r_..., d2, place) of the k sources nearest to each point, place 1 being the nearest; ties go by r_point.
+
+    points: keys, point, x, y; sources: keys, point, x, y, ... Rings of twice the radius, from `side` on, are searched for the points that have
+    found fewer than k, so few far sources don't make many near ones meet. A point has fewer than k rows only if its group has
+    fewer sources, or fewer are within `beyond`. same=False leaves out sources of the point's own name.
+    """
+    there = sources.where("x is not null and y is not null")
+    reach = there.groupBy(*keys).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)])
+    open_ = joined(points.where("x is not null and y is not null").select(*keys, "point", "x", "y"), reach, keys)
+    # no source is farther away than the farthest corner of their box
+    far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"_min_{c}")), F.abs(F.col(c) - F.col(f"_max_{c}")))
+    most = F.sqrt(far("x") * far("x") + far("y") * far("y"))
+    open_ = open_.withColumn("_most", most if beyond is None else F.least(most, F.lit(float(beyond)))).select(*keys, "point", "x", "y", "_most")
+    out, radius = None, float(side)
+    while True:
+        reached = radius if beyond is None else min(radius, float(beyond))
+        near = within(open_, there, reached, keys, extra=None if same else F.col("point") != F.col("r_point")).drop(*[f"r_{c}" for c in keys])
+        order = W.partitionBy(*keys, "point").orderBy("d2", "r_point")
+        ranked = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        tally = ranked.groupBy(*keys, "point").agg(F.count("*").alias("_found"))
+        state = joined(open_, tally, [*keys, "point"], "left")
+        done = (F.coalesce(F.col("_found"), F.lit(0)) >= k) | (F.col("_most") <= reached)
+        ended = ranked.join(_names(state.where(done), [*keys, "point"]), _equal([*keys, "point"]), "left_semi").drop("x", "y", "_most")
+        ended = checkpointed(ended)
+        out = ended if out is None else out.unionByName(ended)
+        open_ = checkpointed(state.where(~done).drop("_found"))
+        if open_.isEmpty():
+            return out
+        radius *= 2
+
+
+def _names(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_nk{i}") for i, c in enumerate(keys)])
+
+
+def _equal(keys: list[str]) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"_nk{i}")) for i, c in enumerate(keys)]

@@ -59,8 +59,8 @@ def byte_level(path: str):
     table = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         table[i] = token
-    encode = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return (lambda texts: [encode(f" {t}") for t in texts]), table
+    encode = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    return (lambda texts: [encode(f" {t}", disallowed_special=()) for t in texts]), table
 
 
 @functools.cache
@@ -87,15 +87,30 @@ def _counted(group: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray,
     return keys // size, keys % size, times
 
 
+class _Strings:
+    """Byte strings by number, to be joined in any order."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.length = np.array([len(t) for t in strings])
+        self.start = np.cumsum(self.length) - self.length
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        length = self.length[ids]
+        end = np.cumsum(length)
+        return self.flat[np.repeat(self.start[ids] - end + length, length) + np.arange(int(end[-1]))].tobytes()
+
+
 class Aligner:
     """Groups and links of texts under two tokenizers, each (encode, bytes of each id)."""
 
     def __init__(self, a, b):
         (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = a, b
-        self.len_a, self.len_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
+        self.table_b = _Strings(self.bytes_b)
+        self.len_a, self.len_b = np.array([len(t) for t in self.bytes_a]), self.table_b.length
         self.size_a, self.size_b = len(self.bytes_a), len(self.bytes_b)
-        marks = [f"{mark}{i}".encode() for mark in ",|;" for i in range(max(self.size_a, self.size_b))]
-        self.marks, self.step = marks, max(self.size_a, self.size_b)
+        self.step = max(self.size_a, self.size_b)
+        self.marked = _Strings([f"{mark}{i}".encode() for mark in ",|;" for i in range(self.step)])
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple]:
         """For each text n_a, n_b, n_groups, n_links, groups as text, its distinct pairs a * size_b + b and how often each is linked."""
@@ -104,9 +119,9 @@ class Aligner:
         there = [k for k, t in enumerate(texts) if t]
         a, b = self.encode_a([texts[k] for k in there]), self.encode_b([texts[k] for k in there])
         for k, x, y in zip(there, a, b):
-            whole, x, y = f" {texts[k]}".encode(), np.array(x, np.int64), np.array(y, np.int64)
+            whole, x, y = f" {texts[k]}".encode(), np.asarray(x).astype(np.int64), np.array(y, np.int64)
             # a byte-level vocabulary has all bytes and keeps them all, so a length will do for A
-            if int(self.len_a[x].sum()) == len(whole) and b"".join(map(self.bytes_b.__getitem__, y.tolist())) == whole:
+            if len(y) and int(self.len_a[x].sum()) == len(whole) and self.table_b.joined(y) == whole:
                 out[k] = self.aligned(x, y)
         yield from out
 
@@ -139,15 +154,14 @@ class Aligner:
         else:
             pairs, where = np.unique(keys, return_inverse=True)
             times = np.bincount(where, weights=times).astype(np.int64)
-        return len(a), len(b), n, int(n_a @ n_b), self._text(a, b, in_a, in_b), pairs, times
+        return len(a), len(b), n, int(n_a @ n_b), self._text(a, b, opens, in_a, in_b, n_a, n_b), pairs, times
 
-    def _text(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
+    def _text(self, a: np.ndarray, b: np.ndarray, opens: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> str:
         """a1,a2|b1;a3|b2,b3: ids by group."""
-        group, side = np.concatenate([in_a, in_b]), np.repeat([0, 1], [len(a), len(b)])
-        order = np.argsort(group * 2 + side, kind="stable")
-        group, side, ids = group[order], side[order], np.concatenate([a, b])[order]
-        mark = np.where(np.diff(group, prepend=-1) > 0, 2, np.where(np.diff(side, prepend=1) > 0, 1, 0))
-        return b"".join(map(self.marks.__getitem__, (mark * self.step + ids).tolist()))[1:].decode()
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[in_a]] = a + 2 * self.step * opens
+        out[np.arange(len(b)) + np.cumsum(n_a)[in_b]] = b + self.step * np.concatenate([[True], in_b[1:] != in_b[:-1]])
+        return self.marked.joined(out)[1:].decode()
 
 
 @functools.cache

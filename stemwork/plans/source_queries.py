@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stemwork.sources import las, tables as T
+from stemwork.sources import las, tables as T, tiles
 from stemwork.sources.scratch import scratch
 
 from .fixtures import ctes, fixture
@@ -131,8 +131,24 @@ def las_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.regexp_extract("file", r"cell=(\d+)", 1).cast("int").alias("cell"), *[F.round(F.col(c) * 1000).cast("long").alias(f"{c}_mm") for c in "xyz"], "class", "ret", "inst")
 
 
+def las_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read by ranges of 20 points, with conditions that the scan takes over."""
+    path = scratch(spark, "las")
+    p = fixture(spark, sf_dir, "points").select("cell", "x", "y", "z", (F.col("point") % 6).cast("int").alias("class"), (F.col("point") % 3 + 1).cast("int").alias("ret"), F.col("point").alias("inst"))
+    las.write_las(p, path, "cell", ["inst"])
+    rows = las.scan_las(spark, path, ["x", "z", "class"], ["inst"], 20)
+    return rows.where((F.col("class") == 2) & (F.col("x") >= -5.0)).select("class", "inst", F.round(F.col("z") * 1000).cast("long").alias("z_mm"))
+
+
+def tile_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of detail of a box, from a catalog of all points in tiles."""
+    path = scratch(spark, "tiles")
+    tiles.write_tiles(fixture(spark, sf_dir, "points").select("cell", "point", "x", "y", "z"), path, 8.0, 4.0, 3)
+    return tiles.scan_tiles(spark, path, (-6.0, -3.5, 5.0, 9.0), 1).select("cell", "point", "level", F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"))
+
+
 QUERIES = {
-    f.__name__: f for f in (csv_round_trip, inferred_csv, checked_detections, cached_variants, cached_rungs, selection_manifest, box_files, crown_point_files, appended_batches, labelled_cloud, ply_round_trip, frozen_clips, geojson_files, las_round_trip)
+    f.__name__: f for f in (csv_round_trip, inferred_csv, checked_detections, cached_variants, cached_rungs, selection_manifest, box_files, crown_point_files, appended_batches, labelled_cloud, ply_round_trip, frozen_clips, geojson_files, las_round_trip, las_scan, tile_box)
 }
 
 _P = ctes("points")
@@ -153,5 +169,8 @@ n AS (SELECT l_returnflag, plot, params, count(*) AS n FROM c GROUP BY ALL) SELE
 m AS (SELECT site, plot, rung, count(*) AS n_raw, count_if(class = 2) AS n_ground, count_if(ret = 1) AS n_first FROM c GROUP BY ALL HAVING count(*) >= 100 AND count_if(class = 2) >= 10)
 SELECT *, CAST(list_reduce(list_transform(string_split(site || '|' || plot || '|' || rung, ''), lambda c: CAST(ascii(c) AS DOUBLE)), lambda h, c: ((h - (h % 128) + CAST(xor(CAST(h % 128 AS BIGINT), CAST(c AS BIGINT)) AS DOUBLE)) * 16777619) % 4294967296, CAST(2166136261 AS DOUBLE)) % 2147483648 AS BIGINT) AS seed FROM m""",
     "las_round_trip": f"WITH {_P} SELECT cell, CAST(round(x * 1000) AS BIGINT) AS x_mm, CAST(round(y * 1000) AS BIGINT) AS y_mm, CAST(round(z * 1000) AS BIGINT) AS z_mm, CAST(point % 6 AS INT) AS class, CAST(point % 3 + 1 AS INT) AS ret, point AS inst FROM f_points WHERE point % 6 IN (2, 5)",
+    "las_scan": f"WITH {_P} SELECT 2 AS class, point AS inst, CAST(round(z * 1000) AS BIGINT) AS z_mm FROM f_points WHERE point % 6 = 2 AND round(x * 1000) >= -5000",
+    "tile_box": f"""WITH {_P}, l AS (SELECT cell, point, x, y, CASE WHEN row_number() OVER (PARTITION BY floor(x / 4), floor(y / 4) ORDER BY md5(CAST(point AS VARCHAR)), point) = 1 THEN 0 WHEN row_number() OVER (PARTITION BY floor(x / 2), floor(y / 2) ORDER BY md5(CAST(point AS VARCHAR)), point) = 1 THEN 1 ELSE 2 END AS level FROM f_points)
+SELECT cell, point, level, CAST(floor(x / 8) AS BIGINT) AS tx, CAST(floor(y / 8) AS BIGINT) AS ty FROM l WHERE level <= 1 AND x BETWEEN -6 AND 5 AND y BETWEEN -3.5 AND 9""",
     "geojson_files": f"WITH {_P} SELECT point, arm, CASE WHEN point % 5 <> 0 THEN round(z, 6) END AS z, round(x, 7) AS lon, round(y, 7) AS lat FROM f_points",
 }

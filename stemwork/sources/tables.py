@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from stemwork.functions.scalars import finite
 
+from .files import write_files
+
 DETECTION = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "z")])
 
 
@@ -252,23 +254,7 @@ def write_ply(df: DataFrame, path: str, names: list[str], kinds: list[str], by:
 
     kind = df.schema[by].dataType.simpleString()
     packed = df.select(by, *names).groupBy(by).applyInPandas(pack, f"`{by}` {kind}, content binary")
-
-    # Spark's text sink would add line ends, so each binary goes through the file system that the path names
-    spark, root = df.sparkSession, path
-    made = packed.select(F.col(by).cast("string").alias("name"), F.base64("content").alias("content"))
-    for r in made.toLocalIterator():
-        put_file(spark, f"{root}/{by}={r['name']}/points.ply", r["content"])
-
-
-def put_file(spark: SparkSession, path: str, content: str) -> None:
-    """Writes base64 content to one file by Hadoop's file system of the path."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(jvm.java.util.Base64.getMimeDecoder().decode(content))
-    finally:
-        out.close()
+    write_files(packed.select(F.concat(F.lit(f"{by}="), F.coalesce(F.col(by).cast("string"), F.lit("None")), F.lit("/points.ply")).alias("name"), "content"), path)
 
 
 def read_ply(spark: SparkSession, path: str, schema: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

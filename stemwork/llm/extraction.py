@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -29,7 +30,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page: their content is skipped.
-SILENT = frozenset("script style head title noscript template svg math iframe object canvas".split())
+SILENT = frozenset("script style head title noscript template iframe".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 #: Elements that say what is in them; the nearest one is a feature.
 SECTIONS = frozenset("article main aside nav header footer form dialog".split())
@@ -38,29 +39,36 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 KEEP_P = BLOCKS - frozenset("body html head button col colgroup object iframe noscript option optgroup template title canvas textarea select tbody td tfoot th thead tr caption legend summary".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|[\"'][^>]*+(?:>|\Z)|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that nothing inside a value is taken for a name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[a-z]+")
-#: Ancestor features of a block beyond which further, more deeply nested elements add none.
-MOST_MARKS = 256
 
 
 class Open:
-    """An open element and, below it, those it is in: what blocks inside it share, made once an element.
+    """An open element; what blocks inside it share is made once an element.
 
-    tag, names: its own; depth: elements it is in; own: the nearest block element, itself included; section:
-    the nearest of SECTIONS; marks: features of all these elements' tags and names, at most MOST_MARKS of them.
-    Elements that add no mark share the set of the one they are in, so deep nesting takes linear memory.
+    tag, names: its own; below: the one it is in; own: the nearest block element, itself included; section:
+    the nearest of SECTIONS; new: features of its tag and names that no element it is in has. The features of a block are those
+    along its chain of elements, so each element keeps its own alone and deep nesting takes linear memory.
     """
 
-    __slots__ = ("tag", "depth", "own", "section", "marks")
+    __slots__ = ("tag", "below", "own", "section", "new")
 
-    def __init__(self, tag: str, names: tuple[str, ...], below: Open | None):
-        self.tag, self.depth = tag, below.depth + 1 if below else 0
+    def __init__(self, tag: str, names: tuple[str, ...], below: Open | None, held: Counter):
+        self.tag, self.below = tag, below
         self.own = tag if tag in BLOCKS else below.own if below else "body"
         self.section = tag if tag in SECTIONS else below.section if below else "none"
-        seen = below.marks if below else frozenset()
-        new = {f"a={tag}", *(f"c={w}" for w in names), *(f"d={w[:-1]}" for w in names if w.endswith("s"))} - seen
-        self.marks = seen | new if new and len(seen) < MOST_MARKS else seen
+        marks = {f"a={tag}", *(f"c={w}" for w in names), *(f"d={w[:-1]}" for w in names if w.endswith("s"))}
+        self.new = tuple(sorted(m for m in marks if not held[m]))
+        held.update(self.new)
+
+    def marks(self) -> list[str]:
+        """Features of the element and all it is in."""
+        found, element = [], self
+        while element:
+            found += element.new
+            element = element.below
+        return sorted(found)
 
 
 @dataclass
@@ -68,15 +76,11 @@ class Block:
     text: str
     tag: str
     section: str
-    marks: frozenset[str]
+    element: Open | None
     linked: int
     features: list[str] = field(default_factory=list)
 
 
-BARE = Open("body", (), None)
-BARE.marks = frozenset()
-
-
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of class, id and role, and `hidden` where the element isn't shown."""
     if not attributes or not attributes.strip():
@@ -88,7 +92,7 @@ def _names(attributes: str) -> tuple[str, ...]:
             out += ["hidden"] * ("display:none" in value.replace(" ", ""))
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             out.append("hidden")
-        else:
+        elif name in ("class", "id", "role"):
             out += _PART.findall(value)
     return tuple(out)
 
@@ -101,6 +105,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     """
     page = page or ""
     stack: list[Open] = []
+    held: Counter = Counter()  # features of the open elements
     opened: dict[str, list[int]] = {}  # places in the stack by tag
     blocks: list[Block] = []
     parts: list[str] = []
@@ -110,8 +115,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1] if stack else BARE
-            blocks.append(Block(text, top.own, top.section, top.marks, linked))
+            top = stack[-1] if stack else None
+            blocks.append(Block(text, top.own if top else "body", top.section if top else "none", top, linked))
         parts.clear()
         linked = 0
 
@@ -127,6 +132,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def pop(k: int) -> None:
         nonlocal links, silent
         for element in stack[k:]:
+            held.subtract(element.new)
             links -= element.tag == "a"
             silent -= element.tag in SILENT
             opened[element.tag].pop()
@@ -171,7 +177,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in VOID or found[3].endswith("/") and tag not in BLOCKS:
             continue
         opened.setdefault(tag, []).append(len(stack))
-        stack.append(Open(tag, _names(found[3]), stack[-1] if stack else None))
+        stack.append(Open(tag, _names(found[3]), stack[-1] if stack else None, held))
         links += tag == "a"
         silent += tag in SILENT
         if tag in RAW:
@@ -195,12 +201,11 @@ def _own(b: Block) -> list[str]:
 
 
 def featured(blocks: list[Block]) -> list[Block]:
-    """The blocks, each with the names of its features."""
+    """The blocks, each with the names of its own and its neighbours' features; those of its elements come apart, see Open.marks."""
     own = [_own(b) for b in blocks]
-    ordered: dict[int, list[str]] = {}  # by the set, which blocks of one element share
     for k, b in enumerate(blocks):
         f = ["bias", *own[k], f"{b.tag}{own[k][1]}", f"{b.tag}{own[k][0]}"]
-        f += [f"near={b.section}", f"near={b.section}{own[k][1]}", *(ordered.get(id(b.marks)) or ordered.setdefault(id(b.marks), sorted(b.marks)))]
+        f += [f"near={b.section}", f"near={b.section}{own[k][1]}"]
         f += [f"-1{x}" for x in (own[k - 1] if k else ("edge",))] + [f"+1{x}" for x in (own[k + 1] if k + 1 < len(blocks) else ("edge",))]
         if any(s in b.text for s in ("©", "(c)", "®")):
             f.append("copyright")
@@ -224,8 +229,21 @@ class Field:
         w, t = self.weights, self.moves
         back: list[tuple[int, int]] = []
         a, b = 0.0, 0.0
+        above: dict[int, float] = {}  # what the features of an element and those it is in weigh
+
+        def shared(element: Open | None) -> float:
+            chain = []
+            while element and id(element) not in above:
+                chain.append(element)
+                element = element.below
+            total = above[id(element)] if element else 0.0
+            for x in reversed(chain):
+                total += sum(w.get(f, 0.0) for f in x.new)
+                above[id(x)] = total
+            return total
+
         for k, block in enumerate(blocks):
-            e = sum(w.get(f, 0.0) for f in block.features)
+            e = sum(w.get(f, 0.0) for f in block.features) + shared(block.element)
             if not k:
                 a, b = 0.0, e
                 continue
@@ -242,15 +260,17 @@ class Field:
 
 def train(pages: list[tuple[list[Block], list[int]]], steps: int = 150, rate: float = 0.1, ridge: float = 2e-3) -> Field:
     """Maximum-likelihood field of labelled pages, by Adam on the exact gradient (forward-backward)."""
-    names = {f: k for k, f in enumerate(sorted({f for blocks, _ in pages for b in blocks for f in b.features}))}
+    every = lambda b: b.features + (b.element.marks() if b.element else [])
+    names = {f: k for k, f in enumerate(sorted({f for blocks, _ in pages for b in blocks for f in every(b)}))}
     size, longest = len(pages), max(len(blocks) for blocks, _ in pages)
     place, column = [], []
     labels, real = np.zeros((size, longest), int), np.zeros((size, longest), bool)
     for p, (blocks, y) in enumerate(pages):
         labels[p, : len(y)], real[p, : len(y)] = y, True
         for k, b in enumerate(blocks):
-            place += [p * longest + k] * len(b.features)
-            column += [names[f] for f in b.features]
+            found = every(b)
+            place += [p * longest + k] * len(found)
+            column += [names[f] for f in found]
     place, column = np.array(place), np.array(column)
     theta = np.zeros(len(names) + 4)
     m = v = np.zeros_like(theta)
@@ -349,20 +369,28 @@ def training_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
             return "<table>" + some(lambda: "<tr>" + leaf(title(3), "td", 1) + leaf(title(3), "td", 1) + "</tr>", 4) + "</table>"
         return "<figure><img src=x>" + leaf(prose(1), "figcaption", 1) + "</figure>"
 
+    def unseen() -> str:
+        """An element that isn't shown."""
+        attr = rnd.choice(["hidden", "hidden", 'style="display:none"', 'style="color:red; display: none"', 'aria-hidden="true"'])
+        return f"<{(t := rnd.choice(['div', 'div', 'p', 'section', 'span']))} {attr}>" + (off("p", prose(4)) if t != "p" else f"<!--0-->{prose(4)}") + f"</{t}>"
+
     made = []
     for _ in range(count):
         head = leaf(title(9), "h1", 1) if rnd.random() < 0.85 else ""
         if head and rnd.random() < 0.15:
             head = f"<header>{head}</header>"
-        middle = head + some(lambda: on() + (rnd.choice([advert, advert, form, share, sidebar, notice])() if rnd.random() < 0.18 else ""), 14)
+        middle = head + some(lambda: on() + (rnd.choice([advert, advert, form, share, sidebar, notice, unseen])() if rnd.random() < 0.2 else ""), 14)
+        if rnd.random() < 0.12:  # one short paragraph, mostly without a heading
+            middle = rnd.choice(["", "", head]) + leaf(prose(2), "p", 1)
         body = box("article article article main main div div section", "content main article post entry story article-body entry-content post-content text body page", middle)
         if rnd.random() < 0.25:
             body = box("main div section", "main content container wrapper page", body)
-        before = [f() for f in (header, menu, notice, advert, sidebar, form) if rnd.random() < 0.4]
-        after = [f() for f in (share, sidebar, comments, comments, form, advert, notice, menu) if rnd.random() < 0.3]
+        alone = rnd.random() < 0.12  # nothing but the article
+        before = [f() for f in (header, menu, notice, advert, sidebar, form) if not alone and rnd.random() < 0.4]
+        after = [f() for f in (share, sidebar, comments, comments, form, advert, notice, menu) if not alone and rnd.random() < 0.3]
         rnd.shuffle(before)
         rnd.shuffle(after)
-        end = footer() if rnd.random() < 0.85 else ""
+        end = footer() if not alone and rnd.random() < 0.85 else ""
         page = f"<!DOCTYPE html><html><head><title>{title(8)}</title></head><body>" + "".join(before) + body + "".join(after) + end + "</body></html>"
         marked = leaf_blocks(re.sub(r"<!--(\d)-->", "\\1\x00", page))
         made.append((re.sub(r"<!--\d-->", "", page), [int(b.text[0]) if b.text[1:2] == "\x00" else 0 for b in marked]))

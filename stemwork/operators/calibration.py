@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import finite
 
+from .keys import joined
+
 
 def bin_of(prob, bins: int = 10) -> Column:
     """Number from 1 of the bin, by comparison with i * (1 / bins); closed on the left, the last on both sides."""
@@ -91,19 +93,34 @@ def out_of_sample(scored: DataFrame, keys: list[str], folds: int = 5, seed: int
     return fitted.withColumn("cal", F.when(small, F.avg(F.col(label).cast("double")).over(by)).otherwise(F.col("cal"))).drop("fold")
 
 
-def precision_at_recall(scored: DataFrame, keys: list[str], target: float, score: str = "prob", label: str = "label") -> DataFrame:
-    """(keys, precision) where the ranking by descending score (ties by `row`) first reaches the recall; NULL without positives."""
-    order = W.partitionBy(*keys).orderBy(F.col(score).desc(), "row")
-    run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = scored.withColumns({"_tp": F.sum((F.col(label) == 1).cast("long")).over(run), "_k": F.row_number().over(order), "_p": F.sum((F.col(label) == 1).cast("long")).over(W.partitionBy(*keys))})
-    hit = (F.col("_p") > 0) & (F.try_divide(F.col("_tp").cast("double"), F.col("_p").cast("double")) >= target)
-    return rows.groupBy(*keys).agg(F.min_by(F.col("_tp") / F.col("_k"), F.when(hit, F.col("_k"))).alias("precision"))
+def precision_at_recall(scored: DataFrame, keys: list[str], target: float, score: str = "prob", label: str = "label", buckets: int = 4096) -> DataFrame:
+    """(keys, precision) where the ranking by descending score (ties by `row`) first reaches the recall; NULL without positives.
+
+    Sums of buckets of scores say in which one that is, and its rows alone are ranked. Scores that are NULL rank last.
+    """
+    hit, number = (F.col(label) == 1).cast("long"), F.col(score).cast("double")
+    known = F.when(~F.isnan(number), number)
+    ends = scored.groupBy(*keys).agg(F.min(known).alias("_lo"), F.max(known).alias("_hi"), F.coalesce(F.sum(hit), F.lit(0)).alias("_p"))
+    at = F.coalesce(F.floor(F.try_divide(F.col("_hi") - number, F.col("_hi") - F.col("_lo")) * buckets), F.lit(0))
+    rows = joined(scored, ends, keys).withColumn("_b", F.when(number.isNull(), F.lit(buckets + 1)).when(F.isnan(number), F.lit(-1)).otherwise(at).cast("long"))
+    order = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = rows.groupBy(*keys, "_b", "_p").agg(F.count("*").alias("_n"), F.coalesce(F.sum(hit), F.lit(0)).alias("_tp"))
+    sums = sums.withColumns({"_all": F.sum("_n").over(order), "_hits": F.sum("_tp").over(order)})
+    reached = (F.col("_p") > 0) & (F.try_divide(F.col("_hits").cast("double"), F.col("_p").cast("double")) >= target)
+    first = sums.where(reached).groupBy(*keys).agg(F.min(F.struct("_b", (F.col("_all") - F.col("_n")).alias("n0"), (F.col("_hits") - F.col("_tp")).alias("tp0"))).alias("_f"))
+    inside = joined(rows, first, keys).where(F.col("_b") == F.col("_f._b"))
+    rank = W.partitionBy(*keys).orderBy(F.col(score).desc(), "row")
+    run = rank.rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = inside.withColumns({"_k": F.row_number().over(rank) + F.col("_f.n0"), "_t": F.coalesce(F.sum(hit).over(run), F.lit(0)) + F.col("_f.tp0")})
+    there = F.try_divide(F.col("_t").cast("double"), F.col("_p").cast("double")) >= target
+    found = inside.where(there).groupBy(*keys).agg(F.min_by(F.col("_t") / F.col("_k"), F.col("_k")).alias("precision"))
+    return joined(ends.select(*keys), found, keys, "left")
 
 
 def unit_range(rows: DataFrame, by: list[str], value: str, out: str = "prob") -> DataFrame:
     """Min-max normalization by group; 0.5 where a group's values are all alike. The ends come from one aggregate that joins the rows."""
     ends = rows.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(by)]).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    joined = rows.join(ends, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(by)])
+    both = rows.join(ends, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(by)])
     low, high = F.col("_low"), F.col("_high")
     scaled = F.when(high == low, 0.5).otherwise((F.col(value) - low) / F.when(high != low, high - low))
-    return joined.withColumn(out, scaled).drop("_low", "_high", *[f"_e{i}" for i in range(len(by))])
+    return both.withColumn(out, scaled).drop("_low", "_high", *[f"_e{i}" for i in range(len(by))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemwork.functions.scalars import window_size
-from stemwork.operators import detections, pooling, spatial, sweep, tin, trees
+from stemwork.operators import detections, hulls, pooling, spatial, sweep, tin, trees
 
 from .fixtures import ctes, fixture
 from .spatial_queries import D2, plots_of, sides, walk_sql
@@ -78,7 +78,14 @@ def ladder_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.pool(cells, ["rung", "chm_res", "vwf_a"]).select("rung", "chm_res", "vwf_a", "n_plots", "n_ref", "n_det", "TP", "tp_core", "recall", "precision", "F1")
 
 
-QUERIES = {f.__name__: f for f in (ground_triangles, tin_heights, tin_surface, pit_free_surface, tin_clip_points, nearest_three, canopy_layers, layered_tops, auto_tops, point_tree_scales, ladder_sweep, ladder_pooled)}
+def site_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the hull of each cell's points, with its area."""
+    found = hulls.convex_hulls(_points(spark, sf_dir), KEYS)
+    area = hulls.hull_area(found, KEYS).select(F.col("cell").alias("_cell"), "corners", F.round("area", 6).alias("area"))
+    return found.join(area, F.col("cell").eqNullSafe(F.col("_cell"))).select("cell", "point", "corners", "area")
+
+
+QUERIES = {f.__name__: f for f in (ground_triangles, tin_heights, tin_surface, pit_free_surface, tin_clip_points, nearest_three, canopy_layers, layered_tops, auto_tops, point_tree_scales, ladder_sweep, ladder_pooled, site_hulls)}
 
 _P = ctes("points") + ", p AS (SELECT cell, point, x, y, z, CASE WHEN point % 4 = 0 THEN 2 ELSE 5 END AS class, point % 3 AS ret FROM f_points)"
 
@@ -192,5 +199,7 @@ SELECT cell, point, n_around FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE
 {_forest_sql(5)}, {_forest_sql(12)}, {_shape_sql('a5', 'w5')}, {_shape_sql('a12', 'w12')}, av AS (SELECT a.cell, w.tree AS whole, sum(n * score) / sum(n) AS average FROM a5 a JOIN w12 w ON a.cell = w.cell AND a.tree = w.point GROUP BY ALL),
 tk AS (SELECT a.cell, a.tree AS whole FROM a12 a JOIN av ON a.cell = av.cell AND a.tree = av.whole WHERE score >= average) SELECT f.cell, f.point, coalesce(tk.whole, f.tree) AS tree FROM w5 f JOIN w12 c ON f.cell = c.cell AND f.point = c.point LEFT JOIN tk ON tk.cell = c.cell AND tk.whole = c.tree""",
     "ladder_sweep": f"""{_LADDER} SELECT cell, rung, chm_res, vwf_a, round(pdens, 9) AS pdens, round(frdens, 9) AS frdens, n_ref, n_det, TP, tp_core, recall, "precision", {_F1}, round(height_rmse, 6) AS height_rmse, fp_near, fp_isolated FROM (SELECT *, {_RATES} FROM q)""",
+    "site_hulls": f"""WITH {_P}, e AS (SELECT a.cell, a.point, a.x, a.y, b.x AS bx, b.y AS "by" FROM p a JOIN p b ON a.cell = b.cell AND a.point <> b.point WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.cell = a.cell AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0))
+SELECT cell, point, count(*) OVER (PARTITION BY cell) AS corners, round(sum(x * "by" - bx * y) OVER (PARTITION BY cell) / 2, 6) AS area FROM e""",
     "ladder_pooled": f"""{_LADDER} SELECT *, {_F1} FROM (SELECT *, {_RATES} FROM (SELECT rung, chm_res, vwf_a, count(DISTINCT cell) AS n_plots, CAST(sum(n_ref) AS BIGINT) AS n_ref, CAST(sum(n_det) AS BIGINT) AS n_det, CAST(sum(TP) AS BIGINT) AS TP, CAST(sum(tp_core) AS BIGINT) AS tp_core FROM q GROUP BY ALL))""",
 }

@@ -104,3 +104,16 @@ def test_las_files_of_other_kinds_are_errors():
             las.parse_las(bad)
     with pytest.raises(ValueError, match="missing"):
         las.parse_las(data, ["x", "tree"])
+
+
+def test_knots_of_ranges_are_those_of_the_whole(spark):
+    r = np.random.default_rng(3)
+    rows = [(k % 2 if k % 9 else None, k, float(np.round(r.normal(), 1)), float(r.random() < 0.4 + 0.1 * (k % 5))) for k in range(600)] + [(7, 600, 1.0, 1.0), (8, 601, None, 1.0)]
+    d = spark.createDataFrame(rows, "arm int, row long, raw double, label double").repartition(6)
+    got = {f.arm: f for f in calibration.fitted_knots(d, ["arm"]).collect()}
+    assert set(got) == {0, 1, None, 7} and got[7].kx == [1.0] and got[7].ky == [1.0]
+    for arm in (0, 1, None):
+        mine = [x for x in rows if x[0] == arm and x[2] is not None]
+        kx, ky = calibration.knots(np.array([x[2] for x in mine]), np.array([x[3] for x in mine]))
+        at = np.linspace(-4, 4, 300)
+        assert len(got[arm].kx) <= len(kx) and np.allclose(np.interp(at, got[arm].kx, got[arm].ky), np.interp(at, kx, ky))

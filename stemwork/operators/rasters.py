@@ -347,10 +347,16 @@ def snap(apexes: DataFrame, tops: DataFrame, keys: list[str], radius: float = 2.
     return rows.select(*keys, "point", *[F.coalesce(F.col(f"_b.r_{c}"), F.col(c)).alias(c) for c in "xyz"])
 
 
-def cylinders(xmin: float, xmax: float, ymin: float, ymax: float, step: float, spark) -> DataFrame:
-    """(cx, cy): centres that cover a rectangle in steps, its far edges included."""
-    line = lambda a, b: spark.range(max(1, math.ceil((b - a) / step) + 1)).select(F.least(F.lit(float(b)), a + F.col("id") * step).alias("v")).distinct()
-    return line(xmin, xmax).withColumnRenamed("v", "cx").crossJoin(line(ymin, ymax).withColumnRenamed("v", "cy"))
+def cylinders(points: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """(keys, cx, cy): centres in steps from the least x and y of each group's points that cover their box, its far edges included."""
+    box = points.groupBy(*keys).agg(*[f(c).cast("double").alias(f"_{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)])
+
+    def line(c: str):
+        low, high = F.col(f"_min_{c}"), F.col(f"_max_{c}")
+        steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((high - low) / step).cast("int")))
+        return F.explode(F.array_distinct(F.transform(steps, lambda k: F.least(high, low + k * step))))
+
+    return box.where("_min_x is not null and _min_y is not null").withColumn("cx", line("x")).withColumn("cy", line("y")).select(*keys, "cx", "cy")
 
 
 def above_ground(dets: DataFrame, ground: DataFrame, keys: list[str], x0: float, y1: float, res: float) -> tuple[DataFrame, DataFrame]:

@@ -243,7 +243,7 @@ def marker_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cylinder_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.cylinders(-10.0, 15.0, 0.0, 30.0, 8.0, spark)
+    return rasters.cylinders(fixture(spark, sf_dir, "points"), ["cell"], 8.0)
 
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +420,7 @@ FROM lineitem LEFT JOIN nation ON l_partkey % 50 = n_nationkey""",
 SELECT p.cell FROM p LEFT JOIN (SELECT *, true AS hit FROM g) g USING (cell, rw, cl) GROUP BY p.cell HAVING count(hit) = 0""",
     "raster_lookup": f"WITH {_P}, r AS (SELECT cell, {_ROW} AS rw, {_COL} AS cl, max(z) AS value FROM f_points WHERE point % 2 = 0 GROUP BY ALL) SELECT p.cell, p.point, value FROM (SELECT *, {_ROW} AS rw, {_COL} AS cl FROM f_points WHERE point % 2 = 1) p LEFT JOIN r USING (cell, rw, cl)",
     "marker_raster": f"""WITH {_S}, t AS (SELECT cell, point, CAST(floor((10 - y) / 2.0) + 1 AS INT) AS "row", CAST(floor((x + 10) / 2.0) + 1 AS INT) AS col FROM s) SELECT cell, "row", col, min(point) AS tree FROM t WHERE "row" BETWEEN 1 AND 10 AND col BETWEEN 1 AND 10 GROUP BY ALL""",
-    "cylinder_centres": "SELECT cx, cy FROM (VALUES (CAST(-10 AS DOUBLE)), (CAST(-2 AS DOUBLE)), (CAST(6 AS DOUBLE)), (CAST(14 AS DOUBLE)), (CAST(15 AS DOUBLE))) a(cx), (VALUES (CAST(0 AS DOUBLE)), (CAST(8 AS DOUBLE)), (CAST(16 AS DOUBLE)), (CAST(24 AS DOUBLE)), (CAST(30 AS DOUBLE))) b(cy)",
+    "cylinder_centres": f"WITH {_P}, b AS (SELECT cell, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM f_points GROUP BY cell) SELECT DISTINCT cell, least(x1, x0 + i * 8.0) AS cx, least(y1, y0 + j * 8.0) AS cy FROM b, range(0, 40) a(i), range(0, 40) c(j) WHERE i <= ceil((x1 - x0) / 8) AND j <= ceil((y1 - y0) / 8)",
     "structure": f"""WITH {_P}, t AS (SELECT cell, z - 8 AS z FROM f_points) SELECT cell, CAST(count_if(z > 2) AS DOUBLE) / count(*) AS cover, 1 - CAST(count_if(z > 2) AS DOUBLE) / count(*) AS gap,
 CASE WHEN count_if(z > 2) >= 20 THEN round(avg(z) FILTER (z > 2), 9) END AS mean_ht, CASE WHEN count_if(z > 2) >= 20 THEN round(stddev_samp(z) FILTER (z > 2) / avg(z) FILTER (z > 2), 9) END AS height_cv FROM t GROUP BY cell""",
     "rumple": f"""WITH {_P}, r AS (SELECT cell, CAST(floor((64 - y) / 4.0) + 1 AS INT) AS rw, CAST(floor((x + 64) / 4.0) + 1 AS INT) AS cl, max(z) AS v FROM f_points GROUP BY ALL)

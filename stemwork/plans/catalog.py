@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection_queries, pooled, source_queries, spatial_queries, statistics_queries, surface_queries
+from . import chain_queries, detection_queries, pooled, source_queries, spatial_queries, statistics_queries, surface_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_FAMILIES = (pooled, spatial_queries, statistics_queries, detection_queries, source_queries, surface_queries)
+_FAMILIES = (pooled, spatial_queries, statistics_queries, detection_queries, source_queries, surface_queries, chain_queries)
 QUERIES: dict[str, Query] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
 
 

@@ -12,7 +12,7 @@ from stemwork.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-FEW = "pool_arms pool_sites deltas_vs_baseline best_config rank_agreement oracle_policy greedy_match score_plots fused point_overlaps instance_cells isotonic crown_errors nearest_event strata_split jittered scalar_numbers box_detections core_labels seed_crowns crown_overlaps project_ranking heldout_optimum credit_grid key_seeds prepared_points matcher_grid rumple out_of_sample match_in_turn fusion_modes monte_carlo checked_detections box_files ply_round_trip frozen_clips geojson_files ground_triangles tin_heights tin_surface pit_free_surface nearest_three canopy_layers layered_tops auto_tops point_tree_scales ladder_pooled las_scan tile_box cloud_treetops".split()
+FEW = "pool_arms pool_sites deltas_vs_baseline best_config rank_agreement oracle_policy greedy_match score_plots fused point_overlaps instance_cells isotonic crown_errors nearest_event strata_split jittered scalar_numbers box_detections core_labels seed_crowns crown_overlaps project_ranking heldout_optimum credit_grid key_seeds prepared_points matcher_grid rumple out_of_sample match_in_turn fusion_modes monte_carlo checked_detections box_files ply_round_trip frozen_clips geojson_files ground_triangles tin_heights tin_surface pit_free_surface nearest_three canopy_layers layered_tops auto_tops point_tree_scales ladder_pooled las_scan tile_box cloud_treetops height_validation fusion_board site_hulls".split()
 
 
 @pytest.mark.parametrize("name", FEW)

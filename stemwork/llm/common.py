@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 #: ASCII white space, the separators of words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 
+FILTER_WORDS = 1 << 18
 _local_scratch: list[str] = []
 _here = threading.local()
 
@@ -90,6 +91,18 @@ def least_nodes(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return parent
 
 
+def likely(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """rows less most of those whose key isn't in chosen, so that their texts needn't be moved to find that out.
+
+    A Bloom filter with one hash: FILTER_WORDS longs at most, whatever the size of chosen, are broadcast. Rows
+    whose key is in chosen all stay.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))
+    at = lambda df: df.withColumn("_word", F.floor(place / 64)).withColumn("_bit", F.pmod(place, F.lit(64)).cast("int"))
+    words = at(chosen).groupBy(F.col("_word").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return at(rows).join(F.broadcast(words), F.col("_word") == F.col("_w")).where(F.getbit("_bits", "_bit") == 1).drop("_word", "_bit", "_w", "_bits")
+
+
 def release(spark: SparkSession, start: int) -> None:
     """Deletes the tables written since there were `start` of them, but for the last, through Spark's file systems."""
     for path in tables_written()[start:-1]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import bucketed, checkpointed, least_nodes, parts, written
+from .common import bucketed, checkpointed, least_nodes, likely, parts, written
 
 WORDS, PERCENT, TREES, SHALLOW, DEEPEST, SEED = 5, 75, 32, 4, 8, 7
 #: Sets that follow a set in an order and are its neighbours, in the first pass and in the second.
@@ -163,7 +163,10 @@ def shingle_sets(docs: DataFrame, chosen: DataFrame, size: int = WORDS) -> DataF
             s = [shingles(x, size).view(np.int64) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, s), pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["uid", "n", "s"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").cast("string").alias("text")).join(chosen, "uid", "left_semi").dropDuplicates(["uid", "text"])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = likely(docs.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").cast("string").alias("text")), chosen, "uid")
+    # an inner join, since Spark would move a semi-join ahead of the filter; chosen has a uid once
+    some = some.repartition(n, "uid").join(chosen.select("uid"), "uid").dropDuplicates(["uid", "text"])
     return bucketed(some.mapInArrow(run, "uid long, n long, s array<long>").where("n > 0"), "sets", "uid")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, parts
+from .common import checkpointed, likely, parts
 
 #: Low bits of a key, which are the token's own; those above are of the first 4 letters, which a word shares
 #: with all its prefixes. So the tokens that can hide a significant prefix are found by their keys alone.
@@ -213,15 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Rows of labels with a null doc_id or label are left out; a document with several labels counts with
     each. All other rows count, in one pass and one sum by token. Significant tokens go to the driver, and of
     the others that are seen those which can hide one: the rest score DRIFT whether they are known or not.
-    Texts meet their labels in a merge join at every size, and only those of the folds that are learned from
-    are shuffled. Where folds 1 to 3 lack labelled rows of either kind, every text scores the share of label 1
+    Texts meet their labels in a merge join at every size, and of the folds that are learned from only texts
+    that a filter of labelled doc_ids lets through are shuffled. Where folds 1 to 3 lack labelled rows of either kind, every text scores the share of label 1
     in folds 1 to 4: 0 without labels, 1 if all are toxic, else less than 0.5. Where only fold 4 lacks a kind,
     the log-odds of label 1 are those of that share and the nats of the segments, each at its full weight; if
     it lacks harmless documents, L and K are of those of folds 1 to 3.
     """
     marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("toxic") == 1).alias("toxic")).where(fold(F.col("l_id")) != 0)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
-    rows = named.join(marks.hint("merge"), F.col("doc_id") == F.col("l_id"))
+    rows = likely(named, marks.select(F.col("l_id").alias("doc_id")), "doc_id").join(marks.hint("merge"), F.col("doc_id") == F.col("l_id"))
     toxic, every = named.select("doc_id").join(marks.hint("merge"), F.col("doc_id") == F.col("l_id")).agg(F.count_if("toxic"), F.count("*")).first()
     base = 1.0 if every and toxic == every else min(MOST_BASE, toxic / max(every, 1))
     counted = rows.where(f"fold < {FOLDS - 1}").select("text", "toxic").mapInArrow(_counted, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))

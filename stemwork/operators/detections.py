@@ -82,7 +82,7 @@ def labelled_core(stems: DataFrame, dets: DataFrame, plots: DataFrame, keys: lis
 
     plots: keys, cx, cy, half. All detections take part in the matching, those outside the core have no row.
     """
-    found = matching.greedy(spatial.candidates(stems, dets, keys, tol), keys)
+    found = matching.nearest_first(stems, dets, keys, tol)
     box = _named(plots, keys, "_b", "cx", "cy", "half")
     core = dets.join(box, _same(keys, "_b")).where(in_box("x", "y", "cx", "cy", "half")).drop("cx", "cy", "half", *[f"_b{i}" for i in range(len(keys))])
     hit = _named(found, keys, "_m", F.col("det").alias("_det"))

@@ -1,15 +1,21 @@
 """One-to-one matching of stems and detections, or of overlapping labels, from candidate pairs.
 
 Cells are matched apart. The kernels sort a cell's candidates, not its points, in one Arrow group; for
-cells too large for a task there is the greedy rule in rounds, which is DataFrame work only.
+cells too large for a task there is the greedy rule in rounds, which is DataFrame work only. nearest_first()
+makes the candidates of dense cells in bands of distance, so that they grow with the points and not with their pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from stemwork.sources.scratch import checkpointed
+
+from . import spatial
 from .keys import joined
 
 
@@ -55,6 +61,32 @@ def greedy_rounds(pairs: DataFrame, keys: list[str], a: str = "stem", b: str = "
         left = left.checkpoint()
 
 
+def nearest_first(
+    stems: DataFrame, dets: DataFrame, keys: list[str], tol: float | str = 4.0, up: float | str = 8.0, most: float | None = None, gate: bool = True,
+    method: Callable[[DataFrame, list[str]], DataFrame] = greedy, per: float = 8.0, least: int = spatial.FEW_PAIRS,
+) -> DataFrame:
+    """The matching of greedy() over all candidates of stems and detections (see spatial.candidates), made in bands of distance.
+
+    The rule takes the nearest pairs first, so what it takes among pairs within a radius is final, and stems and
+    detections that are taken need no farther candidates. Each band is as wide as leaves about `per` candidates a
+    row; where all candidates are that few, or `least`, there is one band. method: greedy or greedy_rounds.
+    """
+    side = spatial.widest(tol, most)
+    reach = spatial.sparse_reach(stems, dets, keys, side, per, least)
+    if reach >= side:
+        return method(spatial.candidates(stems, dets, keys, tol, up, most, gate), keys)
+    more = {c for c in (tol, up) if isinstance(c, str)} - set(keys)
+    left, right, taken = checkpointed(stems.select(*keys, "stem", "x", "y", "z", *sorted(more))), checkpointed(dets.select(*keys, "det", "x", "y", "z")), None
+    while True:
+        last = reach >= side
+        won = checkpointed(method(spatial.candidates(left, right, keys, tol, up, most, gate, None if last else reach), keys))
+        taken = won if taken is None else taken.unionByName(won)
+        if last:
+            return taken
+        left, right = (checkpointed(joined(df, won.select(*keys, c), [*keys, c], "left_anti")) for df, c in ((left, "stem"), (right, "det")))
+        reach = min(side, max(1.5 * reach, spatial.sparse_reach(left, right, keys, side, per, least)))
+
+
 def iou_match(overlaps: DataFrame, keys: list[str], gate: float = 0.5) -> DataFrame:
     """(keys, pred_id, ref_id, iou): overlaps of at least the gate, the largest first, each label once."""
     ranked = overlaps.where(F.col("iou") >= gate).withColumn("cost", -F.col("iou"))
@@ -134,10 +166,8 @@ def optimal(pairs: DataFrame, keys: list[str], a: str = "stem", b: str = "det",
 
 def soft_candidates(stems: DataFrame, dets: DataFrame, keys: list[str], tol: float = 4.0, weight: float = 0.5) -> DataFrame:
     """Candidates by sqrt(d2 + (weight * dz)^2) no more than tol, in place of the height gate."""
-    from .spatial import within
-
     dz = F.coalesce(F.col("r_z") - F.col("z"), F.lit(0.0)) * weight
-    rows = within(stems, dets, tol, keys).withColumn("dist", F.sqrt(F.col("d2") + dz * dz))
+    rows = spatial.within(stems, dets, tol, keys).withColumn("dist", F.sqrt(F.col("d2") + dz * dz))
     return rows.where(F.col("dist") <= tol).select(*keys, "stem", F.col("r_det").alias("det"), "dist")
 
 

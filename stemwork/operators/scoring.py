@@ -22,8 +22,10 @@ def score_plots(stems: DataFrame, dets: DataFrame, plots: DataFrame, keys: list[
     on = [F.col(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(keys)]
     placed = dets.join(p, on).drop(*[f"_p{i}" for i in range(len(keys))])
     placed = placed.where(in_box("x", "y", "cx", "cy", F.col("half") + widest)).withColumn("core", in_box("x", "y", "cx", "cy", "half")).drop("cx", "cy", "half")
-    pairs = spatial.candidates(stems, placed, keys, tol, up, most)
-    match = {"greedy": matching.greedy, "rounds": matching.greedy_rounds, "optimal": matching.optimal}[method](pairs, keys)
+    if method == "optimal":
+        match = matching.optimal(spatial.candidates(stems, placed, keys, tol, up, most), keys)
+    else:
+        match = matching.nearest_first(stems, placed, keys, tol, up, most, method={"greedy": matching.greedy, "rounds": matching.greedy_rounds}[method])
     match = match.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], F.col("stem").alias("m_stem"), F.col("det").alias("m_det"))
     on = [F.col(k).eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)]
     gone = [f"_m{i}" for i in range(len(keys))]
@@ -114,7 +116,7 @@ def crowns_against_field(diameters: DataFrame, apexes: DataFrame, stems: DataFra
     diameters: keys, id, d_eq, d_caliper; apexes: keys, id, x, y, z; stems: keys, stem, x, y, z, crown_class;
     field: stem, max_cd, ninety_cd.
     """
-    m = matching.greedy(spatial.candidates(stems, apexes.withColumnRenamed("id", "det"), keys, tol), keys).select(*keys, "stem", F.col("det").alias("id"))
+    m = matching.nearest_first(stems, apexes.withColumnRenamed("id", "det"), keys, tol).select(*keys, "stem", F.col("det").alias("id"))
     rows = joined(m, stems.select(*keys, "stem", "crown_class"), [*keys, "stem"])
     rows = joined(rows, diameters.select(*keys, "id", "d_eq", "d_caliper"), [*keys, "id"], "left").join(field.dropDuplicates(["stem"]), "stem", "left")
     return rows.withColumn("area", F.pi() * (F.col("d_eq") / 2) * (F.col("d_eq") / 2)).select(*keys, "stem", "crown_class", "d_eq", "d_caliper", "area", "max_cd", "ninety_cd")

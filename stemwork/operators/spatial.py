@@ -3,6 +3,8 @@ eight neighbours too, so no cartesian product appears; the exact distance is tes
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import squared
@@ -11,6 +13,10 @@ from stemwork.sources.scratch import checkpointed
 from .keys import joined
 
 
+#: Pairs that may be tested at once whatever the number of rows.
+FEW_PAIRS = 1_000_000
+
+
 def grid(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
     """df with _gx and _gy, the grid cell of each row."""
     return df.withColumns({"_gx": F.floor(F.col(x) / side).cast("long"), "_gy": F.floor(F.col(y) / side).cast("long")})
@@ -23,43 +29,82 @@ def served(df: DataFrame, gx: str = "_gx", gy: str = "_gy") -> DataFrame:
     return rows.withColumns({"_sx": F.col(gx) + F.col("_o.i"), "_sy": F.col(gy) + F.col("_o.j")}).drop(gx, gy, "_o")
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], xy: tuple[str, str] = ("x", "y"), prefix: str = "r_", how: str = "inner", extra: Column | None = None) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], xy: tuple[str, str] = ("x", "y"), prefix: str = "r_", how: str = "inner", extra: Column | None = None, turned: bool = False) -> DataFrame:
     """Pairs of rows with equal keys no more than `radius` apart.
 
     right's columns get the prefix and d2 is the squared distance. how: inner, left, left_semi or left_anti
-    (the last two keep left's columns). Rows without a position meet nothing. extra: a further condition.
+    (the last two keep left's columns). Rows without a position meet nothing. extra: a further condition. turned: left serves
+    the neighbouring cells, for inner joins of a left side that has fewer rows.
     """
-    around = served(grid(right, *xy, radius)).withColumnsRenamed({c: prefix + c for c in right.columns})
+    names = {c: prefix + c for c in right.columns}
+    rows, around = grid(left, *xy, radius), grid(right, *xy, radius).withColumnsRenamed(names)
+    if turned:
+        rows = served(rows)
+    else:
+        around = served(around)
     d2 = squared(F.col(xy[0]), F.col(xy[1]), F.col(prefix + xy[0]), F.col(prefix + xy[1]))
     on = (F.col("_gx") == F.col("_sx")) & (F.col("_gy") == F.col("_sy"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(prefix + k))
     on = on & (d2 <= radius * radius)
-    rows = grid(left, *xy, radius).join(around, on if extra is None else on & extra, how)
+    rows = rows.join(around, on if extra is None else on & extra, how)
     return rows.drop("_gx", "_gy") if how in ("left_semi", "left_anti") else rows.withColumn("d2", d2).drop("_gx", "_gy", "_sx", "_sy")
 
 
-def candidates(stems: DataFrame, dets: DataFrame, keys: list[str], tol: float | str = 4.0, up: float = 8.0, most: float | None = None, gate: bool = True) -> DataFrame:
-    """(keys, stem, det, dist) of stems and detections within tolerance and the height gate.
+def sparse_reach(left: DataFrame, right: DataFrame, keys: list[str], most: float, per: float, least: int = FEW_PAIRS) -> float:
+    """A radius up to `most` within which about `per` pairs a row meet, or `least` in all, judged by counts of grid cells.
 
-    stems: keys, stem, x, y, z; dets: keys, det, x, y, z. tol is a number or a column of stems, then with
-    `most` as its largest value, which sets the grid.
+    Where points lie on each other no radius has few pairs, and the search ends when a smaller one has hardly fewer.
     """
-    from stemwork.functions.scalars import height_gate
+    one = lambda df, a, b: df.where("x is not null and y is not null").select(*keys, "x", "y", F.lit(a).alias("_l"), F.lit(b).alias("_r"))
+    rows, radius, before = one(left, 1, 0).unionByName(one(right, 0, 1)), float(most), math.inf
+    while True:
+        cells = grid(rows, "x", "y", radius).groupBy(*keys, "_gx", "_gy").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        met, n = cells.agg(F.coalesce(F.sum(9.0 * F.col("_l") * F.col("_r")), F.lit(0.0)), F.coalesce(F.sum(F.col("_l") + F.col("_r")), F.lit(0))).first()
+        enough = max(per * n, float(least))
+        if met <= enough or met > 0.9 * before:
+            return radius
+        before, radius = met, radius * min(0.7, max(0.1, math.sqrt(enough / met)))
 
+
+def widest(tol: float | str, most: float | None) -> float:
+    """The largest tolerance, of which `most` tells where tol is a column."""
     side = float(tol) if not isinstance(tol, str) else float(most or 0)
     if side <= 0:
         raise ValueError("a column of tolerances needs its largest value")
-    pairs = within(stems, dets, side, keys).withColumn("dist", F.sqrt("d2"))
+    return side
+
+
+def candidates(stems: DataFrame, dets: DataFrame, keys: list[str], tol: float | str = 4.0, up: float | str = 8.0, most: float | None = None, gate: bool = True, reach: float | None = None) -> DataFrame:
+    """(keys, stem, det, dist) of stems and detections within tolerance and the height gate.
+
+    stems: keys, stem, x, y, z; dets: keys, det, x, y, z. tol is a number or a column of stems, then with
+    `most` as its largest value, which sets the grid; up is a number or a column of stems. reach: only pairs as near as that.
+    """
+    from stemwork.functions.scalars import height_gate
+
+    side = widest(tol, most)
+    near = side if reach is None else min(side, reach * (1 + 1e-9))  # by distance below, whose root may round
+    pairs = within(stems, dets, near, keys).withColumn("dist", F.sqrt("d2"))
     pairs = pairs.where(F.col("dist") <= (F.col(tol) if isinstance(tol, str) else tol))
+    if reach is not None:
+        pairs = pairs.where(F.col("dist") <= reach)
     if gate:
-        pairs = pairs.where(height_gate("z", "r_z", up))
+        pairs = pairs.where(height_gate("z", "r_z", F.col(up) if isinstance(up, str) else up))
     return pairs.select(*keys, "stem", F.col("r_det").alias("det"), "dist")
 
 
 def nearest(points: DataFrame, sources: DataFrame, tol: float, keys: list[str], point: str, source: str, label: str) -> DataFrame:
-    """(keys, point, label) of the nearest source within tol; the first by `source` of equally near ones; NULL if none."""
-    near = within(points, sources, tol, keys).groupBy(*keys, point).agg(F.min_by("r_" + label, F.struct("d2", "r_" + source)).alias("_label"))
+    """(keys, point, label) of the nearest source within tol; the first by `source` of equally near ones; NULL if none.
+
+    Where many sources lie within tol, they are looked for in widening rings.
+    """
+    reach = sparse_reach(points, sources, keys, tol, 6.0)
+    if reach < tol:
+        here, there = points.select(*keys, F.col(point).alias("point"), "x", "y"), sources.select(*keys, F.col(source).alias("point"), F.col(label).alias("_label"), "x", "y")
+        near = nearest_k(here, there, keys, 1, reach, tol).select(*keys, F.col("point").alias(point), F.col("r__label").alias("_label"))
+    else:
+        near = within(points, sources, tol, keys).groupBy(*keys, point).agg(F.min_by("r_" + label, F.struct("d2", "r_" + source)).alias("_label"))
     on = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in [*keys, point]]
     return points.join(near.withColumnsRenamed({c: f"_n_{c}" for c in [*keys, point]}), on, "left").select(*keys, point, F.col("_label").alias(label))
 
@@ -122,7 +167,7 @@ def in_polygon(x: str, y: str, ring: str) -> Column:
 def nearest_k(points: DataFrame, sources: DataFrame, keys: list[str], k: int, side: float, beyond: float | None = None, same: bool = True) -> DataFrame:
     """(keys, point, r_..., d2, place) of the k sources nearest to each point, place 1 being the nearest; ties go by r_point.
 
-    points: keys, point, x, y; sources: keys, point, x, y, ... Rings of twice the radius, from `side` on, are searched for the points that have
+    points: keys, point, x, y; sources: keys, point, x, y, ... Rings of twice the radius, from `side` on or less where sources are dense, are searched for the points that have
     found fewer than k, so few far sources don't make many near ones meet. A point has fewer than k rows only if its group has
     fewer sources, or fewer are within `beyond`. same=False leaves out sources of the point's own name.
     """
@@ -133,10 +178,11 @@ def nearest_k(points: DataFrame, sources: DataFrame, keys: list[str], k: int, si
     far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"_min_{c}")), F.abs(F.col(c) - F.col(f"_max_{c}")))
     most = F.sqrt(far("x") * far("x") + far("y") * far("y"))
     open_ = open_.withColumn("_most", most if beyond is None else F.least(most, F.lit(float(beyond)))).select(*keys, "point", "x", "y", "_most")
-    out, radius = None, float(side)
+    open_ = checkpointed(open_)
+    out, radius = None, sparse_reach(open_, there, keys, side, 6.0 * k)
     while True:
         reached = radius if beyond is None else min(radius, float(beyond))
-        near = within(open_, there, reached, keys, extra=None if same else F.col("point") != F.col("r_point")).drop(*[f"r_{c}" for c in keys])
+        near = within(open_, there, reached, keys, extra=None if same else F.col("point") != F.col("r_point"), turned=True).drop(*[f"r_{c}" for c in keys])
         order = W.partitionBy(*keys, "point").orderBy("d2", "r_point")
         ranked = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
         tally = ranked.groupBy(*keys, "point").agg(F.count("*").alias("_found"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemwork.functions.scalars import f1, rate
-from stemwork.operators import clustering, matching, spatial, statistics
+from stemwork.operators import clustering, matching, statistics
 from stemwork.operators.keys import joined
 
 from .fixtures import ctes, fixture
@@ -17,7 +17,7 @@ ARMS = ("chm_vwf", "deepforest", "li2012")
 def height_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of matched detections' heights against their stems by crown class, and the line through them."""
     stems, dets = sides(spark, sf_dir)
-    match = matching.greedy(spatial.candidates(stems, dets, ["cell"], TOL), ["cell"])
+    match = matching.nearest_first(stems, dets, ["cell"], TOL)
     pairs = joined(match, stems.select("cell", "stem", "crown_class", F.col("z").alias("field")), ["cell", "stem"])
     pairs = joined(pairs, dets.select("cell", "det", F.col("z").alias("lidar")), ["cell", "det"])
     errors = statistics.error_stats(pairs, ["crown_class"], "lidar", "field").withColumnRenamed("r2", "r2_identity")
@@ -40,7 +40,7 @@ def fusion_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = [*ARMS, "votes_1", "votes_2"]
     spread = stems.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
     keys = ["cell", "config"]
-    match = matching.greedy(spatial.candidates(spread, every, keys, TOL), keys)
+    match = matching.nearest_first(spread, every, keys, TOL)
     counts = joined(joined(spread.groupBy(*keys).agg(F.count("*").alias("n_ref")), every.groupBy(*keys).agg(F.count("*").alias("n_det")), keys, "full"), match.groupBy(*keys).agg(F.count("*").alias("TP")), keys, "left")
     counts = counts.na.fill(0, ["n_ref", "n_det", "TP"])
     full = counts.groupBy("cell").agg(F.count_if(F.col("n_det") > 0).alias("_k")).where(F.col("_k") == len(configs)).select("cell")

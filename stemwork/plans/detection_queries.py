@@ -318,11 +318,10 @@ def clip_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matcher_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled recall and precision of the greedy matcher by tolerance and upper height gate, in one plan."""
     stems, dets = sides(spark, sf_dir)
-    grid = {"tol": [2, 3, 4], "up": [4, 8]}
-    pairs = spatial.within(stems, dets, 4.0, ["cell"]).withColumn("dist", F.sqrt("d2"))
-    pairs = D.parameter_grid(pairs.select("cell", "stem", "z", F.col("r_det").alias("det"), F.col("r_z").alias("dz"), "dist"), **grid)
-    pairs = pairs.where((F.col("dist") <= F.col("tol")) & (F.col("dz") >= 0.5 * F.col("z")) & (F.col("dz") <= F.col("z") + F.col("up")))
-    hits = matching.greedy(pairs, ["cell", "tol", "up"]).groupBy("tol", "up").agg(F.count("*").alias("TP"))
+    # the nearest pairs go first, so a lesser tolerance takes the first pairs of a larger one
+    by_gate = [D.parameter_grid(df, up=[4, 8]) for df in (stems.where("z is not null"), dets)]
+    found = D.parameter_grid(matching.nearest_first(*by_gate, ["cell", "up"], 4.0, "up"), tol=[2, 3, 4])
+    hits = found.where("dist <= tol").groupBy("tol", "up").agg(F.count("*").alias("TP"))
     n = stems.agg(F.count("*").alias("n_ref")).crossJoin(dets.agg(F.count("*").alias("n_det")))  # one row each
     return hits.crossJoin(F.broadcast(n)).select("tol", "up", "TP", S.rate("TP", "n_ref").alias("recall"), S.rate("TP", "n_det").alias("precision"))
 

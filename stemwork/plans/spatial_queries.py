@@ -38,12 +38,12 @@ def scaled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.greedy(candidate_pairs(spark, sf_dir), ["cell"])
+    return matching.nearest_first(*sides(spark, sf_dir), ["cell"], TOL)
 
 
 def greedy_match_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoints(spark)
-    return matching.greedy_rounds(candidate_pairs(spark, sf_dir), ["cell"])
+    return matching.nearest_first(*sides(spark, sf_dir), ["cell"], TOL, method=matching.greedy_rounds)
 
 
 def optimal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +247,7 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems, dets = sides(spark, sf_dir)
     drawn = selection.draws(stems.withColumn("sigma", 0.5 + (F.col("stem") % 3) / 2), 10, 42, "sigma", "stem")
     ks = spark.range(1, 11).select(F.col("id").cast("int").alias("draw"))
-    found = matching.greedy(spatial.candidates(drawn, dets.crossJoin(F.broadcast(ks)), ["cell", "draw"], TOL), ["cell", "draw"])  # ten rows of parameters
+    found = matching.nearest_first(drawn, dets.crossJoin(F.broadcast(ks)), ["cell", "draw"], TOL)  # ten rows of parameters
     hits = found.groupBy("cell", "draw").agg(F.count("*").alias("TP"))
     n = drawn.groupBy("cell", "draw").agg(F.count("*").alias("n_ref"))
     recall = n.join(hits, ["cell", "draw"], "left").na.fill(0, ["TP"]).withColumn("recall", rate("TP", "n_ref"))

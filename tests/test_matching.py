@@ -183,3 +183,23 @@ def test_random_walker_against_a_dense_solution():
         want = seeds.copy()
         want[free] = chance.argmax(axis=0) + 1
         assert [got[x] for x in cells] == want.tolist() and (got[value < 2] == 0).all()
+
+
+def test_bands_of_distance_take_what_all_candidates_do(spark):
+    rng = np.random.default_rng(7)
+    place = lambda n: [(k % 2, k, float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.c_[rng.normal(0, 2.5, (n, 2)), rng.uniform(5, 20, n)])]
+    a, b = (spark.createDataFrame(place(n), f"cell int, {c} int, x double, y double, z double").cache() for n, c in ((500, "stem"), (450, "det")))
+    every, met = spatial.candidates(a, b, ["cell"], 4.0), []
+
+    def counted(pairs, keys):
+        met.append(pairs.count())
+        return matching.greedy(pairs, keys)
+
+    want = {tuple(r) for r in matching.greedy(every, ["cell"]).collect()}
+    assert {tuple(r) for r in matching.nearest_first(a, b, ["cell"], method=counted, least=0).collect()} == want
+    assert len(met) > 2 and sum(met) < every.count() / 5
+    assert {tuple(r) for r in matching.nearest_first(a, b, ["cell"], method=matching.greedy_rounds, least=0).collect()} == want
+    # tolerances of their own, and points on each other
+    c = a.withColumn("tol", F.col("stem") % 4 + 0.5).unionByName(a.withColumns({"stem": F.col("stem") + 1000, "tol": F.lit(1.0)}))
+    want = {tuple(r) for r in matching.greedy(spatial.candidates(c, b, ["cell"], "tol", most=4.0), ["cell"]).collect()}
+    assert {tuple(r) for r in matching.nearest_first(c, b, ["cell"], "tol", most=4.0, least=0).collect()} == want

@@ -288,30 +288,116 @@ def trees(points: DataFrame, keys: list[str], near: float = 1.5, far: float = 2.
     rows = points.where(F.col("z") >= floor).select(*keys, *[F.col(c).cast("double") for c in "xyz"])
 
     def plot(p: pd.DataFrame) -> pd.DataFrame:
-        left = p.sort_values(["z", "x", "y"], ascending=[False, True, True])[["x", "y", "z"]].to_numpy()
-        tops = []
-        while len(left):
-            top = left[0]
-            tops.append(top)
-            mine, other, stay = [top], [np.array([top[0] + 100.0, top[1] + 100.0])], []
-            for q in left[1:]:
-                if (q[0] - top[0]) ** 2 + (q[1] - top[1]) ** 2 > reach**2:
-                    stay.append(q)
-                    continue
-                to = lambda ps: min((q[0] - m[0]) ** 2 + (q[1] - m[1]) ** 2 for m in ps)  # noqa: B023, E731
-                a, b = math.sqrt(to(mine)), math.sqrt(to(other))
-                if a <= (far if q[2] > tall else near) and a <= b:
-                    mine.append(q)
-                else:
-                    stay.append(q)
-                    other.append(q[:2])
-            left = np.array(stay) if stay else np.empty((0, 3))
-        out = pd.DataFrame(tops, columns=["x", "y", "z"])
+        a = p.sort_values(["z", "x", "y"], ascending=[False, True, True])[["x", "y", "z"]].to_numpy()
+        out = pd.DataFrame(a[grown_tops(a, near, far, tall, reach)], columns=["x", "y", "z"])
         return out.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, "x", "y", "z"]]
 
     return rows.groupBy(*keys).applyInPandas(plot, f"{_kinds(rows, keys)}, x double, y double, z double")
 
 
+def nearest_before(a: np.ndarray, some: np.ndarray, pool: np.ndarray, limit: np.ndarray) -> dict[int, list[int]]:
+    """For rows `some` of a the nearest rows of pool (in their order) that come before them, all of equally near ones, no farther than limit.
+
+    Grids of doubling cells, from a sixteenth of the largest limit, are searched for the rows that have found none.
+    """
+    found, most = {}, float(limit.max(initial=0.0))
+    side = most / 16
+    while len(some) and len(pool) and side > 0:
+        last = side >= most
+        low = a[:, :2].min(axis=0)
+        place = np.floor((a[:, :2] - low) / side).astype(np.int64) + 1
+        wide = int(place[:, 1].max()) + 2
+        number = place[:, 0] * wide + place[:, 1]
+        order = pool[np.argsort(number[pool], kind="stable")]
+        held, mine = number[order], some[np.argsort(number[some], kind="stable")]
+        rest = []
+        for group in np.split(mine, np.flatnonzero(np.diff(number[mine])) + 1):
+            cell = number[group[0]]
+            ends = [(np.searchsorted(held, cell + k * wide - 1), np.searchsorted(held, cell + k * wide + 1, "right")) for k in (-1, 0, 1)]
+            near = np.concatenate([order[i:j] for i, j in ends])
+            if not len(near):
+                rest.append(group)
+                continue
+            step = max(1, 2_000_000 // len(near))
+            for part in (group[k : k + step] for k in range(0, len(group), step)):
+                dx, dy = a[part, None, 0] - a[None, near, 0], a[part, None, 1] - a[None, near, 1]
+                d = np.where(near[None] < part[:, None], np.sqrt(dx * dx + dy * dy), np.inf)
+                least = d.min(axis=1)
+                ok = least <= np.minimum(limit[part], most if last else side)
+                for k in np.flatnonzero(ok):
+                    found[int(part[k])] = near[d[k] == least[k]].tolist()
+                rest.append(part[~ok & (limit[part] > side)])
+        some = np.concatenate(rest) if rest and not last else some[:0]
+        side = min(most, side * 2)
+    return found
+
+
+def grown_tops(a: np.ndarray, near: float, far: float, tall: float, reach: float) -> list[int]:
+    """Rows of a (x, y, z; highest first) that start a tree.
+
+    A point joins the tree if the nearest of the points before it is in the tree, near enough, so points hang on the nearest point
+    before them, and trees are what hangs on a top. Only points whose nearest one is beyond the tree's reach, or went with
+    an earlier tree, are looked at again.
+    """
+    n, every = len(a), np.arange(len(a))
+    limit, alive = np.where(a[:, 2] > tall, far, near), np.ones(len(a), bool)
+    above = nearest_before(a, every, every, limit)
+    first, below = np.full(n, -1), {}
+    tied = set()
+
+    def hang(q: int, on: list[int]) -> None:
+        first[q] = on[0]
+        for k in on:
+            below.setdefault(k, []).append(q)
+        tied.discard(q)
+        if len(on) > 1:
+            tied.add(q)
+
+    for q, on in above.items():
+        hang(q, on)
+    tops, start = [], 0
+    while True:
+        start += int(np.argmax(alive[start:])) if start < n else 0
+        if start >= n or not alive[start]:
+            return tops
+        top = start
+        tops.append(top)
+        inside = alive & ((a[:, 0] - a[top, 0]) ** 2 + (a[:, 1] - a[top, 1]) ** 2 <= reach**2)
+        cut = np.flatnonzero(inside & (first >= 0) & ~inside[first])
+        if tied:
+            cut = np.array([q for q in cut.tolist() if q not in tied or not any(inside[k] for k in above[q])], dtype=np.int64)
+        extra: dict[int, list[int]] = {}
+        if len(cut):
+            for q, on in nearest_before(a, cut, np.flatnonzero(inside), limit).items():
+                for k in on:
+                    extra.setdefault(k, []).append(q)
+        mine, open_ = {top}, [top]
+        moved = set(cut.tolist())
+        while open_:
+            k = open_.pop()
+            for q in (*(q for q in below.get(k, ()) if q not in moved), *extra.get(k, ())):
+                if q not in mine and inside[q]:
+                    mine.add(q)
+                    open_.append(q)
+        gone = np.fromiter(mine, np.int64, len(mine))
+        alive[gone] = False
+        lost = {q for k in mine for q in below.pop(k, ()) if alive[q]}
+        again = []
+        for q in lost:
+            on = [k for k in above[q] if alive[k]]
+            above[q] = on
+            if on:
+                first[q] = on[0]
+            else:
+                first[q] = -1
+                again.append(q)
+        if again:
+            new = nearest_before(a, np.array(sorted(again)), np.flatnonzero(alive), limit)
+            for q, on in new.items():
+                above[q] = on
+                hang(q, on)
+
+
 def mean_shift(points: DataFrame, keys: list[str], width: float = 0.4, depth: float = 0.8, floor: float = 2.0, rounds: int = 20) -> DataFrame:
     """(keys, x, y, z, mode): points with the number of the mode that a mean shift leads them to; the kernel is a
     cylinder of width * z across and depth * z high around each place (after Ferraz and others, 2016)."""
@@ -322,12 +408,7 @@ def mean_shift(points: DataFrame, keys: list[str], width: float = 0.4, depth: fl
         a = p[["x", "y", "z"]].to_numpy()
         m = a.copy()
         for _ in range(rounds):
-            moved = np.empty_like(m)
-            for k, q in enumerate(m):
-                d = np.hypot(a[:, 0] - q[0], a[:, 1] - q[1]) / max(width * q[2] / 2, 1e-9)
-                h = np.abs(a[:, 2] - q[2]) / max(depth * q[2] / 2, 1e-9)
-                w = np.where((d <= 1) & (h <= 1), np.exp(-5 * d**2) * (1 - h), 0)
-                moved[k] = (a * w[:, None]).sum(0) / w.sum() if w.sum() > 0 else q
+            moved = _shifted(a, m, width, depth)
             still = np.abs(moved - m).max() < 1e-3
             m = moved
             if still:
@@ -338,6 +419,40 @@ def mean_shift(points: DataFrame, keys: list[str], width: float = 0.4, depth: fl
     return rows.groupBy(*keys).applyInPandas(plot, f"{_kinds(rows, keys)}, x double, y double, z double, mode int")
 
 
+def _shifted(a: np.ndarray, m: np.ndarray, width: float, depth: float, side: float = 0.5) -> np.ndarray:
+    """Places m moved to the weighted means of the points a in their cylinders; places of one square meet the points around it alone."""
+    low = np.minimum(a[:, :2].min(axis=0), m[:, :2].min(axis=0))
+    at, here = (np.floor((v[:, :2] - low) / side).astype(np.int64) for v in (a, m))
+    wide = int(max(at[:, 1].max(), here[:, 1].max())) + 1
+    number, mine = at[:, 0] * wide + at[:, 1], here[:, 0] * wide + here[:, 1]
+    order = np.argsort(number, kind="stable")
+    held, by = number[order], np.argsort(mine, kind="stable")
+    moved = m.copy()
+    for group in np.split(by, np.flatnonzero(np.diff(mine[by])) + 1):
+        across, high = np.maximum(width * m[group, 2] / 2, 1e-9), np.maximum(depth * m[group, 2] / 2, 1e-9)
+        k = int(across.max() // side) + 1
+        x, y = here[group[0]]
+        left, right = max(y - k, 0), min(y + k, wide - 1)
+        near = np.concatenate([order[np.searchsorted(held, i * wide + left) : np.searchsorted(held, i * wide + right, "right")] for i in range(max(x - k, 0), x + k + 1)])
+        p, step = a[np.sort(near)], max(1, 1_000_000 // max(1, len(near)))
+        for some in (slice(i, i + step) for i in range(0, len(group), step)):
+            q = m[group[some]]
+            d = np.subtract.outer(q[:, 0], p[:, 0])
+            d *= d
+            e = np.subtract.outer(q[:, 1], p[:, 1])
+            d += e * e
+            d /= (across[some] * across[some])[:, None]
+            h = np.abs(np.subtract.outer(q[:, 2], p[:, 2]), out=e)
+            h /= high[some, None]
+            inside = np.nonzero((d <= 1) & (h <= 1))
+            w = np.zeros(d.shape)
+            w[inside] = np.exp(-5 * d[inside]) * (1 - h[inside])
+            total = w.sum(axis=1)
+            some_weight = total > 0
+            moved[group[some][some_weight]] = (w @ p)[some_weight] / total[some_weight, None]
+    return moved
+
+
 def snap(apexes: DataFrame, tops: DataFrame, keys: list[str], radius: float = 2.0) -> DataFrame:
     """apexes moved to the highest top within the radius, where there is one. Both: keys, point, x, y, z."""
     from .spatial import within

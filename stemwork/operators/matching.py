@@ -187,6 +187,73 @@ def in_turn(pairs: DataFrame, keys: list[str], a: str = "stem", b: str = "det",
     return rows.groupBy(*keys).applyInPandas(kernel, _fields(rows, rows.columns))
 
 
+def nearest_in_turn(stems: DataFrame, dets: DataFrame, keys: list[str], tol: float, per: float = 8.0, least: int = spatial.FEW_PAIRS) -> DataFrame:
+    """The matching of in_turn() over all stems and detections within tol, heights ungated.
+
+    Where their pairs are many, a cell's points go to its task and not their pairs, and each stem looks for the nearest free
+    detection in widening squares. Stems and detections have names of their own in a cell.
+    """
+    if spatial.sparse_reach(stems, dets, keys, tol, per, least) >= tol:
+        return in_turn(spatial.candidates(stems, dets, keys, tol, gate=False), keys)
+    side = lambda df, name, left: df.where("x is not null and y is not null").select(*keys, F.col(name).alias("_id"), "x", "y", F.lit(left).alias("_left"))
+    rows = side(stems, "stem", True).unionByName(side(dets, "det", False))
+
+    def kernel(cell: pd.DataFrame) -> pd.DataFrame:
+        a, b = cell[cell._left].sort_values("_id"), cell[~cell._left].sort_values("_id")
+        picks, dist = _free_in_turn(a[["x", "y"]].to_numpy(float), b[["x", "y"]].to_numpy(float), tol)
+        out = a.assign(stem=a["_id"], dist=dist)[picks >= 0]
+        return out.assign(det=b["_id"].to_numpy()[picks[picks >= 0]])[[*keys, "stem", "det", "dist"]]
+
+    kinds = _fields(rows, keys)
+    name = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    return rows.groupBy(*keys).applyInPandas(kernel, f"{kinds}, {name(stems, 'stem')}, {name(dets, 'det')}, dist double")
+
+
+def _free_in_turn(a: np.ndarray, b: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of b or -1, distance) that each row of a takes in turn: the nearest that is free, the first of equally near ones."""
+    picks, dist = np.full(len(a), -1), np.full(len(a), np.nan)
+    free, low = np.arange(len(b)), np.minimum(a.min(axis=0, initial=np.inf), b.min(axis=0, initial=np.inf)) if len(a) and len(b) else None
+    used, taken, step = np.zeros(len(b), bool), 0, tol / 32
+    if low is None:
+        return picks, dist
+
+    def table() -> tuple[np.ndarray, np.ndarray]:
+        at = np.floor((b[free] - low) / step).astype(np.int64)
+        number = at[:, 0] * wide + at[:, 1]
+        order = np.argsort(number, kind="stable")
+        return number[order], free[order]
+
+    wide = int(np.floor((max(a[:, 1].max(), b[:, 1].max()) - low[1]) / step)) + 2
+    held, order = table()
+    for i, (x, y) in enumerate(a):
+        gx, gy = int((x - low[0]) // step), int((y - low[1]) // step)
+        k = 1
+        while True:
+            lines = np.arange(gx - k, gx + k + 1) * wide
+            starts = np.searchsorted(held, lines + max(gy - k, 0))
+            ends = np.searchsorted(held, lines + min(gy + k, wide - 1), "right")
+            near = np.concatenate([order[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e > s] or [order[:0]])
+            near = near[~used[near]]
+            if len(near):
+                d2 = (x - b[near, 0]) * (x - b[near, 0]) + (y - b[near, 1]) * (y - b[near, 1])
+                d = np.sqrt(d2)
+                d[(d2 > tol * tol) | (d > tol)] = np.inf
+                least = d.min()
+                # points outside of the square are at least k - 1 squares away; a lesser k would miss equally near ones
+                if least < (k - 0.5) * step or (k * step > tol + step and least < np.inf):
+                    j = int(near[d == least].min())
+                    picks[i], dist[i], used[j] = j, least, True
+                    taken += 1
+                    break
+            if k * step > tol + step:
+                break
+            k *= 2
+        if taken > 1000 and taken * 4 > len(held):
+            free, taken = free[~used[free]], 0
+            held, order = table()
+    return picks, dist
+
+
 def agreement(matched: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], a: str = "stem", b: str = "det") -> DataFrame:
     """(keys, n_left, n_right, diff, matched, jaccard, dz_mean, dz_sd): how far two sets agree by their matches.
 

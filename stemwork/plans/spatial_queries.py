@@ -57,7 +57,7 @@ def soft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems, dets = sides(spark, sf_dir)
-    return matching.in_turn(spatial.candidates(stems, dets, ["cell"], 3.0, gate=False), ["cell"])
+    return matching.nearest_in_turn(stems, dets, ["cell"], 3.0)
 
 
 def set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stemwork.functions.scalars import CHM_ARMS
+from stemwork.sources.scratch import checkpointed
 
 from . import matching, spatial
 from .keys import joined
@@ -63,14 +64,37 @@ def _spread(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str) -> D
             return now
 
 
+def links(apexes: DataFrame, keys: list[str], tol: float, dz: float, per: float = 48.0, least: int = spatial.FEW_PAIRS) -> DataFrame:
+    """(keys, a, b) that connect apexes as all pairs of different arms within tol and dz do; all of those where they are few.
+
+    Where apexes are dense, near pairs are joined first. What then hangs together most in each group needs no further pairs
+    within itself, so farther ones are sought for the other apexes alone, and only the clusters that they join are kept.
+    """
+    some = apexes.select(*keys, "point", "arm", "x", "y", "z")
+    reach = spatial.sparse_reach(some, some, keys, tol, per, least)
+    if reach >= tol:
+        return spatial.pairs_within(apexes, tol, keys, "point", apart="arm", dz=dz)
+    some = checkpointed(some)
+    found = checkpointed(spatial.pairs_within(some, reach, keys, "point", apart="arm", dz=dz))
+    while reach < tol:
+        placed = checkpointed(components(some, found, keys))
+        sizes = placed.groupBy(*keys, "cluster").agg(F.count("*").alias("_n"))
+        largest = sizes.groupBy(*keys).agg(F.max_by("cluster", F.struct("_n", "cluster")).alias("cluster"))
+        rest = checkpointed(joined(placed, largest, [*keys, "cluster"], "left_anti"))
+        reach = min(tol, max(1.5 * reach, spatial.sparse_reach(rest, placed, keys, tol, per, least)))
+        apart = (F.col("arm") != F.col("r_arm")) & (F.abs(F.col("z") - F.col("r_z")) <= dz) & (F.col("cluster") != F.col("r_cluster"))
+        met = spatial.within(rest, placed, reach, keys, extra=apart, turned=True).select(*keys, F.col("cluster").alias("a"), F.col("r_cluster").alias("b")).distinct()
+        found = checkpointed(found.unionByName(met))
+    return found
+
+
 def fuse(apexes: DataFrame, keys: list[str], tol: float = 2.0, dz: float = 5.0) -> DataFrame:
     """(keys, cluster, x, y, z, votes, arms): single-linkage clusters of apexes of different arms.
 
     apexes: keys, point, arm, x, y, z. The highest member stands for a cluster (ties: the first), votes are
     its distinct arms. Apexes of one arm meet only through another arm's.
     """
-    edges = spatial.pairs_within(apexes, tol, keys, "point", apart="arm", dz=dz)
-    rows = components(apexes, edges, keys)
+    rows = components(apexes, links(apexes, keys, tol, dz), keys)
     top = F.max_by(F.struct("x", "y", "z"), F.struct("z", -F.col("point")))
     arms = F.array_sort(F.collect_set("arm"))
     out = rows.groupBy(*keys, "cluster").agg(top.alias("t"), arms.alias("a"))

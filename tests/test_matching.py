@@ -203,3 +203,20 @@ def test_bands_of_distance_take_what_all_candidates_do(spark):
     c = a.withColumn("tol", F.col("stem") % 4 + 0.5).unionByName(a.withColumns({"stem": F.col("stem") + 1000, "tol": F.lit(1.0)}))
     want = {tuple(r) for r in matching.greedy(spatial.candidates(c, b, ["cell"], "tol", most=4.0), ["cell"]).collect()}
     assert {tuple(r) for r in matching.nearest_first(c, b, ["cell"], "tol", most=4.0, least=0).collect()} == want
+
+
+def test_links_connect_as_all_pairs_do(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k % 2, k, "abc"[k % 3], float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.c_[rng.normal(0, 4, (900, 2)), rng.normal(12, 4, 900)])]
+    df = spark.createDataFrame(rows, "cell int, point int, arm string, x double, y double, z double").cache()
+    every, few = spatial.pairs_within(df, 2.0, ["cell"], "point", apart="arm", dz=5.0), clustering.links(df, ["cell"], 2.0, 5.0, per=12.0, least=0).cache()
+    of = lambda edges: {(r.point, r.cluster) for r in clustering.components(df, edges, ["cell"]).collect()}
+    assert of(few) == of(every) and few.count() < every.count() / 2
+
+
+def test_in_turn_over_points_takes_what_it_does_over_pairs(spark):
+    rng = np.random.default_rng(12)
+    place = lambda n: [(k % 2, k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(0, 3, (n, 2)).round(1))]
+    a, b = (spark.createDataFrame(place(n), f"cell int, {c} int, x double, y double").withColumn("z", F.lit(1.0)) for n, c in ((250, "stem"), (220, "det")))
+    want = {tuple(r) for r in matching.in_turn(spatial.candidates(a, b, ["cell"], 3.0, gate=False), ["cell"]).collect()}
+    assert {tuple(r) for r in matching.nearest_in_turn(a, b, ["cell"], 3.0, least=0).collect()} == want

@@ -22,6 +22,11 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
 
+def _by_plot(rows: DataFrame, keys: list[str]):
+    """rows by plot, for kernels of much work on few rows: tasks stay as many as shuffle partitions, however small these are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def surface(points: DataFrame, keys: list[str], res: float, top: str = "z", corner: tuple[float, float] | None = None) -> DataFrame:
     """(keys, row, col, value): highest point of each cell; rows count from the plot's greatest y down, or from a corner (x0, y1)."""
     if corner:
@@ -63,22 +68,29 @@ def local_maxima(points: DataFrame, keys: list[str], point: str, size, most: flo
     """Points from `floor` up without a higher one (of equal heights: an earlier one) within half their window.
 
     size: a Column of the window's width; most: its largest value. Nearly all points fall to the highest point of their
-    own or a neighbouring grid cell, of which there is one a cell; only what is left meets all points around it, and it is
-    that side which serves the neighbouring cells, so the cloud itself is moved once.
+    own or a neighbouring grid cell, of which there is one a cell: of cells of an eighth of the largest window first, which leave about
+    a point each however dense the cloud is, then of ones of its half and sixteenth. Only what is left meets all points around it, and it is
+    that side which serves the neighbouring cells, so the cloud itself is moved once for the first cells and once for the last step.
     """
     from .spatial import grid, served
 
     side = most / 2
     columns = points.columns
-    some = grid(points.where((F.col("z") >= floor) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("_h", size / 2), "x", "y", side)
+    some = points.where((F.col("z") >= floor) & F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("_h", size / 2)
     names = {k: f"_lk{i}" for i, k in enumerate(keys)}
-    narrow = some.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), (-F.col("z")).alias("_d"), F.col(point).alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     above = (F.col("_d") < -F.col("z")) | ((F.col("_d") == -F.col("z")) & (F.col("_p") < F.col(point)))
     near = squared(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= F.least(F.col("_h"), F.lit(side)) * F.least(F.col("_h"), F.lit(side))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
 
-    tops = narrow.groupBy(*names.values(), "_ox", "_oy").agg(F.min(F.struct("_d", "_p", "_x", "_y")).alias("t")).select(*names.values(), "_ox", "_oy", "t.*")
-    left = some.join(served(tops, "_ox", "_oy"), [*same, F.col("_gx") == F.col("_sx"), F.col("_gy") == F.col("_sy"), above & near], "left_anti")
+    def narrowed(width: float) -> DataFrame:
+        return grid(some, "x", "y", width).select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy"), (-F.col("z")).alias("_d"), F.col(point).alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+
+    left = some
+    for width in (side / 4, side, side / 8):
+        # the tops of cells of that width, of those that are left after the first ones
+        tops = grid(left, "x", "y", width).groupBy(*[F.col(k).alias(n) for k, n in names.items()], F.col("_gx").alias("_ox"), F.col("_gy").alias("_oy")).agg(F.min(F.struct((-F.col("z")).alias("_d"), F.col(point).alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y"))).alias("t")).select(*names.values(), "_ox", "_oy", "t.*")
+        left = grid(left, "x", "y", width).join(served(tops, "_ox", "_oy"), [*same, F.col("_gx") == F.col("_sx"), F.col("_gy") == F.col("_sy"), above & near], "left_anti").drop("_gx", "_gy")
+    left, narrow = grid(left, "x", "y", side), narrowed(side)
     left = left.groupBy(*columns, "_h", "_gx", "_gy").agg(F.count("*").cast("int").alias("_copies"))  # repeated rows stay as many
     around = served(left)
     met = around.join(narrow, [*same, F.col("_sx") == F.col("_ox"), F.col("_sy") == F.col("_oy"), above & near], "left")
@@ -292,7 +304,7 @@ def trees(points: DataFrame, keys: list[str], near: float = 1.5, far: float = 2.
         out = pd.DataFrame(a[grown_tops(a, near, far, tall, reach)], columns=["x", "y", "z"])
         return out.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, "x", "y", "z"]]
 
-    return rows.groupBy(*keys).applyInPandas(plot, f"{_kinds(rows, keys)}, x double, y double, z double")
+    return _by_plot(rows, keys).applyInPandas(plot, f"{_kinds(rows, keys)}, x double, y double, z double")
 
 
 def nearest_before(a: np.ndarray, some: np.ndarray, pool: np.ndarray, limit: np.ndarray) -> dict[int, list[int]]:
@@ -416,7 +428,7 @@ def mean_shift(points: DataFrame, keys: list[str], width: float = 0.4, depth: fl
         modes = pd.factorize(pd.Series([tuple(x) for x in np.round(m / 0.5).astype(int)]))[0]
         return p[[*keys, "x", "y", "z"]].assign(mode=modes.astype("int32"))
 
-    return rows.groupBy(*keys).applyInPandas(plot, f"{_kinds(rows, keys)}, x double, y double, z double, mode int")
+    return _by_plot(rows, keys).applyInPandas(plot, f"{_kinds(rows, keys)}, x double, y double, z double, mode int")
 
 
 def _shifted(a: np.ndarray, m: np.ndarray, width: float, depth: float, side: float = 0.5) -> np.ndarray:

@@ -49,3 +49,16 @@ def test_a_shift_meets_points_of_its_cylinder_alone():
         w = np.where((d <= 1) & (h <= 1), np.exp(-5 * d**2) * (1 - h), 0)
         want[k] = (a * w[:, None]).sum(0) / w.sum()
     assert np.allclose(rasters._shifted(a, a.copy(), 0.4, 0.8), want, atol=1e-12)
+
+
+def test_maxima_of_a_dense_cloud(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(k, float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.c_[rng.uniform(0, 9, (1500, 2)).round(1), rng.integers(1, 30, 1500)])]
+    half = lambda z: min(max(0.1 * z + 2, 2.0), 6.0) / 2
+    a = np.array(rows)
+    want = {k for k, x, y, z in rows if z >= 2 and not (((a[:, 3] > z) | ((a[:, 3] == z) & (a[:, 0] < k))) & ((a[:, 1] - x) ** 2 + (a[:, 2] - y) ** 2 <= half(z) ** 2)).any()}
+    df = spark.createDataFrame(rows, "point int, x double, y double, z double").withColumn("cell", F.lit(1))
+    size = F.least(F.greatest(F.col("z") * 0.1 + 2, F.lit(2.0)), F.lit(6.0))
+    assert {r.point for r in rasters.local_maxima(df, ["cell"], "point", size, 6.0).collect()} == want

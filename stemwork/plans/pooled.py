@@ -43,9 +43,7 @@ def pool_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled rates by site and detector, and over all sites, in one pass over the cells."""
-    cells = fixture(spark, sf_dir, "scored_cells")
-    both = cells.withColumn("scope", F.explode(F.array(F.col("site"), F.lit("ALL"))))
-    return pooling.pool(both, ["scope", "detector"])
+    return pooling.pool_with_all(fixture(spark, sf_dir, "scored_cells"), ["detector"])
 
 
 def guard_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:

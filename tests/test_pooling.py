@@ -96,3 +96,15 @@ def test_utm(spark):
     lon, lat = S.utm_to_wgs84(F.lit(500000.0), F.lit(4649776.22), F.lit(11))
     got = spark.range(1).select(lon.alias("lon"), lat.alias("lat"), S.utm_epsg(F.lit("11N")).alias("a"), S.utm_epsg(F.lit("55S")).alias("b"), S.utm_epsg(F.lit("x")).alias("c")).first()
     assert abs(got.lon + 117) < 1e-9 and abs(got.lat - 42) < 1e-5 and (got.a, got.b, got.c) == (32611, 32755, None)
+
+
+def test_cells_are_pooled_once_for_their_site_and_for_all(spark):
+    from pyspark.sql import functions as F
+
+    from stemwork.operators import pooling
+
+    cells = spark.createDataFrame([("a", "1", "x", "A", 4, 2, 3, 1), ("a", "1", "x", "A", 6, 3, 3, 2), ("a", "2", "x", "A", 5, 5, 5, 4), ("b", "1", "x", "A", 8, 1, 0, 0), (None, "1", "x", "B", 2, 1, 1, 1)], "site string, plot string, rung string, detector string, n_ref int, TP int, n_det int, tp_core int")
+    got = pooling.pool_with_all(cells, ["detector"])
+    want = pooling.pool(cells.withColumn("scope", F.explode(F.array("site", F.lit("ALL")))), ["scope", "detector"])
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {(r.scope, r.n_plots) for r in got.where("detector = 'A'").collect()} == {("a", 2), ("b", 1), ("ALL", 3)}

@@ -9,6 +9,8 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from stemwork.sources.scratch import checkpointed
+
 #: Folds that are fitted apart at most; plots beyond that share folds, so the driver's loop is bounded.
 MOST_FOLDS = 5
 
@@ -20,6 +22,7 @@ def learned(cells: DataFrame, features: list[str], keys: list[str], label: str =
     least `least` cells. Pruning differs from that of other tree packages. Plots that all meet in one fold are dealt
     again by other hashes; a single plot has no others to learn from, and its arm is NULL.
     """
+    cells = checkpointed(cells)  # every fit of every fold reads them again
     hashed, dealt = F.xxhash64(F.lit(seed), group), seed
     first, last = cells.agg(F.min(hashed), F.max(hashed)).first()
     if first == last:

@@ -127,41 +127,93 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 def optimal(pairs: DataFrame, keys: list[str], a: str = "stem", b: str = "det", cost: str = "dist") -> DataFrame:
     """Matching of most pairs and, among those, least total cost; staying single costs more than any pair.
 
-    A cell's connected groups of candidates are solved apart, so the matrices are as small as can be.
+    Being single is priced by connected groups of candidates, whose pairs alone are held: there is no matrix of a cell's points.
     """
     rows = pairs.select(*keys, a, b, cost)
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[a].unique(), part[b].unique()
-        li, ri = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-        na, nb, single = len(left), len(right), float(part[cost].max()) + 1
-        far = 4.0 * (na + nb + 1) * single
-        m = np.full((na + nb, na + nb), far)
-        m[na:, nb:] = 0
-        m[np.arange(na), nb + np.arange(na)] = m[na + np.arange(nb), np.arange(nb)] = single
-        at = {}
-        for k, (x, y, c) in enumerate(zip(part[a], part[b], part[cost], strict=True)):
-            m[li[x], ri[y]], at[li[x], ri[y]] = c, k
-        chosen = assignment(m)
-        return part.iloc[sorted(at[i, j] for i, j in enumerate(chosen[:na]) if (i, j) in at)]
-
     def kernel(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values([a, b])
-        parent: dict = {}
+        li, ri = pd.factorize(cell[a])[0], pd.factorize(cell[b])[0]
+        keep = _least_cost(li, ri, cell[cost].to_numpy(float))
+        return cell.iloc[keep]
 
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    return rows.groupBy(*keys).applyInPandas(kernel, _fields(rows, rows.columns))
 
-        for x, y in zip(cell[a], cell[b], strict=True):
-            parent[root(("a", x))] = root(("b", y))
-        groups = [root(("a", x)) for x in cell[a]]
-        codes = pd.factorize(pd.Series([str(g) for g in groups]))[0]
-        return pd.concat([solve(cell[codes == c]) for c in range(codes.max() + 1)])
 
-    return rows.groupBy(*keys).applyInPandas(kernel, _fields(rows, rows.columns))
+def _connected(li: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """The connected group of each pair of numbers, by labels that spread until nothing moves."""
+    group = np.arange(li.max() + 1)
+    while True:
+        right = np.full(ri.max() + 1, len(group))
+        np.minimum.at(right, ri, group[li])
+        after = group.copy()
+        np.minimum.at(after, li, right[ri])
+        after = after[after]
+        if (after == group).all():
+            return group[li]
+        group = after
+
+
+def _least_cost(li: np.ndarray, ri: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Positions of the pairs of a least-cost matching in which staying single costs 1 more than a connected group's dearest pair.
+
+    Lefts come in one after the other along shortest augmenting paths over the candidates alone: memory is in proportion to these.
+    """
+    if not len(li):
+        return np.empty(0, int)
+    group = _connected(li, ri)
+    single = np.full(int(group.max()) + 1, -np.inf)
+    np.maximum.at(single, group, cost)
+    gain = cost - 2 * (single[group] + 1)
+    order = np.argsort(li, kind="stable")
+    cols, c = ri[order], gain[order]
+    starts = np.searchsorted(li[order], np.arange(li.max() + 2))
+    n, m = len(starts) - 1, int(ri.max()) + 1
+    u, v, row_of, col_of = np.zeros(n), np.zeros(m), np.full(m, -1), np.full(n, -1)
+    at, best, way = np.full(n, -1), np.full(m, np.inf), np.full(m, -1)
+    open_, pair, closed = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+    for i in range(n):
+        lo, hi = starts[i], starts[i + 1]
+        u[i] = min(0.0, (c[lo:hi] - v[cols[lo:hi]]).min())
+        row, far, end, alone, done, touched = i, 0.0, np.inf, -1, [], []
+        while True:
+            lo, hi = starts[row], starts[row + 1]
+            here = cols[lo:hi]
+            to = far + (c[lo:hi] - u[row] - v[here])
+            better = np.flatnonzero((to < best[here]) & ~closed[here])
+            some = here[better]
+            best[some] = open_[some] = to[better]
+            way[some], pair[some] = row, lo + better
+            touched.append(some)
+            if far - u[row] < end:
+                end, alone = far - u[row], row
+            j = int(open_.argmin())
+            if end <= open_[j]:
+                far, last = end, -1
+                break
+            far, last = float(open_[j]), j
+            if row_of[j] < 0:
+                break
+            open_[j], closed[j] = np.inf, True
+            done.append(j)
+            row = int(row_of[j])
+        if done:
+            k = np.array(done)
+            closed[k] = False
+            step = np.maximum(far - best[k], 0.0)
+            v[k] -= step
+            u[row_of[k]] += step
+        u[i] += far
+        if last < 0:  # a left stays single, and what it had goes to those before it
+            last, col_of[alone], at[alone] = (int(col_of[alone]) if alone != i else -1), -1, -1
+        while last >= 0:
+            row, entry = int(way[last]), int(pair[last])
+            free = int(col_of[row]) if row != i else -1
+            row_of[last], col_of[row], at[row] = row, last, entry
+            last = free
+        for some in touched:
+            best[some] = open_[some] = np.inf
+    return np.sort(order[at[at >= 0]])
 
 
 def soft_candidates(stems: DataFrame, dets: DataFrame, keys: list[str], tol: float = 4.0, weight: float = 0.5) -> DataFrame:

@@ -220,3 +220,25 @@ def test_in_turn_over_points_takes_what_it_does_over_pairs(spark):
     a, b = (spark.createDataFrame(place(n), f"cell int, {c} int, x double, y double").withColumn("z", F.lit(1.0)) for n, c in ((250, "stem"), (220, "det")))
     want = {tuple(r) for r in matching.in_turn(spatial.candidates(a, b, ["cell"], 3.0, gate=False), ["cell"]).collect()}
     assert {tuple(r) for r in matching.nearest_in_turn(a, b, ["cell"], 3.0, least=0).collect()} == want
+
+
+def test_least_cost_over_candidates_alone():
+    rng = np.random.default_rng(2)
+    for n, m, sd in ((60, 50, 3.0), (50, 60, 9.0)):
+        a, b = rng.normal(0, sd, (n, 2)), rng.normal(0, sd, (m, 2))
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+        left, right = np.nonzero(d <= 3)
+        li, ri = np.unique(left, return_inverse=True)[1], np.unique(right, return_inverse=True)[1]
+        got = matching._least_cost(li, ri, d[left, right]).tolist()
+        want, group = [], matching._connected(li, ri)
+        for k in np.unique(group):
+            mine = np.flatnonzero(group == k)
+            l, r = (np.unique(x[mine], return_inverse=True)[1] for x in (li, ri))
+            na, nb, c = l.max() + 1, r.max() + 1, d[left, right][mine]
+            cost = np.full((na + nb, na + nb), 1e6)
+            cost[na:, nb:] = 0
+            cost[np.arange(na), nb + np.arange(na)] = cost[na + np.arange(nb), np.arange(nb)] = c.max() + 1
+            cost[l, r] = c
+            chosen = matching.assignment(cost)
+            want += [int(e) for e, x, y in zip(mine, l, r, strict=True) if chosen[x] == y]
+        assert got == sorted(want)

@@ -67,20 +67,21 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     top = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "rid")).alias("w")
     same = F.when((F.min("sha1") == F.max("sha1")) & (F.min("n") == F.max("n")), F.col("w_key")).otherwise(F.raise_error(F.concat(F.lit("two payloads under one digest: "), F.col("w_key"))))
     winners = heads.withColumnRenamed("key", "w_key").groupBy("w_key").agg(top, same.alias("checked")).select(F.col("checked").alias("w_key"), F.col("w.page_id").alias("w_id"), F.col("w.rid").alias("w_rid"))
-    payloads = rows.join(winners, (F.col("key") == F.col("w_key")) & F.col("page_id").eqNullSafe(F.col("w_id")), "left_semi").dropDuplicates(["key"])
-    payloads.select("key", "payload").write.parquet(f"{path}/payloads")
+    # any of equal payloads will do, so payloads move once: each task sends one of its copies
+    rows.select("key", "payload").dropDuplicates(["key"]).write.parquet(f"{path}/payloads")
     kind = F.when((F.col("n") >= min_bytes) & (F.col("rid") != F.col("w_rid")), F.lit("revisit")).otherwise(F.lit("response"))
     records = heads.join(winners, F.col("key") == F.col("w_key"))
     records.select("rid", F.encode(_header(kind), "UTF-8").alias("header"), "key").write.parquet(f"{path}/records")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """rid, header (exact bytes), key, payload (of the content, for revisits too), record (the record's bytes).
+    """rid, header (exact bytes), key, payload (of the content, for revisits too), payload_bytes, record (the record's bytes).
 
-    Fails where stored bytes don't have the digest they are stored under.
+    Fails where stored bytes don't have the digest they are stored under. Digest and length are taken of the stored bytes
+    before the join, so that payloads move only where they or the records are asked for.
     """
     found = F.when(F.sha2("payload", 256) == F.col("p_key"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("p_key"))))
-    payloads = spark.read.parquet(f"{path}/payloads").withColumnRenamed("key", "p_key").select("p_key", found.alias("payload"))
+    payloads = spark.read.parquet(f"{path}/payloads").withColumnRenamed("key", "p_key").select("p_key", found.alias("payload"), F.length(found).cast("long").alias("payload_bytes"))
     joined = spark.read.parquet(f"{path}/records").join(payloads, F.col("key") == F.col("p_key")).drop("p_key")
     ends = F.encode(F.lit("\r\n\r\n"), "UTF-8")
     revisit = field("WARC-Type") == "revisit"
@@ -98,7 +99,7 @@ def fields(archive: DataFrame) -> DataFrame:
     return archive.select(
         number(field("WARC-Record-ID")).alias("page_id"),
         field("WARC-Target-URI").alias("url"),
-        F.length("payload").cast("long").alias("payload_bytes"),
+        "payload_bytes",
         F.regexp_extract(field("WARC-Payload-Digest"), r"^sha1:(\w+)$", 1).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         number(field("WARC-Refers-To")).alias("refers_to"),

@@ -56,6 +56,31 @@ def test_damaged_payload_is_noticed(spark):
         warc.read_archive(spark, f"{path}-x").collect()
 
 
+def shuffled(spark):
+    """Bytes that all stages of the session have written to the shuffle."""
+    sc, spark_jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(spark_jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_payloads_are_shuffled_once(spark):
+    draw = random.Random(5)
+    rows = [(k, "u", draw.randbytes(5_000).hex()) for k in range(200)]
+    rows += [(1000 + k, "u", rows[k][2]) for k in range(20)]
+    raw = pages(spark, rows).repartition(4).cache()
+    assert raw.count() == len(rows)
+    before, stored = shuffled(spark), sum(len(r[2]) for r in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        got = warc.fields(warc.archived(raw)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.record_type == "revisit" for r in got) == 20 and {r.payload_bytes for r in got} == {10_000}
+    assert stored / 2 < shuffled(spark) - before < 1.5 * stored
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div class="cookie-notice"><p>We use cookies to improve things, do you accept?</p></div>
 <nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>A title &amp; more</h1><p><b>First   paragraph,
 with some text in it, caf&eacute;.<br><p>Second one, which is long enough to be prose, and goes on.</p><script>var t="</p>";</script><div class="ad">Buy now</div><p>Third &#x27;quoted&#x27; one, with an <a href=x>inner link</a> and more words.</article>

@@ -7,6 +7,7 @@ makes the candidates of dense cells in bands of distance, so that they grow with
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -69,22 +70,110 @@ def nearest_first(
 
     The rule takes the nearest pairs first, so what it takes among pairs within a radius is final, and stems and
     detections that are taken need no farther candidates. Each band is as wide as leaves about `per` candidates a
-    row; where all candidates are that few, or `least`, there is one band. method: greedy or greedy_rounds.
+    row; where all candidates are that few, or `least`, there is one band. Where most points lie on others, candidates
+    are places of equal points (see _greedy_places). method: greedy or greedy_rounds.
     """
     side = spatial.widest(tol, most)
     reach = spatial.sparse_reach(stems, dets, keys, side, per, least)
     if reach >= side:
         return method(spatial.candidates(stems, dets, keys, tol, up, most, gate), keys)
-    more = {c for c in (tol, up) if isinstance(c, str)} - set(keys)
-    left, right, taken = checkpointed(stems.select(*keys, "stem", "x", "y", "z", *sorted(more))), checkpointed(dets.select(*keys, "det", "x", "y", "z")), None
+    more = sorted({c for c in (tol, up) if isinstance(c, str)} - set(keys))
+    fold, taken = method is greedy and stems.schema["stem"].dataType == dets.schema["det"].dataType, None
+    left, right = (checkpointed(_placed(df, keys, c, cols) if fold else df.select(*keys, c, "x", "y", "z", *cols)) for df, c, cols in ((stems, "stem", more), (dets, "det", [])))
+    if fold:
+        rows, places = left.select("_place").unionByName(right.select((-1 - F.col("_place")).alias("_place"))).agg(F.count("*"), F.count_distinct("_place")).first()
+        fold = 2 * places <= rows
+    ends = (lambda: (_places(left, "stem"), _places(right, "det"))) if fold else (lambda: (left, right))
+    if fold:
+        reach = spatial.sparse_reach(*ends(), keys, side, per, least)
     while True:
         last = reach >= side
-        won = checkpointed(method(spatial.candidates(left, right, keys, tol, up, most, gate, None if last else reach), keys))
+        pairs = spatial.candidates(*ends(), keys, tol, up, most, gate, None if last else reach)
+        won = checkpointed(_greedy_places(pairs, left, right, keys) if fold else method(pairs, keys))
         taken = won if taken is None else taken.unionByName(won)
         if last:
             return taken
         left, right = (checkpointed(joined(df, won.select(*keys, c), [*keys, c], "left_anti")) for df, c in ((left, "stem"), (right, "det")))
-        reach = min(side, max(1.5 * reach, spatial.sparse_reach(left, right, keys, side, per, least)))
+        reach = min(side, max(1.5 * reach, spatial.sparse_reach(*ends(), keys, side, per, least)))
+
+
+def _placed(df: DataFrame, keys: list[str], item: str, more: list[str]) -> DataFrame:
+    """Rows with _place, a number that those with equal keys, position, height and tolerances share."""
+    rows = df.select(*keys, item, "x", "y", "z", *more).withColumn("_row", F.monotonically_increasing_id())
+    return rows.withColumn("_place", F.min("_row").over(W.partitionBy(*keys, "x", "y", "z", *more))).drop("_row")
+
+
+def _places(df: DataFrame, item: str) -> DataFrame:
+    """One row a place, with its number as its name."""
+    return df.drop(item).dropDuplicates(["_place"]).withColumnRenamed("_place", item)
+
+
+def _greedy_places(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """What greedy() takes of the candidates that pairs of places stand for.
+
+    pairs: keys, stem, det (places), dist. All points of a place are as far from another's, so a task needs a cell's points and
+    pairs of places: at each distance stems in their order take the first detection that is free in the places they reach.
+    """
+    own = [f"_m{i}" for i in range(len(keys))]
+    side = lambda df, item, is_left: df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_place", F.col(item).alias("_id"), F.lit(is_left).alias("_left"))
+    points = side(left, "stem", True).unionByName(side(right, "det", False))
+
+    def kernel(cell: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("dist", kind="stable")
+        found = _taken_in_places(cell["stem"].to_numpy(), cell["det"].to_numpy(), cell["dist"].to_numpy(), *(_names_of(members[members._left == k]) for k in (True, False)))
+        stem, det, dist = zip(*found, strict=True) if found else ((), (), ())
+        return cell[keys].iloc[np.zeros(len(found), int)].reset_index(drop=True).assign(stem=list(stem), det=list(det), dist=list(dist))
+
+    kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join([*(kind(pairs, k) for k in keys), kind(left, "stem"), kind(right, "det"), "dist double"])
+    return pairs.groupBy(*keys).cogroup(points.groupBy(*own)).applyInPandas(kernel, schema)
+
+
+def _names_of(members: pd.DataFrame) -> dict[int, list]:
+    """The points of each place, the last first."""
+    members = members.sort_values("_id", ascending=False, kind="stable")
+    return {place: names.tolist() for place, names in members.groupby("_place")["_id"]}
+
+
+def _taken_in_places(a: np.ndarray, b: np.ndarray, dist: np.ndarray, stems: dict[int, list], dets: dict[int, list]) -> list[tuple]:
+    """(stem, det, dist) taken of pairs of places in the order of their distance; stems and dets: points of places, the last first."""
+    out, left, right = [], set(), set()
+
+    def first(names: list, used: set) -> list:
+        while names and names[-1] in used:
+            names.pop()
+        return names
+
+    starts = np.flatnonzero(np.r_[True, dist[1:] != dist[:-1]]) if len(dist) else []
+    for lo, hi in zip(starts, [*starts[1:], len(dist)], strict=True):
+        reached: dict[int, list[list]] = {}
+        for s, d in zip(a[lo:hi].tolist(), b[lo:hi].tolist(), strict=True):
+            if first(stems[s], left) and first(dets[d], right):
+                reached.setdefault(s, []).append(dets[d])
+        # a heap of the first free stem of each place
+        heads = [(stems[s][-1], s) for s in reached]
+        heapq.heapify(heads)
+        kept: dict[int, list] = {}
+        while heads:
+            stem, s = heapq.heappop(heads)
+            at = {s}
+            while heads and heads[0][0] == stem:
+                at.add(heapq.heappop(heads)[1])
+            options = [names for k in at for names in reached[k] if first(names, right)]
+            if options and stem not in left:
+                det = min(names[-1] for names in options)
+                out.append((stem, det, float(dist[lo])))
+                left.add(stem)
+                right.add(det)
+            for k in at:
+                name = stems[k].pop()
+                if name not in left:
+                    kept.setdefault(k, []).append(name)
+                if stems[k] and any(first(names, right) for names in reached[k]):
+                    heapq.heappush(heads, (stems[k][-1], k))
+        for k, names in kept.items():
+            stems[k].extend(reversed(names))
+    return out
 
 
 def iou_match(overlaps: DataFrame, keys: list[str], gate: float = 0.5) -> DataFrame:

@@ -205,6 +205,28 @@ def test_bands_of_distance_take_what_all_candidates_do(spark):
     assert {tuple(r) for r in matching.nearest_first(c, b, ["cell"], "tol", most=4.0, least=0).collect()} == want
 
 
+def test_points_on_each_other_meet_as_places(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    spots = np.round(rng.uniform(0, 6, (2, 12, 2)))  # whole metres: many distances are equal
+    high = rng.choice([8.0, 12.0, 19.0], (2, 12))
+    draw = lambda side, n: [(None if s % 3 == 0 else s % 3, k, *map(float, spots[side, s]), float(high[side, s])) for k, s in enumerate(rng.integers(0, 12, n).tolist())]
+    a, b = (spark.createDataFrame(draw(k, n), f"cell int, {c} int, x double, y double, z double").cache() for k, n, c in ((0, 600, "stem"), (1, 500, "det")))
+    c = a.withColumns({"tol": F.col("stem") % 4 + 0.5})
+    whole, met = spatial.candidates, []
+    want = [{tuple(r) for r in matching.greedy(whole(s, b, ["cell"], t, most=4.0), ["cell"]).collect()} for s, t in ((a, 4.0), (c, "tol"))]
+
+    def counted(*args, **more):
+        pairs = whole(*args, **more)
+        met.append(pairs.count())
+        return pairs
+
+    every = whole(a, b, ["cell"], 4.0).count()
+    monkeypatch.setattr(spatial, "candidates", counted)
+    assert {tuple(r) for r in matching.nearest_first(a, b, ["cell"], least=0).collect()} == want[0]
+    assert 0 < sum(met) < every / 20 and any(r[0] is None for r in want[0])
+    assert {tuple(r) for r in matching.nearest_first(c, b, ["cell"], "tol", most=4.0, least=0).collect()} == want[1]
+
+
 def test_links_connect_as_all_pairs_do(spark):
     rng = np.random.default_rng(11)
     rows = [(k % 2, k, "abc"[k % 3], float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.c_[rng.normal(0, 4, (900, 2)), rng.normal(12, 4, 900)])]

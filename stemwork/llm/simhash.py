@@ -14,7 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPACE, checkpointed
+from .common import SPACE, checkpointed, likely
 
 BITS, LANE, HEAVIEST = 128, 21, 16
 CHUNK = (1 << LANE) // HEAVIEST - 1
@@ -77,12 +77,13 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bl
     """q_hi, q_lo, hi, lo, n, distance: for each distinct fingerprint of queries, those of index within radius.
 
     Both need columns hi and lo; n is the number of rows of index with the fingerprint. Equal fingerprints
-    meet once for all their rows.
+    meet once for all their rows. Few keys of the index are asked for, so most of the others go before keys are shuffled.
     """
     have = index.groupBy("hi", "lo").agg(F.count("*").alias("n"))
     want = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct()
     tables = have.select("hi", "lo", "n", F.explode(block_keys(F.col("hi"), F.col("lo"), radius, blocks)).alias("key"))
     asked = want.select("q_hi", "q_lo", F.explode(block_keys(F.col("q_hi"), F.col("q_lo"), radius, blocks)).alias("q_key"))
+    tables = likely(tables, asked.select(F.col("q_key").alias("key")), "key")
     met = tables.join(asked, F.col("key") == F.col("q_key")).withColumn("distance", distance("q_", ""))
     return met.where(F.col("distance") <= radius).select("q_hi", "q_lo", "hi", "lo", "n", "distance").distinct()
 
@@ -164,11 +165,13 @@ def edit_resistance(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     w = W.partitionBy("b").orderBy("o")
     wide = wide.withColumns({"n_hi": F.lead("hi").over(w), "n_lo": F.lead("lo").over(w)}).where("not extra")
     wide = checkpointed(wide.select("doc_id", "n_chars", "sha", "hi", "lo", "e_hi", "e_lo", "n_hi", "n_lo"))
-    asked = wide.where("doc_id % 100 = 0").select("hi", "lo")
-    near = within_radius(asked, wide, radius).groupBy("q_hi", "q_lo").agg(F.sum("n").alias("near"))
-    out = wide.join(near, (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo")), "left")
+    query = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    asked = wide.where(query)
+    near = within_radius(asked, wide, radius).groupBy("q_hi", "q_lo").agg(F.sum("n").alias("n_within"))
+    found = asked.join(near, (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo")), "left").drop("q_hi", "q_lo")
+    out = found.unionByName(wide.where(~query).withColumn("n_within", F.lit(None).cast("long")))
     text = lambda p: F.concat(*[F.lpad(F.lower(F.hex(f"{p}{x}")), 16, "0") for x in ("hi", "lo")])
     return out.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text("").alias("fingerprint"), text("e_").alias("edited_fingerprint"),
-        likeness("", "e_").alias("near_edited"), likeness("", "n_").alias("near_next"), F.when(F.col("doc_id") % 100 == 0, F.col("near")).alias("n_within"),
+        likeness("", "e_").alias("near_edited"), likeness("", "n_").alias("near_next"), "n_within",
     )

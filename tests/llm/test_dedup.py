@@ -231,6 +231,31 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(*split(a), *split(b)) for a in base for b in near if (a ^ b).bit_count() <= simhash.RADIUS}
 
 
+def shuffled(spark):
+    """Bytes that all stages of the session have written to the shuffle."""
+    sc, spark_jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(spark_jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_keys_that_are_not_asked_for_are_not_shuffled(spark):
+    rnd = random.Random(6)
+    n, word = 20_000, lambda: rnd.getrandbits(64) - (1 << 63)
+    idx = spark.createDataFrame([(word(), word()) for _ in range(n)], "hi long, lo long").cache()
+    few = idx.limit(100).cache()
+    assert idx.count() == n and few.count() == 100
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        got = simhash.within_radius(few, idx).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.distance == 0 for r in got) == 100
+    assert shuffled(spark) - before < 100 * n  # 28 keys of each would be several times as much
+
+
 def test_forest_finds_neighbours_across_ranges(spark):
     """All pairs next to each other in an order come out, wherever its ranges end."""
     rnd = random.Random(9)

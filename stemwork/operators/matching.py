@@ -70,8 +70,9 @@ def nearest_first(
 
     The rule takes the nearest pairs first, so what it takes among pairs within a radius is final, and stems and
     detections that are taken need no farther candidates. Each band is as wide as leaves about `per` candidates a
-    row; where all candidates are that few, or `least`, there is one band. Where most points lie on others, candidates
-    are places of equal points (see _greedy_places). method: greedy or greedy_rounds.
+    row; where all candidates are that few, or `least`, there is one band. Where a point shares its place with one other
+    or more on average, if only because a few places hold many, candidates are places of equal points (see _greedy_places),
+    so equal points never make more pairs than there are rows. method: greedy or greedy_rounds.
     """
     side = spatial.widest(tol, most)
     reach = spatial.sparse_reach(stems, dets, keys, side, per, least)
@@ -81,8 +82,9 @@ def nearest_first(
     fold, taken = method is greedy and stems.schema["stem"].dataType == dets.schema["det"].dataType, None
     left, right = (checkpointed(_placed(df, keys, c, cols) if fold else df.select(*keys, c, "x", "y", "z", *cols)) for df, c, cols in ((stems, "stem", more), (dets, "det", [])))
     if fold:
-        rows, places = left.select("_place").unionByName(right.select((-1 - F.col("_place")).alias("_place"))).agg(F.count("*"), F.count_distinct("_place")).first()
-        fold = 2 * places <= rows
+        sizes = left.select("_place").unionByName(right.select((-1 - F.col("_place")).alias("_place"))).groupBy("_place").agg(F.count("*").cast("double").alias("_n"))
+        rows, met = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0.0)), F.coalesce(F.sum(F.col("_n") * F.col("_n")), F.lit(0.0))).first()
+        fold = met >= 2 * rows
     ends = (lambda: (_places(left, "stem"), _places(right, "det"))) if fold else (lambda: (left, right))
     if fold:
         reach = spatial.sparse_reach(*ends(), keys, side, per, least)

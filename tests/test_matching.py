@@ -227,6 +227,25 @@ def test_points_on_each_other_meet_as_places(spark, monkeypatch):
     assert {tuple(r) for r in matching.nearest_first(c, b, ["cell"], "tol", most=4.0, least=0).collect()} == want[1]
 
 
+def test_few_crowded_places_among_points_apart_meet_as_places(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    own = lambda n: rng.uniform(-20, 20, (n, 2)).tolist()
+    crowd = lambda n: [[float(k % 3), 1.0] for k in range(n)]
+    rows = lambda n, m: [(0, k, x, y, 10.0) for k, (x, y) in enumerate(own(n) + crowd(m))]
+    a, b = (spark.createDataFrame(rows(300, m), f"cell int, {c} int, x double, y double, z double").cache() for m, c in ((120, "stem"), (90, "det")))
+    whole, met = spatial.candidates, []
+    want = {tuple(r) for r in matching.greedy(whole(a, b, ["cell"], 4.0), ["cell"]).collect()}
+
+    def counted(*args, **more):
+        pairs = whole(*args, **more)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "candidates", counted)
+    assert {tuple(r) for r in matching.nearest_first(a, b, ["cell"], least=0).collect()} == want
+    assert 0 < met[0] < 120 * 90 / 3  # pairs of points on one place
+
+
 def test_links_connect_as_all_pairs_do(spark):
     rng = np.random.default_rng(11)
     rows = [(k % 2, k, "abc"[k % 3], float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.c_[rng.normal(0, 4, (900, 2)), rng.normal(12, 4, 900)])]

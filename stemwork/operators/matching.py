@@ -7,7 +7,10 @@ makes the candidates of dense cells in bands of distance, so that they grow with
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -71,11 +74,11 @@ def nearest_first(
     The rule takes the nearest pairs first, so what it takes among pairs within a radius is final, and stems and
     detections that are taken need no farther candidates. Each band is as wide as leaves about `per` candidates a
     row; where all candidates are that few, or `least`, there is one band. Where a point shares its place with one other
-    or more on average, if only because a few places hold many, candidates are places of equal points (see _greedy_places),
-    so equal points never make more pairs than there are rows. method: greedy or greedy_rounds.
+    or more on average, if only because a few places hold many, candidates are places (see _greedy_places), whatever the
+    heights there, so points of one position never make more pairs than there are rows. method: greedy or greedy_rounds.
     """
     side = spatial.widest(tol, most)
-    reach = spatial.sparse_reach(stems, dets, keys, side, per, least)
+    reach, done = spatial.sparse_reach(stems, dets, keys, side, per, least, True), -1.0
     if reach >= side:
         return method(spatial.candidates(stems, dets, keys, tol, up, most, gate), keys)
     more = sorted({c for c in (tol, up) if isinstance(c, str)} - set(keys))
@@ -87,94 +90,155 @@ def nearest_first(
         fold = met >= 2 * rows
     ends = (lambda: (_places(left, "stem"), _places(right, "det"))) if fold else (lambda: (left, right))
     if fold:
-        reach = spatial.sparse_reach(*ends(), keys, side, per, least)
+        reach = spatial.sparse_reach(*ends(), keys, side, per, least, True)
     while True:
         last = reach >= side
-        pairs = spatial.candidates(*ends(), keys, tol, up, most, gate, None if last else reach)
-        won = checkpointed(_greedy_places(pairs, left, right, keys) if fold else method(pairs, keys))
+        pairs = spatial.candidates(*ends(), keys, tol, up, most, gate and not fold, None if last else reach).where(F.col("dist") > done)
+        won = checkpointed(_greedy_places(pairs, left, right, keys, up, gate) if fold else method(pairs, keys))
         taken = won if taken is None else taken.unionByName(won)
         if last:
             return taken
         left, right = (checkpointed(joined(df, won.select(*keys, c), [*keys, c], "left_anti")) for df, c in ((left, "stem"), (right, "det")))
-        reach = min(side, max(1.5 * reach, spatial.sparse_reach(*ends(), keys, side, per, least)))
+        done = reach  # what is left of pairs as near as that is of heights that the gate keeps apart
+        reach = min(side, max(1.5 * reach, spatial.sparse_reach(*ends(), keys, side, per, least, True, reach)))
 
 
 def _placed(df: DataFrame, keys: list[str], item: str, more: list[str]) -> DataFrame:
-    """Rows with _place, a number that those with equal keys, position, height and tolerances share."""
+    """Rows with _place, a number that those with equal keys, position and tolerances share, with heights or all without."""
     rows = df.select(*keys, item, "x", "y", "z", *more).withColumn("_row", F.monotonically_increasing_id())
-    return rows.withColumn("_place", F.min("_row").over(W.partitionBy(*keys, "x", "y", "z", *more))).drop("_row")
+    return rows.withColumn("_place", F.min("_row").over(W.partitionBy(*keys, "x", "y", F.col("z").isNull(), *more))).drop("_row")
 
 
 def _places(df: DataFrame, item: str) -> DataFrame:
     """One row a place, with its number as its name."""
-    return df.drop(item).dropDuplicates(["_place"]).withColumnRenamed("_place", item)
+    return df.drop(item, "z").dropDuplicates(["_place"]).withColumnRenamed("_place", item)
 
 
-def _greedy_places(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _greedy_places(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], up: float | str, gate: bool) -> DataFrame:
     """What greedy() takes of the candidates that pairs of places stand for.
 
-    pairs: keys, stem, det (places), dist. All points of a place are as far from another's, so a task needs a cell's points and
-    pairs of places: at each distance stems in their order take the first detection that is free in the places they reach.
+    pairs: keys, stem, det (places), dist, whatever their heights. All points of a place are as far from another's, so a task needs
+    a cell's points and pairs of places: at each distance stems in their order take the first detection that is free in the places
+    they reach and has a height that they allow.
     """
     own = [f"_m{i}" for i in range(len(keys))]
-    side = lambda df, item, is_left: df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_place", F.col(item).alias("_id"), F.lit(is_left).alias("_left"))
-    points = side(left, "stem", True).unionByName(side(right, "det", False))
+    z, top = F.col("z"), F.when(F.col(up).isNotNull(), F.col("z") + F.col(up)).otherwise(-math.inf) if isinstance(up, str) else F.col("z") + up
+    side = lambda df, item, low, high: df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_place", F.col(item).alias("_id"), low.cast("double").alias("_low"), high.cast("double").alias("_high"), (z.isNull() | F.lit(not gate)).alias("_any"), F.lit(item == "stem").alias("_left"))
+    points = side(left, "stem", 0.5 * z, top).unionByName(side(right, "det", z, z))
 
     def kernel(cell: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("dist", kind="stable")
-        found = _taken_in_places(cell["stem"].to_numpy(), cell["det"].to_numpy(), cell["dist"].to_numpy(), *(_names_of(members[members._left == k]) for k in (True, False)))
+        members = members[members["_place"].isin(cell["stem"]) & members["_left"] | members["_place"].isin(cell["det"]) & ~members["_left"]]
+        codes, names = pd.factorize(members["_id"].to_numpy(), sort=True, use_na_sentinel=False)
+        found = _taken_in_places(cell["stem"].to_numpy(), cell["det"].to_numpy(), cell["dist"].to_numpy(), *_sides(members.assign(_id=codes)))
         stem, det, dist = zip(*found, strict=True) if found else ((), (), ())
-        return cell[keys].iloc[np.zeros(len(found), int)].reset_index(drop=True).assign(stem=list(stem), det=list(det), dist=list(dist))
+        return cell[keys].iloc[np.zeros(len(found), int)].reset_index(drop=True).assign(stem=names[np.array(stem, int)], det=names[np.array(det, int)], dist=list(dist))
 
     kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
     schema = ", ".join([*(kind(pairs, k) for k in keys), kind(left, "stem"), kind(right, "det"), "dist double"])
     return pairs.groupBy(*keys).cogroup(points.groupBy(*own)).applyInPandas(kernel, schema)
 
 
-def _names_of(members: pd.DataFrame) -> dict[int, list]:
-    """The points of each place, the last first."""
-    members = members.sort_values("_id", ascending=False, kind="stable")
-    return {place: names.tolist() for place, names in members.groupby("_place")["_id"]}
+class _Place:
+    """Points of one place in the order of their heights, with the first name that is free in any run of them.
 
+    low, high: places of a stem's bounds among the heights of all detections, or of a detection's height, twice. Neither falls.
+    """
+
+    __slots__ = ("high", "low", "names", "tree")
 
-def _taken_in_places(a: np.ndarray, b: np.ndarray, dist: np.ndarray, stems: dict[int, list], dets: dict[int, list]) -> list[tuple]:
-    """(stem, det, dist) taken of pairs of places in the order of their distance; stems and dets: points of places, the last first."""
+    def __init__(self, low: list[int], high: list[int], names: list[int]):
+        n = len(names)
+        self.low, self.high, self.names = low, high, names
+        self.tree = [math.inf] * n + [name * n + k for k, name in enumerate(names)]  # the least of each two below
+        for k in range(n - 1, 0, -1):
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def first(self, start: int, end: int, used: set[int]) -> int | None:
+        """The least name from start to before end; those of used leave."""
+        tree, n = self.tree, len(self.names)
+        while True:
+            i, j, best = start + n, end + n, math.inf
+            while i < j:
+                if i & 1:
+                    best, i = min(best, tree[i]), i + 1
+                if j & 1:
+                    j -= 1
+                    best = min(best, tree[j])
+                i, j = i // 2, j // 2
+            if best == math.inf or best // n not in used:
+                return None if best == math.inf else best // n
+            k = best % n + n
+            tree[k] = math.inf
+            while k > 1:
+                k //= 2
+                tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def any(self, used: set[int]) -> int | None:
+        return self.first(0, len(self.names), used)
+
+    def allowed(self, low: int, high: int, used: set[int]) -> int | None:
+        """The first detection that is free and of a height from low to before high."""
+        return self.first(bisect.bisect_left(self.low, low), bisect.bisect_left(self.low, high), used)
+
+    def allowing(self, height: int, used: set[int]) -> int | None:
+        """The first stem that is free and allows the height."""
+        return self.first(bisect.bisect_right(self.high, height), bisect.bisect_right(self.low, height), used)
+
+
+def _sides(members: pd.DataFrame) -> tuple[dict[int, _Place], dict[int, _Place]]:
+    """The places of stems and of detections. Points without a height are last: only stems that allow any reach them."""
+    stems, dets = (members[members["_left"] == k] for k in (True, False))
+    levels = np.unique(dets["_low"].to_numpy()[~dets["_any"].to_numpy()])
+    at = lambda df, c, side, other: np.where(df["_any"], other, np.searchsorted(levels, df[c].to_numpy(), side))
+    stems = stems.assign(_low=at(stems, "_low", "left", 0), _high=at(stems, "_high", "right", len(levels) + 1))
+    dets = dets.assign(_low=at(dets, "_low", "left", len(levels)), _high=at(dets, "_low", "left", len(levels)))
+    return tuple(_by_place(df.sort_values(["_place", "_low", "_high"], kind="stable")) for df in (stems, dets))
+
+
+def _by_place(df: pd.DataFrame) -> dict[int, _Place]:
+    place, low, high, names = (df[c].to_numpy() for c in ("_place", "_low", "_high", "_id"))
+    return {int(place[i]): _Place(low[i:j].tolist(), high[i:j].tolist(), names[i:j].tolist()) for i, j in _runs(place)}
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    ends = [*(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else []
+    return list(zip([0, *ends[:-1]], ends)) if ends else []
+
+
+def _taken_in_places(a: np.ndarray, b: np.ndarray, dist: np.ndarray, stems: dict[int, _Place], dets: dict[int, _Place]) -> list[tuple[int, int, float]]:
+    """(stem, det, dist) taken of pairs of places in the order of their distance."""
     out, left, right = [], set(), set()
+    waiting: dict[int, list[tuple[int, int, int]]] = {}
 
-    def first(names: list, used: set) -> list:
-        while names and names[-1] in used:
-            names.pop()
-        return names
+    def take(stem: int, det: int, d: float) -> None:
+        out.append((stem, det, d))
+        left.add(stem)
+        right.add(det)
 
-    starts = np.flatnonzero(np.r_[True, dist[1:] != dist[:-1]]) if len(dist) else []
-    for lo, hi in zip(starts, [*starts[1:], len(dist)], strict=True):
-        reached: dict[int, list[list]] = {}
+    for lo, hi in _runs(dist):
+        reached: dict[int, list[_Place]] = {}
         for s, d in zip(a[lo:hi].tolist(), b[lo:hi].tolist(), strict=True):
-            if first(stems[s], left) and first(dets[d], right):
+            if stems[s].any(left) is not None and dets[d].any(right) is not None:
                 reached.setdefault(s, []).append(dets[d])
-        # a heap of the first free stem of each place
-        heads = [(stems[s][-1], s) for s in reached]
-        heapq.heapify(heads)
-        kept: dict[int, list] = {}
-        while heads:
-            stem, s = heapq.heappop(heads)
-            at = {s}
-            while heads and heads[0][0] == stem:
-                at.add(heapq.heappop(heads)[1])
-            options = [names for k in at for names in reached[k] if first(names, right)]
-            if options and stem not in left:
-                det = min(names[-1] for names in options)
-                out.append((stem, det, float(dist[lo])))
-                left.add(stem)
-                right.add(det)
-            for k in at:
-                name = stems[k].pop()
-                if name not in left:
-                    kept.setdefault(k, []).append(name)
-                if stems[k] and any(first(names, right) for names in reached[k]):
-                    heapq.heappush(heads, (stems[k][-1], k))
-        for k, names in kept.items():
-            stems[k].extend(reversed(names))
+        if len(reached) == 1:
+            (s, found), = reached.items()
+            if len(found) == 1 and len(found[0].names) == 1:  # one detection: no need to ask all stems
+                stem = stems[s].allowing(found[0].low[0], left)
+                if stem is not None:
+                    take(stem, found[0].names[0], float(dist[lo]))
+                continue
+        queues = []
+        for s in reached:
+            of = stems[s]
+            mine = waiting.get(s) or sorted(zip(of.names, of.low, of.high, strict=True))
+            waiting[s] = [x for x in mine if x[0] not in left]
+            queues.append([(*x, s) for x in waiting[s]])
+        for stem, same in itertools.groupby(heapq.merge(*queues), key=lambda x: x[0]):
+            options = [det for _, low, high, s in same for d in reached[s] if (det := d.allowed(low, high, right)) is not None]
+            if options:
+                take(stem, min(options), float(dist[lo]))
     return out
 
 

@@ -51,18 +51,24 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], xy
     return rows.drop("_gx", "_gy") if how in ("left_semi", "left_anti") else rows.withColumn("d2", d2).drop("_gx", "_gy", "_sx", "_sy")
 
 
-def sparse_reach(left: DataFrame, right: DataFrame, keys: list[str], most: float, per: float, least: int = FEW_PAIRS) -> float:
+def sparse_reach(left: DataFrame, right: DataFrame, keys: list[str], most: float, per: float, least: int = FEW_PAIRS, past: bool = False, known: float = 0.0) -> float:
     """A radius up to `most` within which about `per` pairs a row meet, or `least` in all, judged by counts of grid cells.
 
-    Where points lie on each other no radius has few pairs, and the search ends when a smaller one has hardly fewer.
+    Where points lie on each other no radius has few pairs, and the search ends when a smaller one has hardly fewer. past: it goes
+    on as long as most pairs are of different positions, so that crowds of any width have a radius. known: pairs within that don't count.
     """
     one = lambda df, a, b: df.where("x is not null and y is not null").select(*keys, "x", "y", F.lit(a).alias("_l"), F.lit(b).alias("_r"))
     rows, radius, before = one(left, 1, 0).unionByName(one(right, 0, 1)), float(most), math.inf
+
+    def meeting(df: DataFrame, *at: str) -> tuple[float, int]:
+        cells = df.groupBy(*keys, *at).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        return cells.agg(F.coalesce(F.sum(9.0 * F.col("_l") * F.col("_r")), F.lit(0.0)), F.coalesce(F.sum(F.col("_l") + F.col("_r")), F.lit(0))).first()
+
+    base = meeting(grid(rows, "x", "y", known), "_gx", "_gy")[0] if known else 0.0
     while True:
-        cells = grid(rows, "x", "y", radius).groupBy(*keys, "_gx", "_gy").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        met, n = cells.agg(F.coalesce(F.sum(9.0 * F.col("_l") * F.col("_r")), F.lit(0.0)), F.coalesce(F.sum(F.col("_l") + F.col("_r")), F.lit(0))).first()
-        enough = max(per * n, float(least))
-        if met <= enough or met > 0.9 * before:
+        met, n = meeting(grid(rows, "x", "y", radius), "_gx", "_gy")
+        met, enough = max(met - base, 0.0), max(per * n, float(least))
+        if met <= enough or radius <= known or (met > 0.9 * before and (not past or meeting(rows, "x", "y")[0] > met / 2)):
             return radius
         before, radius = met, radius * min(0.7, max(0.1, math.sqrt(enough / met)))
 

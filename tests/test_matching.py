@@ -246,6 +246,50 @@ def test_few_crowded_places_among_points_apart_meet_as_places(spark, monkeypatch
     assert 0 < met[0] < 120 * 90 / 4  # pairs of points on one place
 
 
+def test_points_of_one_position_and_many_heights_meet_as_places(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    spots = np.round(rng.uniform(0, 3, (8, 2)))  # of which some are equal, as many distances are
+
+    def rows(n):
+        high = [None if v < 0.5 else float("nan") if v > 29.5 else float(v) for v in rng.uniform(0, 30, n).round(1)]
+        return [(k % 2, k, float(x), float(y), z) for k, ((x, y), z) in enumerate(zip(spots[rng.integers(0, 8, n)], high))] + [(0, n + k, *rng.uniform(0, 3, 2).tolist(), 9.0) for k in range(30)]
+
+    a, b = (spark.createDataFrame(rows(n), f"cell int, {c} int, x double, y double, z double").cache() for n, c in ((400, "stem"), (300, "det")))
+    c = a.withColumns({"tol": F.col("stem") % 3 + 0.5, "most_up": F.when(F.col("stem") % 7 > 0, F.col("stem") % 5 * 3.0)})
+    whole, met = spatial.candidates, []
+    cases = [(a, 4.0, 8.0, True), (a, 2.0, 8.0, False), (c, "tol", 2.0, True), (c, 3.0, "most_up", True)]
+    want = [{tuple(r) for r in matching.greedy(whole(s, b, ["cell"], tol, up, 4.0, gate), ["cell"]).collect()} for s, tol, up, gate in cases]
+    every = whole(a, b, ["cell"], 4.0).count()
+
+    def counted(*args, **more):
+        pairs = whole(*args, **more)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "candidates", counted)
+    for (s, tol, up, gate), taken in zip(cases, want):
+        met.clear()
+        assert {tuple(r) for r in matching.nearest_first(s, b, ["cell"], tol, up, 4.0, gate, least=0).collect()} == taken and taken
+        assert sum(met) < every / 4
+
+
+def test_crowds_narrower_than_their_gaps_have_bands(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    rows = lambda n: [(0, k, float(k % 3) + dx, dy, 10.0) for k, (dx, dy) in enumerate(rng.uniform(0, 1e-3, (n, 2)).tolist())]
+    a, b = (spark.createDataFrame(rows(n), f"cell int, {c} int, x double, y double, z double").cache() for n, c in ((240, "stem"), (210, "det")))
+    whole, met = spatial.candidates, []
+    want = {tuple(r) for r in matching.greedy(whole(a, b, ["cell"], 4.0), ["cell"]).collect()}
+
+    def counted(*args, **more):
+        pairs = whole(*args, **more)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "candidates", counted)
+    assert {tuple(r) for r in matching.nearest_first(a, b, ["cell"], least=0).collect()} == want
+    assert max(met) < 3 * 80 * 70 / 4  # pairs of each crowd
+
+
 def test_links_connect_as_all_pairs_do(spark):
     rng = np.random.default_rng(11)
     rows = [(k % 2, k, "abc"[k % 3], float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.c_[rng.normal(0, 4, (900, 2)), rng.normal(12, 4, 900)])]

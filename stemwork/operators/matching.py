@@ -2,7 +2,8 @@
 
 Cells are matched apart. The kernels sort a cell's candidates, not its points, in one Arrow group; for
 cells too large for a task there is the greedy rule in rounds, which is DataFrame work only. nearest_first()
-makes the candidates of dense cells in bands of distance, so that they grow with the points and not with their pairs.
+makes the candidates of dense cells in bands of distance, so that they grow with the points and not with their pairs;
+optimal_points() and nearest_in_turn() send a dense cell's points to its task.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stemwork.sources.scratch import checkpointed
 
-from . import spatial
+from . import assigning, spatial
 from .keys import joined
 
 
@@ -378,6 +379,49 @@ def soft_candidates(stems: DataFrame, dets: DataFrame, keys: list[str], tol: flo
     return rows.where(F.col("dist") <= tol).select(*keys, "stem", F.col("r_det").alias("det"), "dist")
 
 
+def optimal_points(
+    stems: DataFrame, dets: DataFrame, keys: list[str], tol: float = 4.0, up: float = 8.0, weight: float | None = None, per: float = 8.0, least: int = spatial.FEW_PAIRS,
+) -> DataFrame:
+    """The matching of optimal() over all candidates of stems and detections, or over soft_candidates() with a weight.
+
+    Where their pairs are many, a cell's points go to its task and not their pairs (see assigning.match), so neither the shuffle nor
+    a task grows with the square of the density. Of several matchings of one total cost either form has one, not always the same.
+    """
+    if spatial.sparse_reach(stems, dets, keys, tol, per, least) >= tol:
+        return optimal(spatial.candidates(stems, dets, keys, tol, up) if weight is None else soft_candidates(stems, dets, keys, tol, weight), keys)
+    side = lambda df, name, left: df.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*keys, F.col(name).alias("_id"), "x", "y", F.col("z").cast("double").alias("z"), F.col("z").isNull().alias("_flat"), F.lit(left).alias("_left"))
+    rows = side(stems, "stem", True).unionByName(side(dets, "det", False))
+    # a number of its own, or cells of few bytes and much work would come to one task
+    rows = rows.repartition(int(stems.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    def kernel(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["_id", "x", "y", "z"], kind="stable")
+        s, d = cell[cell._left], cell[~cell._left]
+        (at, z, flat), (to, h, level) = ((p[["x", "y"]].to_numpy(float), p["z"].to_numpy(float), p["_flat"].to_numpy(bool)) for p in (s, d))
+        no_more = lambda p, q: (p <= q) | np.isnan(q)  # noqa: E731  as SQL orders NaN
+
+        def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            dx, dy = at[i, 0][:, None] - to[j, 0], at[i, 1][:, None] - to[j, 1]
+            d2 = dx * dx + dy * dy
+            if weight is None:
+                dist, low, high = np.sqrt(d2), z[i][:, None], h[j]
+                fits = flat[i][:, None] | ~level[j] & no_more(0.5 * low, high) & no_more(high, low + up)
+            else:
+                dz = np.where(flat[i][:, None] | level[j], 0.0, h[j] - z[i][:, None]) * weight
+                dist, fits = np.sqrt(d2 + dz * dz), True
+            return np.where(fits & (d2 <= tol * tol) & (dist <= tol), dist, np.inf)
+
+        names = [pd.factorize(p["_id"], use_na_sentinel=False)[0].astype(np.int64) for p in (s, d)]
+        if len(s) <= len(d):  # the fewer seek
+            i, j, dist = assigning.match(at, to, *names, tol, cost)
+        else:
+            j, i, dist = assigning.match(to, at, *names[::-1], tol, lambda p, q: cost(q, p).T)
+        return s.iloc[i].assign(stem=s["_id"].to_numpy()[i], det=d["_id"].to_numpy()[j], dist=dist)[[*keys, "stem", "det", "dist"]]
+
+    name = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    return rows.groupBy(*keys).applyInPandas(kernel, f"{_fields(rows, keys)}, {name(stems, 'stem')}, {name(dets, 'det')}, dist double")
+
+
 def in_turn(pairs: DataFrame, keys: list[str], a: str = "stem", b: str = "det", cost: str = "dist") -> DataFrame:
     """Left rows in their order each take the nearest right row that is free (ties: the first)."""
     rows = pairs.select(*keys, a, b, cost)

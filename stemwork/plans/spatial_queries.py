@@ -51,8 +51,7 @@ def optimal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stems, dets = sides(spark, sf_dir)
-    return matching.optimal(matching.soft_candidates(stems, dets, ["cell"]), ["cell"])
+    return matching.optimal_points(*sides(spark, sf_dir), ["cell"], TOL, weight=0.5)
 
 
 def match_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:

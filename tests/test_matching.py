@@ -327,3 +327,51 @@ def test_least_cost_over_candidates_alone():
             chosen = matching.assignment(cost)
             want += [int(e) for e, x, y in zip(mine, l, r, strict=True) if chosen[x] == y]
         assert got == sorted(want)
+
+
+@pytest.mark.parametrize("weight", [None, 0.5])
+def test_optimal_over_points_takes_what_it_does_over_pairs(spark, monkeypatch, weight):
+    rng = np.random.default_rng(31)
+
+    def rows(n):
+        place = np.c_[rng.normal(0, 5, (n, 2)), rng.uniform(2, 30, n)].tolist()
+        return [(None if k % 3 == 0 else k % 3, k, x, y, None if k % 29 == 0 else float("nan") if k % 31 == 0 else z) for k, (x, y, z) in enumerate(place)]
+
+    a, b = (spark.createDataFrame(rows(n), f"cell int, {c} int, x double, y double, z double").cache() for n, c in ((900, "stem"), (870, "det")))
+    a = a.where("stem < 850 or cell = 1")  # cells of fewer and of more stems than detections
+    every = spatial.candidates(a, b, ["cell"], 4.0) if weight is None else matching.soft_candidates(a, b, ["cell"], 4.0, weight)
+    want = {tuple(r) for r in matching.optimal(every, ["cell"]).collect()}
+    for pairs_of in ("within", "candidates"):
+        monkeypatch.setattr(spatial, pairs_of, None)  # no pairs in DataFrames
+    got = matching.optimal_points(a, b, ["cell"], 4.0, weight=weight, least=0)
+    assert {tuple(r) for r in got.collect()} == want and any(r[0] is None for r in want)
+    assert {tuple(r) for r in matching.optimal_points(a.repartition(7), b.repartition(5), ["cell"], 4.0, weight=weight, least=0).collect()} == want
+
+
+@pytest.mark.parametrize("query", ["soft_match"])
+def test_assignments_of_dense_cells_shuffle_points_and_not_pairs(spark, monkeypatch, query):
+    from stemwork.plans import spatial_queries
+
+    rng = np.random.default_rng(32)
+    rows = [(k % 2, k, *p) for k, p in enumerate(np.c_[rng.normal(0, 2, (9000, 2)), np.full(9000, 10.0)].tolist())]
+    points = spark.createDataFrame(rows, "cell int, point int, x double, y double, z double").cache()
+    sides = tuple(points.where(F.col("point") % 4 < 2 if c == "stem" else F.col("point") % 4 > 1).withColumnRenamed("point", c) for c in ("stem", "det"))
+    monkeypatch.setattr(spatial_queries, "sides", lambda *_: sides)
+    plan = getattr(spatial_queries, query)(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Join" not in plan
+
+
+def test_matching_by_prices_is_least_whatever_lies_on_each_other():
+    from stemwork.operators import assigning
+
+    rng = np.random.default_rng(33)
+    crowds = lambda n, wide: np.repeat(rng.uniform(0, 12, (6, 2)), n // 6, axis=0) + rng.uniform(0, wide, (n, 2))
+    for a, b in ((crowds(240, 0.0), crowds(300, 0.0)), (crowds(240, 1e-3), crowds(246, 1e-3)), (np.round(rng.uniform(0, 20, (300, 2))), np.round(rng.uniform(0, 20, (320, 2))))):
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+        d[d > 4] = np.inf
+        i, j, dist = assigning.match(a, b, np.arange(len(a)), np.arange(len(b)), 4.0, lambda p, q: d[np.ix_(p, q)])
+        left, right = np.nonzero(np.isfinite(d))
+        li, ri = np.unique(left, return_inverse=True)[1], np.unique(right, return_inverse=True)[1]
+        want = matching._least_cost(li, ri, d[left, right])
+        assert len(set(i.tolist())) == len(set(j.tolist())) == len(i) == len(want) and (d[i, j] == dist).all()
+        assert np.isclose(dist.sum(), d[left, right][want].sum(), rtol=0, atol=1e-7)

@@ -47,7 +47,7 @@ def greedy_match_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def optimal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.optimal(candidate_pairs(spark, sf_dir), ["cell"])
+    return matching.optimal_points(*sides(spark, sf_dir), ["cell"], TOL)
 
 
 def soft_match(spark: SparkSession, sf_dir: str) -> DataFrame:

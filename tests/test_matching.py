@@ -348,7 +348,7 @@ def test_optimal_over_points_takes_what_it_does_over_pairs(spark, monkeypatch, w
     assert {tuple(r) for r in matching.optimal_points(a.repartition(7), b.repartition(5), ["cell"], 4.0, weight=weight, least=0).collect()} == want
 
 
-@pytest.mark.parametrize("query", ["soft_match"])
+@pytest.mark.parametrize("query", ["optimal_match", "soft_match"])
 def test_assignments_of_dense_cells_shuffle_points_and_not_pairs(spark, monkeypatch, query):
     from stemwork.plans import spatial_queries
 
